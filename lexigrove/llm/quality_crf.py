@@ -25,7 +25,7 @@ from lexigrove.llm.common import Text, chunks, read_table, sequences, with_field
 
 #: Bounds of the fitting sample: labelled documents, and the length of one.
 #: Scoring has no bound.
-SAMPLE_DOCS = 2_000
+SAMPLE_DOCS = 4_000
 SAMPLE_DOC_CHARS = 20_000
 THRESHOLD = 0.3
 
@@ -174,7 +174,7 @@ def forward_backward(chains: Chains, score: np.ndarray, transition: np.ndarray,
     return np.exp(np.minimum(0.0, alpha[:, 1] + beta[:, 1] - z)), float(logz.sum()), expected
 
 
-def fit(x: np.ndarray, row: np.ndarray, label: np.ndarray, rounds: int = 60, penalty: float = 0.01) -> Model:
+def fit(x: np.ndarray, row: np.ndarray, label: np.ndarray, rounds: int = 80, penalty: float = 0.0001) -> Model:
     """Maximum conditional likelihood by L-BFGS; ``label`` is one per line."""
     start = Model(np.zeros(x.shape[1]), np.zeros((2, 2)))
     if len(row) == 0 or label.min() == label.max():
