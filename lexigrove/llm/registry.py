@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lexigrove.llm.bpe import op5_bpe
 from lexigrove.llm.chat_template import op1_chat_format
 from lexigrove.llm.fingerprint import op2_fingerprint
+from lexigrove.llm.html_extract import op7_html_extract
 from lexigrove.llm.mixing import OP8_SQL, op8_mixing
 from lexigrove.llm.quality_crf import op3_quality_crf
 from lexigrove.llm.rules import OP10_SQL, op10_rules
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_fingerprint": op2_fingerprint,
         "op3_quality_crf": op3_quality_crf,
         "op5_bpe": op5_bpe,
+        "op7_html_extract": op7_html_extract,
         "op8_mixing": op8_mixing,
         "op10_rules": op10_rules,
     }
