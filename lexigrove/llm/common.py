@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -202,3 +203,20 @@ def record_batches(rows: Iterable[dict], schema: pa.Schema, size: int = 2_000) -
             held = []
     if held:
         yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length as a compressed blob, so a shuffle moves few large rows."""
+    raw = b"".join([np.int64(len(arrays[0])).tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
+    """Inverse of :func:`pack`; ``kinds`` are the arrays' element types."""
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    out, at = [], 8
+    for k in kinds:
+        out.append(np.frombuffer(raw, k, n, at))
+        at += n * np.dtype(k).itemsize
+    return out

@@ -11,6 +11,7 @@ from lexigrove.llm.chat_template import op1_chat_format
 from lexigrove.llm.fingerprint import op2_fingerprint
 from lexigrove.llm.html_extract import op7_html_extract
 from lexigrove.llm.mixing import OP8_SQL, op8_mixing
+from lexigrove.llm.ngram_join import op9_ngram_join
 from lexigrove.llm.quality_crf import op3_quality_crf
 from lexigrove.llm.rules import OP10_SQL, op10_rules
 
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_bpe": op5_bpe,
         "op7_html_extract": op7_html_extract,
         "op8_mixing": op8_mixing,
+        "op9_ngram_join": op9_ngram_join,
         "op10_rules": op10_rules,
     }
 
