@@ -12,6 +12,7 @@ from lexigrove.llm.fingerprint import op2_fingerprint
 from lexigrove.llm.html_extract import op7_html_extract
 from lexigrove.llm.mixing import OP8_SQL, op8_mixing
 from lexigrove.llm.ngram_join import op9_ngram_join
+from lexigrove.llm.prefix_free import op6_prefix_free_dedup
 from lexigrove.llm.quality_crf import op3_quality_crf
 from lexigrove.llm.rules import OP10_SQL, op10_rules
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_fingerprint": op2_fingerprint,
         "op3_quality_crf": op3_quality_crf,
         "op5_bpe": op5_bpe,
+        "op6_prefix_free_dedup": op6_prefix_free_dedup,
         "op7_html_extract": op7_html_extract,
         "op8_mixing": op8_mixing,
         "op9_ngram_join": op9_ngram_join,
