@@ -345,7 +345,7 @@ def _unpacked(blobs: DataFrame, kind: int, ddl: str, kinds: tuple[type, ...]) ->
                 columns = [pa.array(a) for i, a in enumerate(arrays) if i != null_at]
                 if null_at:
                     columns[0] = pa.array(arrays[0], mask=arrays[1])
-                yield pa.RecordBatch.fromunpack(columns, names=[p.split()[0] for p in ddl.split(", ")])
+                yield pa.RecordBatch.from_arrays(columns, names=[p.split()[0] for p in ddl.split(", ")])
 
     return blobs.filter(F.col("kind") == kind).select("blob").mapInArrow(run, ddl)
 
@@ -357,7 +357,7 @@ def _packed_texts(docs: DataFrame) -> DataFrame:
         c = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             z = [c.compress((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in batch.column(1)]
-            yield pa.RecordBatch.fromunpack([batch.column(0), pa.array(z, pa.binary())], names=["id", "z"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], names=["id", "z"])
 
     return docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, z binary")
 
@@ -417,7 +417,7 @@ def _searched(members: DataFrame, texts: DataFrame, n: int, t: Threshold) -> Dat
                 if full:
                     out = tree_links([held[i][3] for i in full], [held[i][4] for i in full], [sets[i] for i in full], [held[i][5] for i in full], t)
                     if out:
-                        yield pa.RecordBatch.fromunpack([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+                        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
             held.clear()
 
         for batch in batches:
