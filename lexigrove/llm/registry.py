@@ -10,6 +10,7 @@ from lexigrove.llm.bpe import op5_bpe
 from lexigrove.llm.chat_template import op1_chat_format
 from lexigrove.llm.fingerprint import op2_fingerprint
 from lexigrove.llm.html_extract import op7_html_extract
+from lexigrove.llm.line_templates import op4_line_templates
 from lexigrove.llm.mixing import OP8_SQL, op8_mixing
 from lexigrove.llm.ngram_join import op9_ngram_join
 from lexigrove.llm.prefix_free import op6_prefix_free_dedup
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chat_format": op1_chat_format,
         "op2_fingerprint": op2_fingerprint,
         "op3_quality_crf": op3_quality_crf,
+        "op4_line_templates": op4_line_templates,
         "op5_bpe": op5_bpe,
         "op6_prefix_free_dedup": op6_prefix_free_dedup,
         "op7_html_extract": op7_html_extract,
