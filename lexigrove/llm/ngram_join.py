@@ -247,8 +247,8 @@ def _blob(kind: int, bucket: int, *arrays: np.ndarray) -> dict:
     return {"kind": kind, "bucket": bucket, "blob": pack(*arrays)}
 
 
-def _batched(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """(ids, is null, sets) of about BATCH_BYTES of text at a time."""
+def _batched(batches: Iterator[pa.RecordBatch], n: int, batch_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(ids, is null, sets) of about ``batch_bytes`` of text at a time."""
     ids, null, sets, size = [], [], [], 0
     for batch in batches:
         for part in chunks(batch):
@@ -257,18 +257,29 @@ def _batched(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.nda
             null.append(part.column(0).is_null().to_numpy(zero_copy_only=False))
             ids.append(part.column(0).fill_null(0).to_numpy())
             size += len(text.data)
-            if size >= BATCH_BYTES:
+            if size >= batch_bytes:
                 yield np.concatenate(ids), np.concatenate(null), sets
                 ids, null, sets, size = [], [], [], 0
     if ids:
         yield np.concatenate(ids), np.concatenate(null), sets
 
 
-def _dealt(docs: DataFrame, n: int, t: Threshold, buckets: int) -> DataFrame:
+def _pair_blobs(low: np.ndarray, high: np.ndarray, told: np.ndarray, buckets: int) -> Iterator[dict]:
+    """Pairs dealt by a hash of both ends, so all reports of a pair meet."""
+    bucket = (mix(mix(low.astype(np.uint64)) + high.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in range(buckets):
+        at = order[cut[b] : cut[b + 1]]
+        if len(at):
+            yield _blob(_PAIRS, b, low[at], high[at], told[at])
+
+
+def _dealt(docs: DataFrame, n: int, t: Threshold, buckets: int, batch_bytes: int) -> DataFrame:
     """Candidate pairs (with the verdict where it is known) and set sizes, as blobs."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, (ids, null, sets) in enumerate(_batched(batches, n)):
+        for turn, (ids, null, sets) in enumerate(_batched(batches, n, batch_bytes)):
             size = np.array([len(s) for s in sets], np.int64)
             rows = [_blob(_SIZES, turn % buckets, ids, null, size)]
             # Equal sets are tied first; one of them goes on.
@@ -292,7 +303,7 @@ def _dealt(docs: DataFrame, n: int, t: Threshold, buckets: int) -> DataFrame:
             here = {int(ids[k]): k for k in kept[::-1]}
             pairs.append((low, high, verdicts(low, high, here)))
             low, high, told = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            rows.append(_blob(_PAIRS, turn % buckets, low.astype(np.int64), high.astype(np.int64), told))
+            rows += _pair_blobs(low.astype(np.int64), high.astype(np.int64), told, buckets)
             key, node = key[head], node[head]
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -311,8 +322,7 @@ def _dealt(docs: DataFrame, n: int, t: Threshold, buckets: int) -> DataFrame:
             if held:
                 _, low, high = stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 held.clear()
-                if len(low):
-                    yield _blob(_PAIRS, -1, low, high, np.full(len(low), _OPEN, np.int8))
+                yield from _pair_blobs(low, high, np.full(len(low), _OPEN, np.int8), buckets)
 
         for batch in batches:
             rows = []
@@ -330,8 +340,39 @@ def _dealt(docs: DataFrame, n: int, t: Threshold, buckets: int) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_pylist(rows, _BLOB_SCHEMA)
 
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row a pair: the best and the least that is known of it."""
+        held: list[list[np.ndarray]] = []
+        bucket = None
+
+        def settled() -> Iterator[dict]:
+            if held:
+                low, high, told = (np.concatenate(x) for x in zip(*held, strict=True))
+                held.clear()
+                order = np.lexsort((told, high, low))
+                low, high, told = low[order], high[order], told[order]
+                head = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+                yield _blob(_PAIRS, -1, low[head], high[head], told[np.append(head[1:], len(low)) - 1], told[head])
+
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                if row["kind"] != _PAIRS:
+                    rows.append(row)
+                    continue
+                if row["bucket"] != bucket:
+                    rows += settled()
+                    bucket = row["bucket"]
+                held.append(unpack(row["blob"], np.int64, np.int64, np.int8))
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, _BLOB_SCHEMA)
+        rows = list(settled())
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _BLOB_SCHEMA)
+
     blobs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal, _BLOB)
-    return materialize(blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tie, _BLOB))
+    met = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return materialize(met(met(blobs).mapInArrow(tie, _BLOB)).mapInArrow(settle, _BLOB))
 
 
 def _unpacked(blobs: DataFrame, kind: int, ddl: str, kinds: tuple[type, ...]) -> DataFrame:
@@ -381,10 +422,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: Threshold) -> DataF
                     yield part.select(["a", "b"]).take(pa.array(ok))
 
     x, y = texts.select(F.col("id").alias("a"), F.col("z").alias("za")), texts.select(F.col("id").alias("b"), F.col("z").alias("zb"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
 
 
-def _searched(members: DataFrame, texts: DataFrame, n: int, t: Threshold) -> DataFrame:
+def _searched(members: DataFrame, texts: DataFrame, n: int, t: Threshold, block: int) -> DataFrame:
     """Links within unresolved components by R-tree; members: (id, root, k).
 
     A component's largest known part is never compared with itself: its
@@ -392,7 +433,7 @@ def _searched(members: DataFrame, texts: DataFrame, n: int, t: Threshold) -> Dat
     """
     parts = members.groupBy("k", "root").count()
     largest = parts.groupBy("k").agg(F.max_by("root", F.struct("count", "root")).alias("big"), F.max("count").alias("n_big"), F.sum("count").alias("n_all"))
-    blocks = lambda c: F.ceil(c / F.lit(float(BLOCK))).cast("int")
+    blocks = lambda c: F.ceil(c / F.lit(float(block))).cast("int")
     at = members.join(largest, "k").withColumn("side", (F.col("root") == F.col("big")).cast("int"))
     at = at.withColumn("n_rest", F.greatest(F.lit(1), blocks(F.col("n_all") - F.col("n_big")))).withColumn("n_main", F.greatest(F.lit(1), blocks(F.col("n_big"))))
     at = at.withColumn("mine", F.pmod(F.xxhash64("id"), F.when(F.col("side") == 1, F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
@@ -431,7 +472,7 @@ def _searched(members: DataFrame, texts: DataFrame, n: int, t: Threshold) -> Dat
     return rows.mapInArrow(run, "a long, b long")
 
 
-def link_components(docs: DataFrame, n: int = 5, p: int = 4, q: int = 5) -> tuple[DataFrame, DataFrame]:
+def link_components(docs: DataFrame, n: int = 5, p: int = 4, q: int = 5, batch_bytes: int = BATCH_BYTES, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """((id, root) of all documents with links, (doc_id, n_shingles) of all rows).
 
     Links join documents whose sets of ``n``-word shingles (A-Z lowered) have a
@@ -443,9 +484,8 @@ def link_components(docs: DataFrame, n: int = 5, p: int = 4, q: int = 5) -> tupl
     t = Threshold(p, q)
     spark = docs.sparkSession
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blobs = _dealt(docs, n, t, buckets)
-    told = _unpacked(blobs, _PAIRS, "a long, b long, told byte", (np.int64, np.int64, np.int8))
-    pairs = materialize(told.groupBy("a", "b").agg(F.max("told").alias("most"), F.min("told").alias("least")))
+    blobs = _dealt(docs, n, t, buckets, batch_bytes)
+    pairs = _unpacked(blobs, _PAIRS, "a long, b long, most byte, least byte", (np.int64, np.int64, np.int8, np.int8))
     sizes = _unpacked(blobs, _SIZES, "doc_id long, n_shingles long", (np.int64, bool, np.int64))
     texts = _packed_texts(docs)
     good = pairs.filter(F.col("most") == _LINKED).select("a", "b")
@@ -453,7 +493,8 @@ def link_components(docs: DataFrame, n: int = 5, p: int = 4, q: int = 5) -> tupl
     open_pairs = pairs.filter((F.col("most") != _LINKED) & (F.col("least") == _OPEN)).select("a", "b")
     if open_pairs.limit(1).count():
         ids = open_pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        chosen = materialize(texts.join(ids, "id", "left_semi"))
+        # Ids grow with the corpus, so neither side is broadcast, at any size.
+        chosen = materialize(texts.join(ids.hint("merge"), "id", "left_semi"))
         good = materialize(_verified(open_pairs, chosen, n, t).unionByName(good))
     found = components(good)
     labelled = lambda df, c: df.join(found.select(F.col("id").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
@@ -462,7 +503,7 @@ def link_components(docs: DataFrame, n: int = 5, p: int = 4, q: int = 5) -> tupl
         groups = components(apart).select(F.col("id").alias("root"), F.col("root").alias("k"))
         singles = groups.select(F.col("root").alias("id"), "root")
         members = materialize(found.unionByName(singles).distinct().join(groups, "root").select("id", "root", "k"))
-        extra = materialize(_searched(members, texts.join(members.select("id"), "id", "left_semi"), n, t))
+        extra = materialize(_searched(members, texts.join(members.select("id").hint("merge"), "id", "left_semi"), n, t, block))
         found = components(reduce(DataFrame.unionByName, [good.select("a", "b"), extra]))
     return found, sizes
 
