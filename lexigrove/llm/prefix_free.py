@@ -42,8 +42,10 @@ WINDOW = 100
 GRAM = 32
 REACH = WINDOW - GRAM + 1
 #: Entries of one trigger above which its windows are dealt by their own hashes.
-HOT_ENTRIES = 100_000
+HOT_ENTRIES = 10_000
 BATCH_BYTES = 16_000_000
+#: Bytes of text that are parsed, and of entries that are ordered, in one numpy pass.
+PASS_BYTES = 1_000_000
 NULL_ID = np.iinfo(np.int64).min
 
 _BLOB = "kind int, bucket int, blob binary"
@@ -254,7 +256,7 @@ def _parse_phase(docs: DataFrame, buckets: int, hot_entries: int, batch_bytes: i
                 yield pa.RecordBatch.from_pylist(rows[k : k + 64], _SCHEMA)
 
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=PASS_BYTES):
                 text = Text(part.column(1))
                 ids = part.column(0).fill_null(NULL_ID).to_numpy()
                 row, start, count, gram, content = phrases(text)
@@ -391,7 +393,7 @@ def _order_phase(parsed: DataFrame, texts: DataFrame, buckets: int) -> DataFrame
                     mine = by[cut[b] : cut[b + 1]]
                     if len(mine):
                         body = b"".join(data[s : s + k].tobytes() for s, k in zip(begin[mine], size[mine], strict=True))
-                        head = np.int64(len(mine)).tobytes() + doc[at[mine]].tobytes() + start[at[mine]].tobytes() + count[at[mine]].tobytes()
+                        head = np.int64(len(mine)).tobytes() + doc[at[mine]].tobytes() + start[at[mine]].tobytes() + count[at[mine]].tobytes() + gram[at[mine]].tobytes()
                         yield pa.RecordBatch.from_pylist([{"kind": _ENTRIES, "bucket": b, "blob": packer.compress(head + body)}], _SCHEMA)
                 burning = np.flatnonzero(hot[at])
                 if len(burning):
@@ -429,11 +431,26 @@ def _order_phase(parsed: DataFrame, texts: DataFrame, buckets: int) -> DataFrame
                 for blob in parts:
                     raw = zstandard.ZstdDecompressor().decompress(blob)
                     n = int(np.frombuffer(raw, np.int64, 1)[0])
-                    heads.append(np.frombuffer(raw, np.int64, 3 * n, 8).reshape(3, n))
-                    bodies.append(np.frombuffer(raw, np.uint8, offset=8 + 24 * n))
-                doc, start, count = np.concatenate(heads, axis=1)
+                    heads.append(np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n))
+                    bodies.append(np.frombuffer(raw, np.uint8, offset=8 + 32 * n))
+                doc, start, count, gram = np.concatenate(heads, axis=1)
+                data = np.concatenate(bodies)
                 off = np.concatenate(([0], np.cumsum(count + WINDOW - 1)))
-                d, p = repeats_among(np.concatenate(bodies), off, doc, start, count)
+                # Entries of one trigger stay together; passes end between triggers.
+                by = np.argsort(gram, kind="stable")
+                size = np.cumsum(count[by] + WINDOW - 1)
+                edge = np.append(np.flatnonzero(np.append(True, gram[by][1:] != gram[by][:-1])), len(by))
+                found_d, found_p, k = [], [], 0
+                while k < len(edge) - 1:
+                    begin = size[edge[k] - 1] if edge[k] else 0
+                    stop = max(k + 1, int(np.searchsorted(size[edge[1:] - 1], begin + PASS_BYTES, "right")))
+                    at = by[edge[k] : edge[stop]]
+                    body = np.concatenate([data[off[i] : off[i + 1]] for i in at])
+                    d, p = repeats_among(body, np.concatenate(([0], np.cumsum(count[at] + WINDOW - 1))), doc[at], start[at], count[at])
+                    found_d.append(d)
+                    found_p.append(p)
+                    k = stop
+                d, p = np.concatenate(found_d), np.concatenate(found_p)
                 rows += _by_home(_REPEATS, buckets, *_ranges(d, p, np.ones(len(d), np.int64)))
             if windows:
                 low, high, d, p = (np.concatenate(x) for x in zip(*windows, strict=True))
