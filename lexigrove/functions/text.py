@@ -29,8 +29,9 @@ def tokens(text: Column) -> Column:
 def word_ngrams(text: Column, n: int = 3) -> Column:
     """Distinct n-grams of lower-cased words; with fewer words, the distinct words."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+", -1), lambda w: w != "")
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.array_distinct(F.when(F.size(words) >= n, grams).otherwise(words))
+    # Bound as a lambda variable, so the words are split once and not once an n-gram.
+    grams = F.transform(F.array(words), lambda ws: F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.array_join(F.slice(ws, i, n), " "))).otherwise(ws))
+    return F.array_distinct(F.element_at(grams, 1))
 
 
 def jaccard(a: Column, b: Column) -> Column:

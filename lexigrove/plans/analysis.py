@@ -51,7 +51,7 @@ def a143(t: Tables) -> DataFrame:
 
 
 _RUNS = """runs AS (SELECT o_custkey AS sample_id, o_orderpriority AS condition, o_orderstatus = 'F' AS is_correct, CASE WHEN o_totalprice > 300000 THEN 'inside_truncated' ELSE 'ok' END AS status,
-  (o_totalprice / 10)::BIGINT AS token_count, CAST(o_orderkey % 7 AS VARCHAR) AS pred_answer, o_orderkey FROM orders),
+  trunc(o_totalprice / 10)::BIGINT AS token_count, CAST(o_orderkey % 7 AS VARCHAR) AS pred_answer, o_orderkey FROM orders),
 last AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY sample_id, condition ORDER BY o_orderkey DESC) = 1)"""
 
 
@@ -59,13 +59,13 @@ def runs(t: Tables) -> DataFrame:
     """Orders as runs: customers are samples, priorities are conditions."""
     rows = t.orders.select(
         F.col("o_custkey").alias("sample_id"), F.col("o_orderpriority").alias("condition"), (F.col("o_orderstatus") == "F").alias("is_correct"),
-        F.when(F.col("o_totalprice") > 300_000, "inside_truncated").otherwise("ok").alias("status"), F.round(F.col("o_totalprice") / 10).cast("long").alias("token_count"),
+        F.when(F.col("o_totalprice") > 300_000, "inside_truncated").otherwise("ok").alias("status"), F.floor(F.col("o_totalprice") / 10).cast("long").alias("token_count"),
         (F.col("o_orderkey") % 7).cast("string").alias("pred_answer"), "o_orderkey",
     )
     return E.last_records(rows, "o_orderkey")
 
 
-@query("a144_truncation", f"WITH {_RUNS.replace('::BIGINT AS token', '::BIGINT AS token')} SELECT condition, count(*) FILTER (WHERE status = 'inside_truncated' OR token_count >= 16384) AS n_truncated, count(*) AS n, round(count(*) FILTER (WHERE status = 'inside_truncated' OR token_count >= 16384) / count(*), 9) AS rate FROM last GROUP BY condition")
+@query("a144_truncation", f"WITH {_RUNS} SELECT condition, count(*) FILTER (WHERE status = 'inside_truncated' OR token_count >= 16384) AS n_truncated, count(*) AS n, round(count(*) FILTER (WHERE status = 'inside_truncated' OR token_count >= 16384) / count(*), 9) AS rate FROM last GROUP BY condition")
 def a144(t: Tables) -> DataFrame:
     return E.truncation_rates(runs(t)).withColumn("rate", F.round("rate", 9))
 
@@ -109,7 +109,7 @@ def a149(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", E.difficulty(F.col("n_chars"), F.length("text"), F.col("doc_id") % 5).alias("level"))
 
 
-@query("a151_top_per_stratum", "SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 5")
+@query("a151_top_per_stratum", "SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id)::INT AS rank FROM documents QUALIFY rank <= 5")
 def a151(t: Tables) -> DataFrame:
     return E.top_per_stratum(t.documents, "lang", [F.col("n_chars").desc(), F.col("doc_id")], 5).select("lang", "doc_id", "rank")
 
@@ -119,7 +119,7 @@ def a151(t: Tables) -> DataFrame:
     """WITH rows AS (SELECT doc_id, source, CASE WHEN n_chars <= 500 THEN 'easy' WHEN n_chars <= 3000 THEN 'medium' ELSE 'hard' END AS level FROM documents),
 quota AS (SELECT source, 50 // count(*) OVER () + (row_number() OVER (ORDER BY source) - 1 < 50 % count(*) OVER ())::INT AS quota FROM (SELECT DISTINCT source FROM rows)),
 turns AS (SELECT *, row_number() OVER (PARTITION BY source, level ORDER BY (doc_id * 2654435761) % 4294967296, doc_id) AS turn, list_position(['easy', 'medium', 'hard'], level) AS place FROM rows),
-picks AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY turn, place) AS pick FROM turns)
+picks AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY turn, place)::INT AS pick FROM turns)
 SELECT source, level, doc_id, pick FROM picks JOIN quota USING (source) WHERE pick <= quota""",
 )
 def a152(t: Tables) -> DataFrame:
@@ -128,7 +128,7 @@ def a152(t: Tables) -> DataFrame:
     return E.balanced_sample(rows, "source", "level", "doc_id", 50, ("easy", "medium", "hard")).select("source", "level", "doc_id", "pick")
 
 
-_RANKED = f"WITH {bm25_sql()}, ranked AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scores WHERE score > 0), oracle AS (SELECT item_id AS query_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)))"
+_RANKED = f"WITH {bm25_sql()}, ranked AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM scores WHERE score > 0), oracle AS (SELECT item_id AS query_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)))"
 
 
 def _ranked(t: Tables) -> tuple[DataFrame, DataFrame]:

@@ -152,7 +152,7 @@ def b35(t: Tables) -> DataFrame:
     return t.events.select("event_id", temporal.offset_by(F.col("ts"), "1d").alias("next_day"), temporal.offset_by(F.col("ts"), "1mo").alias("next_month"))
 
 
-@query("b36_list_eval", "SELECT vec_id, round(list_sum(list_transform(embedding, x -> (x * 2)::DOUBLE)), 4) AS doubled, list_contains(list_transform(embedding, x -> x > 0), true) AS any_positive FROM embeddings")
+@query("b36_list_eval", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: (x * 2)::DOUBLE)), 4) AS doubled, list_contains(list_transform(embedding, lambda x: x > 0), true) AS any_positive FROM embeddings")
 def b36(t: Tables) -> DataFrame:
     doubled = F.transform("embedding", lambda x: (x * 2).cast("double"))
     return t.embeddings.select("vec_id", F.round(F.aggregate(doubled, F.lit(0.0), lambda a, x: a + x), 4).alias("doubled"), F.array_contains(F.transform("embedding", lambda x: x > 0), True).alias("any_positive"))
@@ -215,7 +215,7 @@ def b09(t: Tables) -> DataFrame:
     return temporal.group_by_dynamic(t.events, "ts", [F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")], "1d")
 
 
-@query("b25_sliding_windows", "SELECT unnest([date_trunc('day', ts)::TIMESTAMP, date_trunc('day', ts)::TIMESTAMP - INTERVAL 1 DAY]) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("b25_sliding_windows", "SELECT window_start, event_type, count(*) AS n FROM (SELECT unnest([date_trunc('day', ts)::TIMESTAMP, date_trunc('day', ts)::TIMESTAMP - INTERVAL 1 DAY]) AS window_start, event_type FROM events) GROUP BY ALL")
 def b25(t: Tables) -> DataFrame:
     return temporal.group_by_dynamic(t.events, "ts", [F.count("*").alias("n")], "1d", "2d", by=("event_type",)).select("window_start", "event_type", "n")
 

@@ -10,7 +10,7 @@ from lexigrove.operators import bm25, fusion, graph, similarity
 from lexigrove.plans.registry import Tables, query
 
 STOP_SQL = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-TOKENS_SQL = "list_filter(regexp_extract_all(lower(coalesce({}, '')), '[a-z]+|\\p{{Nd}}+'), t -> t NOT IN (" + STOP_SQL + ") AND NOT regexp_full_match(t, '[a-z]'))"
+TOKENS_SQL = "list_filter(regexp_extract_all(lower(coalesce({}, '')), '[a-z]+|\\p{{Nd}}+'), lambda t: t NOT IN (" + STOP_SQL + ") AND NOT regexp_full_match(t, '[a-z]'))"
 
 
 def bm25_sql(corpus: str = "SELECT doc_id AS id, text FROM documents", queries: str = "SELECT item_id AS query_id, text FROM benchmark") -> str:
@@ -59,7 +59,7 @@ def a88(t: Tables) -> DataFrame:
     return bm25.retrieve_one(_index(t), _queries(t, 1), 50)
 
 
-_TOP = "SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scores WHERE score > 0 QUALIFY rank <= {}"
+_TOP = "SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM scores WHERE score > 0 QUALIFY rank <= {}"
 
 
 @query("a88_bm25_batch", f"WITH {bm25_sql()} {_TOP.format(10)}")
@@ -85,7 +85,7 @@ def a85(t: Tables) -> DataFrame:
 @query(
     "a91_irrelevant",
     f"WITH {bm25_sql(queries='SELECT item_id AS query_id, text FROM benchmark WHERE item_id < 5')}, every AS (SELECT q.query_id, c.id, coalesce(s.score, 0.0) AS score FROM queries q CROSS JOIN corpus c LEFT JOIN scores s ON s.query_id = q.query_id AND s.id = c.id) "
-    "SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM every QUALIFY rank <= 5",
+    "SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, id)::INT AS rank FROM every QUALIFY rank <= 5",
 )
 def a91(t: Tables) -> DataFrame:
     return bm25.least_relevant(_index(t), _queries(t, 5), 5)
@@ -94,11 +94,11 @@ def a91(t: Tables) -> DataFrame:
 # ---------------------------------------------------------------------- fusion
 
 _LISTS = f"""WITH {bm25_sql()}, first AS ({_TOP.format(10)}),
-second AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars, id) AS rank FROM (
+second AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars, id)::INT AS rank FROM (
   SELECT s.query_id, s.id, d.n_chars FROM scores s JOIN documents d ON d.doc_id = s.id WHERE s.score > 1) QUALIFY rank <= 10),
 lists AS (SELECT query_id, 0 AS list_no, id, rank FROM first UNION ALL SELECT query_id, 1, id, rank FROM second),
 fused AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, min(list_no * 1000 + rank) AS seen FROM lists GROUP BY query_id, id),
-merged AS (SELECT query_id, id, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, seen, id) AS rank FROM fused QUALIFY rank <= 10)"""
+merged AS (SELECT query_id, id, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, seen, id)::INT AS rank FROM fused QUALIFY rank <= 10)"""
 
 
 def _lists(t: Tables) -> DataFrame:
@@ -118,7 +118,7 @@ def a94(t: Tables) -> DataFrame:
 @query(
     "a95_hybrid_rerank",
     f"{_LISTS}, picks AS (SELECT query_id, id, rank AS pos FROM merged WHERE id % 3 = 0) "
-    "SELECT m.query_id, m.id, row_number() OVER (PARTITION BY m.query_id ORDER BY CASE WHEN n > 3 THEN p.pos END DESC NULLS LAST, m.rank) AS rank FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM merged) m LEFT JOIN picks p USING (query_id, id) QUALIFY rank <= 3",
+    "SELECT * FROM (SELECT m.query_id, m.id, row_number() OVER (PARTITION BY m.query_id ORDER BY CASE WHEN n > 3 THEN p.pos END DESC NULLS LAST, m.rank)::INT AS rank FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM merged) m LEFT JOIN picks p USING (query_id, id)) WHERE rank <= 3",
 )
 def a95(t: Tables) -> DataFrame:
     """The answering model prefers ids divisible by three, worst first."""
@@ -139,7 +139,7 @@ def a92(t: Tables) -> DataFrame:
     return fusion.selected(top, answers.select("query_id", T.selected_ids(F.col("response")).alias("ids")), 3)
 
 
-@query("a101_self_knowledge", f"{_TOP10}, told AS (SELECT t.*, coalesce(l.quality = 1, false) AS drop FROM top t LEFT JOIN labels l ON l.doc_id = t.id), counted AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY drop, rank) AS n FROM told) SELECT query_id, id, n AS rank FROM counted WHERE NOT drop OR n <= 3")
+@query("a101_self_knowledge", f"{_TOP10}, told AS (SELECT t.*, coalesce(l.quality = 1, false) AS drop FROM top t LEFT JOIN labels l ON l.doc_id = t.id), counted AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY drop, rank) AS n FROM told) SELECT query_id, id, n::INT AS rank FROM counted WHERE NOT drop OR n <= 3")
 def a101(t: Tables) -> DataFrame:
     answers = t.labels.select(F.col("doc_id").alias("id"), T.yes_no(F.when(F.col("quality") == 1, "yes, known").otherwise("No.")).alias("answer"))
     return fusion.self_knowledge(bm25.retrieve(_index(t), _queries(t), 10).join(answers, "id", "left"), 3)
@@ -155,7 +155,7 @@ def a102(t: Tables) -> DataFrame:
     "a104_localize",
     f"{_TOP10}, sized AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM top), picks AS (SELECT query_id, id, rank, CASE WHEN query_id % 2 = 0 THEN CASE rank WHEN 4 THEN 0 WHEN 2 THEN 1 END END AS pos FROM top), "
     "used AS (SELECT s.query_id, s.id, s.rank, s.n, p.pos, max(p.pos IS NOT NULL) OVER (PARTITION BY s.query_id) AS hit FROM sized s JOIN picks p USING (query_id, id)) "
-    "SELECT query_id, id::VARCHAR AS id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n > 3 THEN pos END NULLS LAST, rank) AS rank, n > 3 AND NOT hit AS fell_back FROM used WHERE n <= 3 OR NOT hit OR pos IS NOT NULL QUALIFY rank <= 3",
+    "SELECT * FROM (SELECT query_id, id::VARCHAR AS id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n > 3 THEN pos END NULLS LAST, rank)::INT AS rank, n > 3 AND NOT hit AS fell_back FROM used WHERE n <= 3 OR NOT hit OR pos IS NOT NULL) WHERE rank <= 3",
 )
 def a104(t: Tables) -> DataFrame:
     """Even queries answer with the places #4 and #2, odd ones with nothing that is known."""
@@ -192,7 +192,7 @@ seeds AS ({_TOP.format(3)}), s AS (SELECT s.query_id, s.rank, s.id AS seed, n.cl
 hits AS (
   SELECT query_id, o.id, s.rank AS seed_rank, 'same_class' AS relation, 0 AS prio, 0 AS call_pos FROM s JOIN nodes o ON o.class = CASE WHEN t = 'class' THEN f ELSE c END
   UNION ALL SELECT query_id, o.id, s.rank, 'calls', 1, c.pos FROM s JOIN calls c ON c.id = s.seed JOIN nodes o ON o.name = c.callee),
-near AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY seed_rank, prio, call_pos) AS n FROM hits WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM seeds) QUALIFY n = 1)"""
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY seed_rank, prio, call_pos)::INT AS n FROM hits WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM seeds) QUALIFY n = 1)"""
 
 
 @query("a97_expand", f"{_NEAR} SELECT query_id, id, relation, seed_rank FROM near")
@@ -211,10 +211,10 @@ def a99(t: Tables) -> DataFrame:
 
 @query(
     "a98_graph_expanded",
-    f"""{_NEAR}, placed AS (SELECT e.query_id, e.id, row_number() OVER (PARTITION BY e.query_id ORDER BY CASE relation WHEN 'same_class' THEN 1 ELSE 2 END, coalesce(score, 0) DESC, seed_rank, prio, call_pos, e.id) AS place
+    f"""{_NEAR}, placed AS (SELECT e.query_id, e.id, row_number() OVER (PARTITION BY e.query_id ORDER BY CASE relation WHEN 'same_class' THEN 1 ELSE 2 END, coalesce(score, 0) DESC, seed_rank, prio, call_pos, e.id)::INT AS place
   FROM near e LEFT JOIN scores c ON c.query_id = e.query_id AND c.id = e.id QUALIFY place <= 40),
 every AS (SELECT query_id, id, 0 AS layer, rank AS place FROM seeds UNION ALL SELECT query_id, id, 1, place FROM placed)
-SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY layer, place) AS rank FROM every WHERE id NOT IN (SELECT id FROM nodes WHERE type = 'class') QUALIFY rank <= 20""",
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY layer, place)::INT AS rank FROM every WHERE id NOT IN (SELECT id FROM nodes WHERE type = 'class') QUALIFY rank <= 20""",
 )
 def a98(t: Tables) -> DataFrame:
     nodes, calls, index, queries = _graph(t)
@@ -224,11 +224,11 @@ def a98(t: Tables) -> DataFrame:
 
 # ------------------------------------------------------------------ similarity
 
-_GRAMS = "CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) ELSE list_distinct(w) END"
+_GRAMS = "CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) ELSE list_distinct(w) END"
 
 
 def _grams(rel: str, key: str) -> str:
-    return f"SELECT {key}, {_GRAMS} AS g FROM (SELECT {key}, list_filter(regexp_split_to_array(lower(text), '\\s+'), x -> x <> '') AS w FROM {rel})"
+    return f"SELECT {key}, {_GRAMS} AS g FROM (SELECT {key}, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM {rel})"
 
 
 @query(
@@ -245,7 +245,7 @@ def a62(t: Tables) -> DataFrame:
 @query(
     "a64_token_jaccard",
     """WITH names AS (SELECT DISTINCT trim(regexp_replace(regexp_replace(lower(p_type || ' ' || p_name), '[^a-z0-9_]', '_', 'g'), '_+', '_', 'g'), '_') AS name FROM part),
-toks AS (SELECT name, list_distinct(list_filter(string_split(name, '_'), x -> length(x) >= 3)) AS w FROM names), u AS (SELECT name, len(w) AS n, unnest(w) AS x FROM toks)
+toks AS (SELECT name, list_distinct(list_filter(string_split(name, '_'), lambda x: length(x) >= 3)) AS w FROM names), u AS (SELECT name, len(w) AS n, unnest(w) AS x FROM toks)
 SELECT a.name AS a, b.name AS b, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 6) AS jaccard FROM u a JOIN u b ON a.x = b.x AND a.name < b.name GROUP BY ALL
 HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.3""",
 )

@@ -151,7 +151,7 @@ def a47_sources(t: Tables) -> DataFrame:
     return t.documents.groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("a50_rebuild_children", f"WITH {_TREE} SELECT p.id, array_to_string(list_sort(list_distinct(list_filter(list(c.id) || ['n0'], x -> x IS NOT NULL))), ',') AS children FROM tree p LEFT JOIN tree c ON c.parent_id = p.id WHERE NOT p.id LIKE 'c%' GROUP BY p.id")
+@query("a50_rebuild_children", f"WITH {_TREE} SELECT p.id, array_to_string(list_sort(list_distinct(list_filter(list(c.id) || ['n0'], lambda x: x IS NOT NULL))), ',') AS children FROM tree p LEFT JOIN tree c ON c.parent_id = p.id WHERE NOT p.id LIKE 'c%' GROUP BY p.id")
 def a50(t: Tables) -> DataFrame:
     rows = tree(t)
     listed = rows.filter("not id like 'c%'").select("id", F.array(F.lit("n0")).alias("children"))
@@ -166,7 +166,7 @@ def a52(t: Tables) -> DataFrame:
     return graph.tree_lines(tree(t), 3).orderBy("path").select("id", "line")
 
 
-@query("a66_whitelist", "SELECT doc_id, array_to_string(list_filter(w, x -> x IN ('the', 'and', 'der', 'les')), ' ') AS kept, len(list_distinct(list_filter(w, x -> x NOT IN ('the', 'and', 'der', 'les'))))::INT AS n_rejected FROM (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents)")
+@query("a66_whitelist", "SELECT doc_id, array_to_string(list_filter(w, lambda x: x IN ('the', 'and', 'der', 'les')), ' ') AS kept, len(list_distinct(list_filter(w, lambda x: x NOT IN ('the', 'and', 'der', 'les'))))::INT AS n_rejected FROM (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents)")
 def a66(t: Tables) -> DataFrame:
     words = t.documents.select("doc_id", F.split(F.lower("text"), r"\Q \E", -1).alias("w"))
     kept, rejected = graph.whitelist(F.col("w"), F.array(*map(F.lit, ("the", "and", "der", "les"))), F.lit(""))
