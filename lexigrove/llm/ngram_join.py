@@ -18,15 +18,16 @@ them, and only that one's key goes on, so a key is shuffled at most once a
 batch. Tied pairs are bounded by the summed minima of their group counts and
 then verified on their sets.
 
-Where ties left members of one candidate component apart, all its members are
-points (group counts) of an R-tree: it is searched with the bound "summed
-coordinate minima of the query and a box's upper corner", and survivors are
-verified. Large components are split into blocks, and pairs of blocks are
-tasks of their own.
+Where ties left members of one candidate component apart, the members that
+share a key are points (group counts) of an R-tree: it is searched with the
+bound "summed coordinate minima of the query and a box's upper corner", and
+survivors are verified. Large components are cut by set size and into blocks, and pairs of
+blocks are tasks of their own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -34,10 +35,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import Text, chunks, lowered, materialize, mix, pack, read_table, sequences, unpack
+from lexigrove.llm.common import CHUNK_BYTES, Text, chunks, lowered, materialize, mix, pack, read_table, sequences, unpack
 from lexigrove.llm.components import components
 
 #: Coordinates of a count vector.
@@ -215,16 +216,32 @@ def tree_links(ids: list[int], roots: list[int], sets: list[np.ndarray], side: l
 
     vectors = np.stack([count_vector(s) for s in sets])
     sizes = np.array([len(s) for s in sets])
-    tree = CountTree(vectors, sizes)
-    out = []
-    for i in range(len(ids)):
-        if side[i]:
-            continue
-        for j in tree.search(vectors[i], int(sizes[i]), t):
-            a, b = find(roots[i]), find(roots[j])
-            if a != b and t.linked(common_size(sets[i], sets[j]), int(sizes[i]), int(sizes[j])):
-                parent[max(a, b)] = min(a, b)
-                out.append((ids[i], ids[j]))
+    key, owner = keys_of(sets, t)
+    order = np.argsort(key, kind="stable")
+    key, owner = key[order], owner[order]
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    _, part = np.unique(roots, return_inverse=True)
+    known = part[owner]
+    mixed = np.flatnonzero(np.minimum.reduceat(known, head) != np.maximum.reduceat(known, head)) if len(head) else head
+    stop = np.append(head[1:], len(key))
+    out: list[tuple[int, int]] = []
+    tried: set[tuple[int, int]] = set()
+    for g in mixed:
+        # Linked sets share a key, so each key's members are searched on their own.
+        mine = np.unique(owner[head[g] : stop[g]])
+        tree = CountTree(vectors[mine], sizes[mine])
+        for i in mine:
+            if side[i]:
+                continue
+            for j in mine[tree.search(vectors[i], int(sizes[i]), t)]:
+                a, b = find(roots[i]), find(roots[j])
+                pair = (int(min(i, j)), int(max(i, j)))
+                if a == b or pair in tried:
+                    continue
+                tried.add(pair)
+                if t.linked(common_size(sets[i], sets[j]), int(sizes[i]), int(sizes[j])):
+                    parent[max(a, b)] = min(a, b)
+                    out.append((ids[i], ids[j]))
     return out
 
 
@@ -405,7 +422,15 @@ def _packed_texts(docs: DataFrame) -> DataFrame:
 
 def _sets(packed: list[bytes], n: int) -> list[np.ndarray]:
     d = zstandard.ZstdDecompressor()
-    return shingle_sets(Text(pa.array([d.decompress(z) for z in packed], pa.large_binary())), n)
+    out: list[np.ndarray] = []
+    held, size = [], 0
+    for z in packed:
+        held.append(d.decompress(z))
+        size += len(held[-1])
+        if size >= CHUNK_BYTES:
+            out += shingle_sets(Text(pa.array(held, pa.large_binary())), n)
+            held, size = [], 0
+    return out + (shingle_sets(Text(pa.array(held, pa.large_binary())), n) if held else [])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: Threshold) -> DataFrame:
@@ -426,49 +451,62 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: Threshold) -> DataF
 
 
 def _searched(members: DataFrame, texts: DataFrame, n: int, t: Threshold, block: int) -> DataFrame:
-    """Links within unresolved components by R-tree; members: (id, root, k).
+    """Links within unresolved components by R-tree; members: (id, root, k, size).
 
-    A component's largest known part is never compared with itself: its
-    members form blocks of their own (side 1) that meet each block of the rest.
+    A component of up to ``block`` members is one task. A larger one is cut by
+    bands of set size (partners lie in the same band or the next one) and each
+    band into blocks by a hash; tasks are pairs of blocks. Its largest known
+    part is never compared with itself: its members (side 1) meet the blocks of
+    the rest only.
     """
     parts = members.groupBy("k", "root").count()
-    largest = parts.groupBy("k").agg(F.max_by("root", F.struct("count", "root")).alias("big"), F.max("count").alias("n_big"), F.sum("count").alias("n_all"))
-    blocks = lambda c: F.ceil(c / F.lit(float(block))).cast("int")
-    at = members.join(largest, "k").withColumn("side", (F.col("root") == F.col("big")).cast("int"))
-    at = at.withColumn("n_rest", F.greatest(F.lit(1), blocks(F.col("n_all") - F.col("n_big")))).withColumn("n_main", F.greatest(F.lit(1), blocks(F.col("n_big"))))
-    at = at.withColumn("mine", F.pmod(F.xxhash64("id"), F.when(F.col("side") == 1, F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
-    rest = F.sequence(F.lit(0), F.col("n_rest") - 1)
-    main = F.sequence(F.lit(0), F.col("n_main") - 1)
-    as_main = F.transform(rest, lambda r: F.struct(r.alias("i"), (-F.col("mine") - 1).alias("j")))
-    as_rest = F.concat(
-        F.transform(main, lambda m: F.struct(F.col("mine").alias("i"), (-m - 1).alias("j"))),
-        F.transform(rest, lambda r: F.struct(F.least(F.col("mine"), r).alias("i"), F.greatest(F.col("mine"), r).alias("j"))),
-    )
-    dealt = at.select("id", "root", "k", "side", F.explode(F.when(F.col("side") == 1, as_main).otherwise(as_rest)).alias("pair"))
-    # One component without blocks is one task: main and rest together.
-    dealt = dealt.select("id", "root", "side", F.xxhash64("k", "pair.i", "pair.j").alias("task"), "k", "pair.i", "pair.j")
+    largest = parts.groupBy("k").agg(F.max_by("root", F.struct("count", "root")).alias("big"), F.sum("count").alias("n_all"))
+    at = members.join(largest, "k").withColumn("side", ((F.col("root") == F.col("big")) & (F.col("n_all") > block)).cast("int"))
+    at = at.withColumn("band", F.floor(F.ln(F.greatest(F.col("size"), F.lit(1))) / F.lit(math.log(t.q / t.p))).cast("int"))
+    small = at.filter(F.col("n_all") <= block).select("id", "root", "side", "k", F.lit("all").alias("pair"))
+    large = at.filter(F.col("n_all") > block)
+    count = lambda side: F.ceil(F.sum((F.col("side") == side).cast("long")) / F.lit(float(block))).cast("int")
+    cells = large.groupBy("k", "band").agg(count(0).alias("rest"), count(1).alias("main"))
+    # For each band, the numbers of blocks of the band before, of itself and of the next one.
+    near = cells.select("k", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step"), (F.col("band") - F.col("step")).alias("band"), F.col("rest").alias("n_rest"), F.col("main").alias("n_main"))
+    placed = large.join(cells, ["k", "band"])
+    placed = placed.withColumn("mine", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.when(F.col("side") == 1, F.col("main")).otherwise(F.col("rest")))).cast("int"))
+    placed = placed.drop("rest", "main").join(near, ["k", "band"])
+    upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    other = F.col("band") + F.col("step")
+    name = lambda *x: F.concat_ws("/", *(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
+
+    def both(j: Column) -> Column:
+        me, it = F.struct(F.col("band"), F.col("mine").alias("block")), F.struct(other.alias("band"), j.alias("block"))
+        first, second = F.least(me, it), F.greatest(me, it)
+        return name("rest", first["band"], first["block"], second["band"], second["block"])
+
+    of_rest = F.concat(F.transform(upto("n_rest"), both), F.transform(upto("n_main"), lambda j: name("main", F.col("band"), F.col("mine"), other, j)))
+    of_main = F.transform(upto("n_rest"), lambda i: name("main", other, i, F.col("band"), F.col("mine")))
+    dealt = placed.select("id", "root", "side", "k", F.explode(F.when(F.col("side") == 1, of_main).otherwise(of_rest)).alias("pair"))
+    dealt = small.unionByName(dealt).withColumn("task", F.xxhash64("k", "pair"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def found() -> Iterator[pa.RecordBatch]:
-            if len({r[4] for r in held}) > 1:
-                sets = _sets([r[6] for r in held], n)
+            if len({r[3] for r in held}) > 1 and not all(r[4] for r in held):
+                sets = _sets([r[5] for r in held], n)
                 full = [i for i in range(len(held)) if len(sets[i])]
                 if full:
-                    out = tree_links([held[i][3] for i in full], [held[i][4] for i in full], [sets[i] for i in full], [held[i][5] for i in full], t)
+                    out = tree_links([held[i][2] for i in full], [held[i][3] for i in full], [sets[i] for i in full], [held[i][4] for i in full], t)
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
             held.clear()
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if held and held[0][:3] != row[:3]:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if held and held[0][:2] != row[:2]:
                     yield from found()
                 held.append(row)
         yield from found()
 
-    rows = dealt.join(texts, "id").repartition("task").sortWithinPartitions("k", "i", "j").select("k", "i", "j", "id", "root", "side", "z")
+    rows = dealt.join(texts, "id").repartition("task").sortWithinPartitions("k", "pair").select("k", "pair", "id", "root", "side", "z")
     return rows.mapInArrow(run, "a long, b long")
 
 
@@ -503,6 +541,8 @@ def link_components(docs: DataFrame, n: int = 5, p: int = 4, q: int = 5, batch_b
         groups = components(apart).select(F.col("id").alias("root"), F.col("root").alias("k"))
         singles = groups.select(F.col("root").alias("id"), "root")
         members = materialize(found.unionByName(singles).distinct().join(groups, "root").select("id", "root", "k"))
+        size = sizes.groupBy(F.col("doc_id").alias("id")).agg(F.max("n_shingles").alias("size"))
+        members = materialize(members.join(size.hint("merge"), "id"))
         extra = materialize(_searched(members, texts.join(members.select("id").hint("merge"), "id", "left_semi"), n, t, block))
         found = components(reduce(DataFrame.unionByName, [good.select("a", "b"), extra]))
     return found, sizes
