@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 #: Bytes of text that are handled in one numpy pass (a longer text is one pass).
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 #: Word pattern shared by all operators: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

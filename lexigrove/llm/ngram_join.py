@@ -44,8 +44,11 @@ from lexigrove.llm.components import components
 #: Coordinates of a count vector.
 DIMENSIONS = 64
 #: Text bytes that are dealt together, and members of a block of a large component.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 4_000_000
 BLOCK = 2_000
+#: Shingles whose keys are made in one pass, and those that count as one more member of a block.
+SLICE = 300_000
+HEAVY = 1_000
 
 
 @dataclass(frozen=True)
@@ -216,7 +219,10 @@ def tree_links(ids: list[int], roots: list[int], sets: list[np.ndarray], side: l
 
     vectors = np.stack([count_vector(s) for s in sets])
     sizes = np.array([len(s) for s in sets])
-    key, owner = keys_of(sets, t)
+    # Keys of a slice at a time: their working arrays are several times the sets.
+    slices = np.searchsorted(np.cumsum(sizes), np.arange(SLICE, int(sizes.sum()), SLICE))
+    made = [(k, o + int(at[0])) for at in np.split(np.arange(len(sets)), np.unique(slices)) if len(at) for k, o in [keys_of([sets[i] for i in at], t)]]
+    key, owner = (np.concatenate(x) for x in zip(*made, strict=True))
     order = np.argsort(key, kind="stable")
     key, owner = key[order], owner[order]
     head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
@@ -453,19 +459,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: Threshold) -> DataF
 def _searched(members: DataFrame, texts: DataFrame, n: int, t: Threshold, block: int) -> DataFrame:
     """Links within unresolved components by R-tree; members: (id, root, k, size).
 
-    A component of up to ``block`` members is one task. A larger one is cut by
+    A component of up to ``block`` members (large sets count for several) is
+    one task. A larger one is cut by
     bands of set size (partners lie in the same band or the next one) and each
     band into blocks by a hash; tasks are pairs of blocks. Its largest known
     part is never compared with itself: its members (side 1) meet the blocks of
     the rest only.
     """
-    parts = members.groupBy("k", "root").count()
-    largest = parts.groupBy("k").agg(F.max_by("root", F.struct("count", "root")).alias("big"), F.sum("count").alias("n_all"))
+    members = members.withColumn("weight", F.greatest(F.lit(1.0), F.col("size") / HEAVY))
+    parts = members.groupBy("k", "root").agg(F.count("*").alias("count"), F.sum("weight").alias("weight"))
+    largest = parts.groupBy("k").agg(F.max_by("root", F.struct("count", "root")).alias("big"), F.sum("weight").alias("n_all"))
     at = members.join(largest, "k").withColumn("side", ((F.col("root") == F.col("big")) & (F.col("n_all") > block)).cast("int"))
     at = at.withColumn("band", F.floor(F.ln(F.greatest(F.col("size"), F.lit(1))) / F.lit(math.log(t.q / t.p))).cast("int"))
     small = at.filter(F.col("n_all") <= block).select("id", "root", "side", "k", F.lit("all").alias("pair"))
     large = at.filter(F.col("n_all") > block)
-    count = lambda side: F.ceil(F.sum((F.col("side") == side).cast("long")) / F.lit(float(block))).cast("int")
+    count = lambda side: F.ceil(F.sum(F.when(F.col("side") == side, F.col("weight")).otherwise(0.0)) / F.lit(float(block))).cast("int")
     cells = large.groupBy("k", "band").agg(count(0).alias("rest"), count(1).alias("main"))
     # For each band, the numbers of blocks of the band before, of itself and of the next one.
     near = cells.select("k", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step"), (F.col("band") - F.col("step")).alias("band"), F.col("rest").alias("n_rest"), F.col("main").alias("n_main"))
