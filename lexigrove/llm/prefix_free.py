@@ -137,6 +137,8 @@ def _by_home(kind: int, buckets: int, doc: np.ndarray, *arrays: np.ndarray) -> I
 def _doubled(rank: np.ndarray, reach: int, left: np.ndarray, longest: int) -> np.ndarray:
     """Prefix doubling: ranks of suffixes that end where ``left`` says, from ranks of ``reach`` symbols."""
     n = len(rank)
+    # Ranks from a longer array have gaps; below n, a rank and the one ahead of it make one number.
+    _, rank = np.unique(rank, return_inverse=True)
     while reach < longest:
         ahead = np.zeros(n, np.int64)
         far = np.flatnonzero(left > reach)

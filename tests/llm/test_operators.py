@@ -180,6 +180,18 @@ def test_suffix_order():
     assert got == sorted(map(suffix, pick))
 
 
+def test_suffix_order_of_many_long_entries():
+    """Entries that share passages: more distinct suffixes of phrases than phrases of the parse."""
+    draw = random.Random(11)
+    passage = [" ".join(draw.choice(WORDS) for _ in range(8)) for _ in range(6)]
+    texts = [" ".join(draw.choice(passage) for _ in range(draw.randint(3, 6))).encode() for _ in range(60)]
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in texts])))
+    pick = np.arange(len(data))
+    suffix = lambda p: bytes(data[p : off[np.searchsorted(off, p, "right")]])
+    got = [suffix(p) for p in prefix_free.suffix_order(data, off, pick)]
+    assert got == sorted(got)
+
+
 def test_prefix_free_empty(spark):
     assert prefix_free.remove_repeats(frame(spark, corpus()).limit(0)).count() == 0
 
