@@ -203,20 +203,13 @@ class CountTree:
         return self.order[at]
 
 
-def tree_links(ids: list[int], roots: list[int], sets: list[np.ndarray], side: list[int], t: Threshold) -> list[tuple[int, int]]:
-    """Links that join members known to be apart; pairs of one side (1) are left out.
+def tree_links(ids: list[int], roots: list[int], sets: list[np.ndarray], t: Threshold) -> list[tuple[int, int]]:
+    """Links that join members known to be apart.
 
     Members that are already together, by ``roots`` or by links found here, are
-    not verified again, so the result is a forest.
+    not verified again, so the result is a forest. No pair is searched twice,
+    whatever the number of keys it shares.
     """
-    parent = {r: r for r in roots}
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
     vectors = np.stack([count_vector(s) for s in sets])
     sizes = np.array([len(s) for s in sets])
     # Keys of a slice at a time: their working arrays are several times the sets.
@@ -226,28 +219,36 @@ def tree_links(ids: list[int], roots: list[int], sets: list[np.ndarray], side: l
     order = np.argsort(key, kind="stable")
     key, owner = key[order], owner[order]
     head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    stop = np.append(head[1:], len(key))
     _, part = np.unique(roots, return_inverse=True)
     known = part[owner]
     mixed = np.flatnonzero(np.minimum.reduceat(known, head) != np.maximum.reduceat(known, head)) if len(head) else head
-    stop = np.append(head[1:], len(key))
     out: list[tuple[int, int]] = []
-    tried: set[tuple[int, int]] = set()
+    seen: set[bytes] = set()
+    tried = np.zeros((len(sets), len(sets)), bool)
     for g in mixed:
         # Linked sets share a key, so each key's members are searched on their own.
         mine = np.unique(owner[head[g] : stop[g]])
-        tree = CountTree(vectors[mine], sizes[mine])
-        for i in mine:
-            if side[i]:
+        if mine.tobytes() in seen:
+            continue
+        seen.add(mine.tobytes())
+        now = part[mine]
+        parts, count = np.unique(now, return_counts=True)
+        tree = None
+        # Of two members that are apart, one at least is outside the largest part.
+        for i in mine[now != parts[count.argmax()]]:
+            fresh = mine[(part[mine] != part[i]) & ~tried[i, mine]]
+            if not len(fresh):
                 continue
+            tree = tree or CountTree(vectors[mine], sizes[mine])
             for j in mine[tree.search(vectors[i], int(sizes[i]), t)]:
-                a, b = find(roots[i]), find(roots[j])
-                pair = (int(min(i, j)), int(max(i, j)))
-                if a == b or pair in tried:
+                if part[i] == part[j] or tried[i, j]:
                     continue
-                tried.add(pair)
+                tried[i, j] = tried[j, i] = True
                 if t.linked(common_size(sets[i], sets[j]), int(sizes[i]), int(sizes[j])):
-                    parent[max(a, b)] = min(a, b)
+                    part[part == part[j]] = part[i]
                     out.append((ids[i], ids[j]))
+            tried[i, fresh] = tried[fresh, i] = True
     return out
 
 
@@ -502,7 +503,7 @@ def _searched(members: DataFrame, texts: DataFrame, n: int, t: Threshold, block:
                 sets = _sets([r[5] for r in held], n)
                 full = [i for i in range(len(held)) if len(sets[i])]
                 if full:
-                    out = tree_links([held[i][2] for i in full], [held[i][3] for i in full], [sets[i] for i in full], [held[i][4] for i in full], t)
+                    out = tree_links([held[i][2] for i in full], [held[i][3] for i in full], [sets[i] for i in full], t)
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
             held.clear()
