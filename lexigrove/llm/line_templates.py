@@ -14,9 +14,11 @@ sorted stream, so the outcome does not depend on how rows were dealt. A leaf's
 templates are found through an index of their tokens by position, not by
 comparing all of them.
 
-A document that consists of recurring lines for the most part is a copy of
-others, not a page with boilerplate: it is left whole for document-level
-deduplication.
+Documents that would lose most of their words are compared with each other:
+near copies, as the join stage of the pipeline finds them, count as one
+document, so that copies alone make no line boilerplate. They are left to
+document-level deduplication; all other recurring lines go, whatever share of
+a document they are.
 """
 
 from __future__ import annotations
@@ -31,13 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.llm.common import WORD, chunks, materialize, read_table, record_batches
+from lexigrove.llm.ngram_join import link_components
 
 #: Leading tokens that route a line, below its token count.
 DEPTH = 3
 SIMILAR = 0.8
 #: Documents in which a template occurs before it counts as boilerplate.
 MIN_DOCS = 10
-#: Share of a document's words that may be dropped; above it the document stays whole.
+#: Share of a document's words in recurring lines above which it is compared with others as a possible copy.
 MOST_DROPPED = 0.5
 #: Tokens above which a line is a paragraph that only its exact masked text matches.
 LONG_LINE = 64
@@ -153,13 +156,23 @@ def templates_of(lines: DataFrame) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, pos) of every line whose template occurs in ``min_docs`` documents or more."""
+    """(doc_id, pos, tokens, leaf, template) of every line whose template occurs in ``min_docs`` documents or more."""
     leaves = lines_of(docs, False).select("doc_id", "leaf").distinct().groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf")
     candidates = materialize(lines_of(docs, True).join(leaves, "leaf", "left_semi").select("doc_id", "pos", "leaf", "mask_hash", "mask", "tokens"))
     distinct = candidates.groupBy("leaf", "mask_hash").agg(F.min("mask").alias("mask"))
     placed = candidates.select("doc_id", "pos", "leaf", "mask_hash", "tokens").join(materialize(templates_of(distinct)), ["leaf", "mask_hash"])
     counts = placed.select("doc_id", "leaf", "template").distinct().groupBy("leaf", "template").count().filter(F.col("count") >= min_docs).select("leaf", "template")
-    return placed.join(counts, ["leaf", "template"], "left_semi").select("doc_id", "pos", "tokens")
+    return placed.join(counts, ["leaf", "template"], "left_semi").select("doc_id", "pos", "tokens", "leaf", "template")
+
+
+def copies_of(docs: DataFrame, found: DataFrame, most_dropped: float) -> DataFrame:
+    """(id, root) of near copies among the documents that would lose more than ``most_dropped`` of their words."""
+    lost = found.groupBy("doc_id", "pos").agg(F.max("tokens").alias("tokens")).groupBy("doc_id").agg(F.sum("tokens").alias("drop_words"))
+    words = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.regexp_count("text", F.lit(WORD))).alias("n_words"))
+    ids = lost.join(words, "doc_id").filter(F.col("drop_words") > F.lit(most_dropped) * F.col("n_words")).select("doc_id")
+    # Ids grow with the corpus, so neither side is broadcast, at any size.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("merge"), "doc_id", "left_semi")
+    return link_components(materialize(texts))[0]
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, most_dropped: float = MOST_DROPPED) -> DataFrame:
@@ -167,16 +180,20 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, most_dropped: floa
 
     Lines are split at line feeds; lines without a word are never dropped.
     Null texts stay null and have no lines; null ids are left whole; rows of
-    one id share the positions found for any of them, where the line's token
-    count fits. Other columns pass through (``n_lines`` and ``n_dropped`` are
-    replaced); an empty table stays empty.
+    one id share the positions found for any of them. Other columns pass
+    through (``n_lines`` and ``n_dropped`` are replaced); an empty table stays
+    empty.
     """
-    found = recurring_lines(docs.filter("doc_id is not null"), min_docs)
-    drops = found.groupBy("doc_id").agg(F.collect_set("pos").alias("drop_pos"), F.sum("tokens").alias("drop_words")).withColumnRenamed("doc_id", "drop_id")
+    known = docs.filter("doc_id is not null")
+    found = materialize(recurring_lines(known, min_docs))
+    copies = copies_of(known, found, most_dropped)
+    grouped = found.join(copies.hint("merge"), found["doc_id"] == copies["id"], "left").withColumn("group", F.coalesce("root", "doc_id")).drop("id", "root")
+    counts = grouped.select("leaf", "template", "group").distinct().groupBy("leaf", "template").count().filter(F.col("count") >= min_docs).select("leaf", "template")
+    hits = grouped.join(counts, ["leaf", "template"], "left_semi")
+    drops = hits.groupBy("doc_id").agg(F.collect_set("pos").alias("drop_pos")).withColumnRenamed("doc_id", "drop_id")
     kept = docs.drop("n_lines", "n_dropped")
     joined = kept.join(drops, kept["doc_id"].cast("long") == drops["drop_id"], "left")
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
-    apply = F.coalesce(F.col("drop_words") <= F.lit(most_dropped) * words, F.lit(False))
+    apply = F.col("drop_pos").isNotNull()
     split = F.split("text", "\n", -1)
     left = F.filter(split, lambda x, i: ~F.array_contains("drop_pos", i))
     return joined.select(
@@ -217,12 +234,19 @@ def brute_force(rows: list[tuple[int, str | None]], min_docs: int = MIN_DOCS, mo
     for doc, m in masks.items():
         for t in m.values():
             docs_of[place[t]].add(doc)
+    texts = {doc: word.findall((text or "").lower()) for doc, text in rows}
+    over = [d for d, m in masks.items() if sum(len(t) for t in m.values() if len(docs_of[place[t]]) >= min_docs) > most_dropped * len(texts[d])]
+    shingles = {d: {tuple(texts[d][k : k + 5]) for k in range(max(1, len(texts[d]) - 4))} for d in over}
+    group = {d: d for d in masks}
+    for a in over:
+        for b in over:
+            if a < b and 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b]):
+                low, high = sorted((group[a], group[b]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    groups_of = {p: {group[d] for d in ds} for p, ds in docs_of.items()}
     out = {}
     for doc, text in rows:
-        drop = {p for p, t in masks[doc].items() if len(docs_of[place[t]]) >= min_docs}
-        words = len(word.findall(text or ""))
-        if sum(len(masks[doc][p]) for p in drop) > most_dropped * words:
-            drop = set()
+        drop = {p for p, t in masks[doc].items() if len(groups_of[place[t]]) >= min_docs}
         lines = [] if text is None else text.split("\n")
         out[doc] = (len(lines), len(drop), None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in drop))
     return out
