@@ -42,8 +42,6 @@ SIMILAR = 0.8
 MIN_DOCS = 10
 #: Share of a document's words in recurring lines above which it is compared with others as a possible copy.
 MOST_DROPPED = 0.5
-#: Tokens above which a line is a paragraph that only its exact masked text matches.
-LONG_LINE = 64
 
 _VARIABLE = re.compile(rb"[^ ]*[0-9][^ ]*")
 _LINES = "doc_id long, pos int, tokens int, leaf long, mask_hash long"
@@ -58,9 +56,7 @@ def masked(line: bytes) -> bytes:
 
 
 def _leaf_key(mask: bytes, tokens: int) -> bytes:
-    """What routes a line; a line above the length limit has a leaf of its own text."""
-    if tokens > LONG_LINE:
-        return mask
+    """What routes a line, at any length: its token count and leading tokens."""
     return b"%d " % tokens + b" ".join(mask.split(b" ", DEPTH)[:DEPTH])
 
 
@@ -109,15 +105,14 @@ class Leaf:
         """Join the most similar template (the earliest of equals) or found one."""
         n = len(tokens)
         shared: Counter[int] = Counter()
-        if n <= LONG_LINE:
-            # A template that shares the least number of tokens also shares one of
-            # any (n - least + 1) positions: candidates come from the rarest entries.
-            least = max(1, -(-int(n * self.similar * 1000) // 1000))
-            slots = sorted(((len(self.index.get((i, w), ())), i) for i, w in enumerate(tokens)))[: n - least + 1]
-            for t in {t for _, i in slots for t in self.index.get((i, tokens[i]), ())}:
-                same = sum(a == b for a, b in zip(self.templates[t], tokens, strict=True))
-                if same >= self.similar * n:
-                    shared[t] = same
+        # A template that shares the least number of tokens also shares one of
+        # any (n - least + 1) positions: candidates come from the rarest entries.
+        least = max(1, -(-int(n * self.similar * 1000) // 1000))
+        slots = sorted(((len(self.index.get((i, w), ())), i) for i, w in enumerate(tokens)))[: n - least + 1]
+        for t in {t for _, i in slots for t in self.index.get((i, tokens[i]), ())}:
+            same = sum(a == b for a, b in zip(self.templates[t], tokens, strict=True))
+            if same >= self.similar * n:
+                shared[t] = same
         if shared:
             best = max(shared.items(), key=lambda x: (x[1], -x[0]))[0]
             template = self.templates[best]
@@ -227,7 +222,7 @@ def brute_force(rows: list[tuple[int, str | None]], min_docs: int = MIN_DOCS, mo
                 masks[doc][pos] = tokens
     leaves: dict[tuple, Leaf] = defaultdict(Leaf)
     place = {}
-    key = lambda t: (len(t), t if len(t) > LONG_LINE else t[:DEPTH])
+    key = lambda t: (len(t), t[:DEPTH])
     for tokens in sorted({t for m in masks.values() for t in m.values()}, key=lambda t: " ".join(t).encode()):
         place[tokens] = (key(tokens), leaves[key(tokens)].add(list(tokens)))
     docs_of: dict[tuple, set[int]] = defaultdict(set)

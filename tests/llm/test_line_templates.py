@@ -26,3 +26,16 @@ def test_documents_of_recurring_lines(spark):
     got = dropped(spark, rows)
     assert all(got[i][1] == 2 for i in range(12))
     assert all(got[100 + i][2] == copy.rsplit("\n", 1)[0] for i in range(12))
+
+
+def test_long_lines_with_a_changed_word(spark):
+    """A passage of 70 words with another name each time is found as one of 60 words is."""
+    draw = random.Random(2)
+    rows = []
+    for n, first in ((60, 0), (70, 100)):
+        passage = words(draw, n).split(" ")
+        for i in range(12):
+            passage[20] = words(draw, 1)
+            rows.append((first + i, "\n".join([" ".join(passage), *(words(draw, 15) for _ in range(6))])))
+    got = dropped(spark, rows)
+    assert all(r[1] == 1 for r in got.values())
