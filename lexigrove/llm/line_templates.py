@@ -18,7 +18,8 @@ Documents that would lose most of their words are compared with each other:
 near copies, as the join stage of the pipeline finds them, count as one
 document, so that copies alone make no line boilerplate. They are left to
 document-level deduplication; all other recurring lines go, whatever share of
-a document they are.
+a document they are. A passage of over ``LONG_WORDS`` tokens that stands in
+several documents, but in too few to be boilerplate, stays in the first of them.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.llm.common import WORD, chunks, materialize, read_table, record_batches
@@ -40,6 +41,8 @@ DEPTH = 3
 SIMILAR = 0.8
 #: Documents in which a template occurs before it counts as boilerplate.
 MIN_DOCS = 10
+#: Tokens above which a line does not recur by chance, and the documents that are enough for it.
+LONG_WORDS, LONG_DOCS = 50, 2
 #: Share of a document's words in recurring lines above which it is compared with others as a possible copy.
 MOST_DROPPED = 0.5
 
@@ -150,21 +153,29 @@ def templates_of(lines: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, _OUT)
 
 
+def _enough(docs: str, min_docs: int, tokens: str = "tokens") -> Column:
+    """So many documents make a line of so many tokens recurring."""
+    return F.col(docs) >= F.when(F.col(tokens) > LONG_WORDS, min(LONG_DOCS, min_docs)).otherwise(min_docs)
+
+
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, pos, tokens, leaf, template) of every line whose template occurs in ``min_docs`` documents or more."""
-    leaves = lines_of(docs, False).select("doc_id", "leaf").distinct().groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf")
+    """(doc_id, pos, tokens, leaf, template, docs) of every line whose template occurs in enough documents: :func:`_enough`."""
+    leaves = lines_of(docs, False).select("doc_id", "leaf", "tokens").distinct().groupBy("leaf").agg(F.count_distinct("doc_id").alias("docs"), F.max("tokens").alias("tokens"))
+    leaves = leaves.filter(_enough("docs", min_docs)).select("leaf")
     candidates = materialize(lines_of(docs, True).join(leaves, "leaf", "left_semi").select("doc_id", "pos", "leaf", "mask_hash", "mask", "tokens"))
     distinct = candidates.groupBy("leaf", "mask_hash").agg(F.min("mask").alias("mask"))
     placed = candidates.select("doc_id", "pos", "leaf", "mask_hash", "tokens").join(materialize(templates_of(distinct)), ["leaf", "mask_hash"])
-    counts = placed.select("doc_id", "leaf", "template").distinct().groupBy("leaf", "template").count().filter(F.col("count") >= min_docs).select("leaf", "template")
-    return placed.join(counts, ["leaf", "template"], "left_semi").select("doc_id", "pos", "tokens", "leaf", "template")
+    counts = placed.select("doc_id", "leaf", "template", "tokens").distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.max("tokens").alias("most"))
+    counts = counts.filter(_enough("docs", min_docs, "most")).select("leaf", "template", "docs")
+    return placed.join(counts, ["leaf", "template"]).select("doc_id", "pos", "tokens", "leaf", "template", "docs")
 
 
-def copies_of(docs: DataFrame, found: DataFrame, most_dropped: float) -> DataFrame:
-    """(id, root) of near copies among the documents that would lose more than ``most_dropped`` of their words."""
-    lost = found.groupBy("doc_id", "pos").agg(F.max("tokens").alias("tokens")).groupBy("doc_id").agg(F.sum("tokens").alias("drop_words"))
+def copies_of(docs: DataFrame, found: DataFrame, min_docs: int, most_dropped: float) -> DataFrame:
+    """(id, root) of near copies among the documents that would lose more than ``most_dropped`` of their words or a passage that few documents have."""
+    lost = found.groupBy("doc_id", "pos").agg(F.max("tokens").alias("tokens"), F.min("docs").alias("docs"))
+    lost = lost.groupBy("doc_id").agg(F.sum("tokens").alias("drop_words"), F.min("docs").alias("docs"))
     words = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.regexp_count("text", F.lit(WORD))).alias("n_words"))
-    ids = lost.join(words, "doc_id").filter(F.col("drop_words") > F.lit(most_dropped) * F.col("n_words")).select("doc_id")
+    ids = lost.join(words, "doc_id").filter((F.col("docs") < min_docs) | (F.col("drop_words") > F.lit(most_dropped) * F.col("n_words"))).select("doc_id")
     # Ids grow with the corpus, so neither side is broadcast, at any size.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("merge"), "doc_id", "left_semi")
     return link_components(materialize(texts))[0]
@@ -181,10 +192,11 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, most_dropped: floa
     """
     known = docs.filter("doc_id is not null")
     found = materialize(recurring_lines(known, min_docs))
-    copies = copies_of(known, found, most_dropped)
+    copies = copies_of(known, found, min_docs, most_dropped)
     grouped = found.join(copies.hint("merge"), found["doc_id"] == copies["id"], "left").withColumn("group", F.coalesce("root", "doc_id")).drop("id", "root")
-    counts = grouped.select("leaf", "template", "group").distinct().groupBy("leaf", "template").count().filter(F.col("count") >= min_docs).select("leaf", "template")
-    hits = grouped.join(counts, ["leaf", "template"], "left_semi")
+    counts = grouped.select("leaf", "template", "tokens", "group").distinct().groupBy("leaf", "template")
+    counts = counts.agg(F.count("*").alias("groups"), F.max("tokens").alias("most"), F.min("group").alias("first")).filter(_enough("groups", min_docs, "most")).drop("most")
+    hits = grouped.join(counts, ["leaf", "template"]).filter((F.col("groups") >= min_docs) | (F.col("group") != F.col("first")))
     drops = hits.groupBy("doc_id").agg(F.collect_set("pos").alias("drop_pos")).withColumnRenamed("doc_id", "drop_id")
     kept = docs.drop("n_lines", "n_dropped")
     joined = kept.join(drops, kept["doc_id"].cast("long") == drops["drop_id"], "left")
@@ -230,7 +242,9 @@ def brute_force(rows: list[tuple[int, str | None]], min_docs: int = MIN_DOCS, mo
         for t in m.values():
             docs_of[place[t]].add(doc)
     texts = {doc: word.findall((text or "").lower()) for doc, text in rows}
-    over = [d for d, m in masks.items() if sum(len(t) for t in m.values() if len(docs_of[place[t]]) >= min_docs) > most_dropped * len(texts[d])]
+    enough = lambda n, t: n >= (min(LONG_DOCS, min_docs) if len(t) > LONG_WORDS else min_docs)
+    recur = {d: [(len(docs_of[place[t]]), len(t)) for t in m.values() if enough(len(docs_of[place[t]]), t)] for d, m in masks.items()}
+    over = [d for d, r in recur.items() if sum(n for _, n in r) > most_dropped * len(texts[d]) or any(k < min_docs for k, _ in r)]
     shingles = {d: {tuple(texts[d][k : k + 5]) for k in range(max(1, len(texts[d]) - 4))} for d in over}
     group = {d: d for d in masks}
     for a in over:
@@ -241,7 +255,8 @@ def brute_force(rows: list[tuple[int, str | None]], min_docs: int = MIN_DOCS, mo
     groups_of = {p: {group[d] for d in ds} for p, ds in docs_of.items()}
     out = {}
     for doc, text in rows:
-        drop = {p for p, t in masks[doc].items() if len(groups_of[place[t]]) >= min_docs}
+        near = {p: groups_of[place[t]] for p, t in masks[doc].items() if enough(len(groups_of[place[t]]), t)}
+        drop = {p for p, g in near.items() if len(g) >= min_docs or group[doc] != min(g)}
         lines = [] if text is None else text.split("\n")
         out[doc] = (len(lines), len(drop), None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in drop))
     return out

@@ -39,3 +39,15 @@ def test_long_lines_with_a_changed_word(spark):
             rows.append((first + i, "\n".join([" ".join(passage), *(words(draw, 15) for _ in range(6))])))
     got = dropped(spark, rows)
     assert all(r[1] == 1 for r in got.values())
+
+
+def test_passages_in_few_documents(spark):
+    """A passage of 55 words in three documents stays in the first alone; of 45 words, or in copies, it stays in all."""
+    draw = random.Random(3)
+    rows = []
+    for n, first in ((55, 0), (45, 100)):
+        passage = words(draw, n)
+        rows += [(first + i, "\n".join([words(draw, 80), passage])) for i in range(3)]
+    rows += [(200 + i, copy) for copy in ["\n".join([words(draw, 60), words(draw, 20)])] for i in range(3)]
+    got = dropped(spark, rows)
+    assert {i for i, r in got.items() if r[1]} == {1, 2} and got[1][2] == rows[1][1].split("\n")[0]
