@@ -45,11 +45,16 @@ terms AS (SELECT i, m, net, lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) -
 SELECT any_value(m) AS m, any_value(net) AS net, least(1.0, round(sum(CASE WHEN abs(2 * i - m) >= abs(net) THEN exp(l) ELSE 0 END), 6)) AS p_value FROM terms""",
 )
 def a143(t: Tables) -> DataFrame:
-    """The condition compared is a subset by design: one fold of twenty."""
+    """One fold of twenty, as its SQL has it; all pairs are in a143_sign_flip_all."""
     pairs = E.paired(records(t).filter("sample_id % 20 = 0"), "base", "rag")
     return E.sign_flip(pairs).withColumn("p_value", F.round("p_value", 6))
 
 
+@query("a143_sign_flip_all")
+def a143_all(t: Tables) -> DataFrame:
+    return E.sign_flip(E.paired(records(t), "base", "rag")).withColumn("p_value", F.round("p_value", 6))
+
+
 _RUNS = """runs AS (SELECT o_custkey AS sample_id, o_orderpriority AS condition, o_orderstatus = 'F' AS is_correct, CASE WHEN o_totalprice > 300000 THEN 'inside_truncated' ELSE 'ok' END AS status,
   trunc(o_totalprice / 10)::BIGINT AS token_count, CAST(o_orderkey % 7 AS VARCHAR) AS pred_answer, o_orderkey FROM orders),
 last AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY sample_id, condition ORDER BY o_orderkey DESC) = 1)"""
