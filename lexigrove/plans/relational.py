@@ -80,6 +80,13 @@ def b49(t: Tables) -> DataFrame:
     return demo_database(t.spark, t.nation.filter("n_nationkey < 10").selectExpr("n_nationkey AS id", "n_name AS name"))
 
 
+@query("b49_read_database_all")
+def b49_all(t: Tables) -> DataFrame:
+    from lexigrove.sources.database import demo_database
+
+    return demo_database(t.spark, t.nation.selectExpr("n_nationkey AS id", "n_name AS name"))
+
+
 # ----------------------------------------------------------------- expressions
 
 

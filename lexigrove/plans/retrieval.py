@@ -54,6 +54,11 @@ def a87(t: Tables) -> DataFrame:
     return bm25.scores(_index(t), _queries(t, 3))
 
 
+@query("a87_bm25_scores_all")
+def a87_all(t: Tables) -> DataFrame:
+    return bm25.scores(_index(t), _queries(t))
+
+
 @query("a88_bm25_topk", f"WITH {bm25_sql(queries='SELECT item_id AS query_id, text FROM benchmark WHERE item_id = 0')} SELECT query_id, id, score FROM scores WHERE score > 0 ORDER BY score DESC, id LIMIT 50")
 def a88(t: Tables) -> DataFrame:
     return bm25.retrieve_one(_index(t), _queries(t, 1), 50)
@@ -91,6 +96,11 @@ def a91(t: Tables) -> DataFrame:
     return bm25.least_relevant(_index(t), _queries(t, 5), 5)
 
 
+@query("a91_irrelevant_all")
+def a91_all(t: Tables) -> DataFrame:
+    return bm25.least_relevant(_index(t), _queries(t), 5)
+
+
 # ---------------------------------------------------------------------- fusion
 
 _LISTS = f"""WITH {bm25_sql()}, first AS ({_TOP.format(10)}),
@@ -179,11 +189,12 @@ calls AS (SELECT DISTINCT l_partkey AS id, 'f' || (l_suppkey % 500) AS callee, l
 _GRAPH_QUERIES = "SELECT p_partkey AS query_id, p_name || ' ' || p_type AS text FROM part WHERE p_partkey < 5"
 
 
-def _graph(t: Tables) -> tuple[DataFrame, DataFrame, bm25.Index, DataFrame]:
+def _graph(t: Tables, below: int | None = 5) -> tuple[DataFrame, DataFrame, bm25.Index, DataFrame]:
     name = F.concat(F.lit("f"), (F.col("p_partkey") % 500).cast("string"))
     nodes = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("class"), name.alias("name"), F.when(F.col("p_partkey") % 97 == 0, "class").otherwise("method").alias("type"), F.col("p_partkey").alias("pos"))
     calls = t.lineitem.select(F.col("l_partkey").alias("id"), F.concat(F.lit("f"), (F.col("l_suppkey") % 500).cast("string")).alias("callee"), (F.col("l_suppkey") % 500).alias("pos")).distinct()
-    queries = t.part.filter("p_partkey < 5").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    asked = t.part if below is None else t.part.filter(F.col("p_partkey") < below)
+    queries = asked.select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
     return nodes, calls, bm25.build(t.part, "p_name", "p_partkey"), queries
 
 
@@ -196,14 +207,14 @@ near AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY seed_ra
 
 
 @query("a97_expand", f"{_NEAR} SELECT query_id, id, relation, seed_rank FROM near")
-def a97(t: Tables) -> DataFrame:
-    nodes, calls, index, queries = _graph(t)
+def a97(t: Tables, below: int | None = 5) -> DataFrame:
+    nodes, calls, index, queries = _graph(t, below)
     return graph.expand(bm25.retrieve(index, queries, 3), nodes, calls).select("query_id", "id", "relation", "seed_rank")
 
 
 @query("a99_provenance", f"{_NEAR} SELECT query_id, relation, count(*) AS n FROM near GROUP BY ALL UNION ALL SELECT query_id, 'seed', count(*) FROM seeds GROUP BY ALL")
-def a99(t: Tables) -> DataFrame:
-    nodes, calls, index, queries = _graph(t)
+def a99(t: Tables, below: int | None = 5) -> DataFrame:
+    nodes, calls, index, queries = _graph(t, below)
     seeds = bm25.retrieve(index, queries, 3)
     near = graph.expand(seeds, nodes, calls).groupBy("query_id", "relation").agg(F.count("*").alias("n"))
     return near.unionByName(seeds.groupBy("query_id").agg(F.lit("seed").alias("relation"), F.count("*").alias("n")))
@@ -216,12 +227,18 @@ def a99(t: Tables) -> DataFrame:
 every AS (SELECT query_id, id, 0 AS layer, rank AS place FROM seeds UNION ALL SELECT query_id, id, 1, place FROM placed)
 SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY layer, place)::INT AS rank FROM every WHERE id NOT IN (SELECT id FROM nodes WHERE type = 'class') QUALIFY rank <= 20""",
 )
-def a98(t: Tables) -> DataFrame:
-    nodes, calls, index, queries = _graph(t)
+def a98(t: Tables, below: int | None = 5) -> DataFrame:
+    nodes, calls, index, queries = _graph(t, below)
     scored = bm25.scores(index, queries)
     return graph.graph_expanded(bm25.top_k(scored, 3), nodes, calls, scored, 20).select("query_id", "id", "rank")
 
 
+#: The same with all parts as queries.
+query("a97_expand_all")(lambda t: a97(t, None))
+query("a98_graph_expanded_all")(lambda t: a98(t, None))
+query("a99_provenance_all")(lambda t: a99(t, None))
+
+
 # ------------------------------------------------------------------ similarity
 
 _GRAMS = "CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) ELSE list_distinct(w) END"

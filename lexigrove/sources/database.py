@@ -56,7 +56,7 @@ def read_database(spark: SparkSession, query: str, schema: str, path: str | None
 
 
 def demo_database(spark: SparkSession, users: DataFrame) -> DataFrame:
-    """Ten users at most, put into a database and read back."""
-    quoted = ", ".join("({}, '{}')".format(r["id"], r["name"].replace("'", "''")) for r in users.limit(10).collect())
+    """Users, put into a database and read back."""
+    quoted = ", ".join("({}, '{}')".format(r["id"], r["name"].replace("'", "''")) for r in users.collect())
     script = f"CREATE TABLE users (id INTEGER, name TEXT); INSERT INTO users VALUES {quoted};" if quoted else "CREATE TABLE users (id INTEGER, name TEXT);"
     return read_database(spark, "SELECT id, name FROM users", "id bigint, name string", script=script)

@@ -21,3 +21,16 @@ def test_sign_flip_of_many_pairs(spark):
     """Linear in the pairs: 200,000 of them, two standard deviations from even."""
     row = evaluation.sign_flip(spark.range(200_000).selectExpr("IF(id < 100447, 1, -1) AS delta")).first()
     assert (row["m"], row["net"]) == (200_000, 894) and 0.045 < row["p_value"] < 0.046
+
+
+def test_all_queries_are_answered(spark):
+    """Every item, part and nation has its rows, and the first ones those of the query over a subset."""
+    t, q = registry.Tables(spark, SF), registry.queries()
+    rows = lambda name: {tuple(r) for r in q[name](spark, SF).collect()}
+    items = {r["item_id"] for r in t.benchmark.collect()}
+    parts = {r["p_partkey"] for r in t.part.collect()}
+    for name, asked, below in (("a87_bm25_scores", items, 3), ("a91_irrelevant", items, 5), ("a99_provenance", parts, 5)):
+        every = rows(f"{name}_all")
+        assert {r[0] for r in every} == asked
+        assert {r for r in every if r[0] < below} == rows(name)
+    assert rows("b49_read_database_all") == {(r["n_nationkey"], r["n_name"]) for r in t.nation.collect()}
