@@ -4,8 +4,8 @@ A page becomes a run of text blocks, each with its path of block-level tags
 from the root. Per path, text length and punctuation are summed and divided by
 the number of blocks, which gives two ratios. Both are smoothed over the
 blocks in page order with a Gaussian, fused by their product, and a threshold
-of a standard deviation selects paths. The selected paths that hold most of
-the text name the container of the article; all blocks within it are content,
+of a standard deviation selects paths. An article or main element with most of
+the selected text, or else the deepest path with all of it, is the container of the article; all blocks within it are content,
 however short, unless they stand in an element that is never main text.
 """
 
@@ -29,7 +29,7 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is text, not markup, up to their end tag.
-RAW_TAGS = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math object".split())
+RAW_TAGS = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg".split())
 #: Elements that are never main text.
 OUTSIDE_TAGS = frozenset("head nav footer aside form menu button select option dialog search fieldset noscript".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -65,12 +65,15 @@ def _outside(tag: str, attrs: str, within_article: bool) -> bool:
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in OUTSIDE_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("article", "main", "p", "h1"):
-            if not OUTSIDE_WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
-                return True
     return False
 
 
+def _named_outside(attrs: str) -> bool:
+    """A word of its class or id says that the element is not main text; it may be wrong."""
+    named = (m for m in _ATTR.finditer(attrs) if m[1].lower() in ("class", "id"))
+    return any(not OUTSIDE_WORDS.isdisjoint(re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower())) for m in named)
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
     """(path of block tags, stands outside main text, text) of each block in page order.
 
@@ -78,7 +81,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
     within a block is one space, and blank blocks are left out.
     """
     out: list[tuple[tuple[str, ...], bool, str]] = []
-    stack: list[tuple[str, bool]] = []
+    marks: list[tuple[int, ...]] = []
+    # Tag, never main text, and the numbers of the elements around that their names put outside.
+    stack: list[tuple[str, bool, tuple[int, ...]]] = []
+    n_marks = 0
     held: list[str] = []
 
     def flush() -> None:
@@ -86,7 +92,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
             text = _SPACE.sub(" ", html.unescape("".join(held))).strip(" ")
             held.clear()
             if text:
-                out.append((tuple(t for t, _ in stack), bool(stack) and stack[-1][1], text))
+                out.append((tuple(t for t, _, _ in stack), bool(stack) and stack[-1][1], text))
+                marks.append(stack[-1][2] if stack else ())
 
     at = 0
     while at < len(page):
@@ -135,17 +142,30 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
             if tag == "body":
                 _close(stack, {"head"})
             if tag not in VOID_TAGS:
-                within = any(t in ("article", "main") for t, _ in stack)
-                stack.append((tag, bool(stack) and stack[-1][1] or _outside(tag, attrs, within)))
-        elif tag not in VOID_TAGS and _outside(tag, attrs, True) and not attrs.rstrip().endswith("/"):
+                within = any(t in ("article", "main") for t, _, _ in stack)
+                held_by = stack[-1][2] if stack else ()
+                named = bool(attrs) and tag not in ("html", "body", "p", "h1") and _named_outside(attrs)
+                if tag in ("article", "main"):
+                    held_by = held_by if named else ()
+                elif named and not within:
+                    n_marks += 1
+                    held_by = (*held_by, n_marks)
+                stack.append((tag, bool(stack) and stack[-1][1] or _outside(tag, attrs, within), held_by))
+        elif tag not in VOID_TAGS and (_outside(tag, attrs, True) or _named_outside(attrs)) and not attrs.rstrip().endswith("/"):
             # An inline advert or the like: skip to its end, if it has one.
             end = _matching_end(page, at, tag)
             at = at if end is None else end
     flush()
-    return out
+    # A name does not hold against the element that has most of the text, where no article or main tells more.
+    told = any(not outside and not held_by and not {"article", "main"}.isdisjoint(path) for (path, outside, _), held_by in zip(out, marks, strict=True))
+    chars = Counter()
+    for (_, outside, text), held_by in zip(out, marks, strict=True):
+        if not outside:
+            chars.update(dict.fromkeys((0, *held_by), len(text)))
+    return [(path, outside or any(told or 2 * chars[k] <= chars[0] for k in held_by), text) for (path, outside, text), held_by in zip(out, marks, strict=True)]
 
 
-def _close(stack: list[tuple[str, bool]], tags: set[str]) -> None:
+def _close(stack: list[tuple[str, bool, tuple[int, ...]]], tags: set[str]) -> None:
     """Close the innermost open element of ``tags``, and what is open in it, short of a stop."""
     for k in range(len(stack) - 1, -1, -1):
         if stack[k][0] in tags:
@@ -191,7 +211,7 @@ def path_scores(found: list[tuple[tuple[str, ...], bool, str]]) -> dict[tuple[st
     return {p: s / times[p] for p, s in sums.items()}
 
 
-#: Share of the selected paths' text that the container of the article holds at least.
+#: Share of the selected paths' text that an article or main element holds at least to be the container.
 HELD = 0.85
 
 
@@ -210,7 +230,7 @@ def main_text(page: str | None) -> str:
         if not outside and scores[path] >= threshold:
             weight[path] += len(text)
     total = sum(weight.values())
-    # An article or main element with most of the text is the container; else the deepest path that has it.
+    # An article or main element with most of the text is the container; else the deepest path that has all of it.
     share: dict[tuple[str, ...], int] = defaultdict(int)
     for path, n in weight.items():
         for k in range(len(path) + 1):
@@ -218,7 +238,12 @@ def main_text(page: str | None) -> str:
                 share[path[:k]] += n
     holding = [p for p, n in share.items() if n >= HELD * total]
     named = [p for p in holding if p and p[-1] in ("article", "main")]
-    container = max(named or holding, key=len)
+    container = max(named or [p for p, n in share.items() if n == total], key=len)
+    if not named:
+        # Headings and short blocks beside the selected ones belong to it, where they are little against its text.
+        size = lambda path: sum(len(text) for p, outside, text in found if not outside and p[: len(path)] == path)
+        while len(container) > 1 and container[-2] not in ("html", "body") and size(container) >= HELD * size(container[:-1]):
+            container = container[:-1]
     return "\n".join(text for path, outside, text in found if not outside and path[: len(container)] == container)
 
 
