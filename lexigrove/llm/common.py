@@ -15,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that are handled in one numpy pass (a longer text is one pass).
@@ -65,6 +66,27 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that hold more than this part of all rows are salted; as many at most.
+HOT_KEYS = 1_000
+
+
+def join_salted(big: DataFrame, small: DataFrame, keys: list[str], weight: str, how: str, deal: Column) -> DataFrame:
+    """``big`` joined with ``small``, whose rows are unique by ``keys``.
+
+    ``weight`` is a column of ``small``: about how many rows of ``big`` have the
+    key. Keys with over a thousandth of the total are cut into as many parts as
+    they hold thousandths, dealt by a hash of ``deal``. At most ``HOT_KEYS``
+    keys can be that heavy, so their broadcast is bounded at any size. ``small`` should be
+    a table that is already written: it is read three times.
+    """
+    total = small.agg(F.sum(weight)).first()[0] or 0
+    parts = F.ceil(F.col(weight) * F.lit(float(HOT_KEYS)) / F.lit(float(max(total, 1)))).cast("int")
+    hot = small.filter(parts > 1).select(*keys, parts.alias("__parts"))
+    salted = big.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(deal), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    spread = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return salted.join(spread.hint("merge"), [*keys, "__salt"], how).drop("__salt")
+
+
 def with_fields(df: DataFrame, ddl: str) -> StructType:
     """Schema of ``df`` followed by the fields of ``ddl``."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

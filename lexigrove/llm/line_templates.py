@@ -12,14 +12,16 @@ So leaves are counted first (two hashes a line, combined before the shuffle),
 then the distinct lines of those leaves alone are parsed, each leaf as a
 sorted stream, so the outcome does not depend on how rows were dealt. A leaf's
 templates are found through an index of their tokens by position, not by
-comparing all of them.
-
-Documents that would lose most of their words are compared with each other:
-near copies, as the join stage of the pipeline finds them, count as one
-document, so that copies alone make no line boilerplate. They are left to
-document-level deduplication; all other recurring lines go, whatever share of
-a document they are. A passage of over ``LONG_WORDS`` tokens that stands in
-several documents, but in too few to be boilerplate, stays in the first of them.
+comparing all of them. A leaf with more than ``SLICE`` distinct lines is parsed
+in slices, and their templates are parsed once more as lines are, so no leaf is
+one long task. Joins on leaves and templates salt the keys that hold many rows.
+
+Copies of a document count as one document, so that copies alone make no line
+boilerplate; they are left to document-level deduplication. Copies are told by
+the smallest hashes of five-word shingles (:func:`copies_of`). All other
+recurring lines go, whatever share of a document they are. A passage of over
+``LONG_WORDS`` tokens that stands in several documents, but in too few to be
+boilerplate, stays in the first of them.
 """
 
 from __future__ import annotations
@@ -28,13 +30,15 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import WORD, chunks, materialize, read_table, record_batches
-from lexigrove.llm.ngram_join import link_components
+from lexigrove.llm.common import Text, chunks, join_salted, materialize, read_table, record_batches
+from lexigrove.llm.components import components
+from lexigrove.llm.ngram_join import shingle_sets
 
 #: Leading tokens that route a line, below its token count.
 DEPTH = 3
@@ -43,8 +47,11 @@ SIMILAR = 0.8
 MIN_DOCS = 10
 #: Tokens above which a line does not recur by chance, and the documents that are enough for it.
 LONG_WORDS, LONG_DOCS = 50, 2
-#: Share of a document's words in recurring lines above which it is compared with others as a possible copy.
-MOST_DROPPED = 0.5
+#: Distinct lines of a leaf that are parsed in one stream.
+SLICE = 20_000
+#: Smallest shingle hashes kept of a document, those that look for its copies, and the estimated similarity of copies
+#: (0.8 less about two standard errors of the estimate).
+SKETCH, KEYS, COPIES = 64, 8, 0.7
 
 _VARIABLE = re.compile(rb"[^ ]*[0-9][^ ]*")
 _LINES = "doc_id long, pos int, tokens int, leaf long, mask_hash long"
@@ -131,82 +138,163 @@ class Leaf:
         return t
 
 
-_OUT = "leaf long, mask_hash long, template long"
-_SCHEMA = pa.schema([("leaf", pa.int64()), ("mask_hash", pa.int64()), ("template", pa.int64())])
+_OUT = "leaf long, mask_hash long, slice int, template long, text string"
+_SCHEMA = pa.schema([("leaf", pa.int64()), ("mask_hash", pa.int64()), ("slice", pa.int32()), ("template", pa.int64()), ("text", pa.string())])
 
 
-def templates_of(lines: DataFrame) -> DataFrame:
-    """(leaf, mask) to (leaf, mask_hash, template): parsed leaf by leaf, in the order of the text."""
+def _parsed(lines: DataFrame, similar: float) -> DataFrame:
+    """(leaf, slice, mask, mask_hash) to the template of each line, parsed slice by slice in the order of the text.
+
+    ``text`` is the template as it stands after the slice's last line, given with its first line only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
-            at, leaf = None, Leaf()
+            at, leaf, held = None, Leaf(similar), []
+
+            def parsed() -> Iterator[dict]:
+                seen: set[int] = set()
+                for hashed, t in held:
+                    first = t not in seen
+                    seen.add(t)
+                    yield {"leaf": at[0], "slice": at[1], "mask_hash": hashed, "template": t, "text": " ".join(leaf.templates[t]) if first else None}
+
             for batch in batches:
-                for key, mask, hashed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for *key, mask, hashed in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                     if key != at:
-                        at, leaf = key, Leaf()
-                    yield {"leaf": key, "mask_hash": hashed, "template": leaf.add(mask.split(" "))}
+                        yield from parsed()
+                        at, leaf, held = key, Leaf(similar), []
+                    held.append((hashed, leaf.add(mask.split(" "))))
+            yield from parsed()
 
         return record_batches(rows(), _SCHEMA, 10_000)
 
-    dealt = lines.select("leaf", "mask", "mask_hash").repartition("leaf").sortWithinPartitions("leaf", "mask")
+    dealt = lines.select("leaf", "slice", "mask", "mask_hash").repartition("leaf", "slice").sortWithinPartitions("leaf", "slice", "mask")
     return dealt.mapInArrow(run, _OUT)
 
 
+def templates_of(lines: DataFrame, similar: float = SIMILAR, slice_lines: int = SLICE) -> DataFrame:
+    """(leaf, mask, mask_hash) of distinct lines to (leaf, mask_hash, template)."""
+    sizes = materialize(lines.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > slice_lines))
+    parts = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(slice_lines)).cast("int")
+    sliced = join_salted(lines, sizes, ["leaf"], "n", "left", F.col("mask_hash")).withColumn("slice", F.pmod(F.xxhash64("mask_hash"), parts).cast("int"))
+    first = materialize(_parsed(sliced, similar))
+    ready = first.select("leaf", "mask_hash", "template")
+    if not sizes.limit(1).count():
+        return ready
+    # The templates of the slices of a leaf are parsed together, as lines: the same text is one line.
+    made = first.filter("text is not null").join(sizes.select("leaf"), "leaf", "left_semi").select("leaf", "slice", "template", F.col("text").alias("mask"), F.xxhash64("text").alias("text_hash"))
+    again = made.groupBy("leaf", F.col("text_hash").alias("mask_hash")).agg(F.min("mask").alias("mask")).withColumn("slice", F.lit(0))
+    merged = _parsed(again, similar).select("leaf", F.col("mask_hash").alias("text_hash"), F.col("template").alias("merged"))
+    named = made.join(merged, ["leaf", "text_hash"]).select("leaf", "slice", "template", "merged")
+    # Merged templates get numbers of their own below zero.
+    weight = first.groupBy("leaf", "slice", "template").agg(F.count("*").alias("n"))
+    named = materialize(named.join(weight, ["leaf", "slice", "template"]))
+    out = join_salted(first.select("leaf", "slice", "mask_hash", "template"), named, ["leaf", "slice", "template"], "n", "left", F.col("mask_hash"))
+    return out.select("leaf", "mask_hash", F.when(F.col("merged").isNull(), F.col("template")).otherwise(-1 - F.col("merged")).alias("template"))
+
+
 def _enough(docs: str, min_docs: int, tokens: str = "tokens") -> Column:
     """So many documents make a line of so many tokens recurring."""
     return F.col(docs) >= F.when(F.col(tokens) > LONG_WORDS, min(LONG_DOCS, min_docs)).otherwise(min_docs)
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, slice_lines: int = SLICE) -> DataFrame:
     """(doc_id, pos, tokens, leaf, template, docs) of every line whose template occurs in enough documents: :func:`_enough`."""
-    leaves = lines_of(docs, False).select("doc_id", "leaf", "tokens").distinct().groupBy("leaf").agg(F.count_distinct("doc_id").alias("docs"), F.max("tokens").alias("tokens"))
-    leaves = leaves.filter(_enough("docs", min_docs)).select("leaf")
-    candidates = materialize(lines_of(docs, True).join(leaves, "leaf", "left_semi").select("doc_id", "pos", "leaf", "mask_hash", "mask", "tokens"))
-    distinct = candidates.groupBy("leaf", "mask_hash").agg(F.min("mask").alias("mask"))
-    placed = candidates.select("doc_id", "pos", "leaf", "mask_hash", "tokens").join(materialize(templates_of(distinct)), ["leaf", "mask_hash"])
+    leaves = lines_of(docs, False).select("doc_id", "leaf", "tokens").distinct().groupBy("leaf").agg(F.count("*").alias("docs"), F.max("tokens").alias("tokens"))
+    leaves = materialize(leaves.filter(_enough("docs", min_docs)).select("leaf", "docs"))
+    dealt = F.col("doc_id")
+    candidates = materialize(join_salted(lines_of(docs, True), leaves, ["leaf"], "docs", "inner", dealt).select("doc_id", "pos", "leaf", "mask_hash", "mask", "tokens"))
+    distinct = materialize(candidates.groupBy("leaf", "mask_hash").agg(F.min("mask").alias("mask"), F.count("*").alias("n")))
+    known = templates_of(distinct.drop("n"), slice_lines=slice_lines).join(distinct.select("leaf", "mask_hash", "n"), ["leaf", "mask_hash"])
+    placed = materialize(join_salted(candidates.drop("mask"), materialize(known), ["leaf", "mask_hash"], "n", "inner", dealt).select("doc_id", "pos", "leaf", "template", "tokens"))
     counts = placed.select("doc_id", "leaf", "template", "tokens").distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.max("tokens").alias("most"))
-    counts = counts.filter(_enough("docs", min_docs, "most")).select("leaf", "template", "docs")
-    return placed.join(counts, ["leaf", "template"]).select("doc_id", "pos", "tokens", "leaf", "template", "docs")
+    counts = materialize(counts.filter(_enough("docs", min_docs, "most")).select("leaf", "template", "docs"))
+    return join_salted(placed, counts, ["leaf", "template"], "docs", "inner", dealt).select("doc_id", "pos", "tokens", "leaf", "template", "docs")
 
 
-def copies_of(docs: DataFrame, found: DataFrame, min_docs: int, most_dropped: float) -> DataFrame:
-    """(id, root) of near copies among the documents that would lose more than ``most_dropped`` of their words or a passage that few documents have."""
-    lost = found.groupBy("doc_id", "pos").agg(F.max("tokens").alias("tokens"), F.min("docs").alias("docs"))
-    lost = lost.groupBy("doc_id").agg(F.sum("tokens").alias("drop_words"), F.min("docs").alias("docs"))
-    words = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.regexp_count("text", F.lit(WORD))).alias("n_words"))
-    ids = lost.join(words, "doc_id").filter((F.col("docs") < min_docs) | (F.col("drop_words") > F.lit(most_dropped) * F.col("n_words"))).select("doc_id")
-    # Ids grow with the corpus, so neither side is broadcast, at any size.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("merge"), "doc_id", "left_semi")
-    return link_components(materialize(texts))[0]
+def sketches_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, sketch) of every row: the smallest hashes (31 bits, ascending) of its distinct five-word shingles."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                made = [(s[:SKETCH] >> np.uint64(33)).astype(np.int64) for s in shingle_sets(Text(part.column(1)), 5)]
+                lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in made]))).astype(np.int32), pa.array(np.concatenate(made).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "sketch"])
 
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, most_dropped: float = MOST_DROPPED) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sketch array<int>")
+
+
+def likeness(a: str, b: str) -> Column:
+    """Similarity that two sketches tell: the share of both in the smallest hashes of either."""
+    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
+    return F.size(F.array_intersect(F.array_intersect(union, F.col(a)), F.col(b))) / F.greatest(F.lit(1), F.size(union))
+
+
+def copies_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, root) of the documents among ``ids`` that have copies; the root is the smallest of them.
+
+    Equal sketches are one member first. A member is compared with the most
+    central one that each of a few of its hashes leads to, the one whose hashes
+    most members have: of a document and its edited copies, the document. So
+    the pairs grow with the members, not with the square of a group.
+    """
+    # Ids grow with the corpus, so neither side is broadcast, at any size.
+    sketches = materialize(sketches_of(docs).join(ids.hint("merge"), "doc_id", "left_semi").filter(F.size("sketch") > 0).withColumn("same", F.xxhash64("sketch")))
+    members = materialize(sketches.groupBy("same").agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch"), F.count("*").alias("n")))
+    by_hash = materialize(members.select("id", F.explode(F.slice("sketch", 1, KEYS)).alias("h")))
+    known = materialize(by_hash.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
+    rated = materialize(join_salted(by_hash, known, ["h"], "n", "inner", F.col("id")).select("id", "h", "n"))
+    rank = rated.groupBy("id").agg(F.sum(F.log("n")).alias("central"))
+    rated = rated.join(rank, "id")
+    centre = materialize(rated.groupBy("h").agg(F.max(F.struct("central", (-F.col("id")).alias("low"))).alias("top"), F.count("*").alias("n")).select("h", (-F.col("top.low")).alias("centre"), "n"))
+    led = join_salted(rated.select("id", "h"), centre, ["h"], "n", "inner", F.col("id")).filter("id <> centre")
+    pairs = led.groupBy("id", "centre").agg(F.count("*").alias("votes"))
+    own = members.select("id", F.col("sketch").alias("mine"))
+    pairs = pairs.join(own.hint("merge"), "id").filter(F.col("votes") * 4 >= F.least(F.size("mine"), F.lit(KEYS)))
+    weight = materialize(pairs.groupBy("centre").agg(F.count("*").alias("n")))
+    theirs = materialize(weight.join(members.select(F.col("id").alias("centre"), F.col("sketch").alias("other")), "centre"))
+    edges = join_salted(pairs, theirs, ["centre"], "n", "inner", F.col("id")).filter(likeness("mine", "other") >= COPIES)
+    tied = edges.select(F.col("id").alias("a"), F.col("centre").alias("b"))
+    equal = materialize(members.filter("n > 1").select("same", F.col("id").alias("first"), "n"))
+    copies = join_salted(sketches.select("doc_id", "same"), equal, ["same"], "n", "inner", F.col("doc_id")).filter("doc_id <> first")
+    return components(tied.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))))
+
+
+def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, slice_lines: int = SLICE) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped`` and the text without recurring lines.
 
     Lines are split at line feeds; lines without a word are never dropped.
     Null texts stay null and have no lines; null ids are left whole; rows of
-    one id share the positions found for any of them. Other columns pass
-    through (``n_lines`` and ``n_dropped`` are replaced); an empty table stays
-    empty.
+    one id are one document: a row loses the positions found for any of them
+    that it has. Other columns pass through (``n_lines`` and ``n_dropped`` are
+    replaced); an empty table stays empty.
     """
     known = docs.filter("doc_id is not null")
-    found = materialize(recurring_lines(known, min_docs))
-    copies = copies_of(known, found, min_docs, most_dropped)
+    found = materialize(recurring_lines(known, min_docs, slice_lines))
+    copies = copies_of(known, found.select("doc_id").distinct())
     grouped = found.join(copies.hint("merge"), found["doc_id"] == copies["id"], "left").withColumn("group", F.coalesce("root", "doc_id")).drop("id", "root")
-    counts = grouped.select("leaf", "template", "tokens", "group").distinct().groupBy("leaf", "template")
-    counts = counts.agg(F.count("*").alias("groups"), F.max("tokens").alias("most"), F.min("group").alias("first")).filter(_enough("groups", min_docs, "most")).drop("most")
-    hits = grouped.join(counts, ["leaf", "template"]).filter((F.col("groups") >= min_docs) | (F.col("group") != F.col("first")))
-    drops = hits.groupBy("doc_id").agg(F.collect_set("pos").alias("drop_pos")).withColumnRenamed("doc_id", "drop_id")
+    grouped = materialize(grouped)
+    counts = grouped.select("leaf", "template", "tokens", "group", "docs").distinct().groupBy("leaf", "template")
+    counts = counts.agg(F.count("*").alias("groups"), F.max("tokens").alias("most"), F.min("group").alias("first"), F.max("docs").alias("n"))
+    counts = materialize(counts.filter(_enough("groups", min_docs, "most")).drop("most"))
+    hits = join_salted(grouped.drop("docs"), counts, ["leaf", "template"], "n", "inner", F.col("doc_id"))
+    hits = hits.filter((F.col("groups") >= min_docs) | (F.col("group") != F.col("first")))
+    drops = hits.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("drop_pos")).withColumnRenamed("doc_id", "drop_id")
     kept = docs.drop("n_lines", "n_dropped")
     joined = kept.join(drops, kept["doc_id"].cast("long") == drops["drop_id"], "left")
-    apply = F.col("drop_pos").isNotNull()
     split = F.split("text", "\n", -1)
-    left = F.filter(split, lambda x, i: ~F.array_contains("drop_pos", i))
+    joined = joined.withColumns({"__lines": split, "__gone": F.filter("drop_pos", lambda x: x < F.size(split))})
+    apply = F.size("__gone") > 0
+    # What lies between dropped lines, run by run.
+    edges = F.concat(F.array(F.lit(-1)), F.col("__gone"), F.array(F.size("__lines")))
+    runs = F.transform(F.sequence(F.lit(0), F.size("__gone")), lambda i: F.slice("__lines", F.get(edges, i) + 2, F.get(edges, i + 1) - F.get(edges, i) - 1))
+    left = F.array_join(F.flatten(runs), "\n")
     return joined.select(
-        *[F.when(apply, F.array_join(left, "\n")).otherwise(F.col("text")).alias("text") if c == "text" else kept[c] for c in kept.columns],
-        F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(apply, F.size("drop_pos")).otherwise(0).cast("long").alias("n_dropped"),
+        *[F.when(apply, left).otherwise(F.col("text")).alias("text") if c == "text" else kept[c] for c in kept.columns],
+        F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.when(apply, F.size("__gone")).otherwise(0).cast("long").alias("n_dropped"),
     )
 
 
@@ -220,43 +308,3 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without their recurring lines; ``n_chars`` follows the text."""
     out = drop_recurring(docs).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
-
-
-def brute_force(rows: list[tuple[int, str | None]], min_docs: int = MIN_DOCS, most_dropped: float = MOST_DROPPED) -> dict[int, tuple[int, int, str | None]]:
-    """The definition, for tests: every leaf is parsed; (n_lines, n_dropped, text) by id."""
-    word = re.compile(WORD)
-    masks: dict[int, dict[int, tuple[str, ...]]] = {}
-    for doc, text in rows:
-        masks[doc] = {}
-        for pos, line in enumerate((text or "").split("\n")):
-            tokens = tuple("<*>" if re.search("[0-9]", w) else w for w in word.findall(line))
-            if tokens:
-                masks[doc][pos] = tokens
-    leaves: dict[tuple, Leaf] = defaultdict(Leaf)
-    place = {}
-    key = lambda t: (len(t), t[:DEPTH])
-    for tokens in sorted({t for m in masks.values() for t in m.values()}, key=lambda t: " ".join(t).encode()):
-        place[tokens] = (key(tokens), leaves[key(tokens)].add(list(tokens)))
-    docs_of: dict[tuple, set[int]] = defaultdict(set)
-    for doc, m in masks.items():
-        for t in m.values():
-            docs_of[place[t]].add(doc)
-    texts = {doc: word.findall((text or "").lower()) for doc, text in rows}
-    enough = lambda n, t: n >= (min(LONG_DOCS, min_docs) if len(t) > LONG_WORDS else min_docs)
-    recur = {d: [(len(docs_of[place[t]]), len(t)) for t in m.values() if enough(len(docs_of[place[t]]), t)] for d, m in masks.items()}
-    over = [d for d, r in recur.items() if sum(n for _, n in r) > most_dropped * len(texts[d]) or any(k < min_docs for k, _ in r)]
-    shingles = {d: {tuple(texts[d][k : k + 5]) for k in range(max(1, len(texts[d]) - 4))} for d in over}
-    group = {d: d for d in masks}
-    for a in over:
-        for b in over:
-            if a < b and 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b]):
-                low, high = sorted((group[a], group[b]))
-                group = {d: low if g == high else g for d, g in group.items()}
-    groups_of = {p: {group[d] for d in ds} for p, ds in docs_of.items()}
-    out = {}
-    for doc, text in rows:
-        near = {p: groups_of[place[t]] for p, t in masks[doc].items() if enough(len(groups_of[place[t]]), t)}
-        drop = {p for p, g in near.items() if len(g) >= min_docs or group[doc] != min(g)}
-        lines = [] if text is None else text.split("\n")
-        out[doc] = (len(lines), len(drop), None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in drop))
-    return out

@@ -11,6 +11,7 @@ from lexigrove.llm import chat_template as chat
 from lexigrove.llm import fingerprint, html_extract, line_templates, mixing, ngram_join, prefix_free, quality_crf, rules
 from lexigrove.llm.bpe import Codec, round_trips, tokenizer_path
 from lexigrove.llm.components import components
+from tests.llm.lines_reference import recurring
 
 rng = random.Random(5)
 WORDS = ["alpha", "beta", "gamma", "delta", "of", "the", "und", "été", "7", "Zeta,", "x9", "omega."]
@@ -136,7 +137,7 @@ def test_quality_held_out(spark):
 def test_line_templates(spark):
     rows = corpus()
     got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in line_templates.drop_recurring(frame(spark, rows)).collect()}
-    assert got == line_templates.brute_force(rows)
+    assert got == recurring(rows)
     assert all(got[40 + i][1] == 1 for i in range(15)) and got[0][2] == rows[0][1]
     assert line_templates.drop_recurring(frame(spark, rows).limit(0)).count() == 0
 
