@@ -48,7 +48,9 @@ MIN_DOCS = 10
 #: Tokens above which a line does not recur by chance, and the documents that are enough for it.
 LONG_WORDS, LONG_DOCS = 50, 2
 #: Distinct lines of a leaf that are parsed in one stream.
-SLICE = 20_000
+SLICE = 2_000
+#: Bits of the filter that keeps lines of rare leaves from travelling; its size is the same for any corpus.
+FILTER_BITS = 1 << 24
 #: Smallest shingle hashes kept of a document, those that look for its copies, and the estimated similarity of copies
 #: (0.8 less about two standard errors of the estimate).
 SKETCH, KEYS, COPIES = 64, 8, 0.7
@@ -70,8 +72,21 @@ def _leaf_key(mask: bytes, tokens: int) -> bytes:
     return b"%d " % tokens + b" ".join(mask.split(b" ", DEPTH)[:DEPTH])
 
 
-def lines_of(docs: DataFrame, with_mask: bool) -> DataFrame:
-    """(doc_id, pos, tokens, leaf, mask_hash) of every line with a word, and its mask if wanted."""
+def leaf_filter(leaves: DataFrame) -> bytes:
+    """Bitmap of the leaves' hashes, folded to ``FILTER_BITS``; where it is full, it keeps nothing back."""
+    bit = F.col("leaf").bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = leaves.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(leaf & {FILTER_BITS - 1} & 63 as int))")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for word, bits in words.collect():
+        out[word] = bits
+    return out.astype("<i8").tobytes()
+
+
+def lines_of(docs: DataFrame, with_mask: bool, only: bytes | None = None) -> DataFrame:
+    """(doc_id, pos, tokens, leaf, mask_hash) of every line with a word, and its mask if wanted.
+
+    With ``only``, a :func:`leaf_filter`, lines whose leaf it does not hold may be left out.
+    """
 
     def signed(data: bytes) -> int:
         return xxhash.xxh3_64_intdigest(data) - (1 << 63)
@@ -86,10 +101,13 @@ def lines_of(docs: DataFrame, with_mask: bool) -> DataFrame:
                         mask = masked(line)
                         if mask:
                             n = mask.count(b" ") + 1
+                            key = signed(_leaf_key(mask, n))
+                            if only is not None and not only[(key & FILTER_BITS - 1) >> 3] >> (key & 7) & 1:
+                                continue
                             ids.append(doc_id)
                             at.append(pos)
                             count.append(n)
-                            leaf.append(signed(_leaf_key(mask, n)))
+                            leaf.append(key)
                             hashed.append(signed(mask))
                             if with_mask:
                                 masks.append(mask)
@@ -204,7 +222,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, slice_lines: int
     leaves = lines_of(docs, False).select("doc_id", "leaf", "tokens").distinct().groupBy("leaf").agg(F.count("*").alias("docs"), F.max("tokens").alias("tokens"))
     leaves = materialize(leaves.filter(_enough("docs", min_docs)).select("leaf", "docs"))
     dealt = F.col("doc_id")
-    candidates = materialize(join_salted(lines_of(docs, True), leaves, ["leaf"], "docs", "inner", dealt).select("doc_id", "pos", "leaf", "mask_hash", "mask", "tokens"))
+    candidates = materialize(join_salted(lines_of(docs, True, leaf_filter(leaves)), leaves, ["leaf"], "docs", "inner", dealt).select("doc_id", "pos", "leaf", "mask_hash", "mask", "tokens"))
     distinct = materialize(candidates.groupBy("leaf", "mask_hash").agg(F.min("mask").alias("mask"), F.count("*").alias("n")))
     known = templates_of(distinct.drop("n"), slice_lines=slice_lines).join(distinct.select("leaf", "mask_hash", "n"), ["leaf", "mask_hash"])
     placed = materialize(join_salted(candidates.drop("mask"), materialize(known), ["leaf", "mask_hash"], "n", "inner", dealt).select("doc_id", "pos", "leaf", "template", "tokens"))
