@@ -1,12 +1,15 @@
 """HTML extraction by tag-path ratios.
 
 A page becomes a run of text blocks, each with its path of block-level tags
-from the root. Per path, text length and punctuation are summed and divided by
-the number of blocks, which gives two ratios. Both are smoothed over the
-blocks in page order with a Gaussian, fused by their product, and a threshold
-of a standard deviation selects paths. An article or main element with most of
-the selected text, or else the deepest path with all of it, is the container of the article; all blocks within it are content,
-however short, unless they stand in an element that is never main text.
+(with their class, where the tag alone says little) from the root. Per path,
+text length and punctuation are summed and divided by the number of blocks,
+which gives two ratios. Both are smoothed over the blocks in page order with a
+Gaussian and fused by their product; a threshold of a standard deviation
+selects paths. The innermost element path that holds most of the selected text
+is the content; all blocks within it are main text, however short. Elements
+whose tag or role is never main text take no part. Class and id words of
+adverts, notices, comments and the like lower the score of the paths below
+them, article and main elements raise it, and nothing else: the ratios decide.
 """
 
 from __future__ import annotations
@@ -45,156 +48,162 @@ _P_CLOSERS = BLOCK_TAGS - {"body", "html", "caption", "tbody", "td", "tfoot", "t
 _SELF_CLOSE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _STOPS = frozenset("ul ol dl table article section div main body html nav aside footer header form blockquote".split())
 
+# A quoted value ends at its quote if a space, a slash or the tag's end follows; a stray quote is a character.
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)",
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*\"[^\"]*\"(?=[\s/>])|=\s*'[^']*'(?=[\s/>])|[^>])*?)(?:>|\Z)",
     re.S,
 )
 _ATTR = re.compile(r"(?:^|[\s/\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_SPACE = re.compile(r"[ \t\n\r\f\v]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TAGS}
+#: Block tags that hold one block, so no container.
+LEAF_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd pre blockquote".split())
+#: What a name that does not go with main text leaves of a path's score, and what an article or main element adds to it.
+NAMED, ARTICLE = 0.05, 4.0
 
 
-def _outside(tag: str, attrs: str, within_article: bool) -> bool:
+def _attributes(attrs: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):
+        found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    return found
+
+
+def _outside(tag: str, attrs: dict[str, str], within_article: bool) -> bool:
     """The element and all in it are not main text."""
     if tag in OUTSIDE_TAGS or tag == "header" and not within_article:
         return True
-    if not attrs or tag in ("html", "body"):
+    if tag in ("html", "body"):
         return False
-    for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in OUTSIDE_ROLES:
-            return True
-    return False
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role") in OUTSIDE_ROLES
+
+
+def _named(attrs: dict[str, str]) -> bool:
+    return any(not OUTSIDE_WORDS.isdisjoint(re.split(r"[^a-z]+", attrs.get(k, ""))) for k in ("class", "id"))
+
 
+class Element:
+    """An open element: its label in paths, whether it is outside main text, and what names leave of a score."""
 
-def _named_outside(attrs: str) -> bool:
-    """A word of its class or id says that the element is not main text; it may be wrong."""
-    named = (m for m in _ATTR.finditer(attrs) if m[1].lower() in ("class", "id"))
-    return any(not OUTSIDE_WORDS.isdisjoint(re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower())) for m in named)
+    __slots__ = ("tag", "label", "outside", "factor", "inline")
 
+    def __init__(self, tag: str, label: str, outside: bool, factor: float, inline: bool):
+        self.tag, self.label, self.outside, self.factor, self.inline = tag, label, outside, factor, inline
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
-    """(path of block tags, stands outside main text, text) of each block in page order.
+
+Block = tuple[tuple[str, ...], float, str]
+
+
+def blocks(page: str) -> list[Block]:
+    """(path of labels, what names leave of its score, text) of each block that may be main text, in page order.
 
     Unclosed and stray tags are tolerated; texts are decoded, white space
     within a block is one space, and blank blocks are left out.
     """
-    out: list[tuple[tuple[str, ...], bool, str]] = []
-    marks: list[tuple[int, ...]] = []
-    # Tag, never main text, and the numbers of the elements around that their names put outside.
-    stack: list[tuple[str, bool, tuple[int, ...]]] = []
-    n_marks = 0
+    out: list[Block] = []
+    stack: list[Element] = []
     held: list[str] = []
 
     def flush() -> None:
         if held:
-            text = _SPACE.sub(" ", html.unescape("".join(held))).strip(" ")
+            text = " ".join(html.unescape("".join(held)).split())
             held.clear()
-            if text:
-                out.append((tuple(t for t, _, _ in stack), bool(stack) and stack[-1][1], text))
-                marks.append(stack[-1][2] if stack else ())
+            if text and not (stack and stack[-1].outside):
+                shown = [e for e in stack if not e.inline]
+                out.append((tuple(e.label for e in shown), shown[-1].factor if shown else 1.0, text))
+
+    def close(k: int) -> None:
+        # An inline element that is outside has no block of its own: what it holds is not held at all.
+        if not stack[k].inline:
+            flush()
+        del stack[k:]
+
+    def close_one_of(tags: set[str]) -> None:
+        """Close the innermost open element of ``tags``, and what is open in it, short of a stop."""
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k].tag in tags:
+                close(k)
+                return
+            if stack[k].tag in _STOPS:
+                return
 
     at = 0
     while at < len(page):
         m = _MARKUP.search(page, at)
+        muted = bool(stack) and stack[-1].inline
+        text = page[at : m.start()] if m else page[at:]
+        if text and not muted:
+            held.append(text)
         if not m:
-            held.append(page[at:])
             break
-        if m.start() > at:
-            held.append(page[at : m.start()])
         at = m.end()
         tag = m["tag"]
         if tag is None:
             continue
         tag = tag.lower()
         if m["end"]:
-            if tag in BLOCK_TAGS:
-                flush()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
-                    if tag == "p" and stack[k][0] in _STOPS:
-                        break
-            elif tag in OUTSIDE_TAGS:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        flush()
-                        del stack[k:]
-                        break
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k].tag == tag:
+                    close(k)
+                    break
+                if stack[k].tag in _STOPS and tag not in _STOPS and tag not in OUTSIDE_TAGS:
+                    break
+            else:
+                if tag in BLOCK_TAGS:
+                    flush()
             continue
-        attrs = m["attrs"] or ""
+        raw = m["attrs"] or ""
         if tag in RAW_TAGS:
-            if not attrs.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if not raw.rstrip().endswith("/"):
+                end = _RAW_END[tag].search(page, at)
                 at = end.end() if end else len(page)
             continue
-        if tag == "br":
-            held.append(" ")
+        if tag in VOID_TAGS:
+            if tag in ("br", "hr"):
+                held.append(" ")
+                if tag == "hr":
+                    flush()
             continue
+        attrs = _attributes(raw) if raw else {}
         if tag in BLOCK_TAGS or tag in OUTSIDE_TAGS:
             flush()
             if tag in _P_CLOSERS:
-                _close(stack, {"p"})
+                close_one_of({"p"})
             if tag in _SELF_CLOSE:
-                _close(stack, _SELF_CLOSE[tag])
+                close_one_of(_SELF_CLOSE[tag])
             if tag == "body":
-                _close(stack, {"head"})
-            if tag not in VOID_TAGS:
-                within = any(t in ("article", "main") for t, _, _ in stack)
-                held_by = stack[-1][2] if stack else ()
-                named = bool(attrs) and tag not in ("html", "body", "p", "h1") and _named_outside(attrs)
-                if tag in ("article", "main"):
-                    held_by = held_by if named else ()
-                elif named and not within:
-                    n_marks += 1
-                    held_by = (*held_by, n_marks)
-                stack.append((tag, bool(stack) and stack[-1][1] or _outside(tag, attrs, within), held_by))
-        elif tag not in VOID_TAGS and (_outside(tag, attrs, True) or _named_outside(attrs)) and not attrs.rstrip().endswith("/"):
-            # An inline advert or the like: skip to its end, if it has one.
-            end = _matching_end(page, at, tag)
-            at = at if end is None else end
+                close_one_of({"head"})
+            within = any(e.tag in ("article", "main") for e in stack)
+            outside = bool(stack) and stack[-1].outside or _outside(tag, attrs, within)
+            factor = stack[-1].factor if stack else 1.0
+            if tag in ("article", "main"):
+                factor = ARTICLE
+            elif not within and tag not in ("html", "body") and _named(attrs):
+                factor *= NAMED
+            label = tag if tag in LEAF_TAGS or not attrs.get("class") else f"{tag}.{' '.join(sorted(set(attrs['class'].split())))}"
+            stack.append(Element(tag, label, outside, factor, False))
+        elif (stack and stack[-1].inline or attrs and (_outside(tag, attrs, True) or _named(attrs))) and not raw.rstrip().endswith("/"):
+            # An inline advert or the like, to its end or that of the block around it. A name needs a block's text
+            # beside it to be wrong about, so a word of a sentence stays.
+            if stack and stack[-1].inline or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role") in OUTSIDE_ROLES or not "".join(held).strip():
+                stack.append(Element(tag, tag, bool(stack) and stack[-1].outside, stack[-1].factor if stack else 1.0, True))
     flush()
-    # A name does not hold against the element that has most of the text, where no article or main tells more.
-    told = any(not outside and not held_by and not {"article", "main"}.isdisjoint(path) for (path, outside, _), held_by in zip(out, marks, strict=True))
-    chars = Counter()
-    for (_, outside, text), held_by in zip(out, marks, strict=True):
-        if not outside:
-            chars.update(dict.fromkeys((0, *held_by), len(text)))
-    return [(path, outside or any(told or 2 * chars[k] <= chars[0] for k in held_by), text) for (path, outside, text), held_by in zip(out, marks, strict=True)]
-
-
-def _close(stack: list[tuple[str, bool, tuple[int, ...]]], tags: set[str]) -> None:
-    """Close the innermost open element of ``tags``, and what is open in it, short of a stop."""
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] in tags:
-            del stack[k:]
-            return
-        if stack[k][0] in _STOPS:
-            return
-
-
-def _matching_end(page: str, at: int, tag: str) -> int | None:
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(tag)}\b[^>]*>", re.I).finditer(page, at):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.end()
-    return None
-
-
-def path_scores(found: list[tuple[tuple[str, ...], bool, str]]) -> dict[tuple[str, ...], float]:
-    """Fused ratio of each path: text and punctuation per block, smoothed in page order."""
+    return out
+
+
+def path_scores(found: list[Block]) -> dict[tuple[str, ...], float]:
+    """Fused ratio of each path: text and punctuation per block, smoothed in page order, times what names leave of it."""
     if not found:
         return {}
     chars: dict[tuple[str, ...], float] = defaultdict(float)
     marks: dict[tuple[str, ...], float] = defaultdict(float)
     times = Counter(p for p, _, _ in found)
-    for path, outside, text in found:
-        if not outside:
-            chars[path] += len(text)
-            marks[path] += len(_PUNCTUATION.findall(text))
+    factor = dict.fromkeys(times, 0.0)
+    for path, named, text in found:
+        chars[path] += len(text)
+        marks[path] += len(_PUNCTUATION.findall(text))
+        factor[path] = max(factor[path], named)
     radius = 1
     kernel = np.exp(-np.arange(-radius, radius + 1) ** 2 / 2.0)
     kernel /= kernel.sum()
@@ -205,46 +214,55 @@ def path_scores(found: list[tuple[tuple[str, ...], bool, str]]) -> dict[tuple[st
 
     fused = smoothed(chars) * (1.0 + smoothed(marks))
     sums: dict[tuple[str, ...], float] = defaultdict(float)
-    for (path, outside, _), v in zip(found, fused, strict=True):
-        if not outside:
-            sums[path] += float(v)
-    return {p: s / times[p] for p, s in sums.items()}
+    for (path, _, _), v in zip(found, fused, strict=True):
+        sums[path] += float(v)
+    return {p: factor[p] * s / times[p] for p, s in sums.items()}
 
 
-#: Share of the selected paths' text that an article or main element holds at least to be the container.
+#: Share of the selected text that the content holds at least.
 HELD = 0.85
 
 
-def main_text(page: str | None) -> str:
-    """Main text of a page: its blocks joined by line feeds; empty if there is none."""
-    if not page:
-        return ""
-    found = blocks(page)
-    scores = path_scores(found)
-    if not scores:
-        return ""
+def content_path(found: list[Block], scores: dict[tuple[str, ...], float]) -> tuple[str, ...]:
+    """Path of the element that holds the selected paths' text."""
     values = np.array(list(scores.values()))
     threshold = min(values.max(), values.std()) if len(values) > 1 else 0.0
-    weight: dict[tuple[str, ...], int] = defaultdict(int)
-    for path, outside, text in found:
-        if not outside and scores[path] >= threshold:
-            weight[path] += len(text)
-    total = sum(weight.values())
-    # An article or main element with most of the text is the container; else the deepest path that has all of it.
+    tag = lambda label: label.split(".", 1)[0]
     share: dict[tuple[str, ...], int] = defaultdict(int)
-    for path, n in weight.items():
+    size: dict[tuple[str, ...], int] = defaultdict(int)
+    direct: dict[tuple[str, ...], int] = defaultdict(int)
+    total = 0
+    for path, _, text in found:
+        depth = len(path)
+        while depth and tag(path[depth - 1]) in LEAF_TAGS:
+            depth -= 1
+        direct[path[:depth]] += len(text)
+        chosen = len(text) if scores[path] >= threshold else 0
+        total += chosen
         for k in range(len(path) + 1):
-            if not k or path[k - 1] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "dt", "dd", "pre", "blockquote"):
-                share[path[:k]] += n
-    holding = [p for p, n in share.items() if n >= HELD * total]
-    named = [p for p in holding if p and p[-1] in ("article", "main")]
-    container = max(named or [p for p, n in share.items() if n == total], key=len)
-    if not named:
-        # Headings and short blocks beside the selected ones belong to it, where they are little against its text.
-        size = lambda path: sum(len(text) for p, outside, text in found if not outside and p[: len(path)] == path)
-        while len(container) > 1 and container[-2] not in ("html", "body") and size(container) >= HELD * size(container[:-1]):
-            container = container[:-1]
-    return "\n".join(text for path, outside, text in found if not outside and path[: len(container)] == container)
+            if not k or tag(path[k - 1]) not in LEAF_TAGS:
+                share[path[:k]] += chosen
+                size[path[:k]] += len(text)
+    # An article or main element with most of the text is the content; else the deepest path that has all of it.
+    told = [p for p, n in share.items() if p and n and n >= HELD * total and tag(p[-1]) in ("article", "main")]
+    best = max(told or [p for p, n in share.items() if n == total], key=len)
+    if not told:
+        # Headings and paragraphs right beside the content belong to it, where they are little against its text.
+        while len(best) > 1 and tag(best[-2]) not in ("html", "body"):
+            up = best[:-1]
+            if size[best] < HELD * size[up] or size[up] - size[best] != (direct[up] if up in direct else 0):
+                break
+            best = up
+    return best
+
+
+def main_text(page: str | None) -> str:
+    """Main text of a page: its blocks joined by line feeds; empty if there is none."""
+    found = blocks(page) if page else []
+    if not found:
+        return ""
+    best = content_path(found, path_scores(found))
+    return "\n".join(text for path, _, text in found if path[: len(best)] == best)
 
 
 def extract(pages: DataFrame, source: str = "html", text: str = "text") -> DataFrame:
