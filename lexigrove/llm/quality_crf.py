@@ -3,9 +3,11 @@
 Each line of a document has one of two states, bad (0) or good (1). A line's
 state score is linear in its own features and in those of the lines before and
 after it; a transition matrix ties neighbouring states. Fitting maximises the
-conditional likelihood, each line of a labelled document carrying the
-document's label. Scoring runs forward-backward over all lines and averages
-the marginals of state 1, weighted by line length.
+conditional likelihood. Labels are known by document only, so a chain to learn
+from is several labelled documents one after the other: states change within
+it, and what tells a change is learned from its lines. Scoring runs
+forward-backward over all lines of a document and averages the marginals of
+state 1, weighted by line length.
 
 Features come from bytes in numpy passes; forward-backward advances all
 documents of a chunk by one line at a time.
@@ -18,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,8 @@ from lexigrove.llm.common import Text, chunks, read_table, sequences, with_field
 #: Scoring has no bound.
 SAMPLE_DOCS = 4_000
 SAMPLE_DOC_CHARS = 20_000
+#: Documents of a chain to learn from.
+CHAIN_DOCS = 4
 THRESHOLD = 0.3
 
 _CLASSES = {
@@ -96,6 +101,12 @@ def line_features(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own[:, at["many_words"]] = np.log1p(words) / 6.0
     own[:, at["repeated_line"]] = _again(row, text.hashes(start, end)) * (size > 0)
     own[:, at["empty"]] = size == 0
+    return with_neighbours(own, row), size + 1, row
+
+
+def with_neighbours(own: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Own features of each line, those of the lines before and after it in its chain, and the chain's ends."""
+    n = len(own)
     full = np.zeros((n, WIDTH))
     full[:, :_OWN] = own
     has_prev = np.zeros(n, bool)
@@ -107,7 +118,7 @@ def line_features(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     full[:-1, 2 * _OWN : 3 * _OWN] = own[1:]
     full[~has_next, 2 * _OWN : 3 * _OWN] = 0
     full[:, -3], full[:, -2], full[:, -1] = ~has_prev, ~has_next, 1
-    return full, size + 1, row
+    return full
 
 
 @dataclass
@@ -261,17 +272,19 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, do
             quality = batch.column(1).to_numpy(zero_copy_only=False)
             x, _, row = line_features(Text(batch.column(0)))
             for k in range(batch.num_rows):
-                mine = x[row == k].astype(np.float32)
+                mine = x[row == k, :_OWN].astype(np.float32)
                 yield pa.RecordBatch.from_pydict({"quality": pa.array([quality[k]], pa.int32()), "lines": pa.array([mine.tobytes()], pa.binary())})
 
     found = sample.select("text", "quality").mapInArrow(run, "quality int, lines binary").collect()
-    found.sort(key=lambda r: (r["quality"], r["lines"]))
-    parts = [np.frombuffer(r["lines"], np.float32).reshape(-1, WIDTH) for r in found]
+    # In the order of a hash of what is learned from: the same for any order of the rows.
+    found.sort(key=lambda r: (xxhash.xxh3_64_intdigest(r["lines"]), r["quality"], r["lines"]))
+    parts = [np.frombuffer(r["lines"], np.float32).reshape(-1, _OWN) for r in found]
     if not parts:
         return Model(np.zeros(WIDTH), np.zeros((2, 2)))
-    row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    label = np.repeat([int(r["quality"] > 0) for r in found], [len(p) for p in parts])
-    return fit(np.concatenate(parts).astype(np.float64), row, label)
+    count = [len(p) for p in parts]
+    chain = np.repeat(np.arange(len(parts)) // CHAIN_DOCS, count)
+    label = np.repeat([int(r["quality"] > 0) for r in found], count)
+    return fit(with_neighbours(np.concatenate(parts).astype(np.float64), chain), chain, label)
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
