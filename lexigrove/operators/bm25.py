@@ -83,21 +83,61 @@ def retrieve_nothing(queries: DataFrame, key: str = "query_id") -> DataFrame:
     return queries.select(F.col(key).alias("query_id"), F.lit(None).cast("long").alias("id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
 
 
+#: Neighbouring ids that are counted together in the search for ids that do not match.
+BLOCK = 4_096
+
+
 def least_relevant(index: Index, queries: DataFrame, k: int = 3, text: str = "text", key: str = "query_id") -> DataFrame:
     """The control: lowest scores first, nodes that share nothing with the query included; ties by id.
 
     Nodes without a shared token score 0 and come before all positive ones, so
-    the answer is found among the negative scores and the first ``k`` other
-    ids that do not match: no product of queries and nodes is built.
+    the answer is found among the negative scores and the first ``k`` ids that
+    do not match. Ids are numbered in order and counted by blocks: as long as
+    the blocks so far hold fewer than ``k`` ids that do not match, all of them
+    have matches, so a query looks into at most ``k`` blocks with ids left and
+    the one after. No product of queries and nodes is built.
     """
-    if k <= 0:
-        raise ValueError("top_k is above 0")
-    found = scores(index, queries, text, key)
-    matched = found.groupBy("query_id").agg(F.count("*").alias("n"))
-    # Ids in order; a query with m matches needs at most m + k of the first to find k that do not match.
-    most = matched.agg(F.max("n").alias("m")).first()["m"] or 0
-    first = index.lengths.orderBy("id").limit(int(most) + k).select("id")
+    if not 0 < k <= BLOCK:
+        raise ValueError(f"top_k is above 0 and at most {BLOCK}")
+    from lexigrove.sources.scratch import cut
+
+    found = cut(scores(index, queries, text, key).select("query_id", "id", "score"), "scores")
+    ranged = cut(index.lengths.select("id").repartitionByRange("id").withColumn("part", F.spark_partition_id()), "ids")
+    # One row a partition; the running sum over them is short.
+    before = ranged.groupBy("part").count().withColumn("offset", F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", F.coalesce("offset", F.lit(0)).alias("offset"))
+    numbered = ranged.join(F.broadcast(before), "part").withColumn("at", F.col("offset") + F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1)
+    numbered = cut(numbered.select("id", F.floor(F.col("at") / BLOCK).alias("block")), "ids")
+    cells = found.join(numbered, "id").groupBy("query_id", "block").agg(F.count("*").alias("hits"))
+    so_far = Window.partitionBy("query_id").orderBy("block")
+    free = (F.col("block") + 1) * BLOCK - F.sum("hits").over(so_far)
+    # The blocks up to here have fewer than k free ids, so each of them is among the cells.
+    full = cells.withColumn("free", free).filter(F.col("free") < k)
     every = queries.select(F.col(key).alias("query_id")).distinct()
-    zero = every.crossJoin(first).join(found, ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0))
+    last = every.join(full.groupBy("query_id").agg(F.max("block").alias("b")), "query_id", "left").select("query_id", (F.coalesce("b", F.lit(-1)) + 1).alias("block"))
+    looked = full.filter(F.col("hits") < BLOCK).select("query_id", "block").unionByName(last)
+    zero = looked.join(numbered, "block").join(found, ["query_id", "id"], "left_anti").select("query_id", "id", F.lit(0.0).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").asc(), F.col("id").asc())
-    return found.select("query_id", "id", "score").unionByName(zero).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.unionByName(zero).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def write(index: Index, path: str) -> Index:
+    """Write an index to a folder, postings by term, and read it back for any number of queries."""
+    spark = index.postings.sparkSession
+    for name, df in vars(index).items():
+        dealt = df.repartition("term").sortWithinPartitions("term") if name == "postings" else df
+        dealt.write.mode("overwrite").parquet(f"{path}/{name}")
+    return Index(**{name: spark.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in vars(index).items()})
+
+
+def rank_of(scored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, id, rank) of the wanted (query_id, id) among all with a score above 0: one more than the nodes before it.
+
+    Nodes are counted, not ordered: nothing is sorted by query.
+    """
+    positive = scored.filter("score > 0").select("query_id", "id", "score")
+    own = wanted.join(positive, ["query_id", "id"]).select("query_id", F.col("id").alias("w"), F.col("score").alias("s"))
+    # Wanted nodes are few a query; they travel as one list to the scores of that query.
+    listed = own.groupBy("query_id").agg(F.collect_list(F.struct("w", "s")).alias("ws"))
+    each = positive.join(listed, "query_id").select("query_id", "id", "score", F.explode("ws").alias("x"))
+    better = (F.col("score") > F.col("x.s")) | (F.col("score") == F.col("x.s")) & (F.col("id") < F.col("x.w"))
+    return each.groupBy("query_id", F.col("x.w").alias("id")).agg((F.count_if(better) + 1).cast("int").alias("rank"))

@@ -195,3 +195,8 @@ def within_budget(costs: DataFrame, group: str, order: list[str], budget: float)
     """Running cost of each group and whether the row is still within the budget."""
     running = F.sum("cost").over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return costs.withColumn("running", running).withColumn("allowed", F.col("running") <= budget)
+
+
+def mislocalized(targets: Column, oracle: Column) -> Column:
+    """No target is among the oracle; null where either is unknown."""
+    return F.when(targets.isNotNull() & oracle.isNotNull(), ~F.arrays_overlap(targets, oracle))

@@ -1,14 +1,13 @@
 """Trees and graphs of nodes: navigation, validation, repair, expansion.
 
 Trees are (id, parent_id) relations, with child lists exploded to
-(parent, pos, child) where their order matters. Walks are loops of frontier
-joins with an anti-join against what was seen, cut by a written step each
-round; their number is the depth, never the number of nodes.
+(parent, pos, child) where their order matters. Walks to the end double their
+distance each round, cut by a written step, so their number grows with the
+logarithm of the depth.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,53 +36,89 @@ def roots(nodes: DataFrame) -> DataFrame:
     return nodes.filter("parent_id is null").select("id")
 
 
-def descendants(nodes: DataFrame, start: DataFrame, max_depth: int = -1, cut: Callable[[DataFrame], DataFrame] = lambda df: df, limit: int = 100) -> DataFrame:
-    """(start, id, depth) of all nodes below each start, each once at its least depth.
+def _written(df: DataFrame) -> DataFrame:
+    from lexigrove.sources.scratch import cut
 
-    ``nodes`` gives (id, parent_id). ``cut`` writes a step and reads it back;
-    pass one that does for deep trees. -1 walks to the end.
+    return cut(df, "walk")
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(top, id, depth): every node below each node at its least depth, by (parent, child) edges.
+
+    Distances double each round, so a chain of length L takes log2(L) joins;
+    the loop ends when a round finds nothing new or nearer, on any graph.
+    """
+    known = _written(edges.select(F.col("parent").alias("top"), F.col("child").alias("id"), F.lit(1).alias("depth")).distinct())
+    while True:
+        further = known.select(F.col("top").alias("id"), F.col("id").alias("to"), F.col("depth").alias("more"))
+        longer = known.join(further, "id").select("top", F.col("to").alias("id"), (F.col("depth") + F.col("more")).alias("depth"))
+        new = _written(known.unionByName(longer).groupBy("top", "id").agg(F.min("depth").alias("depth")))
+        size = lambda df: df.agg(F.count("*"), F.sum("depth")).first()
+        if size(new) == size(known):
+            return new
+        known = new
+
+
+def descendants(edges: DataFrame, start: DataFrame, max_depth: int = -1) -> DataFrame:
+    """(start, id, depth) of all nodes below each start, each once at its least depth, the start itself left out.
+
+    ``edges`` gives (parent, child), as :func:`children` does, so children that
+    do not exist are no part of it. -1 walks to the end.
     """
-    edges = nodes.filter("parent_id is not null").select(F.col("parent_id").alias("at"), F.col("id").alias("next"))
-    seen = start.select(F.col("id").alias("start"), F.col("id"), F.lit(0).alias("depth"))
-    frontier, depth = seen, 0
-    while depth != max_depth and depth < limit:
-        depth += 1
-        step = frontier.join(edges, frontier["id"] == edges["at"]).select("start", F.col("next").alias("id")).distinct()
-        frontier = cut(step.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("depth", F.lit(depth)))
-        if max_depth < 0 and frontier.isEmpty():
+    if max_depth < 0:
+        found = closure(edges).withColumnRenamed("top", "start").join(start.select(F.col("id").alias("start")).distinct(), "start", "left_semi")
+        return found.filter("start <> id").select("start", "id", "depth")
+    hop = edges.select(F.col("parent").alias("at"), F.col("child").alias("next"))
+    seen = frontier = start.select(F.col("id").alias("start"), F.col("id"), F.lit(0).alias("depth")).distinct()
+    for depth in range(1, max_depth + 1):
+        step = frontier.join(hop, frontier["id"] == hop["at"]).select("start", F.col("next").alias("id")).distinct()
+        frontier = _written(step.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen = _written(seen.unionByName(frontier))
     return seen.filter("depth > 0")
 
 
-def tree_lines(nodes: DataFrame, max_depth: int = 20) -> DataFrame:
+def tree_paths(nodes: DataFrame) -> DataFrame:
+    """(id, path): ids from the root down to each node that a root reaches, itself included.
+
+    Half-finished paths are joined to those of their tops, so rounds grow with
+    the logarithm of the depth. Nodes below a missing parent or a cycle are left out.
+    """
+    known = nodes.select("id", "parent_id")
+    at = _written(known.select("id", F.col("parent_id").alias("to"), F.array("id").alias("path")))
+    live = -1
+    while True:
+        waiting = at.filter("to is not null")
+        count = waiting.count()
+        if count == live or not count:
+            return at.filter("to is null").select("id", "path")
+        live = count
+        up = at.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("path").alias("above"))
+        at = _written(at.filter("to is null").unionByName(waiting.join(up, "to").select("id", F.col("next").alias("to"), F.concat("above", "path").alias("path"))))
+
+
+def tree_lines(nodes: DataFrame) -> DataFrame:
     """(path, depth, id, line): pre-order listing, children by id; what no root reaches comes last as orphans.
 
-    ``nodes`` gives (id string, parent_id, title, definition).
+    ``nodes`` gives (id string, parent_id, title, definition); any depth.
     """
     from lexigrove.functions.text import first_line, shortened
 
     def line(prefix: Column, limit: Column) -> Column:
         return F.concat(prefix, F.lit("- "), F.col("id"), F.lit(": **"), F.col("title"), F.lit("** — "), limit)
 
-    level = nodes.filter("parent_id is null").withColumn("path", F.array("id")).withColumn("depth", F.lit(0))
-    levels = [level]
-    for depth in range(1, max_depth + 1):
-        up = levels[-1].select(F.col("id").alias("up"), F.col("path").alias("up_path"))
-        level = nodes.join(up, nodes["parent_id"] == up["up"]).filter(~F.array_contains("up_path", F.col("id")))
-        level = level.withColumn("path", F.concat("up_path", F.array("id"))).withColumn("depth", F.lit(depth)).drop("up", "up_path")
-        levels.append(level)
-    reached = union_all([x.select("id", "title", "definition", "path", "depth") for x in levels])
-    shown = reached.select("path", "depth", "id", line(F.repeat(F.lit("  "), F.col("depth")), shortened(first_line(F.col("definition")), 100)).alias("line"))
-    lost = nodes.join(reached.select("id"), "id", "left_anti")
-    orphan = lost.select(F.array(F.lit("￿"), F.col("id")).alias("path"), F.lit(-1).alias("depth"), "id", line(F.lit("[orphan] "), F.substring(first_line(F.col("definition")), 1, 100)).alias("line"))
-    return shown.unionByName(orphan)
+    told = nodes.select("id", "title", "definition").join(tree_paths(nodes), "id", "left")
+    lost = F.col("path").isNull()
+    definition = F.when(lost, F.substring(first_line(F.col("definition")), 1, 100)).otherwise(shortened(first_line(F.col("definition")), 100))
+    prefix = F.when(lost, F.lit("[orphan] ")).otherwise(F.repeat(F.lit("  "), F.size("path") - 1))
+    return told.select(F.coalesce("path", F.array(F.lit("\uffff"), F.col("id"))).alias("path"), F.when(lost, -1).otherwise(F.size("path") - 1).alias("depth"), "id", line(prefix, definition).alias("line"))
 
 
 # ------------------------------------------------------- validation and repair
 
 
-def validate(nodes: DataFrame, child_edges: DataFrame, max_depth: int = 50) -> DataFrame:
+def validate(nodes: DataFrame, child_edges: DataFrame) -> DataFrame:
     """(kind, id, other) of every inconsistency between child lists and parents.
 
     Kinds: missing_child, missing_parent, not_mutual (a listed child names
@@ -97,26 +132,28 @@ def validate(nodes: DataFrame, child_edges: DataFrame, max_depth: int = 50) -> D
     many = child_edges.groupBy("child").agg(F.count_distinct("parent").alias("n")).filter("n > 1")
     return union_all([
         issue(missing_child, "missing_child", "parent", "child"), issue(missing_parent, "missing_parent", "id", "parent_id"),
-        issue(mutual, "not_mutual", "parent", "child"), issue(cycles(nodes, max_depth), "cycle", "id", "id"), issue(many, "many_parents", "child", "n"),
+        issue(mutual, "not_mutual", "parent", "child"), issue(cycles(nodes), "cycle", "id", "id"), issue(many, "many_parents", "child", "n"),
     ])
 
 
-def cycles(nodes: DataFrame, max_depth: int = 50) -> DataFrame:
-    """(id) of nodes whose parent chain comes back to them.
+def cycles(nodes: DataFrame) -> DataFrame:
+    """(id) of nodes whose parent chain comes back to them, whatever the length of chains and cycles.
 
     Pointers double each round (parent, grandparent, ...), so a chain of length
-    L needs log2(L) joins; nodes that reach the end of their chain drop out.
+    L needs log2(L) joins; nodes that reach the end of their chain drop out. On
+    any chain stand nodes at every smaller distance from its end, so once a
+    round drops none, none will drop; likewise the nodes still pointed at are
+    those on cycles once their number stays.
     """
-    from math import ceil, log2
-
-    up = nodes.filter("parent_id is not null").select("id", F.col("parent_id").alias("to"))
-    live = up
-    for _ in range(ceil(log2(max(2, max_depth)))):
-        hop = live.select(F.col("id").alias("mid"), F.col("to").alias("far"))
-        live = live.join(hop, live["to"] == hop["mid"]).select("id", F.col("far").alias("to"))
-    # After more steps than nodes in any chain, what is still walking is on a cycle or leads to one;
-    # the ids that are reached from there are on one.
-    return live.select(F.col("to").alias("id")).distinct()
+    live = _written(nodes.filter("parent_id is not null").select("id", F.col("parent_id").alias("to")).distinct())
+    before = None
+    while True:
+        now = live.agg(F.count("*"), F.count_distinct("to")).first()
+        if now == before or not now[0]:
+            return live.select(F.col("to").alias("id")).distinct()
+        before = now
+        hop = live.select(F.col("id").alias("to"), F.col("to").alias("far"))
+        live = _written(live.join(hop, "to").select("id", F.col("far").alias("to")))
 
 
 def rebuild_children(nodes: DataFrame, listed: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,13 +17,27 @@ from lexigrove.functions.text import word_ngrams
 def leakage(left: DataFrame, right: DataFrame, left_key: str, right_key: str, threshold: float = 0.4, n: int = 3, text: str = "text") -> DataFrame:
     """(left_key, right_key, jaccard) of pairs whose word n-gram sets have this similarity or more.
 
-    Pairs are counted over the n-grams that they share, so nothing is compared
-    that has nothing in common.
+    Candidates share an n-gram among the rarest of both sets: two sets of this
+    similarity share more n-grams than lie beyond these prefixes, so none is
+    lost, and the common n-grams, which stand last, are never joined on.
     """
-    grams = lambda df, key: df.select(key, word_ngrams(F.col(text), n).alias("g")).select(key, F.size("g").alias(f"n_{key}"), F.explode("g").alias("gram"))
-    shared = grams(left, left_key).join(grams(right, right_key), "gram").groupBy(left_key, right_key, f"n_{left_key}", f"n_{right_key}").agg(F.count("*").alias("c"))
-    similarity = F.col("c") / (F.col(f"n_{left_key}") + F.col(f"n_{right_key}") - F.col("c"))
-    return shared.withColumn("j", similarity).filter(F.col("j") >= threshold).select(left_key, right_key, F.round("j", 3).alias("jaccard"))
+    from lexigrove.sources.scratch import cut
+
+    grams = lambda df, key, side: df.select(F.col(key).alias("key"), F.lit(side).alias("side"), F.explode(word_ngrams(F.col(text), n)).alias("gram"))
+    every = cut(grams(left, left_key, 0).unionByName(grams(right, right_key, 1)), "grams")
+    # An n-gram that one side lacks joins nothing; its place in the order is free, and last.
+    rare = every.groupBy("gram").agg(F.count("*").alias("df"), F.count_distinct("side").alias("sides")).filter("sides = 2").select("gram", "df")
+    placed = every.join(rare, "gram", "left").groupBy("side", "key").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("df").isNotNull(), F.struct("df", "gram")))).alias("shared"))
+    sets = cut(placed.select("side", "key", "n", F.transform("shared", lambda x: x["gram"]).alias("shared")), "sets")
+    # What is in one side only takes up room of what may be left out.
+    prefix = F.size("shared") - F.greatest(F.lit(1), F.ceil(F.col("n") * threshold - 1e-9)).cast("int") + 1
+    keyed = sets.select("side", "key", F.explode(F.slice("shared", 1, F.greatest(F.lit(0), prefix))).alias("gram"))
+    side = lambda df, k, name, other: df.filter(F.col("side") == k).select(F.col("key").alias(name), *other)
+    pairs = side(keyed, 0, left_key, [F.col("gram").alias("__gram")]).join(side(keyed, 1, right_key, [F.col("gram").alias("__gram")]), "__gram").select(left_key, right_key).distinct()
+    both = pairs.join(side(sets, 0, left_key, [F.col("n").alias("__na"), F.col("shared").alias("__a")]), left_key).join(side(sets, 1, right_key, [F.col("n").alias("__nb"), F.col("shared").alias("__b")]), right_key)
+    common = F.size(F.array_intersect("__a", "__b"))
+    similarity = common / (F.col("__na") + F.col("__nb") - common)
+    return both.filter(similarity >= threshold).select(left_key, right_key, F.round(similarity, 3).alias("jaccard"))
 
 
 def clean_nodes(leaks: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
@@ -41,41 +57,68 @@ def token_jaccard_pairs(names: DataFrame, name: str, threshold: float = 0.3) ->
     return shared.withColumn("j", F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).filter(F.col("j") >= threshold).select("a", "b", F.round("j", 6).alias("jaccard"))
 
 
-def fuzzy_match(refs: DataFrame, ids: DataFrame, most: int = 3, cutoff: float = 0.7, min_substring: int = 4, min_jaccard: float = 0.3, max_ids: int = 100_000) -> DataFrame:
+#: Ids and references that one task compares.
+ID_BLOCK, REF_BLOCK = 20_000, 2_000
+
+
+def fuzzy_match(refs: DataFrame, ids: DataFrame, most: int = 3, cutoff: float = 0.7, min_substring: int = 4, min_jaccard: float = 0.3) -> DataFrame:
     """(ref, id, place): the best ids of each reference, by three rules in turn.
 
     1. One contains the other (both of ``min_substring`` letters or more), by
     sequence ratio; 2. token Jaccard; 3. closest by sequence ratio of
-    ``cutoff`` or more. Ids are a white list whose size is checked before it is
-    sent to the workers; a longer one is an error.
+    ``cutoff`` or more. A sequence ratio has no key to join on, so the
+    references (a query set) meet the ids block by block, each task keeping a
+    few of each rule; no list of either side is sent to all workers.
     """
-    listed = [r[0] for r in ids.select("id").distinct().orderBy("id").limit(max_ids + 1).collect()]
-    if len(listed) > max_ids:
-        raise ValueError(f"more than {max_ids} ids; match within groups instead")
-    held = refs.sparkSession.sparkContext.broadcast(listed)
     words = lambda s: {x for x in s.split("_") if len(x) >= 3}
-
-    def best(ref: str, known: list[str], tokens: list[set[str]]) -> list[str]:
-        matcher = difflib.SequenceMatcher(None, ref)
-
-        def ratio(x: str) -> float:
-            matcher.set_seq2(x)
-            return matcher.ratio()
-
-        inside = [x for x in known if len(ref) >= min_substring <= len(x) and (ref in x or x in ref)]
+    keep = 3 * most
+
+    def best(ref: str, known: list[str], tokens: list[set[str]]) -> Iterator[tuple[int, float, str]]:
+        matcher = difflib.SequenceMatcher(None, "", ref)
+        letters = Counter(ref)
+        inside, close = [], []
+        for x in known:
+            holds = len(ref) >= min_substring <= len(x) and (ref in x or x in ref)
+            # Letters in common bound what a match can reach.
+            total = len(ref) + len(x)
+            if not holds and (2 * min(len(ref), len(x)) < cutoff * total or 2 * (letters & Counter(x)).total() < cutoff * total):
+                continue
+            matcher.set_seq1(x)
+            ratio = matcher.ratio()
+            if ratio >= cutoff:
+                close.append((ratio, x))
+            if holds:
+                inside.append((difflib.SequenceMatcher(None, ref, x).ratio(), x))
         own = words(ref)
         alike = [(len(own & w) / len(own | w), x) for x, w in zip(known, tokens, strict=True) if own and w and len(own & w) >= min_jaccard * len(own | w)]
-        ranked = [*sorted(inside, key=lambda x: -ratio(x)), *(x for _, x in sorted(alike, key=lambda p: -p[0])), *difflib.get_close_matches(ref, known, n=most, cutoff=cutoff)]
-        return list(dict.fromkeys(ranked))[:most]
+        for rule, found in enumerate((inside, alike)):
+            yield from ((rule, r, x) for r, x in heapq.nsmallest(keep, found, key=lambda p: (-p[0], p[1])))
+        yield from ((2, r, x) for r, x in heapq.nlargest(keep, close))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = held.value
-        tokens = [words(x) for x in known]
         for frame in frames:
-            rows = [(ref, x, i + 1) for ref in frame["ref"] if ref for i, x in enumerate(best(ref, known, tokens))]
-            yield pd.DataFrame(rows, columns=["ref", "id", "place"])
-
-    return refs.select("ref").mapInPandas(run, "ref string, id string, place int")
+            for known, asked in zip(frame["ids"], frame["refs"], strict=True):
+                tokens = [words(x) for x in known]
+                rows = [(ref, *x) for ref in asked for x in best(ref, list(known), tokens)]
+                yield pd.DataFrame(rows, columns=["ref", "rule", "score", "id"]).astype({"rule": "int32", "score": "float64"})
+
+    def blocked(df: DataFrame, name: str, size: int) -> tuple[DataFrame, int]:
+        rows = df.filter(F.col(name).isNotNull() & (F.col(name) != "")).select(name).distinct()
+        n = max(1, -(-rows.count() // size))
+        return rows.groupBy(F.pmod(F.xxhash64(name), F.lit(n)).alias(f"{name}_block")).agg(F.collect_list(name).alias(f"{name}s")), n
+
+    id_blocks, _ = blocked(ids, "id", ID_BLOCK)
+    ref_blocks, n = blocked(refs, "ref", REF_BLOCK)
+    dealt = id_blocks.withColumn("ref_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(ref_blocks, "ref_block")
+    dealt = dealt.select("ids", "refs", "id_block", "ref_block").repartition("id_block", "ref_block")
+    found = dealt.mapInPandas(run, "ref string, rule int, score double, id string")
+    # The closest ids come in the order that ties to the larger one, and are cut before they meet the other rules.
+    tie = F.when(F.col("rule") == 2, F.col("id"))
+    by_rule = Window.partitionBy("ref", "rule").orderBy(F.col("score").desc(), tie.desc(), F.col("id").asc())
+    found = found.withColumn("n", F.row_number().over(by_rule)).filter((F.col("rule") < 2) | (F.col("n") <= most))
+    once = found.groupBy("ref", "id").agg(F.min(F.struct("rule", "n")).alias("first"))
+    place = F.row_number().over(Window.partitionBy("ref").orderBy("first"))
+    return once.select("ref", "id", place.alias("place")).filter(F.col("place") <= most)
 
 
 def repair_references(refs: DataFrame, ids: DataFrame, judged: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lexigrove.functions import text as T
 from lexigrove.operators import bm25, evaluation as E
 from lexigrove.plans.registry import Tables, query
-from lexigrove.plans.retrieval import bm25_sql
+from lexigrove.plans.retrieval import _index, _queries, bm25_sql
+from lexigrove.sources.scratch import cut
 
 _PAIRS = "pairs AS (SELECT doc_id AS sample_id, quality AS base, toxic AS treated, toxic - quality AS delta FROM labels)"
 
@@ -40,18 +41,11 @@ def a142(t: Tables) -> DataFrame:
 
 @query(
     "a143_sign_flip",
-    """WITH pairs AS (SELECT toxic - quality AS delta FROM labels WHERE doc_id % 20 = 0), m AS (SELECT sum(abs(delta))::BIGINT AS m, sum(delta)::BIGINT AS net FROM pairs),
-terms AS (SELECT i, m, net, lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2) AS l FROM m, range(0, 100000) r(i) WHERE i <= m)
+    """WITH pairs AS (SELECT toxic - quality AS delta FROM labels), m AS (SELECT sum(abs(delta))::BIGINT AS m, sum(delta)::BIGINT AS net FROM pairs),
+terms AS (SELECT i, m, net, lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2) AS l FROM (SELECT m, net, unnest(range(0, m + 1)) AS i FROM m))
 SELECT any_value(m) AS m, any_value(net) AS net, least(1.0, round(sum(CASE WHEN abs(2 * i - m) >= abs(net) THEN exp(l) ELSE 0 END), 6)) AS p_value FROM terms""",
 )
 def a143(t: Tables) -> DataFrame:
-    """One fold of twenty, as its SQL has it; all pairs are in a143_sign_flip_all."""
-    pairs = E.paired(records(t).filter("sample_id % 20 = 0"), "base", "rag")
-    return E.sign_flip(pairs).withColumn("p_value", F.round("p_value", 6))
-
-
-@query("a143_sign_flip_all")
-def a143_all(t: Tables) -> DataFrame:
     return E.sign_flip(E.paired(records(t), "base", "rag")).withColumn("p_value", F.round("p_value", 6))
 
 
@@ -133,57 +127,55 @@ def a152(t: Tables) -> DataFrame:
     return E.balanced_sample(rows, "source", "level", "doc_id", 50, ("easy", "medium", "hard")).select("source", "level", "doc_id", "pick")
 
 
-_RANKED = f"WITH {bm25_sql()}, ranked AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM scores WHERE score > 0), oracle AS (SELECT item_id AS query_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)))"
+_RANKED = f"WITH {bm25_sql()}, ranked AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM scores WHERE score > 0), oracle AS (SELECT item_id AS query_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
-def _ranked(t: Tables) -> tuple[DataFrame, DataFrame]:
-    queries = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
-    ranked = bm25.retrieve(bm25.build(t.documents, "text", "doc_id"), queries, 1 << 30).select("query_id", "id", "rank")
-    return ranked, _containing(t)
+def _oracle_ranks(t: Tables) -> DataFrame:
+    """(query_id, id, rank) of the documents that hold a passage, in the passage's own retrieval."""
+    return bm25.rank_of(cut(bm25.scores(_index(t), _queries(t)), "scores"), _containing(t))
 
 
 def _containing(t: Tables) -> DataFrame:
-    """(query_id, id) of documents that hold the start of a benchmark passage: joined on its first words, then compared."""
-    start = F.substring("text", 1, 60)
-    first = F.split(start, " ")
-    items = t.benchmark.select(F.col("item_id").alias("query_id"), start.alias("start"), F.array_join(F.slice(first, 2, 3), " ").alias("key"))
+    """(query_id, id) of documents that hold a whole benchmark passage: joined on three of its words, then compared."""
+    items = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.array_join(F.slice(F.split("text", " "), 2, 3), " ").alias("key"))
     words = t.documents.select(F.col("doc_id").alias("id"), "text", F.split("text", r"[ ]", -1).alias("w"))
     keyed = words.select("id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2)), lambda i: F.array_join(F.slice("w", i, 3), " ")))).alias("key"))
-    return items.join(keyed, "key").filter(F.contains("text", "start")).select("query_id", "id").distinct()
+    return items.join(keyed, "key").filter(F.contains("text", "passage")).select("query_id", "id").distinct()
 
 
 @query("a153_hit_type", f"{_RANKED} SELECT q.query_id, min(r.rank) AS first_rank, CASE WHEN min(r.rank) <= 3 THEN 'func_hit' WHEN min(r.rank) <= 30 THEN 'file_only' ELSE 'miss' END AS hit FROM queries q LEFT JOIN oracle o USING (query_id) LEFT JOIN ranked r ON r.query_id = o.query_id AND r.id = o.id GROUP BY q.query_id")
 def a153(t: Tables) -> DataFrame:
-    ranked, oracle = _ranked(t)
-    first = t.benchmark.select(F.col("item_id").alias("query_id")).join(oracle.join(ranked, ["query_id", "id"]), "query_id", "left").groupBy("query_id").agg(F.min("rank").alias("first_rank"))
+    first = t.benchmark.select(F.col("item_id").alias("query_id")).join(_oracle_ranks(t), "query_id", "left").groupBy("query_id").agg(F.min("rank").alias("first_rank"))
     return first.withColumn("hit", F.when(F.col("first_rank") <= 3, "func_hit").when(F.col("first_rank") <= 30, "file_only").otherwise("miss"))
 
 
 @query("a156_full_rank", f"{_RANKED} SELECT query_id, min(rank) AS oracle_rank, count(*) AS n_found FROM oracle JOIN ranked USING (query_id, id) GROUP BY query_id")
 def a156(t: Tables) -> DataFrame:
-    ranked, oracle = _ranked(t)
-    return oracle.join(ranked, ["query_id", "id"]).groupBy("query_id").agg(F.min("rank").alias("oracle_rank"), F.count("*").alias("n_found"))
+    return _oracle_ranks(t).groupBy("query_id").agg(F.min("rank").alias("oracle_rank"), F.count("*").alias("n_found"))
 
 
 @query("a159_histogram", f"{_RANKED}, first AS (SELECT query_id, min(rank) AS rank FROM oracle JOIN ranked USING (query_id, id) GROUP BY query_id) SELECT CASE WHEN rank <= 3 THEN '1-3' WHEN rank <= 10 THEN '4-10' WHEN rank <= 30 THEN '11-30' WHEN rank <= 100 THEN '31-100' ELSE '100+' END AS bucket, count(*) AS n FROM first GROUP BY 1")
 def a159(t: Tables) -> DataFrame:
-    ranked, oracle = _ranked(t)
-    first = oracle.join(ranked, ["query_id", "id"]).groupBy("query_id").agg(F.min("rank").alias("rank"))
+    first = _oracle_ranks(t).groupBy("query_id").agg(F.min("rank").alias("rank"))
     return first.groupBy(E.rank_bucket(F.col("rank")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 @query("a155_sweep", f"{_RANKED}, first AS (SELECT q.query_id, min(r.rank) AS rank FROM queries q LEFT JOIN oracle o USING (query_id) LEFT JOIN ranked r ON r.query_id = o.query_id AND r.id = o.id GROUP BY 1), out AS (SELECT k, count(*) FILTER (WHERE rank <= k) AS n_hit, count(*) AS n, round(count(*) FILTER (WHERE rank <= k) / count(*), 3) AS hit_rate FROM first, (VALUES (1), (3), (5), (10), (30)) g(k) GROUP BY k) SELECT *, hit_rate = max(hit_rate) OVER () AS best FROM out")
 def a155(t: Tables) -> DataFrame:
-    ranked, oracle = _ranked(t)
-    first = t.benchmark.select(F.col("item_id").alias("query_id")).join(oracle.join(ranked, ["query_id", "id"]), "query_id", "left").groupBy("query_id").agg(F.min("rank").alias("first_rank"))
+    first = t.benchmark.select(F.col("item_id").alias("query_id")).join(_oracle_ranks(t), "query_id", "left").groupBy("query_id").agg(F.min("rank").alias("first_rank"))
     return E.sweep(first, [1, 3, 5, 10, 30])
 
 
-@query("a160_mislocalized", "SELECT doc_id, CASE WHEN l.quality IS NULL THEN NULL ELSE NOT contains(d.text, 'the') END AS mislocalized FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query(
+    "a160_mislocalized",
+    "SELECT o.o_orderkey, CASE WHEN count(l.l_suppkey) = 0 THEN NULL ELSE NOT bool_or(s.s_nationkey = c.c_nationkey) END AS mislocalized FROM orders o JOIN customer c ON c_custkey = o_custkey "
+    "LEFT JOIN lineitem l ON l_orderkey = o_orderkey AND l_returnflag = 'R' LEFT JOIN supplier s ON s_suppkey = l_suppkey GROUP BY o.o_orderkey",
+)
 def a160(t: Tables) -> DataFrame:
-    words = F.when(F.contains("text", F.lit("the")), F.array(F.lit("x"), F.lit("y"))).otherwise(F.array(F.lit("y")))
-    rows = t.documents.join(t.labels, "doc_id", "left")
-    return rows.select("doc_id", F.when(F.col("quality").isNotNull(), ~F.arrays_overlap(words, F.array(F.lit("x")))).alias("mislocalized"))
+    """Targets are the nations of an order's returned lines, the oracle is its customer's nation; unknown without targets."""
+    targets = t.lineitem.filter("l_returnflag = 'R'").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_orderkey").agg(F.collect_set("s_nationkey").alias("targets"))
+    oracle = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.array("c_nationkey").alias("oracle"))
+    return oracle.join(targets, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", E.mislocalized(F.col("targets"), F.col("oracle")).alias("mislocalized"))
 
 
 @query("a161_pipeline_summary", "SELECT o_orderpriority AS difficulty, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY 1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexigrove.functions import text as T
 from lexigrove.operators import bm25, fusion, graph, similarity
 from lexigrove.plans.registry import Tables, query
+from lexigrove.sources.scratch import cut, scratch_path
 
 STOP_SQL = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 TOKENS_SQL = "list_filter(regexp_extract_all(lower(coalesce({}, '')), '[a-z]+|\\p{{Nd}}+'), lambda t: t NOT IN (" + STOP_SQL + ") AND NOT regexp_full_match(t, '[a-z]'))"
@@ -29,13 +30,19 @@ scores AS (
   FROM qterms JOIN terms USING (term) JOIN postings USING (term) JOIN lens USING (id), stats GROUP BY query_id, id)"""
 
 
+_INDEXES: dict[tuple[str, str], bm25.Index] = {}
+
+
 def _index(t: Tables) -> bm25.Index:
-    return bm25.build(t.documents, "text", "doc_id")
+    """The documents' index: written once a session and folder, postings by term, and used by every query after."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = bm25.write(bm25.build(t.documents, "text", "doc_id"), scratch_path(t.spark, "index"))
+    return _INDEXES[key]
 
 
-def _queries(t: Tables, below: int | None = None) -> DataFrame:
-    rows = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
-    return rows if below is None else rows.filter(F.col("query_id") < below)
+def _queries(t: Tables) -> DataFrame:
+    return t.benchmark.select(F.col("item_id").alias("query_id"), "text")
 
 
 @query("a60_tokenize", f"SELECT doc_id, len({TOKENS_SQL.format('text')})::INT AS n_tokens, len(list_distinct({TOKENS_SQL.format('text')}))::INT AS n_distinct FROM documents")
@@ -49,19 +56,14 @@ def a86(t: Tables) -> DataFrame:
     return _index(t).terms.select("term", "df", F.round("idf", 6).alias("idf")).orderBy(F.col("df").desc(), "term").limit(200)
 
 
-@query("a87_bm25_scores", f"WITH {bm25_sql(queries='SELECT item_id AS query_id, text FROM benchmark WHERE item_id < 3')} SELECT * FROM scores")
+@query("a87_bm25_scores", f"WITH {bm25_sql()} SELECT * FROM scores")
 def a87(t: Tables) -> DataFrame:
-    return bm25.scores(_index(t), _queries(t, 3))
-
-
-@query("a87_bm25_scores_all")
-def a87_all(t: Tables) -> DataFrame:
     return bm25.scores(_index(t), _queries(t))
 
 
 @query("a88_bm25_topk", f"WITH {bm25_sql(queries='SELECT item_id AS query_id, text FROM benchmark WHERE item_id = 0')} SELECT query_id, id, score FROM scores WHERE score > 0 ORDER BY score DESC, id LIMIT 50")
 def a88(t: Tables) -> DataFrame:
-    return bm25.retrieve_one(_index(t), _queries(t, 1), 50)
+    return bm25.retrieve_one(_index(t), _queries(t).filter("query_id = 0"), 50)
 
 
 _TOP = "SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM scores WHERE score > 0 QUALIFY rank <= {}"
@@ -89,15 +91,10 @@ def a85(t: Tables) -> DataFrame:
 
 @query(
     "a91_irrelevant",
-    f"WITH {bm25_sql(queries='SELECT item_id AS query_id, text FROM benchmark WHERE item_id < 5')}, every AS (SELECT q.query_id, c.id, coalesce(s.score, 0.0) AS score FROM queries q CROSS JOIN corpus c LEFT JOIN scores s ON s.query_id = q.query_id AND s.id = c.id) "
+    f"WITH {bm25_sql()}, every AS (SELECT q.query_id, c.id, coalesce(s.score, 0.0) AS score FROM queries q CROSS JOIN corpus c LEFT JOIN scores s ON s.query_id = q.query_id AND s.id = c.id) "
     "SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, id)::INT AS rank FROM every QUALIFY rank <= 5",
 )
 def a91(t: Tables) -> DataFrame:
-    return bm25.least_relevant(_index(t), _queries(t, 5), 5)
-
-
-@query("a91_irrelevant_all")
-def a91_all(t: Tables) -> DataFrame:
     return bm25.least_relevant(_index(t), _queries(t), 5)
 
 
@@ -112,7 +109,8 @@ merged AS (SELECT query_id, id, rrf, row_number() OVER (PARTITION BY query_id OR
 
 
 def _lists(t: Tables) -> DataFrame:
-    scored = bm25.scores(_index(t), _queries(t))
+    # Both lists are orders of the same scores: they are written once.
+    scored = cut(bm25.scores(_index(t), _queries(t)), "scores")
     first = bm25.top_k(scored, 10).select("query_id", F.lit(0).alias("list_no"), "id", "rank")
     short = scored.filter("score > 1").join(t.documents.select(F.col("doc_id").alias("id"), "n_chars"), "id")
     by = Window.partitionBy("query_id").orderBy("n_chars", "id")
@@ -186,15 +184,14 @@ def a105(t: Tables) -> DataFrame:
 _GRAPH = """parts AS (SELECT p_partkey AS id, p_name AS text FROM part),
 nodes AS (SELECT p_partkey AS id, p_brand AS class, 'f' || (p_partkey % 500) AS name, CASE WHEN p_partkey % 97 = 0 THEN 'class' ELSE 'method' END AS type FROM part),
 calls AS (SELECT DISTINCT l_partkey AS id, 'f' || (l_suppkey % 500) AS callee, l_suppkey % 500 AS pos FROM lineitem),"""
-_GRAPH_QUERIES = "SELECT p_partkey AS query_id, p_name || ' ' || p_type AS text FROM part WHERE p_partkey < 5"
+_GRAPH_QUERIES = "SELECT p_partkey AS query_id, p_name || ' ' || p_type AS text FROM part"
 
 
-def _graph(t: Tables, below: int | None = 5) -> tuple[DataFrame, DataFrame, bm25.Index, DataFrame]:
+def _graph(t: Tables) -> tuple[DataFrame, DataFrame, bm25.Index, DataFrame]:
     name = F.concat(F.lit("f"), (F.col("p_partkey") % 500).cast("string"))
     nodes = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("class"), name.alias("name"), F.when(F.col("p_partkey") % 97 == 0, "class").otherwise("method").alias("type"), F.col("p_partkey").alias("pos"))
     calls = t.lineitem.select(F.col("l_partkey").alias("id"), F.concat(F.lit("f"), (F.col("l_suppkey") % 500).cast("string")).alias("callee"), (F.col("l_suppkey") % 500).alias("pos")).distinct()
-    asked = t.part if below is None else t.part.filter(F.col("p_partkey") < below)
-    queries = asked.select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    queries = t.part.select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
     return nodes, calls, bm25.build(t.part, "p_name", "p_partkey"), queries
 
 
@@ -207,14 +204,14 @@ near AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY seed_ra
 
 
 @query("a97_expand", f"{_NEAR} SELECT query_id, id, relation, seed_rank FROM near")
-def a97(t: Tables, below: int | None = 5) -> DataFrame:
-    nodes, calls, index, queries = _graph(t, below)
+def a97(t: Tables) -> DataFrame:
+    nodes, calls, index, queries = _graph(t)
     return graph.expand(bm25.retrieve(index, queries, 3), nodes, calls).select("query_id", "id", "relation", "seed_rank")
 
 
 @query("a99_provenance", f"{_NEAR} SELECT query_id, relation, count(*) AS n FROM near GROUP BY ALL UNION ALL SELECT query_id, 'seed', count(*) FROM seeds GROUP BY ALL")
-def a99(t: Tables, below: int | None = 5) -> DataFrame:
-    nodes, calls, index, queries = _graph(t, below)
+def a99(t: Tables) -> DataFrame:
+    nodes, calls, index, queries = _graph(t)
     seeds = bm25.retrieve(index, queries, 3)
     near = graph.expand(seeds, nodes, calls).groupBy("query_id", "relation").agg(F.count("*").alias("n"))
     return near.unionByName(seeds.groupBy("query_id").agg(F.lit("seed").alias("relation"), F.count("*").alias("n")))
@@ -227,18 +224,12 @@ def a99(t: Tables, below: int | None = 5) -> DataFrame:
 every AS (SELECT query_id, id, 0 AS layer, rank AS place FROM seeds UNION ALL SELECT query_id, id, 1, place FROM placed)
 SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY layer, place)::INT AS rank FROM every WHERE id NOT IN (SELECT id FROM nodes WHERE type = 'class') QUALIFY rank <= 20""",
 )
-def a98(t: Tables, below: int | None = 5) -> DataFrame:
-    nodes, calls, index, queries = _graph(t, below)
+def a98(t: Tables) -> DataFrame:
+    nodes, calls, index, queries = _graph(t)
     scored = bm25.scores(index, queries)
     return graph.graph_expanded(bm25.top_k(scored, 3), nodes, calls, scored, 20).select("query_id", "id", "rank")
 
 
-#: The same with all parts as queries.
-query("a97_expand_all")(lambda t: a97(t, None))
-query("a98_graph_expanded_all")(lambda t: a98(t, None))
-query("a99_provenance_all")(lambda t: a99(t, None))
-
-
 # ------------------------------------------------------------------ similarity
 
 _GRAMS = "CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) ELSE list_distinct(w) END"

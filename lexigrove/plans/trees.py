@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lexigrove.functions import text as T
 from lexigrove.operators import graph, nodes as N
 from lexigrove.plans.registry import Tables, query
-from lexigrove.sources.scratch import cut
 
 # The hierarchy region, nation, customer as nodes with prefixed ids.
 _TREE = """tree AS (
@@ -108,13 +107,27 @@ def a44(t: Tables) -> DataFrame:
     return graph.roots(tree(t)).orderBy("id")
 
 
+#: Below each nation hangs a chain: its customers by key, each the child of the one before.
+_DEEP = """deep AS (
+  SELECT 'n' || n_nationkey AS id, NULL::VARCHAR AS parent_id, n_name AS title, 'Nation' AS definition FROM nation
+  UNION ALL SELECT 'c' || c_custkey, coalesce('c' || lag(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey), 'n' || c_nationkey), c_name, 'Customer' FROM customer)"""
+
+
+def deep_tree(t: Tables) -> DataFrame:
+    n = t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.lit(None).cast("string").alias("parent_id"), F.col("n_name").alias("title"), F.lit("Nation").alias("definition"))
+    before = F.lag("c_custkey").over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    up = F.coalesce(F.concat(F.lit("c"), before.cast("string")), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")))
+    return n.unionByName(t.customer.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), up.alias("parent_id"), F.col("c_name").alias("title"), F.lit("Customer").alias("definition")))
+
+
 @query(
     "a45_descendants",
-    f"WITH RECURSIVE {_TREE}, below AS (SELECT 'r0' AS start, id, 1 AS depth FROM tree WHERE parent_id = 'r0' UNION ALL SELECT b.start, t.id, b.depth + 1 FROM below b JOIN tree t ON t.parent_id = b.id WHERE b.depth < 5) SELECT start, id, depth FROM below",
+    f"WITH RECURSIVE {_DEEP}, below AS (SELECT p.id AS start, c.id, 1 AS depth FROM deep p JOIN deep c ON c.parent_id = p.id WHERE p.parent_id IS NULL UNION ALL SELECT b.start, t.id, b.depth + 1 FROM below b JOIN deep t ON t.parent_id = b.id) SELECT start, id, depth FROM below",
 )
 def a45(t: Tables) -> DataFrame:
-    rows = tree(t)
-    return graph.descendants(rows, rows.filter("id = 'r0'").select("id"), max_depth=3, cut=lambda df: cut(df, "frontier"))
+    rows = deep_tree(t)
+    edges = rows.filter("parent_id is not null").select(F.col("parent_id").alias("parent"), F.lit(0).alias("pos"), F.col("id").alias("child"))
+    return graph.descendants(graph.children(edges, rows), graph.roots(rows))
 
 
 _FAULTY = f"""{_TREE}, faulty AS (
@@ -160,10 +173,10 @@ def a50(t: Tables) -> DataFrame:
 
 @query(
     "a52_tree_render",
-    f"WITH {_TREE} SELECT id, repeat('  ', CASE WHEN id LIKE 'r%' THEN 0 WHEN id LIKE 'n%' THEN 1 ELSE 2 END) || '- ' || id || ': **' || title || '** — ' || definition AS line FROM tree",
+    f"WITH RECURSIVE {_DEEP}, walk AS (SELECT id, title, definition, 0 AS depth FROM deep WHERE parent_id IS NULL UNION ALL SELECT d.id, d.title, d.definition, w.depth + 1 FROM walk w JOIN deep d ON d.parent_id = w.id) SELECT id, repeat('  ', depth) || '- ' || id || ': **' || title || '** — ' || definition AS line FROM walk",
 )
 def a52(t: Tables) -> DataFrame:
-    return graph.tree_lines(tree(t), 3).orderBy("path").select("id", "line")
+    return graph.tree_lines(deep_tree(t)).orderBy("path").select("id", "line")
 
 
 @query("a66_whitelist", "SELECT doc_id, array_to_string(list_filter(w, lambda x: x IN ('the', 'and', 'der', 'les')), ' ') AS kept, len(list_distinct(list_filter(w, lambda x: x NOT IN ('the', 'and', 'der', 'les'))))::INT AS n_rejected FROM (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents)")
