@@ -123,3 +123,83 @@ def longest_diff(response: Column) -> Column:
     found = F.regexp_extract_all(response, F.lit(r"(?s)(diff --git .*?)(?=diff --git |```|\z)"), F.lit(1))
     longest = F.aggregate(found, F.lit("").cast("string"), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
     return F.nullif(longest, F.lit(""))
+
+
+def balanced_json(response: Column) -> Column:
+    """The JSON object of a response as text: fences dropped, the whole if it parses, else from the first ``{`` to its match.
+
+    Null where there is none or where it does not parse. Brackets are counted as they stand, strings included.
+    """
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(response, r"^\s+|\s+$", ""), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    parses = lambda x: F.get_json_object(F.concat(F.lit('{"x":'), x, F.lit("}")), "$.x").isNotNull()
+    # Depth after each bracket; the match of the first is where the depth is back at none.
+    start = F.instr(text, "{")
+    rest = F.substr(text, start)
+    pieces = F.split(rest, r"(?<=[{}])", -1)
+    step = lambda x: F.when(x.endswith("{"), 1).when(x.endswith("}"), -1).otherwise(0)
+    state = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"), F.lit(False).alias("closed"))
+
+    def take(s: Column, x: Column) -> Column:
+        depth = s["depth"] + step(x)
+        return F.when(s["closed"], s).otherwise(F.struct(depth.alias("depth"), F.concat(s["text"], x).alias("text"), ((depth == 0) & x.endswith("}")).alias("closed")))
+
+    block = F.aggregate(pieces, state, take)
+    found = F.when((start > 0) & block["closed"], block["text"])
+    whole = text.rlike(r"(?s)^[\[{].*[\]}]$") & parses(text)
+    return F.when(whole, text).when(parses(found), found)
+
+
+def inject_fields(inject: Column) -> Column:
+    """(qualified, name, file, start_line, end_line, type) that a rendered node tells; null where it does not."""
+    got = lambda rx, n: F.nullif(F.regexp_extract(inject, rx, n), F.lit(""))
+    qualified = got(r"## (?:function|class|method): ([\w.]+)", 1)
+    place = r"Location: (\S+?):(\d+)-(\d+)"
+    return F.struct(
+        qualified.alias("qualified"), F.substring_index(qualified, ".", -1).alias("name"), got(place, 1).alias("file"),
+        got(place, 2).cast("int").alias("start_line"), got(place, 3).cast("int").alias("end_line"), got(r"Type: (\w+)", 1).alias("type"),
+    )
+
+
+def repaired_diff(response: Column) -> Column:
+    """A diff as a model wrote it, put right: fences, text before it, a missing space in its header, made-up index lines, text after it."""
+    fenced = F.regexp_extract(response, r"(?s)```(?:diff)?[ \t]*\n(.+?)\n```", 1)
+    text = F.when(fenced != "", fenced).otherwise(response)
+    diff = F.regexp_extract(text, r"(?s)(diff\s?--git\s+a/.*)", 1)
+    text = F.regexp_replace(F.when(diff != "", diff).otherwise(text), "^diff--git", "diff --git")
+    lines = F.split(text, "\n", -1)
+    real = r"^index\s+[0-9a-f]{7,40}\.\.[0-9a-f]{7,40}(\s+\d+)?$"
+    made_up = lambda x: x.rlike(r"(?i)^index\s+(someindex|XXX|placeholder)") | x.rlike(r"^index\s+\w+\.\.\w+(\s+\d+)?$") & ~x.rlike(real)
+    kept = F.filter(lines, lambda x: ~made_up(x))
+    hunks = F.filter(F.sequence(F.lit(1), F.size(kept)), lambda i: F.element_at(kept, i).rlike(r"@@\s+-\d+"))
+    last = F.when(F.size(hunks) > 0, F.element_at(hunks, -1)).otherwise(F.size(kept))
+    # After the last hunk's header, the first line that is no part of a diff ends it.
+    prose = F.filter(F.sequence(F.lit(1), F.size(kept)), lambda i: (i > last) & (F.element_at(kept, i) != "") & ~F.element_at(kept, i).rlike(r"^[ +\-@\\]") & ~F.element_at(kept, i).startswith("diff --git"))
+    end = F.when(F.size(prose) > 0, F.element_at(prose, 1) - 1).otherwise(F.size(kept))
+    return F.regexp_replace(F.array_join(F.slice(kept, 1, end), "\n"), r"^\s+|\s+$", "")
+
+
+def defined_names(source: Column) -> Column:
+    """Names that ``def`` lines of a text define, in order, each once."""
+    return F.array_distinct(F.regexp_extract_all(source, F.lit(r"def\s+(\w+)\s*\("), F.lit(1)))
+
+
+# Class prefixes of API names and what stands for them in ids, in this order.
+API_PREFIXES = (("DataFrame.", "df_"), ("LazyFrame.", "lf_"), ("Expr.", ""), ("Series.", "series_"))
+
+
+def api_id(qualified: Column, package: str) -> Column:
+    """Id of an API name: the package, then the name with class prefixes shortened and dots as underscores."""
+    tail = F.when(qualified.startswith(f"{package}."), F.substr(qualified, F.lit(len(package) + 2))).otherwise(qualified)
+    for prefix, short in API_PREFIXES:
+        tail = F.replace(tail, F.lit(prefix), F.lit(short))
+    return F.concat(F.lit(f"{package}_"), F.lower(F.replace(tail, F.lit("."), F.lit("_"))))
+
+
+def api_name(name: Column, package: str, aliases: dict[str, str]) -> Column:
+    """Qualified API name: an alias in front is replaced, a bare class gets the package."""
+    head = F.substring_index(name, ".", 1)
+    rest = F.substr(name, F.length(head) + F.lit(1))
+    out = F.when(head.isin("DataFrame", "LazyFrame", "Series", "Expr"), F.concat(F.lit(f"{package}."), name)).otherwise(name)
+    for alias, full in aliases.items():
+        out = F.when(head == alias, F.concat(F.lit(full), rest)).otherwise(out)
+    return out

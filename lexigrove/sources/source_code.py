@@ -10,7 +10,7 @@ import ast
 import difflib
 import re
 import textwrap
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -156,20 +156,57 @@ def doctests(doc: str | None) -> list[dict]:
 
 # ------------------------------------------------------- answers to file edits
 
+_FENCE = r"```(?:python|py|diff)?[ \t]*\n"
 _PAIR_FORMS = (
+    re.compile(rf"BEFORE\s*:?\s*\n{_FENCE}(.*?)\n```\s*AFTER\s*:?\s*\n{_FENCE}(.*?)\n```", re.S | re.I),
+    re.compile(rf"{_FENCE}(?:#\s*)?BEFORE\s*\n(.*?)\n(?:#\s*)?AFTER\s*\n(.*?)\n```", re.S | re.I),
+    re.compile(r"<before>\s*?\n?(.*?)\n?[ \t]*</before>\s*<after>\s*?\n?(.*?)\n?[ \t]*</after>", re.S | re.I),
     re.compile(r"<<<<<<< SEARCH\n(.*?)\n=======\n(.*?)\n>>>>>>> REPLACE", re.S),
-    re.compile(r"BEFORE:\s*```[a-z]*\n(.*?)```\s*AFTER:\s*```[a-z]*\n(.*?)```", re.S),
-    re.compile(r"<before>\n?(.*?)\n?</before>\s*<after>\n?(.*?)\n?</after>", re.S),
 )
+_WHOLE = re.compile(rf"{_FENCE}(def\s+\w+\s*\(.*?)\n```", re.S | re.I)
+_DEF = re.compile(r"\s*def\s+(\w+)\s*\(")
+#: Characters of a function that is taken as a whole, and of a line that may stand for a block.
+WHOLE_CHARS, ANCHOR_CHARS = 30, 15
+_COMMON = frozenset(("pass", "continue", "break", "return", "else:", "try:", "except:"))
 
 
 def edit_pairs(answer: str | None) -> list[tuple[str, str]]:
-    """(before, after) texts of an answer, by the first form that has any."""
+    """(before, after) texts of an answer, by the first form that has any.
+
+    Forms: two fenced blocks, one block with BEFORE and AFTER lines, tags,
+    conflict marks; else whole functions, with an empty ``before``.
+    """
     for form in _PAIR_FORMS:
-        found = [(a.rstrip("\n"), b.rstrip("\n")) for a, b in form.findall(answer or "")]
+        found = [(a.strip("\n"), b.strip("\n")) for a, b in form.findall(answer or "") if a.strip() and b.strip()]
         if found:
             return found
-    return []
+    return [("", x.rstrip("\n")) for x in _WHOLE.findall(answer or "") if len(x.rstrip("\n")) >= WHOLE_CHARS]
+
+
+def whole_function(before: str, after: str) -> str | None:
+    """Name of the function that an edit replaces as a whole, if it does.
+
+    It does if there is no ``before``, or if both texts start with the
+    definition of one function, whose ``before`` may then be incomplete.
+    """
+    new, old = _DEF.match(after), _DEF.match(before)
+    if not new or len(after) < WHOLE_CHARS or before.strip() and (not old or old[1] != new[1]):
+        return None
+    return new[1]
+
+
+def completed(before: str, after: str, body: str | None) -> tuple[str, str]:
+    """The edit with the retrieved body of its function as ``before``, and ``after`` moved to its indentation."""
+    if body is None or not whole_function(before, after):
+        return before, after
+    return body, shift(after, uniform(body)[1] - uniform(after)[1])
+
+
+def uniform(text: str) -> tuple[str, int]:
+    """Text without the indentation that all its lines with content share, and its width."""
+    lines = text.split("\n")
+    width = min((len(x) - len(x.lstrip(" ")) for x in lines if x.strip()), default=0)
+    return "\n".join(x[width:] if x.strip() else x for x in lines), width
 
 
 def indent_of(text: str) -> int:
@@ -186,22 +223,32 @@ def shift(text: str, delta: int) -> str:
 def find_anchor(source: str, before: str) -> tuple[int, str, str]:
     """(offset or -1, matched text, status): exact at a line start, indent_corrected, fuzzy, or not_found.
 
-    fuzzy takes the longest line of 15 characters or more that stands once in
-    the source and is no comment.
+    indent_corrected moves the whole block by one width, so its inner nesting
+    must be that of the source. fuzzy stands for a block by its longest line of
+    15 characters or more that is no comment and no common keyword, where it
+    occurs first.
     """
+    if not before.strip():
+        return -1, "", "not_found"
     at = source.find(before)
     while at > 0 and source[at - 1] != "\n":
         at = source.find(before, at + 1)
-    if before and at >= 0:
+    if at >= 0:
         return at, before, "exact"
-    wanted, lines = [x.strip() for x in before.split("\n")], source.split("\n")
+    lines, wanted = source.split("\n"), before.strip("\n").split("\n")
+    offset = lambda k: sum(len(x) + 1 for x in lines[:k])
+    width = lambda x: len(x) - len(x.lstrip(" "))
     for k in range(len(lines) - len(wanted) + 1):
-        if wanted != [""] and [x.strip() for x in lines[k : k + len(wanted)]] == wanted:
-            return sum(len(x) + 1 for x in lines[:k]), "\n".join(lines[k : k + len(wanted)]), "indent_corrected"
-    for line in sorted((x for x in wanted if len(x) >= 15 and not x.startswith("#")), key=len, reverse=True):
-        hits = [k for k, x in enumerate(lines) if x.strip() == line]
-        if len(hits) == 1:
-            return sum(len(x) + 1 for x in lines[: hits[0]]), lines[hits[0]], "fuzzy"
+        if lines[k].strip() == wanted[0].strip():
+            moved = shift("\n".join(wanted), width(lines[k]) - width(wanted[0])).split("\n")
+            if all(a.rstrip() == b.rstrip() for a, b in zip(moved, lines[k : k + len(wanted)], strict=True)):
+                return offset(k), "\n".join(lines[k : k + len(wanted)]), "indent_corrected"
+    telling = [x.strip() for x in wanted if len(x.strip()) >= ANCHOR_CHARS and not x.strip().startswith("#") and x.strip() not in _COMMON]
+    if telling:
+        line = max(telling, key=len)
+        hit = next((k for k, x in enumerate(lines) if x.strip() == line), None)
+        if hit is not None:
+            return offset(hit), lines[hit], "fuzzy"
     return -1, "", "not_found"
 
 
@@ -209,8 +256,8 @@ def unified_diff(path: str, source: str, pairs: list[tuple[str, str]]) -> tuple[
     """Diff of all edits that are found, applied from the bottom up, and each edit's status."""
     found = [(*find_anchor(source, before), after) for before, after in pairs]
     new = source
-    for at, matched, status, after in sorted(found, key=lambda x: -x[0]):
-        if at >= 0 and status != "fuzzy":
+    for at, matched, _, after in sorted(found, key=lambda x: -x[0]):
+        if at >= 0:
             new = new[:at] + shift(after, indent_of(matched) - indent_of(after)) + new[at + len(matched) :]
     body = "\n".join(difflib.unified_diff(source.split("\n"), new.split("\n"), f"a/{path}", f"b/{path}", lineterm="", n=3))
     return (f"diff --git a/{path} b/{path}\n{body}\n" if body else ""), [x[2] for x in found]
@@ -225,3 +272,129 @@ def diffs(answers: DataFrame, files: DataFrame) -> DataFrame:
         return pd.DataFrame([(key[0], text, status)], columns=["path", "diff", "statuses"])
 
     return answers.join(files, "path").groupBy("path").applyInPandas(run, "path string, diff string, statuses array<string>")
+
+
+def find_edits(edits: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """(edit_id, rank, file, line, matched, status) where the ``before`` of an edit is found in a text with the same ``key``.
+
+    ``edits`` gives (edit_id, before), ``texts`` (rank, file, start_line, content).
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for e, rank, file, start, before, content in frame.itertuples(index=False):
+                at, matched, status = find_anchor(content or "", before or "")
+                if at >= 0:
+                    rows.append((e, rank, file, start + content.count("\n", 0, at), matched, status))
+            yield pd.DataFrame(rows, columns=["edit_id", "rank", "file", "line", "matched", "status"])
+
+    pairs = edits.join(texts, key).select("edit_id", "rank", "file", "start_line", "before", "content")
+    return pairs.mapInPandas(run, "edit_id long, rank long, file string, line long, matched string, status string")
+
+
+def locate(edits: DataFrame, ranked: DataFrame, files: DataFrame) -> DataFrame:
+    """(edit_id, file, line, matched, status): the first retrieved node with the text, else the first of their files, else not_found.
+
+    ``edits`` gives (query_id, edit_id, before); ``ranked`` (query_id, rank,
+    file, start_line, source) gives the retrieved nodes; ``files`` (file, content).
+    """
+    best = lambda df: df.groupBy("edit_id").agg(F.min_by(F.struct("file", "line", "matched", "status"), "rank").alias("m")).select("edit_id", "m.*")
+    texts = ranked.filter("file is not null and coalesce(source, '') <> ''")
+    near = best(find_edits(edits, texts.select("query_id", F.col("rank").cast("long").alias("rank"), "file", F.coalesce(F.col("start_line"), F.lit(1)).cast("long").alias("start_line"), F.col("source").alias("content")), "query_id"))
+    left = edits.join(near, "edit_id", "left_anti")
+    once = ranked.filter("file is not null").groupBy("query_id", "file").agg(F.min("rank").cast("long").alias("rank")).join(files, "file")
+    far = best(find_edits(left, once.select("query_id", "rank", "file", F.lit(1).cast("long").alias("start_line"), "content"), "query_id"))
+    return edits.select("edit_id").join(near.unionByName(far), "edit_id", "left").na.fill({"status": "not_found"})
+
+
+def parsed_edits(answers: DataFrame) -> DataFrame:
+    """(query_id, answer) to (query_id, edit_id, before, after, function), one row an edit in order."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(q, q * 1_000 + k, a, b, whole_function(a, b)) for q, answer in zip(frame["query_id"], frame["answer"], strict=True) for k, (a, b) in enumerate(edit_pairs(answer))]
+            yield pd.DataFrame(rows, columns=["query_id", "edit_id", "before", "after", "function"])
+
+    return answers.select("query_id", "answer").mapInPandas(run, "query_id long, edit_id long, before string, after string, function string")
+
+
+def completed_edits(edits: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Edits with ``before`` and ``after`` of whole functions taken from the first retrieved node of that name."""
+    name = F.regexp_extract("source", r"^\s*def\s+(\w+)\s*\(", 1)
+    bodies = ranked.select("query_id", name.alias("function"), "rank", "source").filter("function <> ''").groupBy("query_id", "function").agg(F.min_by("source", "rank").alias("body"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = [completed(a, b, body if isinstance(body, str) else None) for a, b, body in zip(frame["before"], frame["after"], frame["body"], strict=True)]
+            yield frame.assign(before=[x[0] for x in made], after=[x[1] for x in made])[["query_id", "edit_id", "before", "after", "function"]]
+
+    joined = edits.join(bodies, ["query_id", "function"], "left").select("query_id", "edit_id", "before", "after", "function", "body")
+    return joined.mapInPandas(run, "query_id long, edit_id long, before string, after string, function string")
+
+
+def docstring_parts(rows: DataFrame, key: str, doc: str) -> DataFrame:
+    """(key, section, body) of every section of a docstring."""
+    return _exploded(rows, key, doc, lambda x: list(sections(x).items()), ("section", "body"))
+
+
+def docstring_examples(rows: DataFrame, key: str, doc: str) -> DataFrame:
+    """(key, code, output) of every example of a docstring."""
+    return _exploded(rows, key, doc, lambda x: [(e["code"], e["output"]) for e in doctests(x)], ("code", "output"))
+
+
+def _exploded(rows: DataFrame, key: str, doc: str, parts: Callable[[str], list[tuple[str, str]]], names: tuple[str, str]) -> DataFrame:
+    kind = dict(rows.dtypes)[key]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [(k, i, *x) for k, text in zip(frame[key], frame[doc], strict=True) for i, x in enumerate(parts(text))]
+            yield pd.DataFrame(out, columns=[key, "pos", *names])
+
+    return rows.select(key, doc).mapInPandas(run, f"{key} {kind}, pos int, {names[0]} string, {names[1]} string")
+
+
+# ------------------------------------------------------------- nodes from definitions
+
+
+def assembled(found: DataFrame, include_classes: bool = True, include_sub_functions: bool = False, path_prefix: str = "") -> DataFrame:
+    """Nodes of definitions: title, definition with its fall-back, key facts, parent, place.
+
+    Classes and nested functions can be left out; ``path_prefix`` goes before
+    every path.
+    """
+    rows = found.filter("kind <> 'rejected'")
+    for kind, wanted in (("class", include_classes), ("sub_function", include_sub_functions)):
+        rows = rows if wanted else rows.filter(F.col("kind") != kind)
+    path = F.concat(F.lit(path_prefix), F.col("path")) if path_prefix else F.col("path")
+    has_doc = F.coalesce("docstring", F.lit("")) != ""
+    first = F.element_at(F.split("docstring", "\n\n", 2), 1)
+    facts = F.array(
+        F.concat(F.lit("Signature: "), "signature"), F.concat(F.lit("Location: "), path, F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")),
+        F.concat(F.lit("Type: "), "kind"), F.when(has_doc & (first != "") & (first != F.col("docstring")), F.concat(F.lit("Description: "), F.substring(first, 1, 300))),
+    )
+    file_id = F.lower(F.translate(path, "/.", "__"))
+    return rows.select(
+        F.concat(file_id, F.lit("__"), F.lower("qualified_name")).alias("id"),
+        F.substring(F.concat("kind", F.lit(": "), "qualified_name", F.lit("("), F.array_join("params", ", "), F.lit(")")), 1, 200).alias("title"),
+        F.when(has_doc, F.col("docstring")).otherwise(F.concat_ws(" ", "kind", "qualified_name", F.lit("in"), path)).alias("definition"),
+        F.filter(facts, lambda x: x.isNotNull()).alias("key_facts"),
+        F.when(F.col("parent_class").isNotNull(), F.concat(file_id, F.lit("__"), F.lower("parent_class"))).otherwise(file_id).alias("parent_id"),
+        path.alias("file"), "start_line", "end_line", F.col("kind").alias("type"), "qualified_name", F.col("source").alias("source_code"), "calls",
+    )
+
+
+def counters(files: DataFrame, found: DataFrame, built: DataFrame) -> DataFrame:
+    """(n_files, n_parsed, n_errors, n_built, n_skipped) of a build, as one row."""
+    one = lambda df, **c: df.agg(*(v.alias(k) for k, v in c.items()))
+    n = F.count("*")
+    rows = one(files, n_files=n).crossJoin(one(found, n_errors=F.count_if(F.col("kind") == "rejected"), n_found=F.count_if(F.col("kind") != "rejected"))).crossJoin(one(built, n_built=n))
+    return rows.select("n_files", (F.col("n_files") - F.col("n_errors")).alias("n_parsed"), "n_errors", "n_built", (F.col("n_found") - F.col("n_built")).alias("n_skipped"))
+
+
+def sub_chunk(source: Column, head: int = 40, tail: int = 10, above: int = 100) -> Column:
+    """A source of more than ``above`` lines as its first and last ones around a mark; others whole."""
+    lines = F.split(source, "\n", -1)
+    mark = F.concat(F.lit("\n\n# ... ("), F.size(lines).cast("string"), F.lit(" total lines, middle truncated) ...\n\n"))
+    cut = F.concat(F.array_join(F.slice(lines, 1, head), "\n"), mark, F.array_join(F.slice(lines, -tail, tail), "\n"))
+    return F.when(F.size(lines) > above, cut).otherwise(source)
