@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrove.operators.nodes import NODE_SCHEMA, invalid_reason
+from lexigrove.operators.nodes import NODE_SCHEMA, assert_new, delete, invalid_reason, upsert
 
 VERSION = "0.1.0"
 
@@ -54,3 +54,78 @@ def append_records(records: DataFrame, path: str) -> None:
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON-lines records; malformed lines are left out."""
     return spark.read.option("mode", "DROPMALFORMED").schema(schema).json(path)
+
+
+class Store:
+    """A node store in one place: changes are held back until :meth:`flush`, which replaces it as a whole.
+
+    ``with Store(...) as s`` flushes at the end unless the block fails. A flush
+    without changes writes nothing; otherwise the nodes, by id, go to a folder
+    beside the store, which then takes its name, so readers see the old nodes
+    or the new ones.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, autosave: bool = False, create_if_missing: bool = True):
+        self.spark, self.path, self.autosave, self.dirty = spark, path.rstrip("/"), autosave, False
+        self._fs_path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._fs = self._fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if self._fs.exists(self._fs_path):
+            self.nodes = spark.read.schema(NODE_SCHEMA).json(self.path)
+        elif create_if_missing:
+            self.nodes = spark.createDataFrame([], NODE_SCHEMA)
+        else:
+            raise FileNotFoundError(path)
+
+    def __enter__(self) -> Store:
+        return self
+
+    def __exit__(self, kind: object, *_: object) -> None:
+        if kind is None:
+            self.flush()
+
+    def __len__(self) -> int:
+        return self.nodes.count()
+
+    def __contains__(self, node_id: str) -> bool:
+        return not self.nodes.filter(F.col("id") == node_id).isEmpty()
+
+    def known(self, ids: DataFrame) -> DataFrame:
+        """Those of the ids that the store has."""
+        return ids.join(self.nodes.select("id"), "id", "left_semi")
+
+    def put(self, nodes: DataFrame) -> None:
+        """Add nodes, or replace those of the same id."""
+        self._change(upsert(self.nodes, nodes))
+
+    def add(self, nodes: DataFrame) -> None:
+        """Add nodes; an id that is there already is an error."""
+        self._change(assert_new(self.nodes, nodes))
+
+    def remove(self, ids: DataFrame) -> None:
+        self._change(delete(self.nodes, ids))
+
+    def _change(self, nodes: DataFrame) -> None:
+        self.nodes, self.dirty = nodes, True
+        if self.autosave:
+            self.flush()
+
+    def flush(self) -> bool:
+        """Write what has changed; whether anything was written."""
+        if not self.dirty:
+            return False
+        staged, old = (self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}.{x}") for x in ("new", "old"))
+        save_nodes(self.nodes, f"{self.path}.new")
+        if self._fs.exists(self._fs_path):
+            self._fs.rename(self._fs_path, old)
+        self._fs.rename(staged, self._fs_path)
+        self._fs.delete(old, True)
+        self.nodes, self.dirty = self.spark.read.schema(NODE_SCHEMA).json(self.path), False
+        return True
+
+
+def predictions(tasks: DataFrame, root: str, key: str = "task_id") -> DataFrame:
+    """(key, patch, status) of tasks against the patch files below a folder ``<key>=<id>``: missing, empty or present."""
+    found = tasks.sparkSession.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.regexp_extract(F.input_file_name(), rf"{key}=([^/]+)", 1).alias("__id"), F.col("value").alias("patch"))
+    joined = tasks.select(key).join(found, F.col(key).cast("string") == F.col("__id"), "left").drop("__id")
+    status = F.when(F.col("patch").isNull(), "missing").when(F.trim(F.regexp_replace("patch", r"\s", "")) == "", "empty").otherwise("present")
+    return joined.withColumn("status", status)
