@@ -200,3 +200,87 @@ def within_budget(costs: DataFrame, group: str, order: list[str], budget: float)
 def mislocalized(targets: Column, oracle: Column) -> Column:
     """No target is among the oracle; null where either is unknown."""
     return F.when(targets.isNotNull() & oracle.isNotNull(), ~F.arrays_overlap(targets, oracle))
+
+
+def strict_hit(retrieved: DataFrame, oracle: DataFrame) -> DataFrame:
+    """(query_id, func_rank, file_rank, hit): a function counts only in a file of the oracle.
+
+    ``retrieved`` gives (query_id, rank, name, file), ``oracle`` (query_id,
+    names, files); a file matches if one of the two paths holds the other.
+    """
+    same = lambda f: F.contains(F.col("file"), f) | F.contains(f, F.col("file"))
+    in_file = (F.coalesce(F.col("file"), F.lit("")) != "") & F.exists("files", same)
+    found = oracle.join(retrieved, "query_id", "left").withColumn("in_file", F.coalesce(in_file, F.lit(False)))
+    ranks = found.groupBy("query_id").agg(F.min(F.when(F.col("in_file") & F.array_contains("names", F.col("name")), F.col("rank"))).alias("func_rank"), F.min(F.when(F.col("in_file"), F.col("rank"))).alias("file_rank"))
+    return ranks.withColumn("hit", F.when(F.col("func_rank").isNotNull(), "func_hit").when(F.col("file_rank").isNotNull(), "file_only").otherwise("miss"))
+
+
+def file_hits(retrieved: DataFrame, oracle: DataFrame, k: int = 3) -> DataFrame:
+    """(query_id, n_hits) of the top ``k`` whose file holds the name of an oracle file."""
+    hit = F.exists("files", lambda f: F.contains(F.col("file"), f))
+    top = retrieved.filter(F.col("rank") <= k)
+    return oracle.join(top, "query_id", "left").groupBy("query_id").agg(F.count_if(F.coalesce(hit, F.lit(False))).alias("n_hits"))
+
+
+def rank_delta(base: DataFrame, treated: DataFrame, top: int = 3) -> DataFrame:
+    """(query_id, base_rank, treated_rank, delta, change): how far the oracle moves between two retrievals of (query_id, rank)."""
+    both = base.select("query_id", F.col("rank").alias("base_rank")).join(treated.select("query_id", F.col("rank").alias("treated_rank")), "query_id", "full")
+    delta = F.col("base_rank") - F.col("treated_rank")
+    change = F.when(F.col("base_rank").isNull(), "found").when(F.col("treated_rank").isNull(), "lost").when(delta > 0, "up").when(delta < 0, "down").otherwise("same")
+    return both.withColumns({"delta": delta, "change": change, "base_top": F.coalesce(F.col("base_rank") <= top, F.lit(False)), "treated_top": F.coalesce(F.col("treated_rank") <= top, F.lit(False))})
+
+
+def normalized_dataset(rows: DataFrame, low: int = 0, high: int = 999) -> DataFrame:
+    """(sample_id, question, answer, fault) of rows in either of two namings: (id, problem, answer) or (ID, Problem, Answer).
+
+    ``fault`` says that an answer is no integer or is out of range; the row stays.
+    """
+    named = {c.lower(): c for c in rows.columns}
+    missing = [c for c in ("id", "problem", "answer") if c not in named]
+    if missing:
+        raise ValueError(f"unknown columns: {', '.join(rows.columns)}")
+    answer = F.trim(F.col(named["answer"]).cast("string"))
+    number = F.expr(f"try_cast(trim(cast(`{named['answer']}` as string)) as bigint)")
+    fault = F.when(number.isNull(), "not_integer").when(~number.between(low, high), "out_of_range")
+    return rows.select(F.col(named["id"]).cast("string").alias("sample_id"), F.col(named["problem"]).alias("question"), answer.alias("answer"), fault.alias("fault"))
+
+
+def confusion(rows: DataFrame) -> DataFrame:
+    """Rows (expected, got) of an evaluator's trial with their label: agree, false_negative or false_positive."""
+    return rows.withColumn("label", F.when(F.col("expected") == F.col("got"), "agree").when(F.col("expected"), "false_negative").otherwise("false_positive"))
+
+
+def in_order(wanted: DataFrame, tasks: DataFrame, key: str = "id") -> DataFrame:
+    """(pos, key, known, ...) of the tasks of a list of ids, in its order; ids without a task stay, with ``known`` false."""
+    return wanted.join(tasks.withColumn("known", F.lit(True)), key, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def cached_retrieval(tasks: DataFrame, by_condition: dict[str, DataFrame]) -> DataFrame:
+    """(query_id, condition, ids) of every task under every condition: the ids in rank order, empty where nothing is found."""
+    rows = [df.select("query_id", F.lit(name).alias("condition"), F.col("id").cast("string").alias("id"), "rank") for name, df in by_condition.items()]
+    found = rows[0]
+    for more in rows[1:]:
+        found = found.unionByName(more)
+    lists = found.groupBy("query_id", "condition").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids"))
+    every = tasks.select("query_id", F.explode(F.array(*map(F.lit, by_condition))).alias("condition"))
+    return every.join(lists, ["query_id", "condition"], "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
+
+
+def prompts(cache: DataFrame, tasks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(query_id, condition, n_used, prompt): the texts of the cached ids in order, those without a node left out, then the task's question."""
+    each = cache.select("query_id", "condition", F.posexplode("ids").alias("pos", "id")).join(nodes.select(F.col("id").cast("string").alias("id"), "text"), "id")
+    texts = each.groupBy("query_id", "condition").agg(F.count("*").alias("n_used"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n").alias("given"))
+    joined = cache.select("query_id", "condition").join(texts, ["query_id", "condition"], "left").join(tasks.select("query_id", "question"), "query_id")
+    return joined.select("query_id", "condition", F.coalesce("n_used", F.lit(0)).alias("n_used"), F.concat_ws("\n\n", "given", "question").alias("prompt"))
+
+
+def grid_sweep(ranks: DataFrame, cut_offs: list[int], group: str) -> DataFrame:
+    """Hits of every setting and cut-off: (setting, k, group, n_hit, n, hit_rate, best), a null group for all.
+
+    ``ranks`` gives (setting, query_id, group, rank): the oracle's rank under
+    each setting of a grid, null where it is not found.
+    """
+    each = ranks.select("setting", F.col(group), "rank", F.explode(F.array(*map(F.lit, cut_offs))).alias("k"))
+    out = each.rollup("setting", "k", group).agg(F.count_if(F.coalesce(F.col("rank") <= F.col("k"), F.lit(False))).alias("n_hit"), F.count("*").alias("n"), F.grouping_id().alias("g"))
+    out = out.filter("g in (0, 1)").withColumn("hit_rate", F.round(F.col("n_hit") / F.col("n"), 3))
+    return out.withColumn("best", (F.col("g") == 1) & (F.col("hit_rate") == F.max(F.when(F.col("g") == 1, F.col("hit_rate"))).over(Window.partitionBy()))).drop("g")

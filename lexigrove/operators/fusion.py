@@ -94,3 +94,28 @@ def self_knowledge_stats(candidates: DataFrame) -> DataFrame:
     """(n_queried, n_filtered, filter_rate), rate 0 without candidates."""
     told = candidates.agg(F.count("*").alias("n_queried"), F.coalesce(F.sum((F.col("answer") == "YES").cast("long")), F.lit(0)).alias("n_filtered"))
     return told.withColumn("filter_rate", F.when(F.col("n_queried") > 0, F.col("n_filtered") / F.col("n_queried")).otherwise(0.0))
+
+
+def hybrid_unknown(merged: DataFrame, responses: DataFrame, answers: DataFrame, k: int = 3, initial: int = 5, min_keep: int = 1) -> DataFrame:
+    """Hybrid retrieval without what the model knows: ``initial`` reranked candidates, self-knowledge filter, the first ``k``.
+
+    ``answers`` gives (query_id, id, answer); a pair without one is kept.
+    """
+    first = reranked(merged, responses, initial).join(answers.select("query_id", "id", "answer"), ["query_id", "id"], "left")
+    return self_knowledge(first, min_keep).filter(F.col("rank") <= k)
+
+
+def greedy_ids(response: str | F.Column) -> F.Column:
+    """``selected_ids`` of the widest ``{...}`` of a response, fences dropped; empty where it is no JSON."""
+    text = F.regexp_replace(F.regexp_replace(response, r"```(?:json)?\s*", ""), "```", "")
+    told = F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), "selected_ids array<string>")["selected_ids"]
+    return F.coalesce(told, F.array().cast("array<string>"))
+
+
+def judged(answers: DataFrame, ids: DataFrame) -> DataFrame:
+    """(ref, answer) of a judge's JSON map from references to ids; an answer that is no id is null.
+
+    ``answers`` gives (mapping); ``ids`` (id) is the white list.
+    """
+    each = answers.select(F.explode(F.from_json("mapping", "map<string,string>")).alias("ref", "answer"))
+    return each.join(ids.select("id", F.lit(True).alias("ok")), F.col("answer") == F.col("id"), "left").select("ref", F.when(F.col("ok"), F.col("answer")).alias("answer"))

@@ -219,3 +219,37 @@ def graph_expanded(seeds: DataFrame, nodes: DataFrame, calls: DataFrame, scored:
         ranked = ranked.join(nodes.filter("type = 'class'").select("id"), "id", "left_anti")
     final = Window.partitionBy("query_id").orderBy(F.least(F.col("layer"), F.lit(1)), "place")
     return ranked.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k).select("query_id", "id", "rank", "layer")
+
+
+def relation_index(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((id, class, name), (callee, caller)) of nodes (id, qualified_name, calls).
+
+    The class is the qualified name up to its last dot, null without one; the
+    name is what follows it.
+    """
+    qualified = F.col("qualified_name")
+    name = F.substring_index(qualified, ".", -1)
+    cls = F.when(F.contains(qualified, F.lit(".")), F.substr(qualified, F.lit(1), F.length(qualified) - F.length(name) - 1))
+    return nodes.select("id", cls.alias("class"), name.alias("name")), nodes.select(F.explode("calls").alias("callee"), F.col("id").alias("caller")).distinct()
+
+
+def oracle_relations(retrieved: DataFrame, nodes: DataFrame, oracle: DataFrame) -> DataFrame:
+    """How each retrieved node stands to a query's oracle functions.
+
+    ``retrieved`` gives (query_id, id, rank), ``nodes`` (id, class, name, pos,
+    calls), ``oracle`` (query_id, id). Returns (query_id, id, rank, same_class,
+    calls_oracle, called_by_oracle, two_hops): two hops lead through the first
+    node (by place) of a called name, and count only where the node does not
+    call the oracle itself.
+    """
+    o = oracle.join(nodes.select("id", F.col("class").alias("oc"), F.col("name").alias("on"), F.col("calls").alias("ocalls")), "id")
+    told = o.groupBy("query_id").agg(F.collect_set("oc").alias("classes"), F.collect_set("on").alias("names"), F.array_distinct(F.flatten(F.collect_list("ocalls"))).alias("called"))
+    r = retrieved.join(nodes.select("id", "class", "name", "calls"), "id").join(told, "query_id")
+    first = nodes.groupBy(F.col("name").alias("mid")).agg(F.min_by("calls", "pos").alias("next"))
+    hops = r.select("query_id", "id", "names", F.explode("calls").alias("mid")).join(first, "mid").groupBy("query_id", "id").agg(F.bool_or(F.arrays_overlap("next", "names")).alias("hop"))
+    direct = F.coalesce(F.arrays_overlap("calls", "names"), F.lit(False))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return r.join(hops, ["query_id", "id"], "left").select(
+        "query_id", "id", "rank", yes(F.array_contains("classes", F.col("class"))).alias("same_class"), direct.alias("calls_oracle"),
+        yes(F.array_contains("called", F.col("name"))).alias("called_by_oracle"), (~direct & yes(F.col("hop"))).alias("two_hops"),
+    )

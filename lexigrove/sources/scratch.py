@@ -9,9 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``; a local folder only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexigrove-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under ``spark.checkpoint.dir``, in the application's own folder; a local folder only where that is unset."""
+    return f"{_base(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+_LOCAL: list[str] = []
+
+
+def _base(spark: SparkSession) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="lexigrove-"))
+    return _LOCAL[0]
+
+
+def clean(spark: SparkSession) -> bool:
+    """Delete what this application has written for its own steps; call it when its results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{_base(spark)}/{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
