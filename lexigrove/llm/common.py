@@ -58,10 +58,11 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage, so later steps survive lost executors without
-    recomputing what went before.
+    recomputing what went before. All of an application's steps lie in one
+    folder named by its id, to be deleted when its results are stored.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/stage-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -87,6 +88,18 @@ def join_salted(big: DataFrame, small: DataFrame, keys: list[str], weight: str,
     return salted.join(spread.hint("merge"), [*keys, "__salt"], how).drop("__salt")
 
 
+#: Bytes of input that a bucket of a deal stands for.
+BUCKET_BYTES = 8_000_000
+
+
+def bucket_count(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Buckets to deal rows into: as many as the planner's estimate of the input's bytes asks for, whatever the session's partitions."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    least = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # A plan without statistics claims a size beyond any table.
+    return least if size > 1 << 60 else max(least, -(-size // bucket_bytes))
+
+
 def with_fields(df: DataFrame, ddl: str) -> StructType:
     """Schema of ``df`` followed by the fields of ``ddl``."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

@@ -4,25 +4,25 @@ A document is the set of its distinct n-word shingles; two link if their
 Jaccard similarity reaches a threshold p/q. The result is each document's
 component: the smallest id that links reach.
 
-Dealing. Shingles are hashed into groups, and group contents are compared
-before anything else: two sets that link differ in at most
-``|A|+|B|`` times ``(q-p)/(q+p)`` shingles, so if there are more groups than that, some
-group is the same in both. Sizes fall into bands (partners lie in the same or
-the next one), each band has its number of groups, and a key is a hash of
-(band, group, content). Sets with so many empty groups that only empty ones
-might agree add keys of the classic prefix filter. So every linked pair shares
-a key; no partner is capped.
-
-Within a batch of documents, those that share a key are tied to the first of
-them, and only that one's key goes on, so a key is shuffled at most once a
-batch. Tied pairs are bounded by the summed minima of their group counts and
-then verified on their sets.
-
-Where ties left members of one candidate component apart, the members that
-share a key are points (group counts) of an R-tree: it is searched with the
-bound "summed coordinate minima of the query and a box's upper corner", and
-survivors are verified. Large components are cut by set size and into blocks, and pairs of
-blocks are tasks of their own.
+Within a batch of documents the count vectors (shingles per hash group) are
+points of a packed R-tree. It is joined with itself: the summed minima of a
+point and a box's upper corner bound the shingles in common, the summed minima
+of finer vectors bound them again, and pairs that are left are verified on
+their sets. The result is exact for all pairs of the batch.
+
+Batches are brought together by keys, which route and decide nothing. If there
+are more groups than two linked sets can differ in
+(``|A|+|B|`` times ``(q-p)/(q+p)``), some group is the same in both. Sizes fall
+into bands (partners lie in the same or the next one), each band has its number
+of groups, and a key is a hash of (band, group, content). Sets with so many
+empty groups that only empty ones might agree add keys of the classic prefix
+filter. So every linked pair shares a key; no partner is capped. Documents of a
+batch that share a key go on under the first of them, so a key is shuffled at
+most once a batch.
+
+Members of what keys connect and links do not are searched in R-trees again:
+each such component is a task, and a large one is cut by set size and into
+blocks, whose pairs are tasks of their own.
 """
 
 from __future__ import annotations
@@ -38,11 +38,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import CHUNK_BYTES, Text, chunks, lowered, materialize, mix, pack, read_table, sequences, unpack
+from lexigrove.llm.common import CHUNK_BYTES, Text, bucket_count, chunks, join_salted, lowered, materialize, mix, pack, read_table, sequences, unpack
 from lexigrove.llm.components import components
 
-#: Coordinates of a count vector.
-DIMENSIONS = 64
+#: Coordinates of a count vector, and of the finer one that is looked at before a set is; powers of two.
+DIMENSIONS, FINE = 64, 512
 #: Text bytes that are dealt together, and members of a block of a large component.
 BATCH_BYTES = 4_000_000
 BLOCK = 2_000
@@ -100,8 +100,17 @@ def shingle_sets(text: Text, n: int) -> list[np.ndarray]:
     return out
 
 
-def count_vector(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=DIMENSIONS)
+def count_vector(shingles: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
+    shift = np.uint64(64 - (dimensions - 1).bit_length())
+    return np.bincount((shingles >> shift).astype(np.int64), minlength=dimensions)
+
+
+def count_vectors(sets: list[np.ndarray], dimensions: int) -> np.ndarray:
+    """Vectors of several sets, in the narrowest type that holds their counts."""
+    made = np.zeros((len(sets), dimensions), np.int32)
+    for i, s in enumerate(sets):
+        made[i] = count_vector(s, dimensions)
+    return made.astype(np.uint8 if made.max(initial=0) < 256 else np.int32)
 
 
 def common_size(a: np.ndarray, b: np.ndarray) -> int:
@@ -181,7 +190,7 @@ class CountTree:
     def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
         spread = vectors.var(axis=0)
         widest = np.argsort(-spread)[:2]
-        slices = np.argsort(np.argsort(sizes, kind="stable")) // max(1, self.FAN * self.FAN)
+        slices = np.argsort(np.argsort(sizes, kind="stable")) // (4 * self.FAN)
         self.order = np.lexsort((vectors[:, widest[1]], vectors[:, widest[0]], slices))
         self.levels = [(vectors[self.order], sizes[self.order])]
         while len(self.levels[-1][0]) > self.FAN:
@@ -203,6 +212,84 @@ class CountTree:
         return self.order[at]
 
 
+    def pairs(self, t: Threshold, rows: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of points, each once, that the bound does not rule out, in parts of a bounded size."""
+        points, sizes = self.levels[0]
+        span = [self.FAN**d for d in range(len(self.levels))]
+
+        def below(q: np.ndarray, at: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            upper, least = self.levels[depth]
+            for k in range(0, len(q), rows):
+                a, b = q[k : k + rows], at[k : k + rows]
+                # Only what comes after a point in the tree's order, so each pair comes up once.
+                later = (b + 1) * span[depth] - 1 > a
+                a, b = a[later], b[later]
+                bound = np.minimum(upper[b], points[a]).sum(axis=1, dtype=np.int64)
+                keep = bound >= t.needed(sizes[a], least[b])
+                a, b = a[keep], b[keep]
+                if not len(a):
+                    continue
+                if not depth:
+                    yield self.order[a], self.order[b]
+                    continue
+                child = (b[:, None] * self.FAN + np.arange(self.FAN)).ravel()
+                a = np.repeat(a, self.FAN)
+                real = child < len(self.levels[depth - 1][0])
+                yield from below(a[real], child[real], depth - 1)
+
+        top = len(self.levels[-1][0])
+        step = max(1, rows // max(1, top))
+        for k in range(0, len(points), step):
+            q = np.arange(k, min(len(points), k + step))
+            yield from below(np.repeat(q, top), np.tile(np.arange(top), len(q)), len(self.levels) - 1)
+
+
+class Groups:
+    """Union of indices, the smallest as its name."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def union(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        if i == j:
+            return False
+        self.up[max(i, j)] = min(i, j)
+        return True
+
+
+def forest(sets: list[np.ndarray], t: Threshold) -> tuple[list[tuple[int, int]], Groups]:
+    """Links among different sets that tie all that links connect, found by an R-tree of all of them."""
+    groups = Groups(len(sets))
+    sizes = np.array([len(s) for s in sets], np.int64)
+    # Sets so small that one shingle is too much of a difference have no partner but their equals.
+    partner = sizes * t.q // t.p
+    some = np.flatnonzero((sizes + partner) * (t.q - t.p) >= t.q + t.p)
+    out: list[tuple[int, int]] = []
+    if len(some) < 2:
+        return out, groups
+    chosen = [sets[i] for i in some]
+    fine, own = count_vectors(chosen, FINE), sizes[some]
+    coarse = fine.reshape(len(some), DIMENSIONS, FINE // DIMENSIONS).sum(axis=2, dtype=np.int32)
+    for a, b in CountTree(coarse.astype(np.uint8 if coarse.max() < 256 else np.int32), own).pairs(t):
+        apart = np.fromiter((groups.find(i) != groups.find(j) for i, j in zip(some[a].tolist(), some[b].tolist(), strict=True)), bool, len(a))
+        a, b = a[apart], b[apart]
+        for k in range(0, len(a), 1 << 13):
+            x, y = a[k : k + (1 << 13)], b[k : k + (1 << 13)]
+            close = np.minimum(fine[x], fine[y]).sum(axis=1, dtype=np.int64) >= t.needed(own[x], own[y])
+            for i, j in zip(x[close].tolist(), y[close].tolist(), strict=True):
+                if groups.find(int(some[i])) != groups.find(int(some[j])) and t.linked(common_size(chosen[i], chosen[j]), int(own[i]), int(own[j])):
+                    groups.union(int(some[i]), int(some[j]))
+                    out.append((int(some[i]), int(some[j])))
+    return out, groups
+
+
 def tree_links(ids: list[int], roots: list[int], sets: list[np.ndarray], t: Threshold) -> list[tuple[int, int]]:
     """Links that join members known to be apart.
 
@@ -321,11 +408,20 @@ def _dealt(docs: DataFrame, n: int, t: Threshold, buckets: int, batch_bytes: int
                 return told
 
             pairs = [(low, high, verdicts(low, high, position))]
-            key, owner = keys_of([sets[k] for k in kept], t)
+            # The tree finds all links of the batch; keys that documents share without one are open beyond it.
+            different = [sets[k] for k in kept]
+            tied, groups = forest(different, t)
+            ends = np.array(tied, np.int64).reshape(-1, 2)
+            a, b = ids[kept[ends[:, 0]]], ids[kept[ends[:, 1]]]
+            pairs.append((np.minimum(a, b)[a != b], np.maximum(a, b)[a != b], np.full(int((a != b).sum()), _LINKED, np.int8)))
+            key, owner = keys_of(different, t)
             node = ids[kept][owner] if len(owner) else np.zeros(0, np.int64)
             head, low, high = stars(key, node)
-            here = {int(ids[k]): k for k in kept[::-1]}
-            pairs.append((low, high, verdicts(low, high, here)))
+            root = {int(ids[k]): groups.find(i) for i, k in reversed(list(enumerate(kept)))}
+            open_here = np.array([root[x] != root[y] or x in twice or y in twice for x, y in zip(low.tolist(), high.tolist(), strict=True)], bool)
+            low, high = low[open_here], high[open_here]
+            told = np.array([_OPEN if x in twice or y in twice else _NOT_LINKED for x, y in zip(low.tolist(), high.tolist(), strict=True)], np.int8)
+            pairs.append((low, high, told))
             low, high, told = (np.concatenate(x) for x in zip(*pairs, strict=True))
             rows += _pair_blobs(low.astype(np.int64), high.astype(np.int64), told, buckets)
             key, node = key[head], node[head]
@@ -469,18 +565,19 @@ def _searched(members: DataFrame, texts: DataFrame, n: int, t: Threshold, block:
     """
     members = members.withColumn("weight", F.greatest(F.lit(1.0), F.col("size") / HEAVY))
     parts = members.groupBy("k", "root").agg(F.count("*").alias("count"), F.sum("weight").alias("weight"))
-    largest = parts.groupBy("k").agg(F.max_by("root", F.struct("count", "root")).alias("big"), F.sum("weight").alias("n_all"))
-    at = members.join(largest, "k").withColumn("side", ((F.col("root") == F.col("big")) & (F.col("n_all") > block)).cast("int"))
+    largest = materialize(parts.groupBy("k").agg(F.max_by("root", F.struct("count", "root")).alias("big"), F.sum("weight").alias("n_all"), F.sum("count").alias("n")))
+    at = join_salted(members, largest, ["k"], "n", "inner", F.col("id")).withColumn("side", ((F.col("root") == F.col("big")) & (F.col("n_all") > block)).cast("int"))
     at = at.withColumn("band", F.floor(F.ln(F.greatest(F.col("size"), F.lit(1))) / F.lit(math.log(t.q / t.p))).cast("int"))
     small = at.filter(F.col("n_all") <= block).select("id", "root", "side", "k", F.lit("all").alias("pair"))
-    large = at.filter(F.col("n_all") > block)
+    large = at.filter(F.col("n_all") > block).drop("n")
     count = lambda side: F.ceil(F.sum(F.when(F.col("side") == side, F.col("weight")).otherwise(0.0)) / F.lit(float(block))).cast("int")
-    cells = large.groupBy("k", "band").agg(count(0).alias("rest"), count(1).alias("main"))
+    cells = materialize(large.groupBy("k", "band").agg(count(0).alias("rest"), count(1).alias("main"), F.count("*").alias("n")))
     # For each band, the numbers of blocks of the band before, of itself and of the next one.
     near = cells.select("k", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step"), (F.col("band") - F.col("step")).alias("band"), F.col("rest").alias("n_rest"), F.col("main").alias("n_main"))
-    placed = large.join(cells, ["k", "band"])
+    cells = materialize(cells.join(near.groupBy("k", "band").agg(F.collect_list(F.struct("step", "n_rest", "n_main")).alias("steps")), ["k", "band"]))
+    placed = join_salted(large, cells, ["k", "band"], "n", "inner", F.col("id"))
     placed = placed.withColumn("mine", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.when(F.col("side") == 1, F.col("main")).otherwise(F.col("rest")))).cast("int"))
-    placed = placed.drop("rest", "main").join(near, ["k", "band"])
+    placed = placed.drop("rest", "main", "n").withColumn("s", F.explode("steps")).select("*", "s.*").drop("s", "steps")
     upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
     other = F.col("band") + F.col("step")
     name = lambda *x: F.concat_ws("/", *(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
@@ -529,8 +626,7 @@ def link_components(docs: DataFrame, n: int = 5, p: int = 4, q: int = 5, batch_b
     do not matter; an empty table gives empty results.
     """
     t = Threshold(p, q)
-    spark = docs.sparkSession
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = bucket_count(docs)
     blobs = _dealt(docs, n, t, buckets, batch_bytes)
     pairs = _unpacked(blobs, _PAIRS, "a long, b long, most byte, least byte", (np.int64, np.int64, np.int8, np.int8))
     sizes = _unpacked(blobs, _SIZES, "doc_id long, n_shingles long", (np.int64, bool, np.int64))
