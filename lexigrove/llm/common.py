@@ -94,7 +94,7 @@ BUCKET_BYTES = 8_000_000
 
 def bucket_count(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
     """Buckets to deal rows into: as many as the planner's estimate of the input's bytes asks for, whatever the session's partitions."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # A plan without statistics claims a size beyond any table.
     return least if size > 1 << 60 else max(least, -(-size // bucket_bytes))
