@@ -242,11 +242,25 @@ def test_mixing(spark):
         assert abs(r["target"] - goal[src[r["doc_id"]]]) < 1e-6 and r["taken"] <= 3 * r["size"]
         taken[src[r["doc_id"]]] += r["taken"]
     assert all(abs(taken[s] - goal[s]) <= 0.1 * goal[s] + 60 for s in names)
+    assert {(r["doc_id"], r["taken"]) for r in mixing.take_counts(docs).collect()} == {(r["doc_id"], r["taken"]) for r in got}
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.select(F.sum(mixing.words(F.col("text")))).first()[0] == sum(taken.values())
     assert mixing.take_counts(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_small_sources_come_near_their_targets(spark):
+    """Twenty sources of fifty documents each: every one within 5 % of its target, or 2 % of all words."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.take_counts(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.sum("size").alias("size"))
+    got = rows.collect()
+    total = sum(r["size"] for r in got)
+    assert all(abs(r["taken"] - r["target"]) <= max(0.05 * r["target"], 0.02 * total) for r in got)
+    # Null ids, repeated rows and a clashing column.
+    odd = spark.createDataFrame([(None, "a b", "s", 1), (1, "a b", "s", 1), (1, "a b", "s", 1)], "doc_id long, text string, source string, seed int")
+    taken = [(r["doc_id"], r["taken"]) for r in mixing.take_counts(odd).collect()]
+    assert len(taken) == 3 and taken.count(next(x for x in taken if x[0] == 1)) == 2 and mixing.mix(odd).columns == odd.columns
+
+
 # ------------------------------------------------------------------------ join
 
 
