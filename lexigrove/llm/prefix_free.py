@@ -20,14 +20,16 @@ those places:
    In that order windows with equal bytes stand together; a comparison of the
    bytes confirms them, and all but the first are repeats.
 
-A trigger with very many entries is split by the windows' own 128-bit hashes,
-so no task grows with one passage. Occurrences are combined within a batch
-before they are shuffled.
+The entries of a trigger that very many share are parsed once more, by the
+next smallest hash of each window: equal windows have that in common too, and
+the finer entries are dealt by both. A task that still meets more entries of
+one trigger than it orders at a time does the same with a further hash, so no
+task's memory grows with one passage and every window is decided in the order
+of suffixes. Occurrences are combined within a batch before they are shuffled.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +38,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import Text, chunks, flat, materialize, mix, pack, read_table, record_batches, unpack
+from lexigrove.llm.common import Text, bucket_count, chunks, flat, materialize, mix, pack, read_table, record_batches, unpack
 
 WINDOW = 100
 GRAM = 32
 REACH = WINDOW - GRAM + 1
-#: Entries of one trigger above which its windows are dealt by their own hashes.
+#: Entries of one trigger above which they are parsed by a second one before they are dealt.
 HOT_ENTRIES = 10_000
 BATCH_BYTES = 16_000_000
 #: Bytes of text that are parsed, and of entries that are ordered, in one numpy pass.
@@ -50,8 +52,8 @@ NULL_ID = np.iinfo(np.int64).min
 
 _BLOB = "kind int, bucket int, blob binary"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
-#: Kinds of blobs: phrases; repeats and open phrases by document; texts; entries and windows to be ordered.
-_PHRASES, _REPEATS, _OPEN, _TEXTS, _ENTRIES, _WINDOWS = range(6)
+#: Kinds of blobs: phrases; repeats and open phrases by document; texts; entries to be ordered.
+_PHRASES, _REPEATS, _OPEN, _TEXTS, _ENTRIES = range(5)
 
 
 def _home(doc: np.ndarray, buckets: int) -> np.ndarray:
@@ -93,6 +95,45 @@ def phrases(text: Text) -> tuple[np.ndarray, ...]:
     return row[head], first - text.off[row[head]], count, gram[trigger[head]], content
 
 
+def _view(data: np.ndarray, off: np.ndarray) -> Text:
+    """Bytes and offsets as a chunk of texts."""
+    text = Text(pa.array([], pa.string()))
+    text.data, text.off, text.n, text._sums = data, off, len(off) - 1, None
+    return text
+
+
+def finer(data: np.ndarray, off: np.ndarray, level: int) -> tuple[np.ndarray, ...]:
+    """Parse of entries by a further trigger: (entry, offset, windows, trigger hash, content hash) of every part.
+
+    All windows of an entry ``data[off[i]:off[i+1]]`` have its ``level``
+    smallest grams in common; the next smallest one of a window is what is
+    parsed by, a function of the window's bytes as the first was.
+    """
+    text = _view(data, off)
+    m = len(data)
+    at = np.arange(m - GRAM + 1)
+    gram = text.hashes(at, at + GRAM)
+    ranked = (gram & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    # Grams that reach over an entry's end are no one's.
+    row = np.searchsorted(off, at, "right") - 1
+    ranked[at + GRAM > off[1:][row]] = top
+    for _ in range(level):
+        least = np.minimum.reduceat(ranked, off[:-1])
+        ranked[(least[least != top] & np.uint64(0xFFFFFFFF)).astype(np.int64)] = top
+    best = _sliding_min(ranked, REACH)
+    start = np.arange(len(best))
+    row = row[: len(best)]
+    inside = start + WINDOW <= off[1:][row]
+    start, best, row = start[inside], best[inside], row[inside]
+    trigger = np.where(best == top, np.uint64(0), best & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    head = np.flatnonzero(np.append(True, (best[1:] != best[:-1]) | (row[1:] != row[:-1])))
+    count = np.diff(np.append(head, len(start)))
+    first = start[head]
+    hashed = np.where(best[head] == top, np.uint64(0), gram[trigger[head]])
+    return row[head], first - off[row[head]], count, hashed, text.hashes(first, first + count + WINDOW - 1)
+
+
 def _first_of(groups: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sort by groups, then place: (order, heads of groups, later than its group's first)."""
     order = np.lexsort((start, doc, *reversed(groups)))
@@ -158,8 +199,7 @@ def suffix_order(data: np.ndarray, off: np.ndarray, pick: np.ndarray, trigger: i
     Returns ``pick`` in lexicographic order of the suffixes.
     """
     m = len(data)
-    text = Text(pa.array([], pa.string()))
-    text.data, text.off, text.n, text._sums = data, off, len(off) - 1, None
+    text = _view(data, off)
     row = np.repeat(np.arange(text.n), np.diff(off))
     stop = off[1:][row]
     cut = np.zeros(m, bool)
@@ -230,6 +270,46 @@ def repeats_among(data: np.ndarray, off: np.ndarray, doc: np.ndarray, start: np.
     return d[order][later], p[order][later]
 
 
+def ordered_groups(data: np.ndarray, off: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray, level: int = 1, limit: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Repeats (doc, start, windows) among entries of one key, a bounded number of bytes at a time.
+
+    Passes end between keys. The entries of a key that alone are more than a
+    pass are parsed by a further trigger, equal parts are one, and the rest is
+    ordered part by part.
+    """
+    limit = limit or PASS_BYTES
+    by = np.argsort(key, kind="stable")
+    size = np.cumsum(count[by] + WINDOW - 1)
+    edge = np.append(np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1])), len(by))
+    k = 0
+    while k < len(edge) - 1:
+        begin = size[edge[k] - 1] if edge[k] else 0
+        stop = max(k + 1, int(np.searchsorted(size[edge[1:] - 1], begin + limit, "right")))
+        at = by[edge[k] : edge[stop]]
+        k = stop
+        total = int((count[at] + WINDOW - 1).sum())
+        body = np.concatenate([data[off[i] : off[i + 1]] for i in at])
+        cut = np.concatenate(([0], np.cumsum(count[at] + WINDOW - 1)))
+        if total <= limit or level >= REACH - 1 or len(at) == 1:
+            d, p = repeats_among(body, cut, doc[at], start[at], count[at])
+            yield d, p, np.ones(len(d), np.int64)
+            continue
+        again, parts = _parts(body, cut, doc[at], start[at], level)
+        yield again
+        entry, offset, n, hashed = parts
+        spans = [body[a : a + c + WINDOW - 1] for a, c in zip(cut[entry] + offset, n, strict=True)]
+        yield from ordered_groups(np.concatenate(spans), np.concatenate(([0], np.cumsum(n + WINDOW - 1))), doc[at][entry], start[at][entry] + offset, n, hashed, level + 1, limit)
+
+
+def _parts(data: np.ndarray, off: np.ndarray, doc: np.ndarray, start: np.ndarray, level: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """((doc, start, windows) of parts that equal an earlier one, (entry, offset, windows, trigger) of the others) of entries."""
+    entry, offset, n, hashed, content = finer(data, off, level)
+    d, p = doc[entry], start[entry] + offset
+    order, head, later = _first_of([hashed, content], d, p)
+    again, first = order[later], order[head]
+    return (d[again], p[again], n[again]), (entry[first], offset[first], n[first], hashed[first])
+
+
 # ------------------------------------------------------------ Spark operators
 
 
@@ -386,82 +466,65 @@ def _order_phase(parsed: DataFrame, texts: DataFrame, buckets: int) -> DataFrame
                 fits = start[at] + count[at] + WINDOW - 1 <= (off[1:] - off[:-1])[which]
                 which, at = which[fits], at[fits]
                 begin, size = off[which] + start[at], count[at] + WINDOW - 1
-                target = (gram[at] % np.uint64(buckets)).astype(np.int64)
-                plain = np.flatnonzero(~hot[at])
-                by = plain[np.argsort(target[plain], kind="stable")]
-                cut = np.searchsorted(target[by], np.arange(buckets + 1))
-                packer = zstandard.ZstdCompressor(level=3)
-                for b in range(buckets):
-                    mine = by[cut[b] : cut[b + 1]]
-                    if len(mine):
-                        body = b"".join(data[s : s + k].tobytes() for s, k in zip(begin[mine], size[mine], strict=True))
-                        head = np.int64(len(mine)).tobytes() + doc[at[mine]].tobytes() + start[at[mine]].tobytes() + count[at[mine]].tobytes() + gram[at[mine]].tobytes()
-                        yield pa.RecordBatch.from_pylist([{"kind": _ENTRIES, "bucket": b, "blob": packer.compress(head + body)}], _SCHEMA)
-                burning = np.flatnonzero(hot[at])
-                if len(burning):
-                    yield from _windows(data, off, begin[burning], doc[at[burning]], start[at[burning]], count[at[burning]])
-
-    def _windows(data, off, begin, doc, start, count) -> Iterator[pa.RecordBatch]:
-        text = Text(pa.array([], pa.string()))
-        text.data, text.off, text.n, text._sums = data, off, len(off) - 1, None
-        entry = np.repeat(np.arange(len(doc)), count)
-        within = np.arange(len(entry)) - np.concatenate(([0], np.cumsum(count)))[entry]
-        at = begin[entry] + within
-        low, high = text.hashes(at, at + WINDOW), mix(text.hashes(at, at + WINDOW // 2) + text.hashes(at + WINDOW // 2, at + WINDOW) * np.uint64(3))
-        d, p = doc[entry], start[entry] + within
-        order, head, later = _first_of([low, high], d, p)
-        rows = list(_by_home(_REPEATS, buckets, *_ranges(d[order[later]], p[order[later]], np.ones(int(later.sum()), np.int64))))
-        first = order[head]
-        bucket = (low[first] % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
+                for k in range(0, 2 * bool(len(at))):
+                    # Entries of a trigger that very many have go on in parts.
+                    mine = np.flatnonzero(hot[at] == bool(k))
+                    if not len(mine):
+                        continue
+                    d, p, c, g, where = doc[at[mine]], start[at[mine]], count[at[mine]], gram[at[mine]], begin[mine]
+                    if k:
+                        body = np.concatenate([data[x : x + y] for x, y in zip(where, size[mine], strict=True)])
+                        cut = np.concatenate(([0], np.cumsum(size[mine])))
+                        # Parts of different first triggers are not compared: both make the key.
+                        again, (entry, offset, c, hashed) = _parts(body, cut, d, p, 1)
+                        yield from _listed(_by_home(_REPEATS, buckets, *_ranges(*again)))
+                        d, p, g, where = d[entry], p[entry] + offset, mix(g[entry] + hashed * np.uint64(3)), where[entry] + offset
+                    yield from _dealt(data, where, d, p, c, g, np.full(len(d), 1 + k))
+
+    def _listed(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        held = list(rows)
+        for k in range(0, len(held), 64):
+            yield pa.RecordBatch.from_pylist(held[k : k + 64], _SCHEMA)
+
+    def _dealt(data, begin, doc, start, count, gram, level) -> Iterator[pa.RecordBatch]:
+        """Entries with their bytes, dealt by trigger."""
+        target = (gram % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(target, kind="stable")
+        cut = np.searchsorted(target[by], np.arange(buckets + 1))
+        packer = zstandard.ZstdCompressor(level=3)
         for b in range(buckets):
-            mine = first[by[cut[b] : cut[b + 1]]]
+            mine = by[cut[b] : cut[b + 1]]
             if len(mine):
-                rows.append({"kind": _WINDOWS, "bucket": b, "blob": pack(low[mine], high[mine], d[mine], p[mine])})
-        yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+                body = b"".join(data[s : s + k + WINDOW - 1].tobytes() for s, k in zip(begin[mine], count[mine], strict=True))
+                head = b"".join([np.int64(len(mine)).tobytes(), *(x[mine].astype(np.int64, copy=False).tobytes() for x in (doc, start, count)), gram[mine].tobytes(), level[mine].astype(np.int64).tobytes()])
+                yield pa.RecordBatch.from_pylist([{"kind": _ENTRIES, "bucket": b, "blob": packer.compress(head + body)}], _SCHEMA)
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[bytes] = []
-        windows: list[list[np.ndarray]] = []
         bucket = None
 
         def found() -> Iterator[pa.RecordBatch]:
-            rows: list[dict] = []
-            if parts:
-                heads, bodies = [], []
-                for blob in parts:
-                    raw = zstandard.ZstdDecompressor().decompress(blob)
-                    n = int(np.frombuffer(raw, np.int64, 1)[0])
-                    heads.append(np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n))
-                    bodies.append(np.frombuffer(raw, np.uint8, offset=8 + 32 * n))
-                doc, start, count, gram = np.concatenate(heads, axis=1)
-                data = np.concatenate(bodies)
-                off = np.concatenate(([0], np.cumsum(count + WINDOW - 1)))
-                # Entries of one trigger stay together; passes end between triggers.
-                by = np.argsort(gram, kind="stable")
-                size = np.cumsum(count[by] + WINDOW - 1)
-                edge = np.append(np.flatnonzero(np.append(True, gram[by][1:] != gram[by][:-1])), len(by))
-                found_d, found_p, k = [], [], 0
-                while k < len(edge) - 1:
-                    begin = size[edge[k] - 1] if edge[k] else 0
-                    stop = max(k + 1, int(np.searchsorted(size[edge[1:] - 1], begin + PASS_BYTES, "right")))
-                    at = by[edge[k] : edge[stop]]
-                    body = np.concatenate([data[off[i] : off[i + 1]] for i in at])
-                    d, p = repeats_among(body, np.concatenate(([0], np.cumsum(count[at] + WINDOW - 1))), doc[at], start[at], count[at])
-                    found_d.append(d)
-                    found_p.append(p)
-                    k = stop
-                d, p = np.concatenate(found_d), np.concatenate(found_p)
-                rows += _by_home(_REPEATS, buckets, *_ranges(d, p, np.ones(len(d), np.int64)))
-            if windows:
-                low, high, d, p = (np.concatenate(x) for x in zip(*windows, strict=True))
-                by, _, later = _first_of([low, high], d, p)
-                rows += _by_home(_REPEATS, buckets, *_ranges(d[by[later]], p[by[later]], np.ones(int(later.sum()), np.int64)))
+            if not parts:
+                return
+            heads, bodies = [], []
+            for blob in parts:
+                raw = zstandard.ZstdDecompressor().decompress(blob)
+                n = int(np.frombuffer(raw, np.int64, 1)[0])
+                heads.append(np.frombuffer(raw, np.int64, 5 * n, 8).reshape(5, n))
+                bodies.append(np.frombuffer(raw, np.uint8, offset=8 + 40 * n))
             parts.clear()
-            windows.clear()
-            for k in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_pylist(rows[k : k + 64], _SCHEMA)
+            doc, start, count, gram, level = np.concatenate(heads, axis=1)
+            data = np.concatenate(bodies)
+            off = np.concatenate(([0], np.cumsum(count + WINDOW - 1)))
+            for deep in (1, 2):
+                at = np.flatnonzero(level == deep)
+                if len(at):
+                    # One level's entries are all of the bucket as a rule; a view of the others stands where it lies.
+                    body = data if len(at) == len(doc) else np.concatenate([data[off[i] : off[i + 1]] for i in at])
+                    cut = np.concatenate(([0], np.cumsum(count[at] + WINDOW - 1)))
+                    repeats = [x for x in ordered_groups(body, cut, doc[at], start[at], count[at], gram[at], deep) if len(x[0])]
+                    if repeats:
+                        yield from _listed(_by_home(_REPEATS, buckets, *_ranges(*(np.concatenate(x) for x in zip(*repeats, strict=True)))))
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -471,10 +534,7 @@ def _order_phase(parsed: DataFrame, texts: DataFrame, buckets: int) -> DataFrame
                 if row["bucket"] != bucket:
                     yield from found()
                     bucket = row["bucket"]
-                if row["kind"] == _ENTRIES:
-                    parts.append(row["blob"])
-                else:
-                    windows.append(unpack(row["blob"], np.uint64, np.uint64, np.int64, np.int64))
+                parts.append(row["blob"])
         yield from found()
 
     dealt = parsed.filter(F.col("kind") == _OPEN).unionByName(texts).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
@@ -497,8 +557,7 @@ def remove_repeats(docs: DataFrame, hot_entries: int = HOT_ENTRIES, batch_bytes:
     differ, a repeat found at a place of one counts for the other where it
     fits. Further columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = bucket_count(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parsed = _parse_phase(rows, buckets, hot_entries, batch_bytes)
     texts = _packed_texts(rows, buckets)
@@ -541,21 +600,3 @@ def op6_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(read_table(spark, sf_dir, "documents"))
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
     return out.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, int, str]]:
-    """The definition, for tests: (n_bytes, n_removed, n_spans, kept_sha256) by id."""
-    seen: set[bytes] = set()
-    out = {}
-    for doc, text in sorted(rows):
-        b = (text or "").encode()
-        gone = bytearray(len(b))
-        for p in range(len(b) - WINDOW + 1):
-            w = b[p : p + WINDOW]
-            if w in seen:
-                gone[p : p + WINDOW] = b"\1" * WINDOW
-            seen.add(w)
-        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        spans = sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1]))
-        out[doc] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
-    return out

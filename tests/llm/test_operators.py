@@ -4,14 +4,17 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lexigrove.llm import chat_template as chat
 from lexigrove.llm import fingerprint, html_extract, line_templates, mixing, ngram_join, prefix_free, quality_crf, rules
 from lexigrove.llm.bpe import Codec, round_trips, tokenizer_path
+from lexigrove.llm.common import Text
 from lexigrove.llm.components import components
 from tests.llm.lines_reference import recurring
+from tests.llm.repeats_reference import without_repeats
 
 rng = random.Random(5)
 WORDS = ["alpha", "beta", "gamma", "delta", "of", "the", "und", "été", "7", "Zeta,", "x9", "omega."]
@@ -168,7 +171,37 @@ def test_prefix_free_dedup(spark, hot, batch):
     rows = corpus() + [(100 + i, "".join(rng.choice("ab") for _ in range(rng.randint(90, 150))) * rng.randint(1, 3)) for i in range(30)] + [(200, "ab" * 150), (201, "é" * 130), (202, "a" * 99)]
     out = prefix_free.remove_repeats(frame(spark, rows), hot, batch)
     got = {r["doc_id"]: (r["n_bytes"], sum(x["end"] - x["start"] for x in r["removed"]), len(r["removed"]), hashlib.sha256(r["kept"]).hexdigest()) for r in out.collect()}
-    assert got == prefix_free.brute_force(rows)
+    assert got == without_repeats(rows)
+
+
+def test_entries_in_parts(spark, monkeypatch):
+    """One trigger in thousands of entries that differ around it, ordered in parts of parts."""
+    core = "".join(rng.choice("abcdefgh") for _ in range(90))
+    rows = [(i, "".join(rng.choice("abcdefgh") for _ in range(rng.randint(20, 60))) + core + "".join(rng.choice("ab") for _ in range(rng.randint(5, 60)))) for i in range(400)]
+    rows += [(1_000 + i, rows[i][1][10:]) for i in range(0, 400, 7)] + [(2_000, "abab" * 200), (2_001, "xy" + "abab" * 100)]
+    found = []
+    for i, (doc, text) in enumerate(rows):
+        b = text.encode()
+        row, start, count, gram, content = prefix_free.phrases(Text(pa.array([text])))
+        found += [(doc, int(s), int(c), g, b[s : s + c + 99]) for s, c, g in zip(start, count, gram, strict=True)]
+    once = {}
+    for f in sorted(found, key=lambda f: f[:2]):
+        once.setdefault((f[3], f[4]), f)
+    some = list(once.values())
+    doc, start, count = (np.array([f[k] for f in some], np.int64) for k in range(3))
+    key = np.array([f[3] for f in some], np.uint64)
+    data, off = np.frombuffer(b"".join(f[4] for f in some), np.uint8), np.concatenate(([0], np.cumsum(count + 99)))
+    sets = []
+    for limit in (10**9, 3_000):
+        got = set()
+        for d, p, n in prefix_free.ordered_groups(data, off, doc, start, count, key, 1, limit):
+            got |= {(int(a), int(b) + j) for a, b, c in zip(d, p, n, strict=True) for j in range(int(c))}
+        sets.append(got)
+    assert sets[0] == sets[1] and len(sets[0]) > 1_000
+    for hot in (10_000, 2):
+        monkeypatch.setattr(prefix_free, "PASS_BYTES", 3_000 if hot == 2 else 1_000_000)
+        out = prefix_free.remove_repeats(frame(spark, rows), hot, 5_000)
+        assert {r["doc_id"]: (r["n_bytes"], sum(x["end"] - x["start"] for x in r["removed"]), len(r["removed"]), hashlib.sha256(r["kept"]).hexdigest()) for r in out.collect()} == without_repeats(rows)
 
 
 def test_suffix_order():
