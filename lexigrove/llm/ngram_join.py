@@ -491,7 +491,7 @@ def _dealt(docs: DataFrame, n: int, t: Threshold, buckets: int, batch_bytes: int
             yield pa.RecordBatch.from_pylist(rows, _BLOB_SCHEMA)
 
     blobs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal, _BLOB)
-    met = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    met = lambda df: df.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     return materialize(met(met(blobs).mapInArrow(tie, _BLOB)).mapInArrow(settle, _BLOB))
 
 

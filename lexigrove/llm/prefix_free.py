@@ -384,7 +384,7 @@ def _parse_phase(docs: DataFrame, buckets: int, hot_entries: int, batch_bytes: i
 
     blobs = docs.mapInArrow(parse, _BLOB)
     # Repeats (kind above phrases) pass through; they may lie in any partition.
-    return materialize(blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lookup, _BLOB))
+    return materialize(blobs.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(lookup, _BLOB))
 
 
 def _packed_texts(docs: DataFrame, buckets: int) -> DataFrame:
@@ -537,8 +537,8 @@ def _order_phase(parsed: DataFrame, texts: DataFrame, buckets: int) -> DataFrame
                 parts.append(row["blob"])
         yield from found()
 
-    dealt = parsed.filter(F.col("kind") == _OPEN).unionByName(texts).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    return dealt.mapInArrow(entries, _BLOB).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(order, _BLOB)
+    dealt = parsed.filter(F.col("kind") == _OPEN).unionByName(texts).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
+    return dealt.mapInArrow(entries, _BLOB).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(order, _BLOB)
 
 
 _RESULT = "doc_id long, n_bytes long, removed array<struct<start: long, end: long>>, kept binary"
@@ -592,7 +592,7 @@ def remove_repeats(docs: DataFrame, hot_entries: int = HOT_ENTRIES, batch_bytes:
             yield from record_batches(results(), _RESULT_SCHEMA, 500)
 
     repeats = parsed.filter(F.col("kind") == _REPEATS).unionByName(_order_phase(parsed, texts, buckets))
-    return repeats.unionByName(texts).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(cut, _RESULT)
+    return repeats.unionByName(texts).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(cut, _RESULT)
 
 
 def op6_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
