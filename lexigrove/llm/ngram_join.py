@@ -41,14 +41,13 @@ from pyspark.sql import functions as F
 from lexigrove.llm.common import CHUNK_BYTES, Text, bucket_count, chunks, join_salted, lowered, materialize, mix, pack, read_table, sequences, unpack
 from lexigrove.llm.components import components
 
-#: Coordinates of a count vector, and of the finer one that is looked at before a set is; powers of two.
-DIMENSIONS, FINE = 64, 512
+#: Coordinates of a count vector, and least and most of the finer one that is looked at before a set is; powers of two.
+DIMENSIONS, FINE, MOST_FINE = 64, 512, 8_192
 #: Text bytes that are dealt together, and members of a block of a large component.
 BATCH_BYTES = 4_000_000
-BLOCK = 2_000
-#: Shingles whose keys are made in one pass, and those that count as one more member of a block.
-SLICE = 300_000
-HEAVY = 1_000
+BLOCK = 4_000
+#: Shingles that count as one more member of a block.
+HEAVY = 2_000
 
 
 @dataclass(frozen=True)
@@ -198,22 +197,9 @@ class CountTree:
             cut = np.arange(0, len(upper), self.FAN)
             self.levels.append((np.maximum.reduceat(upper, cut, axis=0), np.minimum.reduceat(least, cut)))
 
-    def search(self, vector: np.ndarray, size: int, t: Threshold) -> np.ndarray:
-        """Indices of the points that the bound does not rule out."""
-        at = np.arange(len(self.levels[-1][0]))
-        for depth in range(len(self.levels) - 1, -1, -1):
-            upper, least = self.levels[depth]
-            bound = np.minimum(upper[at], vector).sum(axis=1)
-            at = at[bound >= t.needed(size, least[at])]
-            if depth:
-                below = len(self.levels[depth - 1][0])
-                at = (at[:, None] * self.FAN + np.arange(self.FAN)).ravel()
-                at = at[at < below]
-        return self.order[at]
-
-
-    def pairs(self, t: Threshold, rows: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of points, each once, that the bound does not rule out, in parts of a bounded size."""
+    def pairs(self, t: Threshold, part: np.ndarray, rows: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of points of different parts, each once, that the bound does not rule out, in runs of a bounded size."""
+        part = part[self.order]
         points, sizes = self.levels[0]
         span = [self.FAN**d for d in range(len(self.levels))]
 
@@ -223,6 +209,8 @@ class CountTree:
                 a, b = q[k : k + rows], at[k : k + rows]
                 # Only what comes after a point in the tree's order, so each pair comes up once.
                 later = (b + 1) * span[depth] - 1 > a
+                if not depth:
+                    later &= part[a] != part[b]
                 a, b = a[later], b[later]
                 bound = np.minimum(upper[b], points[a]).sum(axis=1, dtype=np.int64)
                 keep = bound >= t.needed(sizes[a], least[b])
@@ -244,99 +232,65 @@ class CountTree:
             yield from below(np.repeat(q, top), np.tile(np.arange(top), len(q)), len(self.levels) - 1)
 
 
-class Groups:
-    """Union of indices, the smallest as its name."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
+def fine_dimensions(size: int) -> int:
+    """Coordinates of finer vectors for sets of up to this size: about two a shingle, within bounds."""
+    return min(MOST_FINE, max(FINE, 1 << int(2 * size - 1).bit_length())) if size else FINE
 
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
 
-    def union(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        if i == j:
-            return False
-        self.up[max(i, j)] = min(i, j)
-        return True
+def tree_search(sets: list[np.ndarray], part: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
+    """Links (indices) that tie sets of different parts, found by an R-tree of all of them.
 
-
-def forest(sets: list[np.ndarray], t: Threshold) -> tuple[list[tuple[int, int]], Groups]:
-    """Links among different sets that tie all that links connect, found by an R-tree of all of them."""
-    groups = Groups(len(sets))
+    ``part`` says which sets are known to be together; it is kept up to date,
+    and sets of one part are not verified, so the links are a forest. Sets are
+    searched in classes of size, so finer vectors are as fine as they must be.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     # Sets so small that one shingle is too much of a difference have no partner but their equals.
-    partner = sizes * t.q // t.p
-    some = np.flatnonzero((sizes + partner) * (t.q - t.p) >= t.q + t.p)
+    some = np.flatnonzero((sizes + sizes * t.q // t.p) * (t.q - t.p) >= t.q + t.p)
     out: list[tuple[int, int]] = []
     if len(some) < 2:
-        return out, groups
-    chosen = [sets[i] for i in some]
-    fine, own = count_vectors(chosen, FINE), sizes[some]
-    coarse = fine.reshape(len(some), DIMENSIONS, FINE // DIMENSIONS).sum(axis=2, dtype=np.int32)
-    for a, b in CountTree(coarse.astype(np.uint8 if coarse.max() < 256 else np.int32), own).pairs(t):
-        apart = np.fromiter((groups.find(i) != groups.find(j) for i, j in zip(some[a].tolist(), some[b].tolist(), strict=True)), bool, len(a))
-        a, b = a[apart], b[apart]
-        for k in range(0, len(a), 1 << 13):
-            x, y = a[k : k + (1 << 13)], b[k : k + (1 << 13)]
-            close = np.minimum(fine[x], fine[y]).sum(axis=1, dtype=np.int64) >= t.needed(own[x], own[y])
-            for i, j in zip(x[close].tolist(), y[close].tolist(), strict=True):
-                if groups.find(int(some[i])) != groups.find(int(some[j])) and t.linked(common_size(chosen[i], chosen[j]), int(own[i]), int(own[j])):
-                    groups.union(int(some[i]), int(some[j]))
-                    out.append((int(some[i]), int(some[j])))
-    return out, groups
+        return out
+    order = some[np.argsort(sizes[some], kind="stable")]
+    sizes_in_order = sizes[order]
+    # A class starts where the sets are larger than any partner of those before; a long one is cut where a finer vector pays.
+    start = 0
+    while start < len(order):
+        dimensions = fine_dimensions(int(sizes_in_order[start]))
+        top = dimensions if dimensions < MOST_FINE else int(sizes_in_order[-1])
+        stop = max(start + 1, int(np.searchsorted(sizes_in_order, top // 2 if dimensions < MOST_FINE else top, "right")))
+        # Partners of the class's largest sets stand after it; they are searched with it, once.
+        reach = int(np.searchsorted(sizes_in_order, int(sizes_in_order[stop - 1]) * t.q // t.p, "right"))
+        _search(sets, order[start:reach], stop - start, sizes, part, t, dimensions, out)
+        start = stop
+    return out
 
 
-def tree_links(ids: list[int], roots: list[int], sets: list[np.ndarray], t: Threshold) -> list[tuple[int, int]]:
-    """Links that join members known to be apart.
+def _search(sets: list[np.ndarray], mine: np.ndarray, own: int, sizes: np.ndarray, part: np.ndarray, t: Threshold, dimensions: int, out: list[tuple[int, int]]) -> None:
+    """Links among the sets of ``mine`` with one end, at least, among the first ``own``."""
+    if len(mine) < 2 or len(np.unique(part[mine])) < 2:
+        return
+    size = sizes[mine]
+    fine = count_vectors([sets[i] for i in mine], dimensions)
+    coarse = fine.reshape(len(mine), DIMENSIONS, dimensions // DIMENSIONS).sum(axis=2, dtype=np.int32)
+    step = max(1, (1 << 22) // dimensions)
+    for a, b in CountTree(coarse.astype(np.uint8 if coarse.max() < 256 else np.int32), size).pairs(t, part[mine]):
+        wanted = np.minimum(a, b) < own
+        a, b = a[wanted], b[wanted]
+        for k in range(0, len(a), step):
+            x, y = a[k : k + step], b[k : k + step]
+            apart = part[mine[x]] != part[mine[y]]
+            x, y = x[apart], y[apart]
+            close = np.minimum(fine[x], fine[y]).sum(axis=1, dtype=np.int64) >= t.needed(size[x], size[y])
+            for i, j in zip(mine[x[close]].tolist(), mine[y[close]].tolist(), strict=True):
+                if part[i] != part[j] and t.linked(common_size(sets[i], sets[j]), int(sizes[i]), int(sizes[j])):
+                    part[part == part[j]] = part[i]
+                    out.append((i, j))
 
-    Members that are already together, by ``roots`` or by links found here, are
-    not verified again, so the result is a forest. No pair is searched twice,
-    whatever the number of keys it shares.
-    """
-    vectors = np.stack([count_vector(s) for s in sets])
-    sizes = np.array([len(s) for s in sets])
-    # Keys of a slice at a time: their working arrays are several times the sets.
-    slices = np.searchsorted(np.cumsum(sizes), np.arange(SLICE, int(sizes.sum()), SLICE))
-    made = [(k, o + int(at[0])) for at in np.split(np.arange(len(sets)), np.unique(slices)) if len(at) for k, o in [keys_of([sets[i] for i in at], t)]]
-    key, owner = (np.concatenate(x) for x in zip(*made, strict=True))
-    order = np.argsort(key, kind="stable")
-    key, owner = key[order], owner[order]
-    head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    stop = np.append(head[1:], len(key))
+
+def tree_links(ids: list[int], roots: list[int], sets: list[np.ndarray], t: Threshold) -> list[tuple[int, int]]:
+    """Links that join members known to be apart, a forest."""
     _, part = np.unique(roots, return_inverse=True)
-    known = part[owner]
-    mixed = np.flatnonzero(np.minimum.reduceat(known, head) != np.maximum.reduceat(known, head)) if len(head) else head
-    out: list[tuple[int, int]] = []
-    seen: set[bytes] = set()
-    tried = np.zeros((len(sets), len(sets)), bool)
-    for g in mixed:
-        # Linked sets share a key, so each key's members are searched on their own.
-        mine = np.unique(owner[head[g] : stop[g]])
-        if mine.tobytes() in seen:
-            continue
-        seen.add(mine.tobytes())
-        now = part[mine]
-        parts, count = np.unique(now, return_counts=True)
-        tree = None
-        # Of two members that are apart, one at least is outside the largest part.
-        for i in mine[now != parts[count.argmax()]]:
-            fresh = mine[(part[mine] != part[i]) & ~tried[i, mine]]
-            if not len(fresh):
-                continue
-            tree = tree or CountTree(vectors[mine], sizes[mine])
-            for j in mine[tree.search(vectors[i], int(sizes[i]), t)]:
-                if part[i] == part[j] or tried[i, j]:
-                    continue
-                tried[i, j] = tried[j, i] = True
-                if t.linked(common_size(sets[i], sets[j]), int(sizes[i]), int(sizes[j])):
-                    part[part == part[j]] = part[i]
-                    out.append((ids[i], ids[j]))
-            tried[i, fresh] = tried[fresh, i] = True
-    return out
+    return [(ids[i], ids[j]) for i, j in tree_search(sets, part, t)]
 
 
 # ------------------------------------------------------------ Spark operators
@@ -410,14 +364,15 @@ def _dealt(docs: DataFrame, n: int, t: Threshold, buckets: int, batch_bytes: int
             pairs = [(low, high, verdicts(low, high, position))]
             # The tree finds all links of the batch; keys that documents share without one are open beyond it.
             different = [sets[k] for k in kept]
-            tied, groups = forest(different, t)
+            part = np.arange(len(different))
+            tied = tree_search(different, part, t)
             ends = np.array(tied, np.int64).reshape(-1, 2)
             a, b = ids[kept[ends[:, 0]]], ids[kept[ends[:, 1]]]
             pairs.append((np.minimum(a, b)[a != b], np.maximum(a, b)[a != b], np.full(int((a != b).sum()), _LINKED, np.int8)))
             key, owner = keys_of(different, t)
             node = ids[kept][owner] if len(owner) else np.zeros(0, np.int64)
             head, low, high = stars(key, node)
-            root = {int(ids[k]): groups.find(i) for i, k in reversed(list(enumerate(kept)))}
+            root = {int(ids[k]): int(part[i]) for i, k in reversed(list(enumerate(kept)))}
             open_here = np.array([root[x] != root[y] or x in twice or y in twice for x, y in zip(low.tolist(), high.tolist(), strict=True)], bool)
             low, high = low[open_here], high[open_here]
             told = np.array([_OPEN if x in twice or y in twice else _NOT_LINKED for x, y in zip(low.tolist(), high.tolist(), strict=True)], np.int8)
