@@ -7,9 +7,10 @@ number of documents in it.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -228,6 +229,21 @@ def sequences(units: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` with its worker's free memory given back at the end: workers live on, and the next stage needs the room."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def record_batches(rows: Iterable[dict], schema: pa.Schema, size: int = 2_000) -> Iterator[pa.RecordBatch]:
     """Rows as record batches of a bounded number of rows."""
     held: list[dict] = []

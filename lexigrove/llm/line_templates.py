@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import Text, chunks, join_salted, materialize, read_table, record_batches
+from lexigrove.llm.common import Text, chunks, join_salted, lean, materialize, read_table, record_batches
 from lexigrove.llm.components import components
 from lexigrove.llm.ngram_join import shingle_sets
 
@@ -118,7 +118,7 @@ def lines_of(docs: DataFrame, with_mask: bool, only: bytes | None = None) -> Dat
                     names.append("mask")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _LINES_MASK if with_mask else _LINES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), _LINES_MASK if with_mask else _LINES)
 
 
 class Leaf:
@@ -188,7 +188,7 @@ def _parsed(lines: DataFrame, similar: float) -> DataFrame:
         return record_batches(rows(), _SCHEMA, 10_000)
 
     dealt = lines.select("leaf", "slice", "mask", "mask_hash").repartition("leaf", "slice").sortWithinPartitions("leaf", "slice", "mask")
-    return dealt.mapInArrow(run, _OUT)
+    return dealt.mapInArrow(lean(run), _OUT)
 
 
 def templates_of(lines: DataFrame, similar: float = SIMILAR, slice_lines: int = SLICE) -> DataFrame:
@@ -241,7 +241,7 @@ def sketches_of(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in made]))).astype(np.int32), pa.array(np.concatenate(made).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sketch array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, sketch array<int>")
 
 
 def likeness(a: str, b: str) -> Column:

@@ -38,16 +38,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import CHUNK_BYTES, Text, bucket_count, chunks, join_salted, lowered, materialize, mix, pack, read_table, sequences, unpack
+from lexigrove.llm.common import CHUNK_BYTES, Text, bucket_count, chunks, join_salted, lean, lowered, materialize, mix, pack, read_table, sequences, unpack
 from lexigrove.llm.components import components
 
 #: Coordinates of a count vector, and least and most of the finer one that is looked at before a set is; powers of two.
-DIMENSIONS, FINE, MOST_FINE = 64, 512, 8_192
+DIMENSIONS, FINE, MOST_FINE = 64, 512, 4_096
 #: Text bytes that are dealt together, and members of a block of a large component.
 BATCH_BYTES = 4_000_000
-BLOCK = 4_000
+BLOCK = 3_000
 #: Shingles that count as one more member of a block.
-HEAVY = 2_000
+HEAVY = 1_000
 
 
 @dataclass(frozen=True)
@@ -106,10 +106,13 @@ def count_vector(shingles: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarr
 
 def count_vectors(sets: list[np.ndarray], dimensions: int) -> np.ndarray:
     """Vectors of several sets, in the narrowest type that holds their counts."""
-    made = np.zeros((len(sets), dimensions), np.int32)
+    made = np.zeros((len(sets), dimensions), np.uint8)
     for i, s in enumerate(sets):
-        made[i] = count_vector(s, dimensions)
-    return made.astype(np.uint8 if made.max(initial=0) < 256 else np.int32)
+        v = count_vector(s, dimensions)
+        if made.dtype == np.uint8 and v.max(initial=0) > 255:
+            made = made.astype(np.int32)
+        made[i] = v
+    return made
 
 
 def common_size(a: np.ndarray, b: np.ndarray) -> int:
@@ -445,9 +448,9 @@ def _dealt(docs: DataFrame, n: int, t: Threshold, buckets: int, batch_bytes: int
         if rows:
             yield pa.RecordBatch.from_pylist(rows, _BLOB_SCHEMA)
 
-    blobs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal, _BLOB)
+    blobs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(deal), _BLOB)
     met = lambda df: df.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
-    return materialize(met(met(blobs).mapInArrow(tie, _BLOB)).mapInArrow(settle, _BLOB))
+    return materialize(met(met(blobs).mapInArrow(lean(tie), _BLOB)).mapInArrow(lean(settle), _BLOB))
 
 
 def _unpacked(blobs: DataFrame, kind: int, ddl: str, kinds: tuple[type, ...]) -> DataFrame:
@@ -505,7 +508,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: Threshold) -> DataF
                     yield part.select(["a", "b"]).take(pa.array(ok))
 
     x, y = texts.select(F.col("id").alias("a"), F.col("z").alias("za")), texts.select(F.col("id").alias("b"), F.col("z").alias("zb"))
-    return pairs.select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "za", "zb").mapInArrow(lean(run), "a long, b long")
 
 
 def _searched(members: DataFrame, texts: DataFrame, n: int, t: Threshold, block: int) -> DataFrame:
@@ -568,7 +571,7 @@ def _searched(members: DataFrame, texts: DataFrame, n: int, t: Threshold, block:
         yield from found()
 
     rows = dealt.join(texts, "id").repartition("task").sortWithinPartitions("k", "pair").select("k", "pair", "id", "root", "side", "z")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def link_components(docs: DataFrame, n: int = 5, p: int = 4, q: int = 5, batch_bytes: int = BATCH_BYTES, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:

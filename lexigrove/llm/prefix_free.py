@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import Text, bucket_count, chunks, flat, materialize, mix, pack, read_table, record_batches, unpack
+from lexigrove.llm.common import Text, bucket_count, chunks, flat, lean, materialize, mix, pack, read_table, record_batches, unpack
 
 WINDOW = 100
 GRAM = 32
@@ -382,9 +382,9 @@ def _parse_phase(docs: DataFrame, buckets: int, hot_entries: int, batch_bytes: i
                 held.append(unpack(row["blob"], np.uint64, np.uint64, np.int64, np.int32, np.int16))
         yield from decided()
 
-    blobs = docs.mapInArrow(parse, _BLOB)
+    blobs = docs.mapInArrow(lean(parse), _BLOB)
     # Repeats (kind above phrases) pass through; they may lie in any partition.
-    return materialize(blobs.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(lookup, _BLOB))
+    return materialize(blobs.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(lean(lookup), _BLOB))
 
 
 def _packed_texts(docs: DataFrame, buckets: int) -> DataFrame:
@@ -538,7 +538,7 @@ def _order_phase(parsed: DataFrame, texts: DataFrame, buckets: int) -> DataFrame
         yield from found()
 
     dealt = parsed.filter(F.col("kind") == _OPEN).unionByName(texts).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
-    return dealt.mapInArrow(entries, _BLOB).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(order, _BLOB)
+    return dealt.mapInArrow(lean(entries), _BLOB).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(lean(order), _BLOB)
 
 
 _RESULT = "doc_id long, n_bytes long, removed array<struct<start: long, end: long>>, kept binary"

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm.common import Text, chunks, read_table, sequences, with_fields
+from lexigrove.llm.common import Text, chunks, lean, read_table, sequences, with_fields
 
 #: Bounds of the fitting sample: labelled documents, and the length of one.
 #: Scoring has no bound.
@@ -275,7 +275,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, do
                 mine = x[row == k, :_OWN].astype(np.float32)
                 yield pa.RecordBatch.from_pydict({"quality": pa.array([quality[k]], pa.int32()), "lines": pa.array([mine.tobytes()], pa.binary())})
 
-    found = sample.select("text", "quality").mapInArrow(run, "quality int, lines binary").collect()
+    found = sample.select("text", "quality").mapInArrow(lean(run), "quality int, lines binary").collect()
     # In the order of a hash of what is learned from: the same for any order of the rows.
     found.sort(key=lambda r: (xxhash.xxh3_64_intdigest(r["lines"]), r["quality"], r["lines"]))
     parts = [np.frombuffer(r["lines"], np.float32).reshape(-1, _OWN) for r in found]
@@ -303,7 +303,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFr
                 score, lines = score_texts(model, Text(part.column(part.schema.get_field_index(text))))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array(lines.astype(np.int64))], names=[*part.schema.names, "quality_score", "quality_lines"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
