@@ -511,19 +511,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: Threshold) -> DataF
     return pairs.select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "za", "zb").mapInArrow(lean(run), "a long, b long")
 
 
-def _searched(members: DataFrame, texts: DataFrame, n: int, t: Threshold, block: int) -> DataFrame:
-    """Links within unresolved components by R-tree; members: (id, root, k, size).
-
-    A component of up to ``block`` members (large sets count for several) is
-    one task. A larger one is cut by
-    bands of set size (partners lie in the same band or the next one) and each
-    band into blocks by a hash; tasks are pairs of blocks. Its largest known
-    part is never compared with itself: its members (side 1) meet the blocks of
-    the rest only.
-    """
-    members = members.withColumn("weight", F.greatest(F.lit(1.0), F.col("size") / HEAVY))
-    parts = members.groupBy("k", "root").agg(F.count("*").alias("count"), F.sum("weight").alias("weight"))
-    largest = materialize(parts.groupBy("k").agg(F.max_by("root", F.struct("count", "root")).alias("big"), F.sum("weight").alias("n_all"), F.sum("count").alias("n")))
+def _in_blocks(members: DataFrame, largest: DataFrame, t: Threshold, block: int) -> DataFrame:
+    """(id, root, side, k, pair): members dealt to the pairs of blocks that they take part in."""
     at = join_salted(members, largest, ["k"], "n", "inner", F.col("id")).withColumn("side", ((F.col("root") == F.col("big")) & (F.col("n_all") > block)).cast("int"))
     at = at.withColumn("band", F.floor(F.ln(F.greatest(F.col("size"), F.lit(1))) / F.lit(math.log(t.q / t.p))).cast("int"))
     small = at.filter(F.col("n_all") <= block).select("id", "root", "side", "k", F.lit("all").alias("pair"))
@@ -548,7 +537,28 @@ def _searched(members: DataFrame, texts: DataFrame, n: int, t: Threshold, block:
     of_rest = F.concat(F.transform(upto("n_rest"), both), F.transform(upto("n_main"), lambda j: name("main", F.col("band"), F.col("mine"), other, j)))
     of_main = F.transform(upto("n_rest"), lambda i: name("main", other, i, F.col("band"), F.col("mine")))
     dealt = placed.select("id", "root", "side", "k", F.explode(F.when(F.col("side") == 1, of_main).otherwise(of_rest)).alias("pair"))
-    dealt = small.unionByName(dealt).withColumn("task", F.xxhash64("k", "pair"))
+    return small.unionByName(dealt)
+
+
+def _searched(members: DataFrame, texts: DataFrame, n: int, t: Threshold, block: int) -> DataFrame:
+    """Links within unresolved components by R-tree; members: (id, root, k, size).
+
+    A component of up to ``block`` members (large sets count for several) is
+    one task. A larger one is cut by
+    bands of set size (partners lie in the same band or the next one) and each
+    band into blocks by a hash; tasks are pairs of blocks. Its largest known
+    part is never compared with itself: its members (side 1) meet the blocks of
+    the rest only.
+    """
+    members = members.withColumn("weight", F.greatest(F.lit(1.0), F.col("size") / HEAVY))
+    parts = members.groupBy("k", "root").agg(F.count("*").alias("count"), F.sum("weight").alias("weight"))
+    largest = materialize(parts.groupBy("k").agg(F.max_by("root", F.struct("count", "root")).alias("big"), F.sum("weight").alias("n_all"), F.sum("count").alias("n")))
+    if (largest.agg(F.max("n_all")).first()[0] or 0) <= block:
+        # No component is larger than a block: each is a task as it is.
+        dealt = members.select("id", "root", F.lit(0).alias("side"), "k", F.lit("all").alias("pair"))
+    else:
+        dealt = _in_blocks(members, largest, t, block)
+    dealt = dealt.withColumn("task", F.xxhash64("k", "pair"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
