@@ -148,14 +148,30 @@ def test_evaluation(spark):
     assert -1 <= b["low"] <= 0.4 <= b["high"] <= 1
 
 
-SOURCE = '# c\nimport os\n\ndef outer(x: int) -> int:\n    """Doc string."""\n    def inner():\n        return helper()\n    self.data.process(); helper()\n    return inner()\n\nclass MyClass:\n    def method_a(self):\n        x = 1\n        return x\n'
+GARDEN = """class Bed(Plot):
+    rows = 4
+
+    async def water(self, litres, *, slow=False):
+        '''Water every row.'''
+        for row in self.plants():
+            await row.soak(split(litres, self.rows))
+
+
+def harvest(beds):
+    def ripe(bed):
+        return bed.age() > LIMIT
+
+    return list(filter(ripe, beds))
+"""
 
 
 def test_definitions(spark):
-    df = spark.createDataFrame([("p/a.py", SOURCE), ("b.py", "def (")], "path string, content string")
+    df = spark.createDataFrame([("plots/bed.py", GARDEN), ("broken.py", "class (:")], "path string, content string")
     rows = source_code.extract(df).orderBy("path", "pos").collect()
-    assert [(r["kind"], r["qualified_name"]) for r in rows] == [("rejected", None), ("function", "outer"), ("sub_function", "outer.inner"), ("class", "MyClass"), ("method", "MyClass.method_a")]
-    assert rows[1]["docstring"] == "Doc string." and rows[1]["start_line"] == 4 and rows[1]["calls"] == ["helper", "process", "inner"]
+    assert [(r["kind"], r["qualified_name"]) for r in rows] == [("rejected", None), ("class", "Bed"), ("method", "Bed.water"), ("function", "harvest"), ("sub_function", "harvest.ripe")]
+    water, harvest = rows[2], rows[3]
+    assert water["docstring"] == "Water every row." and (water["start_line"], water["end_line"]) == (4, 7) and water["params"] == ["self", "litres", "slow"]
+    assert water["calls"] == ["plants", "soak", "split"] and harvest["calls"] == ["age", "list", "filter"] and harvest["start_line"] == 10
 
 
 def test_anchors(spark):
