@@ -45,18 +45,21 @@ def _written(df: DataFrame) -> DataFrame:
 def closure(edges: DataFrame) -> DataFrame:
     """(top, id, depth): every node below each node at its least depth, by (parent, child) edges.
 
-    Distances double each round, so a chain of length L takes log2(L) joins;
-    the loop ends when a round finds nothing new or nearer, on any graph.
+    Distances double each round: walks of exactly k steps are joined to all
+    pairs within k, so a chain of length L takes log2(L) rounds and makes no
+    pair twice. The loop ends when a round finds nothing new or nearer, on any graph.
     """
     known = _written(edges.select(F.col("parent").alias("top"), F.col("child").alias("id"), F.lit(1).alias("depth")).distinct())
+    jump, k = known.select("top", "id"), 1
+    size = lambda df: df.agg(F.count("*"), F.sum("depth")).first()
     while True:
-        further = known.select(F.col("top").alias("id"), F.col("id").alias("to"), F.col("depth").alias("more"))
-        longer = known.join(further, "id").select("top", F.col("to").alias("id"), (F.col("depth") + F.col("more")).alias("depth"))
+        first = jump.withColumnRenamed("id", "mid")
+        longer = first.join(known.withColumnRenamed("top", "mid"), "mid").select("top", "id", (F.col("depth") + k).alias("depth"))
         new = _written(known.unionByName(longer).groupBy("top", "id").agg(F.min("depth").alias("depth")))
-        size = lambda df: df.agg(F.count("*"), F.sum("depth")).first()
         if size(new) == size(known):
             return new
-        known = new
+        jump = _written(first.join(jump.withColumnRenamed("top", "mid"), "mid").select("top", "id").distinct())
+        known, k = new, 2 * k
 
 
 def descendants(edges: DataFrame, start: DataFrame, max_depth: int = -1) -> DataFrame:
