@@ -11,6 +11,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,19 @@ _K_INV = np.uint64(pow(int(_K), -1, 2**64))
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """``base`` to the powers of 0 to n - 1."""
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, out=out)
+
+
+@lru_cache(maxsize=1)
+def _chunk_powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse for a chunk, made once a worker."""
+    return _powers(_K, CHUNK_BYTES + 1), _powers(_K_INV, CHUNK_BYTES + 1)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -197,13 +211,10 @@ class Text:
         """64-bit hashes of byte spans, a function of their bytes alone."""
         if self._sums is None or data is not None:
             d = self.data if data is None else data
-            powers = np.full(len(d) + 1, _K, dtype=np.uint64)
-            powers[0] = 1
-            inverse = np.full(len(d) + 1, _K_INV, dtype=np.uint64)
-            inverse[0] = 1
+            powers, inverse = _chunk_powers() if len(d) <= CHUNK_BYTES else (_powers(_K, len(d)), _powers(_K_INV, len(d) + 1))
             sums = np.zeros(len(d) + 1, dtype=np.uint64)
-            np.cumsum(_TABLE[d] * np.cumprod(powers)[:-1], out=sums[1:])
-            made = (sums, np.cumprod(inverse))
+            np.cumsum(_TABLE[d] * powers[: len(d)], out=sums[1:])
+            made = (sums, inverse)
             if data is None:
                 self._sums = made
         else:

@@ -26,7 +26,6 @@ boilerplate, stays in the first of them.
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -55,21 +54,19 @@ FILTER_BITS = 1 << 24
 #: (0.8 less about two standard errors of the estimate).
 SKETCH, KEYS, COPIES = 64, 8, 0.7
 
-_VARIABLE = re.compile(rb"[^ ]*[0-9][^ ]*")
-_LINES = "doc_id long, pos int, tokens int, leaf long, mask_hash long"
-_LINES_MASK = _LINES + ", mask string"
+_LINES = "doc_id long, pos int, tokens int, leaf long"
+_LINES_MASK = _LINES + ", mask_hash long, mask string"
 _DIGITS = b"0123456789"
 
 
-def masked(line: bytes) -> bytes:
-    """Tokens of a line joined by single spaces, those with a digit as ``<*>``."""
-    mask = b" ".join(line.split())
-    return _VARIABLE.sub(b"<*>", mask) if any(map(mask.__contains__, _DIGITS)) else mask
+def masked(tokens: list[bytes]) -> list[bytes]:
+    """Tokens of a line, those with a digit as ``<*>``."""
+    return [t if t.isalpha() or len(t.translate(None, _DIGITS)) == len(t) else b"<*>" for t in tokens]
 
 
-def _leaf_key(mask: bytes, tokens: int) -> bytes:
+def _leaf_key(tokens: list[bytes]) -> bytes:
     """What routes a line, at any length: its token count and leading tokens."""
-    return b"%d " % tokens + b" ".join(mask.split(b" ", DEPTH)[:DEPTH])
+    return b"%d " % len(tokens) + b" ".join(masked(tokens[:DEPTH]))
 
 
 def leaf_filter(leaves: DataFrame) -> bytes:
@@ -83,7 +80,7 @@ def leaf_filter(leaves: DataFrame) -> bytes:
 
 
 def lines_of(docs: DataFrame, with_mask: bool, only: bytes | None = None) -> DataFrame:
-    """(doc_id, pos, tokens, leaf, mask_hash) of every line with a word, and its mask if wanted.
+    """(doc_id, pos, tokens, leaf) of every line with a word; if wanted, its mask and the mask's hash.
 
     With ``only``, a :func:`leaf_filter`, lines whose leaf it does not hold may be left out.
     """
@@ -98,24 +95,24 @@ def lines_of(docs: DataFrame, with_mask: bool, only: bytes | None = None) -> Dat
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     body = text.as_buffer()
                     for pos, line in enumerate((body.to_pybytes() if body is not None else b"").split(b"\n")):
-                        mask = masked(line)
-                        if mask:
-                            n = mask.count(b" ") + 1
-                            key = signed(_leaf_key(mask, n))
+                        split = line.split()
+                        if split:
+                            key = signed(_leaf_key(split))
                             if only is not None and not only[(key & FILTER_BITS - 1) >> 3] >> (key & 7) & 1:
                                 continue
                             ids.append(doc_id)
                             at.append(pos)
-                            count.append(n)
+                            count.append(len(split))
                             leaf.append(key)
-                            hashed.append(signed(mask))
                             if with_mask:
+                                mask = b" ".join(masked(split))
+                                hashed.append(signed(mask))
                                 masks.append(mask)
-                columns = [pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(count, pa.int32()), pa.array(leaf, pa.int64()), pa.array(hashed, pa.int64())]
-                names = ["doc_id", "pos", "tokens", "leaf", "mask_hash"]
+                columns = [pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(count, pa.int32()), pa.array(leaf, pa.int64())]
+                names = ["doc_id", "pos", "tokens", "leaf"]
                 if with_mask:
-                    columns.append(pa.array(masks, pa.binary()).cast(pa.string()))
-                    names.append("mask")
+                    columns += [pa.array(hashed, pa.int64()), pa.array(masks, pa.binary()).cast(pa.string())]
+                    names += ["mask_hash", "mask"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), _LINES_MASK if with_mask else _LINES)
