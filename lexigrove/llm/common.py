@@ -69,8 +69,8 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` written to the shared folder and read back, and a call that deletes it.
 
     Cuts the lineage, so later steps survive lost executors without
     recomputing what went before. All of an application's steps lie in one
@@ -79,7 +79,17 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/stage-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def drop() -> None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    return spark.read.schema(df.schema).parquet(path), drop
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """The table of :func:`written`."""
+    return written(df)[0]
 
 
 #: Keys that hold more than this part of all rows are salted; as many at most.
