@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexigrove.operators.scans import numbered
+
 
 class NotUnique(ValueError):
     """A join key or pivot cell has more than one row."""
@@ -78,8 +80,7 @@ def concat(frames: list[DataFrame], how: str = "vertical") -> DataFrame:
 
 def concat_horizontal(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
     """Put frames side by side by the place of their rows in given unique orders; the shorter one is filled with null."""
-    place = lambda df, by: df.withColumn("__n", F.row_number().over(Window.orderBy(by)))
-    return place(left, left_order).join(place(right, right_order), "__n", "full").drop("__n")
+    return numbered(left, [left_order], "__n").join(numbered(right, [right_order], "__n"), "__n", "full").drop("__n")
 
 
 def pivot(df: DataFrame, index: str, on: str, values: str, columns: list[str]) -> DataFrame:
@@ -125,5 +126,4 @@ def categories(df: DataFrame, column: str, code: str) -> DataFrame:
     The code comes from the distinct values alone and is joined back.
     """
     seen = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    coded = seen.withColumn(code, F.row_number().over(Window.orderBy(column)) - 1)
-    return df.join(coded, column, "left")
+    return df.join(numbered(seen, [column], code).withColumn(code, F.col(code).cast("int")), column, "left")

@@ -42,35 +42,112 @@ def _written(df: DataFrame) -> DataFrame:
     return cut(df, "walk")
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """(top, id, depth): every node below each node at its least depth, by (parent, child) edges.
-
-    Distances double each round: walks of exactly k steps are joined to all
-    pairs within k, so a chain of length L takes log2(L) rounds and makes no
-    pair twice. The loop ends when a round finds nothing new or nearer, on any graph.
+def tree_order(nodes: DataFrame) -> DataFrame:
+    """(id, root, pre, size, depth) of every node that a root reaches, by (id, parent_id).
+
+    ``pre`` is the node's number in a depth-first walk of its tree, children by
+    id, from 0; its subtree is the numbers from ``pre`` on, ``size`` of them.
+    Pointers double their distance each round: first sizes are summed up the
+    tree (what lies within k steps below a node, and what lies below those at
+    distance k), then the steps that siblings and parents take before a node
+    are summed down. Work grows with the nodes times the logarithm of the
+    depth; no pairs and no paths are made. Nodes below a missing parent or on
+    or below a cycle are left out.
     """
-    known = _written(edges.select(F.col("parent").alias("top"), F.col("child").alias("id"), F.lit(1).alias("depth")).distinct())
-    jump, k = known.select("top", "id"), 1
-    size = lambda df: df.agg(F.count("*"), F.sum("depth")).first()
+    from lexigrove.operators.scans import Parts
+
+    at = _written(nodes.select("id", F.col("parent_id").alias("to"), F.lit(1).cast("long").alias("size")))
+    waiting_before = -1
+    while True:
+        waiting = at.filter("to is not null")
+        n = waiting.count()
+        if not n or n == waiting_before:
+            break
+        waiting_before = n
+        below = waiting.groupBy(F.col("to").alias("id")).agg(F.sum("size").alias("below"))
+        up = at.select(F.col("id").alias("to"), F.col("to").alias("far"))
+        grown = at.join(below, "id", "left").select("id", "to", (F.col("size") + F.coalesce("below", F.lit(0))).alias("size"))
+        at = _written(grown.filter("to is null").unionByName(grown.filter("to is not null").join(up, "to", "left").select("id", F.col("far").alias("to"), "size")))
+    sized = nodes.select("id", "parent_id").join(at.select("id", "size"), "id")
+    inner = Parts(sized.filter("parent_id is not null"), ["parent_id"], ["id"]).running(upto=("sum", F.col("size")))
+    steps = inner.select("id", F.col("parent_id").alias("to"), F.lit(None).cast(dict(nodes.dtypes)["id"]).alias("root"), (F.col("upto") - F.col("size") + 1).alias("pre"), "size", F.lit(1).alias("depth"))
+    tops = sized.filter("parent_id is null").select("id", F.lit(None).cast(dict(nodes.dtypes)["id"]).alias("to"), F.col("id").alias("root"), F.lit(0).cast("long").alias("pre"), "size", F.lit(0).alias("depth"))
+    at, waiting_before = _written(tops.unionByName(steps)), -1
     while True:
-        first = jump.withColumnRenamed("id", "mid")
-        longer = first.join(known.withColumnRenamed("top", "mid"), "mid").select("top", "id", (F.col("depth") + k).alias("depth"))
-        new = _written(known.unionByName(longer).groupBy("top", "id").agg(F.min("depth").alias("depth")))
-        if size(new) == size(known):
-            return new
-        jump = _written(first.join(jump.withColumnRenamed("top", "mid"), "mid").select("top", "id").distinct())
-        known, k = new, 2 * k
+        waiting = at.filter("to is not null")
+        n = waiting.count()
+        if not n or n == waiting_before:
+            return at.filter("to is null").select("id", "root", "pre", "size", "depth")
+        waiting_before = n
+        up = at.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("root").alias("top"), F.col("pre").alias("up_pre"), F.col("depth").alias("up_depth"))
+        moved = waiting.join(up, "to").select("id", F.col("far").alias("to"), F.col("top").alias("root"), (F.col("pre") + F.col("up_pre")).alias("pre"), "size", (F.col("depth") + F.col("up_depth")).alias("depth"))
+        at = _written(at.filter("to is null").unionByName(moved))
+
+
+#: Numbers of a walk that stand together in the range join of large subtrees, as a power of two.
+_WIDEST = 16
+
+
+def _within(tops: DataFrame, ordered: DataFrame, sought: DataFrame | None = None) -> DataFrame:
+    """(start, top, id, depth): the nodes of the subtree of each ``top``, itself included, by (start, top, base); of those ``sought`` if given.
+
+    ``depth`` is ``base`` and the steps from the top. A range join: a subtree
+    of up to 2^k numbers touches two blocks of that width at most, wider ones
+    several of the widest, and nodes are dealt by the widths in use; so pairs
+    that are compared are at most four times those that are found.
+    """
+    t = tops.join(ordered.select(F.col("id").alias("top"), "root", F.col("pre").alias("lo"), "size", F.col("depth").alias("top_depth")), "top")
+    t = t.withColumn("level", F.least(F.ceil(F.log2(F.col("size").cast("double"))).cast("int"), F.lit(_WIDEST)))
+    t = _written(t.withColumn("width", F.pow(F.lit(2.0), F.col("level")).cast("long")))
+    levels = [r[0] for r in t.select("level").distinct().collect()]
+    t = t.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / F.col("width")), F.floor((F.col("lo") + F.col("size") - 1) / F.col("width")))))
+    n = (ordered if sought is None else sought).select("id", "root", "pre", F.col("depth").alias("node_depth"), F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")).alias("level"))
+    n = n.withColumn("block", F.floor(F.col("pre") / F.pow(F.lit(2.0), F.col("level")).cast("long")))
+    found = t.join(n, ["root", "level", "block"]).filter("pre >= lo and pre < lo + size")
+    return found.select("start", "top", "id", (F.col("base") + F.col("node_depth") - F.col("top_depth")).alias("depth"))
+
+
+def _all_below(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Descendants to the end: the order of a spanning forest answers for whole subtrees, and the few edges beside it are jumps.
+
+    Each node's smallest parent makes the forest. From a start, an edge beside
+    it whose upper end lies in a subtree that is reached leads to a further
+    subtree; rounds are as many as such edges lie one after the other on a
+    shortest way, and none for a tree.
+    """
+    pairs = _written(edges.select("parent", "child").filter("parent <> child").distinct())
+    first = pairs.groupBy(F.col("child").alias("id")).agg(F.min("parent").alias("parent_id"))
+    alone = pairs.select(F.col("parent").alias("id")).distinct().join(first.select("id"), "id", "left_anti")
+    nodes = _written(first.unionByName(alone.withColumn("parent_id", F.lit(None).cast(dict(first.dtypes)["parent_id"]))))
+    ordered = _written(tree_order(nodes))
+    if ordered.count() < nodes.count():
+        # Every node of a cycle becomes a root.
+        on_cycle = _written(cycles(nodes)).withColumn("loop", F.lit(True))
+        nodes = _written(nodes.join(on_cycle, "id", "left").select("id", F.when(F.col("loop").isNull(), F.col("parent_id")).alias("parent_id")))
+        ordered = _written(tree_order(nodes))
+    beside = _written(pairs.join(nodes.select(F.col("id").alias("child"), F.col("parent_id").alias("parent")), ["parent", "child"], "left_anti"))
+    known = fresh = _written(start.select(F.col("id").alias("start")).distinct().select("start", F.col("start").alias("top"), F.lit(0).alias("base")))
+    if not beside.isEmpty():
+        ends = ordered.join(beside.select(F.col("parent").alias("id")).distinct(), "id", "left_semi")
+        while not fresh.isEmpty():
+            met = _within(fresh, ordered, ends)
+            step = met.join(beside.withColumnRenamed("parent", "id"), "id").groupBy("start", F.col("child").alias("top")).agg((F.min("depth") + 1).alias("base"))
+            old = known.select("start", "top", F.col("base").alias("old"))
+            fresh = _written(step.join(old, ["start", "top"], "left").filter("old is null or base < old").select("start", "top", "base"))
+            known = _written(known.unionByName(fresh).groupBy("start", "top").agg(F.min("base").alias("base")))
+    found = _within(known, ordered)
+    return found.filter("start <> id").groupBy("start", "id").agg(F.min("depth").alias("depth"))
 
 
 def descendants(edges: DataFrame, start: DataFrame, max_depth: int = -1) -> DataFrame:
     """(start, id, depth) of all nodes below each start, each once at its least depth, the start itself left out.
 
     ``edges`` gives (parent, child), as :func:`children` does, so children that
-    do not exist are no part of it. -1 walks to the end.
+    do not exist are no part of it; a child may have several parents, and
+    cycles are walked once. -1 goes to the end, other depths step by step.
     """
     if max_depth < 0:
-        found = closure(edges).withColumnRenamed("top", "start").join(start.select(F.col("id").alias("start")).distinct(), "start", "left_semi")
-        return found.filter("start <> id").select("start", "id", "depth")
+        return _all_below(edges, start)
     hop = edges.select(F.col("parent").alias("at"), F.col("child").alias("next"))
     seen = frontier = start.select(F.col("id").alias("start"), F.col("id"), F.lit(0).alias("depth")).distinct()
     for depth in range(1, max_depth + 1):
@@ -82,40 +159,22 @@ def descendants(edges: DataFrame, start: DataFrame, max_depth: int = -1) -> Data
     return seen.filter("depth > 0")
 
 
-def tree_paths(nodes: DataFrame) -> DataFrame:
-    """(id, path): ids from the root down to each node that a root reaches, itself included.
-
-    Half-finished paths are joined to those of their tops, so rounds grow with
-    the logarithm of the depth. Nodes below a missing parent or a cycle are left out.
-    """
-    known = nodes.select("id", "parent_id")
-    at = _written(known.select("id", F.col("parent_id").alias("to"), F.array("id").alias("path")))
-    live = -1
-    while True:
-        waiting = at.filter("to is not null")
-        count = waiting.count()
-        if count == live or not count:
-            return at.filter("to is null").select("id", "path")
-        live = count
-        up = at.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("path").alias("above"))
-        at = _written(at.filter("to is null").unionByName(waiting.join(up, "to").select("id", F.col("next").alias("to"), F.concat("above", "path").alias("path"))))
-
-
 def tree_lines(nodes: DataFrame) -> DataFrame:
-    """(path, depth, id, line): pre-order listing, children by id; what no root reaches comes last as orphans.
+    """(root, pre, depth, id, line): listing of all trees; in order by (root nulls last, pre, id) it is pre-order with children by id.
 
-    ``nodes`` gives (id string, parent_id, title, definition); any depth.
+    What no root reaches has no root and comes last, as orphans. ``nodes``
+    gives (id string, parent_id, title, definition); any depth.
     """
     from lexigrove.functions.text import first_line, shortened
 
     def line(prefix: Column, limit: Column) -> Column:
         return F.concat(prefix, F.lit("- "), F.col("id"), F.lit(": **"), F.col("title"), F.lit("** — "), limit)
 
-    told = nodes.select("id", "title", "definition").join(tree_paths(nodes), "id", "left")
-    lost = F.col("path").isNull()
+    told = nodes.select("id", "title", "definition").join(tree_order(nodes), "id", "left")
+    lost = F.col("root").isNull()
     definition = F.when(lost, F.substring(first_line(F.col("definition")), 1, 100)).otherwise(shortened(first_line(F.col("definition")), 100))
-    prefix = F.when(lost, F.lit("[orphan] ")).otherwise(F.repeat(F.lit("  "), F.size("path") - 1))
-    return told.select(F.coalesce("path", F.array(F.lit("\uffff"), F.col("id"))).alias("path"), F.when(lost, -1).otherwise(F.size("path") - 1).alias("depth"), "id", line(prefix, definition).alias("line"))
+    prefix = F.when(lost, F.lit("[orphan] ")).otherwise(F.repeat(F.lit("  "), F.col("depth")))
+    return told.select("root", "pre", F.when(lost, -1).otherwise(F.col("depth")).alias("depth"), "id", line(prefix, definition).alias("line"))
 
 
 # ------------------------------------------------------- validation and repair

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrove.functions.text import first_line, shortened
+from lexigrove.operators.scans import Parts
 
 EXAMPLE = "struct<problem:string,solution_steps:array<string>,final_answer:string,key_insight:string>"
 NODE_SCHEMA = (
@@ -133,6 +134,5 @@ def unique_ids(rows: DataFrame, base: str, line: str, order: list[str]) -> DataF
 
 
 def within_budget(rows: DataFrame, group: str, order: list[str], size: str, budget: int) -> DataFrame:
-    """Rows of a group in order until the next would pass the budget; all after that are left out."""
-    total = F.sum(size).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("__total", total).filter(F.col("__total") <= budget).drop("__total")
+    """Rows of a group in order until the next would pass the budget; all after that are left out. Sizes are not negative."""
+    return Parts(rows, [group], order).running(__total=("sum", F.col(size))).filter(F.col("__total") <= budget).drop("__total")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexigrove.operators.scans import Parts
+
 #: Duration units and the interval words they stand for.
 UNITS = {
     "ns": None, "us": "microsecond", "ms": "millisecond", "s": "second", "m": "minute", "h": "hour", "d": "day",
@@ -91,13 +93,9 @@ def group_by_dynamic(rows: DataFrame, ts: str, aggs: list[Column], every: str, p
 
 
 def rolling(rows: DataFrame, ts: str, period: str, aggs: dict[str, Column], by: tuple[str, ...] = ()) -> DataFrame:
-    """One result a row over (t - period, t]. ``aggs`` maps names to aggregate columns; deal by ``by`` to keep it parallel."""
-    span = micros(period)
-    w = Window.partitionBy(*by).orderBy("__us").rangeBetween(-(span - 1), Window.currentRow)
-    out = rows.withColumn("__us", _us(F.col(ts)))
-    for name, agg in aggs.items():
-        out = out.withColumn(name, agg.over(w))
-    return out.drop("__us")
+    """One result a row over (t - period, t]. ``aggs`` maps names to aggregate columns; a group of any size is spread over the tasks."""
+    parts = Parts(rows.withColumn("__us", _us(F.col(ts))), list(by), ["__us"])
+    return parts.rolling(micros(period), **aggs).drop("__us")
 
 
 def join_asof(left: DataFrame, right: DataFrame, on: str, by: str, value: list[str], strategy: str = "backward", tolerance: str | None = None, suffix: str = "_right") -> DataFrame:
@@ -106,26 +104,22 @@ def join_asof(left: DataFrame, right: DataFrame, on: str, by: str, value: list[s
     backward: last right time that is not later; forward: first that is not
     earlier; nearest: the closer of both, backward on ties. Beyond the
     tolerance, and without a partner, values are null. Both sides are merged
-    into one sorted run a key, so nothing is joined on ranges.
+    into sorted runs, of which a large key has several that hand on their last
+    value, so nothing is joined on ranges.
     """
     hit = F.struct(F.col(on).alias("at"), *(F.col(v) for v in value))
     marked = left.select(F.col(by), F.col(on), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(right.select(hit).schema[0].dataType).alias("__hit"))
     found = right.select(F.col(by), F.col(on), F.lit(0).alias("__side"), F.lit(None).cast(marked.schema["__row"].dataType).alias("__row"), hit.alias("__hit"))
     both = marked.unionByName(found)
-    # At equal times right rows stand before left ones for both directions.
-    back = Window.partitionBy(by).orderBy(on, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(by).orderBy(F.col(on).desc(), F.col("__side")).rowsBetween(Window.unboundedPreceding, 0)
-    backward, forward = F.last("__hit", ignorenulls=True).over(back), F.last("__hit", ignorenulls=True).over(ahead)
-    if strategy == "backward":
-        both = both.withColumn("__best", backward)
-    elif strategy == "forward":
-        both = both.withColumn("__best", forward)
-    elif strategy == "nearest":
-        both = both.withColumn("__b", backward).withColumn("__f", forward)
+    if strategy not in ("backward", "forward", "nearest"):
+        raise ValueError(f"no strategy {strategy!r}")
+    # At equal times right rows stand before left ones for a look back, after them for a look ahead.
+    back, ahead = ("last", F.col("__hit"), F.col("__side")), ("next", F.col("__hit"), -F.col("__side"))
+    sought = {"backward": {"__best": back}, "forward": {"__best": ahead}, "nearest": {"__b": back, "__f": ahead}}[strategy]
+    both = Parts(both, [by], [on]).running(**sought)
+    if strategy == "nearest":
         near = (_us(F.col(on)) - _us(F.col("__b.at"))) <= (_us(F.col("__f.at")) - _us(F.col(on)))
         both = both.withColumn("__best", F.when(F.col("__f").isNull() | near, F.col("__b")).otherwise(F.col("__f")))
-    else:
-        raise ValueError(f"no strategy {strategy!r}")
     if tolerance is not None:
         far = F.abs(_us(F.col(on)) - _us(F.col("__best.at"))) > F.lit(micros(tolerance))
         both = both.withColumn("__best", F.when(~far, F.col("__best")))

@@ -37,7 +37,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from lexigrove.plans import analysis, code, relational, retrieval, stores, studies, trees  # noqa: F401
+    from lexigrove.plans import analysis, code, corpora, relational, retrieval, stores, studies, trees  # noqa: F401
 
     return {name: (lambda spark, sf_dir, plan=plan: plan(Tables(spark, sf_dir))) for name, plan in PLANS.items()}
 

@@ -176,7 +176,7 @@ def a50(t: Tables) -> DataFrame:
     f"WITH RECURSIVE {_DEEP}, walk AS (SELECT id, title, definition, 0 AS depth FROM deep WHERE parent_id IS NULL UNION ALL SELECT d.id, d.title, d.definition, w.depth + 1 FROM walk w JOIN deep d ON d.parent_id = w.id) SELECT id, repeat('  ', depth) || '- ' || id || ': **' || title || '** — ' || definition AS line FROM walk",
 )
 def a52(t: Tables) -> DataFrame:
-    return graph.tree_lines(deep_tree(t)).orderBy("path").select("id", "line")
+    return graph.tree_lines(deep_tree(t)).orderBy(F.col("root").asc_nulls_last(), "pre", "id").select("id", "line")
 
 
 @query("a66_whitelist", "SELECT doc_id, array_to_string(list_filter(w, lambda x: x IN ('the', 'and', 'der', 'les')), ' ') AS kept, len(list_distinct(list_filter(w, lambda x: x NOT IN ('the', 'and', 'der', 'les'))))::INT AS n_rejected FROM (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents)")

@@ -67,19 +67,20 @@ def definitions(path: str, content: str) -> list[dict]:
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 is_class = isinstance(child, ast.ClassDef)
                 kind = "class" if is_class else "sub_function" if function else "method" if cls else "function"
-                name = f"{cls}.{child.name}" if cls and not function else f"{function}.{child.name}" if function else child.name
+                # Within a function's body a class stands on its own.
+                name = f"{cls}.{child.name}" if cls else f"{function}.{child.name}" if function and not is_class else child.name
                 head = lines[child.lineno - 1 : child.body[0].lineno]
                 if child.body[0].lineno == child.lineno:
                     head = head[:1]
                 else:
                     head = head[:-1] or head
                 out.append(empty | {
-                    "path": path, "pos": len(out), "kind": kind, "name": child.name, "qualified_name": name, "parent_class": cls, "parent_function": function,
+                    "path": path, "pos": len(out), "kind": kind, "name": child.name, "qualified_name": name, "parent_class": cls, "parent_function": None if is_class else function,
                     "start_line": child.lineno, "end_line": child.end_lineno, "signature": re.sub(r"\s+", " ", " ".join(head)).strip(),
                     "params": [] if is_class else [a.arg for a in [*child.args.posonlyargs, *child.args.args, *child.args.kwonlyargs]],
                     "docstring": ast.get_docstring(child), "source": "\n".join(lines[child.lineno - 1 : child.end_lineno]), "calls": called(child),
                 })
-                visit(child, child.name if is_class else cls, None if is_class else child.name)
+                visit(child, child.name if is_class else None, None if is_class else child.name)
             else:
                 visit(child, cls, function)
 

@@ -1,11 +1,14 @@
-"""The node store: a JSON document of nodes, and JSON-lines records."""
+"""The node store: a JSON document of nodes, versioned snapshots of nodes, and JSON-lines records."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrove.operators.nodes import NODE_SCHEMA, assert_new, delete, invalid_reason, upsert
+from lexigrove.sources.snapshots import ConflictError, Snapshots
 
 VERSION = "0.1.0"
 
@@ -57,25 +60,37 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 class Store:
-    """A node store in one place: changes are held back until :meth:`flush`, which replaces it as a whole.
+    """A node store in one place: changes are held back until :meth:`flush`, which commits them as one version.
 
     ``with Store(...) as s`` flushes at the end unless the block fails. A flush
-    without changes writes nothing; otherwise the nodes, by id, go to a folder
-    beside the store, which then takes its name, so readers see the old nodes
-    or the new ones.
+    without changes writes nothing; otherwise the nodes, by id, are written to
+    a folder of their own and become the next version in one atomic step, so
+    readers see the old nodes or the new ones, at any time and after any
+    crash. If another store has committed to the place since this one read it,
+    the flush fails with :class:`ConflictError`; the changes are still held,
+    and :meth:`rebase` carries them over to what is there now.
     """
 
+    #: Versions that stay readable after a flush.
+    KEEP = 2
+
     def __init__(self, spark: SparkSession, path: str, autosave: bool = False, create_if_missing: bool = True):
-        self.spark, self.path, self.autosave, self.dirty = spark, path.rstrip("/"), autosave, False
-        self._fs_path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = self._fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if self._fs.exists(self._fs_path):
-            self.nodes = spark.read.schema(NODE_SCHEMA).json(self.path)
-        elif create_if_missing:
-            self.nodes = spark.createDataFrame([], NODE_SCHEMA)
-        else:
+        self.spark, self.path, self.autosave = spark, path.rstrip("/"), autosave
+        self.snapshots = Snapshots(spark, self.path)
+        self._changes: list[Callable[[DataFrame], DataFrame]] = []
+        self._read()
+        if not self.version and not create_if_missing:
             raise FileNotFoundError(path)
 
+    def _read(self) -> None:
+        self.version = self.snapshots.version()
+        entry = self.snapshots.entry(self.version)
+        self.nodes = self.spark.read.schema(NODE_SCHEMA).json(entry["nodes"]) if entry else self.spark.createDataFrame([], NODE_SCHEMA)
+
+    @property
+    def dirty(self) -> bool:
+        return bool(self._changes)
+
     def __enter__(self) -> Store:
         return self
 
@@ -95,31 +110,41 @@ class Store:
 
     def put(self, nodes: DataFrame) -> None:
         """Add nodes, or replace those of the same id."""
-        self._change(upsert(self.nodes, nodes))
+        self._change(lambda held: upsert(held, nodes))
 
     def add(self, nodes: DataFrame) -> None:
         """Add nodes; an id that is there already is an error."""
-        self._change(assert_new(self.nodes, nodes))
+        self._change(lambda held: assert_new(held, nodes))
 
     def remove(self, ids: DataFrame) -> None:
-        self._change(delete(self.nodes, ids))
+        self._change(lambda held: delete(held, ids))
 
-    def _change(self, nodes: DataFrame) -> None:
-        self.nodes, self.dirty = nodes, True
+    def _change(self, change: Callable[[DataFrame], DataFrame]) -> None:
+        self.nodes = change(self.nodes)
+        self._changes.append(change)
         if self.autosave:
             self.flush()
 
+    def rebase(self) -> None:
+        """Read the current version and make the held changes to it, in their order; an ``add`` of an id that is there by now fails."""
+        self._read()
+        for change in self._changes:
+            self.nodes = change(self.nodes)
+
     def flush(self) -> bool:
-        """Write what has changed; whether anything was written."""
+        """Commit what has changed; whether anything was written."""
         if not self.dirty:
             return False
-        staged, old = (self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}.{x}") for x in ("new", "old"))
-        save_nodes(self.nodes, f"{self.path}.new")
-        if self._fs.exists(self._fs_path):
-            self._fs.rename(self._fs_path, old)
-        self._fs.rename(staged, self._fs_path)
-        self._fs.delete(old, True)
-        self.nodes, self.dirty = self.spark.read.schema(NODE_SCHEMA).json(self.path), False
+        staged = self.snapshots.stage("nodes")
+        save_nodes(self.nodes, staged)
+        try:
+            self.snapshots.commit(self.version, {"nodes": staged})
+        except ConflictError:
+            self.snapshots.drop(staged)
+            raise
+        self._changes.clear()
+        self._read()
+        self.snapshots.expire(self.KEEP)
         return True
 
 
