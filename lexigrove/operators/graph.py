@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,13 @@ def _written(df: DataFrame) -> DataFrame:
     return cut(df, "walk")
 
 
+def _written_count(df: DataFrame, condition: str) -> tuple[DataFrame, int]:
+    """The frame, written, and how many of its rows meet a condition, counted as they are written."""
+    seen = Observation()
+    out = _written(df.observe(seen, F.count_if(F.expr(condition)).alias("n")))
+    return out, seen.get["n"]
+
+
 def tree_order(nodes: DataFrame) -> DataFrame:
     """(id, root, pre, size, depth) of every node that a root reaches, by (id, parent_id).
 
@@ -56,32 +63,29 @@ def tree_order(nodes: DataFrame) -> DataFrame:
     """
     from lexigrove.operators.scans import Parts
 
-    at = _written(nodes.select("id", F.col("parent_id").alias("to"), F.lit(1).cast("long").alias("size")))
-    waiting_before = -1
-    while True:
-        waiting = at.filter("to is not null")
-        n = waiting.count()
-        if not n or n == waiting_before:
-            break
-        waiting_before = n
-        below = waiting.groupBy(F.col("to").alias("id")).agg(F.sum("size").alias("below"))
+    at, n = _written_count(nodes.select("id", F.col("parent_id").alias("to"), F.lit(1).cast("long").alias("size")), "to is not null")
+    before = -1
+    while n and n != before:
+        before = n
+        below = at.filter("to is not null").groupBy(F.col("to").alias("id")).agg(F.sum("size").alias("below"))
         up = at.select(F.col("id").alias("to"), F.col("to").alias("far"))
         grown = at.join(below, "id", "left").select("id", "to", (F.col("size") + F.coalesce("below", F.lit(0))).alias("size"))
-        at = _written(grown.filter("to is null").unionByName(grown.filter("to is not null").join(up, "to", "left").select("id", F.col("far").alias("to"), "size")))
+        # Null pointers meet no row, so the ends of walks stay as they are.
+        at, n = _written_count(grown.join(up, "to", "left").select("id", F.col("far").alias("to"), "size"), "to is not null")
     sized = nodes.select("id", "parent_id").join(at.select("id", "size"), "id")
     inner = Parts(sized.filter("parent_id is not null"), ["parent_id"], ["id"]).running(upto=("sum", F.col("size")))
-    steps = inner.select("id", F.col("parent_id").alias("to"), F.lit(None).cast(dict(nodes.dtypes)["id"]).alias("root"), (F.col("upto") - F.col("size") + 1).alias("pre"), "size", F.lit(1).alias("depth"))
-    tops = sized.filter("parent_id is null").select("id", F.lit(None).cast(dict(nodes.dtypes)["id"]).alias("to"), F.col("id").alias("root"), F.lit(0).cast("long").alias("pre"), "size", F.lit(0).alias("depth"))
-    at, waiting_before = _written(tops.unionByName(steps)), -1
-    while True:
-        waiting = at.filter("to is not null")
-        n = waiting.count()
-        if not n or n == waiting_before:
-            return at.filter("to is null").select("id", "root", "pre", "size", "depth")
-        waiting_before = n
+    none = F.lit(None).cast(dict(nodes.dtypes)["id"])
+    steps = inner.select("id", F.col("parent_id").alias("to"), none.alias("root"), (F.col("upto") - F.col("size") + 1).alias("pre"), "size", F.lit(1).alias("depth"))
+    tops = sized.filter("parent_id is null").select("id", none.alias("to"), F.col("id").alias("root"), F.lit(0).cast("long").alias("pre"), "size", F.lit(0).alias("depth"))
+    at, n = _written_count(tops.unionByName(steps), "to is not null")
+    before = -1
+    while n and n != before:
+        before = n
         up = at.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("root").alias("top"), F.col("pre").alias("up_pre"), F.col("depth").alias("up_depth"))
-        moved = waiting.join(up, "to").select("id", F.col("far").alias("to"), F.col("top").alias("root"), (F.col("pre") + F.col("up_pre")).alias("pre"), "size", (F.col("depth") + F.col("up_depth")).alias("depth"))
-        at = _written(at.filter("to is null").unionByName(moved))
+        moved = at.join(up, "to", "left").filter("to is null or top is not null or far is not null")
+        plus = lambda own, more: (F.col(own) + F.coalesce(more, F.lit(0))).alias(own)
+        at, n = _written_count(moved.select("id", F.col("far").alias("to"), F.coalesce("root", "top").alias("root"), plus("pre", "up_pre"), "size", plus("depth", "up_depth")), "to is not null")
+    return at.filter("to is null and root is not null").select("id", "root", "pre", "size", "depth")
 
 
 #: Numbers of a walk that stand together in the range join of large subtrees, as a power of two.

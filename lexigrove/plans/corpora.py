@@ -136,14 +136,14 @@ def _patches(rows: DataFrame) -> DataFrame:
 @query(
     "a132_patch_check",
     f"""WITH sized AS (SELECT doc_id, len({_LINES}) AS n FROM documents), told AS (
-  SELECT doc_id, n, (n + 1) // 2 AS at, doc_id % 7 AS kind, doc_id % 3 = 0 AS moved FROM sized
+  SELECT doc_id, n, (n + 1) // 2 AS mid, doc_id % 7 AS kind, doc_id % 3 = 0 AS moved FROM sized
 ), stuck AS (
   -- Moved down, a hunk that begins with line 1 no longer lies at the beginning; one without context after its change still lies at the end.
-  SELECT *, moved AND at <= 2 AS off, at = n AND n > 1 AS open_end FROM told
+  SELECT *, moved AND mid <= 2 AS off FROM told
 )
 SELECT doc_id, reason IS NULL AS applies, reason, n_hunks::BIGINT AS n_hunks, CASE WHEN reason IN ('empty', 'malformed', 'missing_file', 'conflict') THEN 0 WHEN moved AND NOT off THEN 1 ELSE 0 END::BIGINT AS n_shifted FROM (
   SELECT *, CASE kind WHEN 4 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS n_hunks,
-    CASE WHEN kind = 4 THEN 'empty' WHEN kind = 2 THEN 'malformed' WHEN doc_id % 11 = 0 THEN 'missing_file' WHEN off OR kind = 1 AND n > 2 THEN 'conflict' WHEN kind = 3 THEN 'overlap' END AS reason FROM stuck)""",
+    CASE WHEN kind = 4 THEN 'empty' WHEN kind = 2 THEN 'malformed' WHEN doc_id % 11 = 0 THEN 'missing_file' WHEN off OR kind = 1 AND n > 1 THEN 'conflict' WHEN kind = 3 THEN 'overlap' END AS reason FROM stuck)""",
 )
 def a132(t: Tables) -> DataFrame:
     """Patches made against documents, checked against files that have changed since."""
@@ -153,9 +153,9 @@ def a132(t: Tables) -> DataFrame:
 
 @query(
     "a132_hunk_places",
-    f"""WITH told AS (SELECT doc_id, len({_LINES}) AS n, (len({_LINES}) + 1) // 2 AS at, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS down FROM documents WHERE doc_id % 7 IN (0, 5, 6) AND doc_id % 11 <> 0)
-SELECT doc_id, 'texts/' || doc_id || '.txt' AS path, CASE WHEN down > 0 AND at <= 2 THEN 'conflict' WHEN down > 0 THEN 'shifted' ELSE 'exact' END AS status,
-CASE WHEN down = 0 OR at > 2 THEN greatest(at - 1, 1) + down END::BIGINT AS line, CASE WHEN down = 0 OR at > 2 THEN down END::BIGINT AS "offset" FROM told""",
+    f"""WITH told AS (SELECT doc_id, len({_LINES}) AS n, (len({_LINES}) + 1) // 2 AS mid, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS down FROM documents WHERE doc_id % 7 IN (0, 5, 6) AND doc_id % 11 <> 0)
+SELECT doc_id, 'texts/' || doc_id || '.txt' AS path, CASE WHEN down > 0 AND mid <= 2 THEN 'conflict' WHEN down > 0 THEN 'shifted' ELSE 'exact' END AS status,
+CASE WHEN down = 0 OR mid > 2 THEN greatest(mid - 1, 1) + down END::BIGINT AS line, CASE WHEN down = 0 OR mid > 2 THEN down END::BIGINT AS "offset" FROM told""",
 )
 def a132_places(t: Tables) -> DataFrame:
     rows = _numbered(t)
