@@ -10,6 +10,11 @@ is the content; all blocks within it are main text, however short. Elements
 whose tag or role is never main text take no part. Class and id words of
 adverts, notices, comments and the like lower the score of the paths below
 them, article and main elements raise it, and nothing else: the ratios decide.
+A name that says nothing but comments, adverts, notices, menus or the like, and
+an article within an article, which is a reader's comment, set an element apart:
+that leaves a thousandth of its paths' scores, and such paths below the
+threshold are no main text even within the content. Where nearly all text of a
+page is in such elements, their names are disregarded.
 """
 
 from __future__ import annotations
@@ -43,6 +48,20 @@ OUTSIDE_WORDS = frozenset(
     "login share sharing social related recommended recommendations comment comments disqus reply replies respond discussion widget pager pagination toolbar "
     "disclaimer copyright legal skip".split()
 )
+#: Words that set an element apart by a name made of them (and of words that say nothing), whatever is around it.
+APART_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs "
+    "sidebar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related "
+    "recommended recommendations comment comments disqus reply replies respond widget pager pagination toolbar".split()
+)
+FILLER_WORDS = frozenset(
+    "list box block wrapper wrap container section area thread form inner outer left right top bottom bar group row col column count unit slot zone links items item "
+    "posts articles stories text message site page main content body meta author reader user the of and".split()
+)
+#: A name that begins so tells of something else ("has-sidebar").
+MODIFIERS = frozenset("has no with without is not".split())
+#: Share of the text that names leave at least; where they would leave less, they are wrong about the page.
+LEFT = 0.02
 #: A start tag of a key closes open elements of the values, up to the nearest stop.
 _P_CLOSERS = BLOCK_TAGS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "frameset", "legend", "summary"}
 _SELF_CLOSE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -59,8 +78,8 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TAGS}
 #: Block tags that hold one block, so no container.
 LEAF_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd pre blockquote".split())
-#: What a name that does not go with main text leaves of a path's score, and what an article or main element adds to it.
-NAMED, ARTICLE = 0.05, 4.0
+#: What a name that does not go with main text leaves of a path's score, what being set apart does, and what an article or main element adds to it.
+NAMED, APART, ARTICLE = 0.05, 0.001, 4.0
 
 
 def _attributes(attrs: str) -> dict[str, str]:
@@ -83,15 +102,26 @@ def _named(attrs: dict[str, str]) -> bool:
     return any(not OUTSIDE_WORDS.isdisjoint(re.split(r"[^a-z]+", attrs.get(k, ""))) for k in ("class", "id"))
 
 
+def _apart(attrs: dict[str, str]) -> bool:
+    """A class or the id consists of words that set an element apart."""
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if words == ["footer"] or words and words[0] not in MODIFIERS and not APART_WORDS.isdisjoint(words) and all(w in APART_WORDS or w in FILLER_WORDS for w in words):
+            return True
+    return False
+
+
 class Element:
-    """An open element: its label in paths, whether it is outside main text, and what names leave of a score."""
+    """An open element: its label in paths, whether it is outside main text or set apart by name, and what names leave of a score."""
 
-    __slots__ = ("tag", "label", "outside", "factor", "inline")
+    __slots__ = ("tag", "label", "outside", "factor", "inline", "apart")
 
-    def __init__(self, tag: str, label: str, outside: bool, factor: float, inline: bool):
-        self.tag, self.label, self.outside, self.factor, self.inline = tag, label, outside, factor, inline
+    def __init__(self, tag: str, label: str, outside: bool, factor: float, inline: bool, apart: bool):
+        self.tag, self.label, self.outside, self.factor, self.inline, self.apart = tag, label, outside, factor, inline, apart
 
 
+#: Ends the label of an element that is set apart.
+MARK = "!"
 Block = tuple[tuple[str, ...], float, str]
 
 
@@ -182,16 +212,29 @@ def blocks(page: str) -> list[Block]:
             elif not within and tag not in ("html", "body") and _named(attrs):
                 factor *= NAMED
             label = tag if tag in LEAF_TAGS or not attrs.get("class") else f"{tag}.{' '.join(sorted(set(attrs['class'].split())))}"
-            stack.append(Element(tag, label, outside, factor, False))
+            apart = bool(stack) and stack[-1].apart
+            if not apart and tag not in ("html", "body") and (_apart(attrs) or tag == "article" and any(e.tag == "article" for e in stack)):
+                apart, label = True, label + MARK
+            stack.append(Element(tag, label, outside, factor, False, apart))
         elif (stack and stack[-1].inline or attrs and (_outside(tag, attrs, True) or _named(attrs))) and not raw.rstrip().endswith("/"):
             # An inline advert or the like, to its end or that of the block around it. A name needs a block's text
             # beside it to be wrong about, so a word of a sentence stays.
             if stack and stack[-1].inline or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role") in OUTSIDE_ROLES or not "".join(held).strip():
-                stack.append(Element(tag, tag, bool(stack) and stack[-1].outside, stack[-1].factor if stack else 1.0, True))
+                stack.append(Element(tag, tag, bool(stack) and stack[-1].outside, stack[-1].factor if stack else 1.0, True, bool(stack) and stack[-1].apart))
     flush()
     return out
 
 
+def apart(path: tuple[str, ...]) -> bool:
+    """An element of the path is set apart."""
+    return any(label.endswith(MARK) for label in path)
+
+
+def names_hold(found: list[Block]) -> bool:
+    """What is not set apart is enough of the text for the names to be right."""
+    return sum(len(x) for p, _, x in found if not apart(p)) >= LEFT * sum(len(x) for _, _, x in found)
+
+
 def path_scores(found: list[Block]) -> dict[tuple[str, ...], float]:
     """Fused ratio of each path: text and punctuation per block, smoothed in page order, times what names leave of it."""
     if not found:
@@ -200,7 +243,10 @@ def path_scores(found: list[Block]) -> dict[tuple[str, ...], float]:
     marks: dict[tuple[str, ...], float] = defaultdict(float)
     times = Counter(p for p, _, _ in found)
     factor = dict.fromkeys(times, 0.0)
+    trusted = names_hold(found)
     for path, named, text in found:
+        if trusted and apart(path):
+            named = APART
         chars[path] += len(text)
         marks[path] += len(_PUNCTUATION.findall(text))
         factor[path] = max(factor[path], named)
@@ -223,11 +269,16 @@ def path_scores(found: list[Block]) -> dict[tuple[str, ...], float]:
 HELD = 0.85
 
 
+def threshold_of(scores: dict[tuple[str, ...], float]) -> float:
+    """Score from which a path is selected: a standard deviation of all."""
+    values = np.array(list(scores.values()))
+    return float(min(values.max(), values.std())) if len(values) > 1 else 0.0
+
+
 def content_path(found: list[Block], scores: dict[tuple[str, ...], float]) -> tuple[str, ...]:
     """Path of the element that holds the selected paths' text."""
-    values = np.array(list(scores.values()))
-    threshold = min(values.max(), values.std()) if len(values) > 1 else 0.0
-    tag = lambda label: label.split(".", 1)[0]
+    threshold = threshold_of(scores)
+    tag = lambda label: label.rstrip(MARK).split(".", 1)[0]
     share: dict[tuple[str, ...], int] = defaultdict(int)
     size: dict[tuple[str, ...], int] = defaultdict(int)
     direct: dict[tuple[str, ...], int] = defaultdict(int)
@@ -261,8 +312,9 @@ def main_text(page: str | None) -> str:
     found = blocks(page) if page else []
     if not found:
         return ""
-    best = content_path(found, path_scores(found))
-    return "\n".join(text for path, _, text in found if path[: len(best)] == best)
+    scores = path_scores(found)
+    best, threshold, trusted = content_path(found, scores), threshold_of(scores), names_hold(found)
+    return "\n".join(text for path, _, text in found if path[: len(best)] == best and (scores[path] >= threshold or not (trusted and apart(path))))
 
 
 def extract(pages: DataFrame, source: str = "html", text: str = "text") -> DataFrame:

@@ -19,9 +19,9 @@ one long task. Joins on leaves and templates salt the keys that hold many rows.
 Copies of a document count as one document, so that copies alone make no line
 boilerplate; they are left to document-level deduplication. Copies are told by
 the smallest hashes of five-word shingles (:func:`copies_of`). All other
-recurring lines go, whatever share of a document they are. A passage of over
-``LONG_WORDS`` tokens that stands in several documents, but in too few to be
-boilerplate, stays in the first of them.
+recurring lines go, whatever share of a document they are. Longer lines need
+fewer documents (:func:`_enough`); one that stands in several, but in too few
+to be boilerplate at any length, stays in the first of them.
 """
 
 from __future__ import annotations
@@ -44,8 +44,9 @@ DEPTH = 3
 SIMILAR = 0.8
 #: Documents in which a template occurs before it counts as boilerplate.
 MIN_DOCS = 10
-#: Tokens above which a line does not recur by chance, and the documents that are enough for it.
-LONG_WORDS, LONG_DOCS = 50, 2
+#: Up to the first number of tokens ``MIN_DOCS`` documents are needed, from the second on ``LONG_DOCS``, as such a line
+#: does not recur by chance; between them the number falls evenly, by one document a token with these values.
+SHORT_WORDS, LONG_WORDS, LONG_DOCS = 42, 50, 2
 #: Distinct lines of a leaf that are parsed in one stream.
 SLICE = 2_000
 #: Bits of the filter that keeps lines of rare leaves from travelling; its size is the same for any corpus.
@@ -211,7 +212,9 @@ def templates_of(lines: DataFrame, similar: float = SIMILAR, slice_lines: int =
 
 def _enough(docs: str, min_docs: int, tokens: str = "tokens") -> Column:
     """So many documents make a line of so many tokens recurring."""
-    return F.col(docs) >= F.when(F.col(tokens) > LONG_WORDS, min(LONG_DOCS, min_docs)).otherwise(min_docs)
+    least = min(LONG_DOCS, min_docs)
+    down = F.ceil((F.lit(LONG_WORDS) - F.col(tokens)) * F.lit((min_docs - least) / (LONG_WORDS - SHORT_WORDS)))
+    return F.col(docs) >= F.least(F.lit(min_docs), F.greatest(F.lit(least), least + down))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, slice_lines: int = SLICE) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import defaultdict
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def recurring(rows, min_docs=10, long_words=50, long_docs=2, similar=0.8, copies=0.7):
+def recurring(rows, min_docs=10, short_words=42, long_words=50, long_docs=2, similar=0.8, copies=0.7):
     """(n_lines, n_dropped, text) by id; rows are (id, text)."""
     lines = {}
     for doc, text in rows:
@@ -38,7 +38,8 @@ def recurring(rows, min_docs=10, long_words=50, long_docs=2, similar=0.8, copies
     gone = defaultdict(set)
     for (doc, pos, _), tokens in lines.items():
         g = groups[place[tokens]]
-        if len(g) >= min_docs or len(tokens) > long_words and len(g) >= long_docs and group[doc] != min(g):
+        down = -(-(long_words - len(tokens)) * (min_docs - long_docs) // (long_words - short_words))
+        if len(g) >= min_docs or len(g) >= max(long_docs, long_docs + down) and group[doc] != min(g):
             gone[doc].add(pos)
     out = {}
     for doc, text in rows:

@@ -53,6 +53,34 @@ def test_layouts(page):
     assert [x for x in got if x != "Top"] == WANT
 
 
+INNER = f"<h1>Head</h1><p>{LONG}</p><p>{LONG}</p>"
+KEPT = f"Head\n{LONG.strip()}\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<article>{INNER}<section class='comments'><p>{LONG}</p><p>I see.</p></section></article>",
+        f"<main><article>{INNER}</article><div id='comments'><article><p>{LONG}</p></article></div></main>",
+        f"<article><div class='advert'><p>Buy now, cheap.</p></div>{INNER}</article>",
+        f"<main>{INNER}<div class='cookie-notice'><p>We use cookies.</p></div></main>",
+        f"<article>{INNER}<div class='related'><ul><li>Other one</li><li>{LONG}</li></ul></div></article>",
+        f"<article>{INNER}<article><p>First remark, of a reader.</p><article><p>An answer.</p></article></article><article><p>{LONG}</p></article></article>",
+        f"<body>{INNER}<div class='comments'><div><p>{LONG}</p></div><p>So it is.</p></div></body>",
+        f"<body><div class='post'>{INNER}<div class='comment-list'>{'<p>' + LONG + '</p>'}{'<p>Yes.</p>' * 40}</div></div></body>",
+        f"<article>{INNER}<div class='newsletter-signup box'>Write to us.</div><div id='share'>Share it</div></article>",
+        f"<body><main class='no-comments'><div class='content with-sidebar'>{INNER}</div><div class='sidebar'><p>{LONG}</p></div></main></body>",
+    ],
+)
+def test_what_is_set_apart_goes(page):
+    assert main_text(page) == KEPT
+
+
+def test_names_that_cover_the_page_say_nothing():
+    assert main_text(f"<body><div class='comments'><h1>Head</h1><p>{LONG}</p></div></body>") == f"Head\n{LONG.strip()}"
+    assert main_text(f"<article class='related-work'><h1>Head</h1><p class='notice-of-death'>{LONG}</p></article>") == f"Head\n{LONG.strip()}"
+
+
 def test_scores_decide(monkeypatch):
     """With the ratios turned round, other blocks are chosen on nearly every page."""
     pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet")["html"]

@@ -102,3 +102,19 @@ def test_odd_rows(spark):
     got = {r["doc_id"]: r for r in line_templates.drop_recurring(docs).collect()}
     assert got[None]["n_dropped"] == 0 and got[None]["text"] == rows[0][1] and got[99]["n_dropped"] == 1 and got[5]["n_dropped"] == 1
     assert line_templates.drop_recurring(docs.limit(0)).count() == 0
+
+
+def test_needed_documents_fall_evenly(spark):
+    """Lines of 40 to 54 tokens in 2 to 9 documents: one token more never asks for more documents, nor for two fewer."""
+    draw = random.Random(21)
+    rows, doc, of = [], 0, {}
+    for n in range(40, 55):
+        for docs in range(2, 10):
+            line = words(draw, n)
+            for _ in range(docs):
+                rows.append((doc, f"{words(draw, 30)}\n{line}"))
+                of.setdefault((n, docs), []).append(doc)
+                doc += 1
+    got = {i: x[1] for i, x in dropped(spark, rows).items()}
+    least = [min((d for d in range(2, 10) if sum(got[i] for i in of[n, d]) == d - 1), default=10) for n in range(40, 55)]
+    assert least == [10, 10, 10, 9, 8, 7, 6, 5, 4, 3, 2, 2, 2, 2, 2]

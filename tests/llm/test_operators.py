@@ -281,13 +281,25 @@ def test_mixing(spark):
     assert mixing.take_counts(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
-def test_small_sources_come_near_their_targets(spark):
-    """Twenty sources of fifty documents each: every one within 5 % of its target, or 2 % of all words."""
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = mixing.take_counts(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.sum("size").alias("size"))
-    got = rows.collect()
-    total = sum(r["size"] for r in got)
-    assert all(abs(r["taken"] - r["target"]) <= max(0.05 * r["target"], 0.02 * total) for r in got)
+def test_coins_are_fair(spark):
+    """Sources of one document each, at three rates: copies come as often as the fraction says, within three standard errors."""
+    n = 900
+    # Equal sizes; weights 5, 2, 1 by turns give rates of 1.875, 0.75 and 0.375.
+    docs = spark.createDataFrame([(i, "a b c d", f"s{i:04}") for i in range(n)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in mixing.take_counts(docs).collect()}
+    for turn, rate in enumerate((1.875, 0.75, 0.375)):
+        mine = [got[i] for i in range(n) if i % 3 == turn]
+        assert all(abs(r["target"] - 4 * rate) < 1e-9 and r["taken"] in (4 * int(rate), 4 * int(rate) + 4) for r in mine)
+        share = sum(r["taken"] > 4 * int(rate) for r in mine) / len(mine)
+        f = rate % 1
+        assert abs(share - f) <= 3 * (f * (1 - f) / len(mine)) ** 0.5
+    # A source of two thousand documents comes within three standard errors of its target.
+    large = spark.createDataFrame([(i, "a b c", "one" if i % 2 else "two") for i in range(4000)], "doc_id long, text string, source string")
+    rows = mixing.take_counts(large).join(large.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 3 * 3 * (2000 / 4) ** 0.5 for r in rows)
+
+
+def test_mixing_odd_rows(spark):
     # Null ids, repeated rows and a clashing column.
     odd = spark.createDataFrame([(None, "a b", "s", 1), (1, "a b", "s", 1), (1, "a b", "s", 1)], "doc_id long, text string, source string, seed int")
     taken = [(r["doc_id"], r["taken"]) for r in mixing.take_counts(odd).collect()]

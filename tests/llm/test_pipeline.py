@@ -66,17 +66,10 @@ def mixed(rows):
     goal |= {s: left * weight[s] / sum(weight[x] for x in todo) for s in todo}
     rate = {s: goal[s] / size[s] if size[s] else 0.0 for s in names}
 
-    def again(doc, source, seed):
-        return int(hashlib.md5(f"mix-{seed}:{doc}".encode()).hexdigest()[:13], 16) / 16.0**13 < rate[source] - int(rate[source])
-
-    out = []
-    for s in names:
-        mine = [r for r in rows if r[2] == s]
-        wanted = goal[s] - int(rate[s]) * size[s]
-        off = [abs(sum(len(WORD.findall(t or "")) for i, t, _ in mine if again(i, s, k)) - wanted) for k in range(16)]
-        for r in mine:
-            out += [r] * (int(rate[s]) + again(r[0], s, off.index(min(off))))
-    return out
+    def again(doc, source):
+        return int(hashlib.md5(f"mix-0:{doc}".encode()).hexdigest()[:13], 16) / 16.0**13 < rate[source] - int(rate[source])
+
+    return [r for r in rows for _ in range(int(rate[r[2]]) + again(r[0], r[2]))]
 
 
 def near_the_mark(rows):
