@@ -1,11 +1,19 @@
 """BM25 over node texts: index tables, scores, top-k for many queries at once.
 
-An index is three relations: postings (id, term, tf), lengths (id, dl) and
+An index is three relations: postings (id, term, tf, dl), lengths (id, dl) and
 terms (term, df, idf). Queries are relations too, so a batch of queries is one
 job: query terms are counted, joined to their postings, and summed by
 (query, node). Only postings of query terms are read; a term's idf comes from
 the corpus statistics.
 
+A written index holds postings in blocks: nodes are dealt into windows of some
+hundred by a hash of their id, and a block is a term's postings in one window
+with the largest weight that any of them has. Files are dealt by ranges of
+(term, window), so a common term lies in many of them. A query's top k needs
+few blocks: the largest weights of its terms' blocks bound all scores of a
+window, and windows whose bound is below the k-th best score of the most
+promising ones are not read.
+
 Formula: idf = ln(N - df + 0.5) - ln(df + 0.5); negative ones are replaced by a
 quarter of the mean idf over all terms; score = sum over query tokens of
 idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)).
@@ -16,7 +24,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrove.functions.text import tokens
@@ -26,37 +34,70 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 DECIMALS = 6
 
 
+#: Nodes of a window, about; windows of each query that are scored first.
+WINDOW_NODES, FIRST_WINDOWS = 256, 4
+#: What sums in another order may differ by, and rounding.
+ROOM = 1e-5
+
+
 @dataclass
 class Index:
-    """Relations of a corpus snapshot. Write them to Parquet by term to use them across jobs."""
+    """Relations of a corpus snapshot; ``blocks`` (term, window, n, top, entries) in a written one, for ``k1`` and ``b``."""
 
     postings: DataFrame
     lengths: DataFrame
     terms: DataFrame
     stats: DataFrame
+    blocks: DataFrame | None = None
+    k1: float = K1
+    b: float = B
 
 
-def build(nodes: DataFrame, text: str = "text", key: str = "id") -> Index:
+def build(nodes: DataFrame, text: str = "text", key: str = "id", k1: float = K1, b: float = B) -> Index:
     """Index of ``nodes``; texts without tokens count in N and in the mean length."""
     each = nodes.select(F.col(key).alias("id"), tokens(F.col(text)).alias("toks"))
     lengths = each.select("id", F.size("toks").alias("dl"))
-    postings = each.select("id", F.explode("toks").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    postings = each.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    stats = _stats(lengths)
+    return Index(postings, lengths, _terms(postings, stats), stats, None, k1, b)
+
+
+def _stats(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def _terms(postings: DataFrame, stats: DataFrame) -> DataFrame:
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     # One row of corpus statistics; its broadcast is bounded.
     raw = df.crossJoin(F.broadcast(stats)).select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf0"))
     mean = raw.agg(F.avg("idf0").alias("mean"))
     idf = F.when(F.col("idf0") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf0"))
-    terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
-    return Index(postings, lengths, terms, stats)
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
 
 
-def scores(index: Index, queries: DataFrame, text: str = "text", key: str = "query_id", k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, id, score) of all pairs that share a token. Repeated query tokens count repeatedly."""
+def _weight(k1: float, b: float) -> Column:
+    """What a posting (tf, dl) weighs in a corpus of this ``avgdl``, without its term's idf."""
+    return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * ((1 - b) + b * F.col("dl") / F.col("avgdl")))
+
+
+def _asked(index: Index, queries: DataFrame, text: str, key: str) -> DataFrame:
+    """(term, query_id, idf, qtf) of the query tokens that the corpus has."""
     q = queries.select(F.col(key).alias("query_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weight = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * ((1 - b) + b * F.col("dl") / F.col("avgdl")))
-    hits = q.join(index.terms, "term").join(index.postings, "term").join(index.lengths, "id").crossJoin(F.broadcast(index.stats))
-    return hits.groupBy("query_id", "id").agg(F.round(F.sum(weight), DECIMALS).alias("score"))
+    return q.join(index.terms, "term").select("term", "query_id", "idf", "qtf")
+
+
+def _scored(index: Index, hits: DataFrame) -> DataFrame:
+    """(query_id, id, score) of postings (query_id, id, idf, qtf, tf, dl)."""
+    weight = F.col("qtf") * F.col("idf") * _weight(index.k1, index.b)
+    return hits.crossJoin(F.broadcast(index.stats)).groupBy("query_id", "id").agg(F.round(F.sum(weight), DECIMALS).alias("score"))
+
+
+def scores(index: Index, queries: DataFrame, text: str = "text", key: str = "query_id") -> DataFrame:
+    """(query_id, id, score) of all pairs that share a token. Repeated query tokens count repeatedly."""
+    asked = _asked(index, queries, text, key)
+    if index.blocks is None:
+        return _scored(index, asked.join(index.postings, "term"))
+    return _scored(index, asked.join(index.blocks.select("term", "entries"), "term").select("query_id", "idf", "qtf", F.inline("entries")))
 
 
 def top_k(scored: DataFrame, k: int = 3) -> DataFrame:
@@ -67,15 +108,55 @@ def top_k(scored: DataFrame, k: int = 3) -> DataFrame:
     return scored.filter("score > 0").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def retrieve(index: Index, queries: DataFrame, k: int = 3, **columns: str) -> DataFrame:
-    return top_k(scores(index, queries, **columns), k)
+def _window_bounds(index: Index, asked: DataFrame) -> DataFrame:
+    """(query_id, window, bound, n): what no node of a window scores more than, and how many postings tell."""
+    met = asked.join(index.blocks.select("term", "window", "n", "top"), "term")
+    most = F.sum(F.col("qtf") * F.greatest(F.lit(0.0), F.col("idf") * F.col("top")))
+    return met.groupBy("query_id", "window").agg(most.alias("bound"), F.sum("n").alias("n")).filter("bound > 0")
+
+
+def _survivors(index: Index, asked: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(all windows, those that may hold one of a query's best ``k``), with their bounds."""
+    from lexigrove.sources.scratch import cut
+
+    bounds = cut(_window_bounds(index, asked), "bounds")
+    best = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "window")
+    first = bounds.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= FIRST_WINDOWS).select("query_id", "window")
+    seen = top_k(_scored(index, _read(index, asked, first)), k)
+    least = seen.filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    kept = bounds.join(least, "query_id", "left").filter(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - ROOM)
+    return bounds, cut(kept.select("query_id", "window", "n"), "windows")
+
+
+def _read(index: Index, asked: DataFrame, windows: DataFrame) -> DataFrame:
+    """Postings of the query terms in some windows of each query."""
+    wanted = asked.join(windows.select("query_id", "window"), "query_id")
+    return wanted.join(index.blocks.select("term", "window", "entries"), ["term", "window"]).select("query_id", "idf", "qtf", F.inline("entries"))
+
+
+def retrieve(index: Index, queries: DataFrame, k: int = 3, text: str = "text", key: str = "query_id") -> DataFrame:
+    """The best ``k`` nodes of each query; of a written index only the blocks that can matter are read."""
+    if index.blocks is None or k <= 0:
+        return top_k(scores(index, queries, text, key), k)
+    asked = _asked(index, queries, text, key)
+    _, windows = _survivors(index, asked, k)
+    return top_k(_scored(index, _read(index, asked, windows)), k)
+
+
+def blocks_read(index: Index, queries: DataFrame, k: int = 3, text: str = "text", key: str = "query_id") -> DataFrame:
+    """(query_id, windows, windows_read, postings, postings_read) of :func:`retrieve` over a written index."""
+    bounds, kept = _survivors(index, _asked(index, queries, text, key), k)
+    total = bounds.groupBy("query_id").agg(F.count("*").alias("windows"), F.sum("n").alias("postings"))
+    read = kept.groupBy("query_id").agg(F.count("*").alias("windows_read"), F.sum("n").alias("postings_read"))
+    return total.join(read, "query_id", "left").select("query_id", "windows", F.coalesce("windows_read", F.lit(0)).alias("windows_read"), "postings", F.coalesce("postings_read", F.lit(0)).alias("postings_read"))
 
 
 def retrieve_one(index: Index, query: DataFrame, k: int = 3, **columns: str) -> DataFrame:
     """Top-k of a single query as one ordered take, without a window."""
     if k <= 0:
         raise ValueError("top_k is above 0")
-    return scores(index, query, **columns).filter("score > 0").orderBy(F.col("score").desc(), F.col("id").asc()).limit(k)
+    found = scores(index, query, **columns).filter("score > 0") if index.blocks is None else retrieve(index, query, k, **columns).drop("rank")
+    return found.orderBy(F.col("score").desc(), F.col("id").asc()).limit(k)
 
 
 def retrieve_nothing(queries: DataFrame, key: str = "query_id") -> DataFrame:
@@ -120,13 +201,24 @@ def least_relevant(index: Index, queries: DataFrame, k: int = 3, text: str = "te
     return found.unionByName(zero).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def write(index: Index, path: str) -> Index:
-    """Write an index to a folder, postings by term, and read it back for any number of queries."""
+def write(index: Index, path: str, window_nodes: int = WINDOW_NODES) -> Index:
+    """Write an index to a folder, postings in blocks, and read it back for any number of queries."""
     spark = index.postings.sparkSession
-    for name, df in vars(index).items():
-        dealt = df.repartition("term").sortWithinPartitions("term") if name == "postings" else df
-        dealt.write.mode("overwrite").parquet(f"{path}/{name}")
-    return Index(**{name: spark.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in vars(index).items()})
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    lengths = stored(index.lengths, "lengths")
+    stats = stored(_stats(lengths), "stats")
+    n = stats.first()["n"]
+    window = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // window_nodes)))).cast("int")
+    listed = stored(index.postings.withColumn("window", window), "postings")
+    terms = stored(_terms(listed, stats).repartitionByRange("term").sortWithinPartitions("term"), "terms")
+    weighed = listed.crossJoin(F.broadcast(stats)).withColumn("w", _weight(index.k1, index.b))
+    blocks = weighed.groupBy("term", "window").agg(F.count("*").cast("int").alias("n"), F.max("w").alias("top"), F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("entries"))
+    blocks = stored(blocks.repartitionByRange("term", "window").sortWithinPartitions("term", "window"), "blocks")
+    return Index(listed.select("id", "dl", "term", "tf"), lengths, terms, stats, blocks, index.k1, index.b)
 
 
 def rank_of(scored: DataFrame, wanted: DataFrame) -> DataFrame:

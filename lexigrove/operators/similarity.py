@@ -14,20 +14,59 @@ from pyspark.sql import functions as F
 from lexigrove.functions.text import word_ngrams
 
 
+#: Bits of the n-gram filter for each n-gram of the smaller side, at most, and bits of one of its rows.
+FILTER_BITS, MOST_BITS, ROW_BITS = 32, 1 << 28, 4096
+
+
+def seen_filter(values: DataFrame, column: str) -> DataFrame:
+    """(row, words): a Bloom filter of the values' hashes as rows of 64 words, 37 MB of them at most at any number of values.
+
+    Beyond that bound it lets more through, and never holds a value back.
+    """
+    n = values.count()
+    bits = min(MOST_BITS, max(ROW_BITS, 1 << (FILTER_BITS * max(n, 1) - 1).bit_length()))
+    at = F.pmod(F.xxhash64(column), F.lit(bits))
+    word = values.select(F.floor(at / 64).alias("word"), (at % 64).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("set"))
+    rows = word.groupBy(F.floor(F.col("word") / (ROW_BITS // 64)).alias("row")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("word") % (ROW_BITS // 64)).cast("int").alias("k"), "set"))).alias("m"))
+    words = F.transform(F.sequence(F.lit(0), F.lit(ROW_BITS // 64 - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("long")))
+    return rows.select("row", words.alias("words"), F.lit(bits).alias("bits"))
+
+
+def maybe_seen(rows: DataFrame, column: str, seen: DataFrame) -> DataFrame:
+    """Rows whose value a :func:`seen_filter` may hold, told where they are: no shuffle, no Python."""
+    bits = seen.select(F.max("bits")).first()[0]
+    if bits is None:
+        return rows.limit(0)
+    at = rows.withColumn("__at", F.pmod(F.xxhash64(column), F.lit(bits)))
+    filters = F.broadcast(seen.select(F.col("row").alias("__row"), F.col("words").alias("__words")))
+    met = at.join(filters, F.floor(F.col("__at") / ROW_BITS) == F.col("__row"))
+    is_set = F.expr(f"(element_at(__words, cast(floor(__at % {ROW_BITS} / 64) as int) + 1) & shiftleft(1L, cast(__at % 64 as int))) <> 0")
+    return met.filter(is_set).drop("__at", "__row", "__words")
+
+
 def leakage(left: DataFrame, right: DataFrame, left_key: str, right_key: str, threshold: float = 0.4, n: int = 3, text: str = "text") -> DataFrame:
     """(left_key, right_key, jaccard) of pairs whose word n-gram sets have this similarity or more.
 
-    Candidates share an n-gram among the rarest of both sets: two sets of this
-    similarity share more n-grams than lie beyond these prefixes, so none is
-    lost, and the common n-grams, which stand last, are never joined on.
+    ``right`` is the smaller side. A Bloom filter of its n-grams is applied
+    where ``left`` is read, so what is shuffled follows the smaller side: its
+    n-grams and those of ``left`` that are, but for a few, among them. Of the
+    n-grams that both have, candidates share one among the rarest of both sets:
+    two sets of this similarity share more n-grams than lie beyond these
+    prefixes, so none is lost, and common n-grams are not joined on.
     """
     from lexigrove.sources.scratch import cut
 
-    grams = lambda df, key, side: df.select(F.col(key).alias("key"), F.lit(side).alias("side"), F.explode(word_ngrams(F.col(text), n)).alias("gram"))
-    every = cut(grams(left, left_key, 0).unionByName(grams(right, right_key, 1)), "grams")
+    def grams(df: DataFrame, key: str) -> DataFrame:
+        listed = df.select(F.col(key).alias("key"), word_ngrams(F.col(text), n).alias("grams"))
+        return listed.select("key", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+
+    few = cut(grams(right, right_key), "grams")
+    seen = cut(seen_filter(few.select("gram").distinct(), "gram"), "filter")
+    many = cut(maybe_seen(grams(left, left_key), "gram", seen), "grams")
+    every = many.withColumn("side", F.lit(0)).unionByName(few.withColumn("side", F.lit(1)))
     # An n-gram that one side lacks joins nothing; its place in the order is free, and last.
     rare = every.groupBy("gram").agg(F.count("*").alias("df"), F.count_distinct("side").alias("sides")).filter("sides = 2").select("gram", "df")
-    placed = every.join(rare, "gram", "left").groupBy("side", "key").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("df").isNotNull(), F.struct("df", "gram")))).alias("shared"))
+    placed = every.join(rare, "gram").groupBy("side", "key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("shared"))
     sets = cut(placed.select("side", "key", "n", F.transform("shared", lambda x: x["gram"]).alias("shared")), "sets")
     # What is in one side only takes up room of what may be left out.
     prefix = F.size("shared") - F.greatest(F.lit(1), F.ceil(F.col("n") * threshold - 1e-9)).cast("int") + 1

@@ -208,12 +208,12 @@ def a168_budget(t: Tables) -> DataFrame:
     return E.within_budget(_costs(t), "conv_id", ["turn"], 0.02).select("conv_id", "turn", "allowed")
 
 
-@query("a69_code_blocks", "SELECT doc_id, text AS code FROM documents WHERE lang = 'es'")
+@query("a69_code_blocks", "SELECT doc_id, text AS code FROM documents")
 def a69(t: Tables) -> DataFrame:
     answer = F.concat(F.lit("First ```python\nno\n``` then ```python\n"), "text", F.lit("``` done"))
-    return t.documents.filter("lang = 'es'").select("doc_id", T.last_code_block(answer).alias("code"))
+    return t.documents.select("doc_id", T.last_code_block(answer).alias("code"))
 
 
-@query("a70_clean_response", "SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS answer FROM documents WHERE lang = 'de'")
+@query("a70_clean_response", "SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS answer FROM documents")
 def a70(t: Tables) -> DataFrame:
-    return t.documents.filter("lang = 'de'").select("doc_id", T.clean_response(F.concat(F.lit("<think>hm</think>  "), "text")).alias("answer"))
+    return t.documents.select("doc_id", T.clean_response(F.concat(F.lit("<think>hm</think>  "), "text")).alias("answer"))

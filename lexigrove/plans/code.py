@@ -285,9 +285,18 @@ def a127(t: Tables) -> DataFrame:
 
 @query("a129_aligned", "SELECT p_partkey, repeat(' ', (p_size % 5)::INT) || 'if x:' || chr(10) || repeat(' ', (p_size % 5 + 2)::INT) || 'y' AS text FROM part")
 def a129(t: Tables) -> DataFrame:
-    moved = F.udf(lambda size: S.shift("   if x:\n     y", size % 5 - 3), useArrow=True)
-    # The alignment is a step of the edit operators, which run it over whole batches; here it stands alone.
-    return t.part.select("p_partkey", moved("p_size").alias("text"))
+    return t.part.select("p_partkey", S.aligned(F.lit("   if x:\n     y"), F.col("p_size") % 5 - 3).alias("text"))
+
+
+@query(
+    "a129_aligned_texts",
+    "SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_full_match(x, '[ \\t\\r]*') THEN x WHEN doc_id % 7 > 3 THEN repeat(' ', (doc_id % 7 - 3)::INT) || x "
+    "ELSE substr(x, (1 + least(3 - doc_id % 7, length(regexp_extract(x, '^[ \\t\\r]*'))))::INT) END), chr(10)) AS text FROM (SELECT doc_id, replace(text, '. ', '.' || chr(10) || '  ') AS text FROM documents)",
+)
+def a129_texts(t: Tables) -> DataFrame:
+    """Every document as a block, a sentence a line, moved by -3 to 3 columns."""
+    blocks = t.documents.select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n  ")).alias("text"))
+    return blocks.select("doc_id", S.aligned(F.col("text"), F.col("doc_id") % 7 - 3).alias("text"))
 
 
 _DIFF_PATH = "'src/m' || p_partkey || '.py'"

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lexigrove.operators import frames, temporal
 from lexigrove.plans.registry import Tables, query
-from lexigrove.sources.scratch import scratch_path
+from lexigrove.sources import database
+from lexigrove.sources.scratch import cut, scratch_path
 
 
 def money(x: str | Column) -> Column:
@@ -75,9 +76,15 @@ def b15(t: Tables) -> DataFrame:
 
 @query("b49_read_database", "SELECT n_nationkey::BIGINT AS id, n_name AS name FROM nation")
 def b49(t: Tables) -> DataFrame:
-    from lexigrove.sources.database import demo_database
+    held = cut(database.databases(t.nation.selectExpr("n_nationkey AS id", "n_name AS name"), "users"), "databases")
+    return database.query_databases(held, "SELECT id, name FROM users", "id bigint, name string")
 
-    return demo_database(t.spark, t.nation.selectExpr("n_nationkey AS id", "n_name AS name"))
+
+@query("b49_query_databases", "SELECT c_custkey::BIGINT AS id, c_name AS name, c_acctbal AS balance FROM customer WHERE c_acctbal > 0 AND c_mktsegment = 'BUILDING'")
+def b49_many(t: Tables) -> DataFrame:
+    """Customers in databases of their own, one for each part of the table; each answers for itself."""
+    held = cut(database.databases(t.customer.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment").repartition("c_custkey"), "customers"), "databases")
+    return database.query_databases(held, "SELECT c_custkey, c_name, c_acctbal FROM customers WHERE c_acctbal > 0 AND c_mktsegment = 'BUILDING'", "id bigint, name string, balance double")
 
 
 # ----------------------------------------------------------------- expressions

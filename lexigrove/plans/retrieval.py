@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexigrove.functions import text as T
 from lexigrove.operators import bm25, fusion, graph, similarity
 from lexigrove.plans.registry import Tables, query
-from lexigrove.sources.scratch import cut, scratch_path
+from lexigrove.sources.scratch import cut, scratch_path, times_cleaned
 
 STOP_SQL = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 TOKENS_SQL = "list_filter(regexp_extract_all(lower(coalesce({}, '')), '[a-z]+|\\p{{Nd}}+'), lambda t: t NOT IN (" + STOP_SQL + ") AND NOT regexp_full_match(t, '[a-z]'))"
@@ -30,12 +30,12 @@ scores AS (
   FROM qterms JOIN terms USING (term) JOIN postings USING (term) JOIN lens USING (id), stats GROUP BY query_id, id)"""
 
 
-_INDEXES: dict[tuple[str, str], bm25.Index] = {}
+_INDEXES: dict[tuple[str, str, int], bm25.Index] = {}
 
 
 def _index(t: Tables) -> bm25.Index:
     """The documents' index: written once a session and folder, postings by term, and used by every query after."""
-    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, times_cleaned(t.spark))
     if key not in _INDEXES:
         _INDEXES[key] = bm25.write(bm25.build(t.documents, "text", "doc_id"), scratch_path(t.spark, "index"))
     return _INDEXES[key]
@@ -51,9 +51,21 @@ def a60(t: Tables) -> DataFrame:
     return toks.select("doc_id", F.size("w").alias("n_tokens"), F.size(F.array_distinct("w")).alias("n_distinct"))
 
 
-@query("a86_index_stats", f"WITH {bm25_sql()} SELECT term, df, round(idf, 6) AS idf FROM terms ORDER BY df DESC, term LIMIT 200")
+@query("a86_index_stats", f"WITH {bm25_sql()} SELECT term, df, round(idf, 6) AS idf FROM terms")
 def a86(t: Tables) -> DataFrame:
-    return _index(t).terms.select("term", "df", F.round("idf", 6).alias("idf")).orderBy(F.col("df").desc(), "term").limit(200)
+    return _index(t).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(
+    "a86_index_blocks",
+    f"WITH {bm25_sql()} SELECT count(*) AS n_terms, sum(df)::BIGINT AS n_postings, (SELECT count(*) FROM lens) AS n_nodes, (SELECT round(avg(dl), 6) FROM lens) AS mean_length FROM terms",
+)
+def a86_blocks(t: Tables) -> DataFrame:
+    """An index built and written anew, its counts read from the blocks."""
+    index = bm25.write(bm25.build(t.documents, "text", "doc_id"), scratch_path(t.spark, "index"))
+    per_term = index.blocks.groupBy("term").agg(F.sum("n").alias("n"), F.sum(F.size("entries")).alias("entries")).filter("n = entries")
+    counted = per_term.agg(F.count("*").alias("n_terms"), F.sum("entries").cast("long").alias("n_postings"))
+    return counted.crossJoin(F.broadcast(index.stats.select(F.col("n").alias("n_nodes"), F.round("avgdl", 6).alias("mean_length"))))
 
 
 @query("a87_bm25_scores", f"WITH {bm25_sql()} SELECT * FROM scores")

@@ -197,9 +197,9 @@ def a72(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.element_at(T.selected_ids(answer), 1).alias("k"))
 
 
-@query("a75_yes_no", "SELECT doc_id, coalesce(nullif(regexp_extract(upper(coalesce(text, '')), '\\b(YES|NO)\\b', 1), ''), 'NO') AS answer FROM documents WHERE lang = 'en'")
+@query("a75_yes_no", "SELECT doc_id, coalesce(nullif(regexp_extract(upper(coalesce(text, '')), '\\b(YES|NO)\\b', 1), ''), 'NO') AS answer FROM documents")
 def a75(t: Tables) -> DataFrame:
-    return t.documents.filter("lang = 'en'").select("doc_id", T.yes_no(F.col("text")).alias("answer"))
+    return t.documents.select("doc_id", T.yes_no(F.col("text")).alias("answer"))
 
 
 @query("a53_hierarchy_merge", "SELECT coalesce(a.source, b.source) AS topic, coalesce(a.n, 0) AS n_english, coalesce(b.n, 0) AS n_german FROM (SELECT source, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY 1) a FULL JOIN (SELECT source, count(*) AS n FROM documents WHERE lang = 'de' GROUP BY 1) b ON a.source = b.source")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,24 +14,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_base(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-_LOCAL: list[str] = []
+#: Times that each application's folder was deleted: what is kept of its files in memory is of one such time.
+_CLEANED: Counter[str] = Counter()
 
 
 def _base(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="lexigrove-"))
-    return _LOCAL[0]
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexigrove-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def clean(spark: SparkSession) -> bool:
-    """Delete what this application has written for its own steps; call it when its results are stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{_base(spark)}/{spark.sparkContext.applicationId}")
+    """Delete all that this application has written for its own steps; call it when its results are stored."""
+    app = spark.sparkContext.applicationId
+    _CLEANED[app] += 1
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{_base(spark)}/{app}")
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def times_cleaned(spark: SparkSession) -> int:
+    return _CLEANED[spark.sparkContext.applicationId]
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write a frame and read it back, so that later steps start from files."""
     path = scratch_path(df.sparkSession, name)

@@ -221,6 +221,14 @@ def shift(text: str, delta: int) -> str:
     return "\n".join(map(move, text.split("\n")))
 
 
+def aligned(text: Column, delta: Column) -> Column:
+    """:func:`shift` of a column: lines with content moved by ``delta`` columns, not beyond the margin."""
+    delta = delta.cast("int")
+    width = lambda x: F.length(F.regexp_extract(x, r"^[ \t\r]*", 0))
+    move = lambda x: F.when(F.rtrim(F.regexp_replace(x, r"[\t\r]", " ")) == "", x).when(delta > 0, F.concat(F.repeat(F.lit(" "), delta), x)).otherwise(F.substr(x, F.least(-delta, width(x)) + 1))
+    return F.array_join(F.transform(F.split(text, "\n", -1), move), "\n")
+
+
 def find_anchor(source: str, before: str) -> tuple[int, str, str]:
     """(offset or -1, matched text, status): exact at a line start, indent_corrected, fuzzy, or not_found.
 
