@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from lexigrove.operators.joins import skew_join
+
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
@@ -247,7 +249,8 @@ def expand(seeds: DataFrame, nodes: DataFrame, calls: DataFrame, same_class: boo
     ``seeds`` gives (query_id, id, rank); ``nodes`` gives (id, class, name,
     type, pos) with class null where there is none; ``calls`` gives
     (id, callee, pos). Order: by seed, then same class before calls before
-    called by, then place in the corpus. Returns (query_id, id, layer, relation,
+    called by, then place in the corpus. A class or name that many nodes share
+    is dealt to many tasks. Returns (query_id, id, layer, relation,
     seed_rank, pos), layer 1 for the same class and 2 for calls.
     """
     s = seeds.select("query_id", "rank", F.col("id").alias("seed")).join(nodes.select(F.col("id").alias("seed"), F.col("class").alias("c"), F.col("name").alias("f"), F.col("type").alias("t")), "seed")
@@ -255,13 +258,13 @@ def expand(seeds: DataFrame, nodes: DataFrame, calls: DataFrame, same_class: boo
     parts = []
     if same_class:
         wanted = F.when(F.col("t") == "class", F.col("f")).otherwise(F.col("c"))
-        hit = s.withColumn("wanted", wanted).join(other, F.col("wanted") == F.col("class"))
+        hit = skew_join(other, s.withColumn("wanted", wanted), ["class"], ["wanted"])
         parts.append(hit.select("query_id", "id", "seed", F.col("rank").alias("seed_rank"), F.lit("same_class").alias("relation"), F.lit(0).alias("prio"), F.lit(0).alias("call_pos"), "pos"))
     if call:
-        hit = s.join(calls.select(F.col("id").alias("seed"), "callee", F.col("pos").alias("call_pos")), "seed").join(other, F.col("callee") == F.col("name"))
+        hit = skew_join(other, s.join(calls.select(F.col("id").alias("seed"), "callee", F.col("pos").alias("call_pos")), "seed"), ["name"], ["callee"])
         parts.append(hit.select("query_id", "id", "seed", F.col("rank").alias("seed_rank"), F.lit("calls").alias("relation"), F.lit(1).alias("prio"), "call_pos", "pos"))
     if called_by:
-        hit = s.join(calls.select(F.col("id").alias("caller"), "callee").distinct(), F.col("callee") == F.col("f")).join(other, F.col("caller") == F.col("id"))
+        hit = skew_join(calls.select(F.col("id").alias("caller"), "callee").distinct(), s, ["callee"], ["f"]).join(other, F.col("caller") == F.col("id"))
         parts.append(hit.select("query_id", "id", "seed", F.col("rank").alias("seed_rank"), F.lit("called_by").alias("relation"), F.lit(2).alias("prio"), F.lit(0).alias("call_pos"), "pos"))
     found = union_all(parts).join(seeds.select("query_id", "id"), ["query_id", "id"], "left_anti")
     first = Window.partitionBy("query_id", "id").orderBy("seed_rank", "prio", "call_pos", "pos")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexigrove.operators import frames, graph, temporal
+from lexigrove.operators.joins import skew_join
 from lexigrove.operators.scans import Parts
 
 
@@ -77,6 +78,27 @@ def test_numbers_and_categories(spark):
     assert codes == {c: i for i, c in enumerate(sorted(codes))}
 
 
+def test_skew_join(spark):
+    """Half of the rows have one key: same pairs as a plain join, and no task with over three times the median."""
+    left = spark.range(40_000).select(F.col("id").alias("l"), F.when(F.col("id") % 2 == 0, F.lit("hot")).when(F.col("id") % 97 == 1, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id") % 400)).alias("name"))
+    right = spark.createDataFrame([(i, k) for i, k in enumerate(["hot", "hot", "k1", "k3", "k5", None, "none"])], "r int, callee string")
+    got = skew_join(left, right, ["name"], ["callee"])
+    want = left.join(right, left["name"] == right["callee"])
+    assert sorted((r["l"], r["r"]) for r in got.collect()) == sorted((r["l"], r["r"]) for r in want.collect())
+    every = spark.createDataFrame([(1, "hot"), *((i, f"k{i}") for i in range(400))], "r int, callee string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        per_task = lambda df: [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        dealt, plain = per_task(skew_join(left, every, ["name"], ["callee"])), per_task(left.join(every, left["name"] == every["callee"]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert max(dealt) <= 3 * sorted(dealt)[len(dealt) // 2] and max(plain) > 3 * sorted(plain)[len(plain) // 2]
+    assert skew_join(left.limit(0), right, ["name"], ["callee"]).count() == 0
+    same = skew_join(left.select("name"), right.select(F.col("callee").alias("name"), "r"), ["name"])
+    assert same.columns == ["name", "r"] and same.count() == want.count()
+
+
 def walk(edges, start):
     """Least depths below a node."""
     depth, at = {start: 0}, [start]
