@@ -213,5 +213,9 @@ def op5_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
 
 
 def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: token counts and digests of what the mix holds."""
+    """Pipeline stage: token counts and digests of what the mix holds.
+
+    Null texts are encoded as empty ones; each row, repeated ones and null ids
+    included, gives a row; other columns are left out; an empty table gives none.
+    """
     return round_trips(docs, tokenizer_path())

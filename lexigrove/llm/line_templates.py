@@ -323,6 +323,10 @@ def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without their recurring lines; ``n_chars`` follows the text."""
+    """Pipeline stage: documents without their recurring lines; ``n_chars`` follows the text.
+
+    Null, empty and repeated rows, null ids and an empty table: as in
+    :func:`drop_recurring`; other columns pass through.
+    """
     out = drop_recurring(docs).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

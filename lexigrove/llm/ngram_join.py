@@ -629,7 +629,12 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component (5 words, 0.8) the smallest id stays, and all without links."""
+    """Pipeline stage: of each component (5 words, 0.8) the smallest id stays, and all without links.
+
+    Null and empty texts link with nothing and stay, as do null ids; rows of
+    one id stay or go together; other columns pass through; an empty table
+    stays empty.
+    """
     found, _ = link_components(docs)
     losers = found.filter("id <> root").select(F.col("id").alias("doc_id"))
     return docs.join(losers, "doc_id", "left_anti").select(*docs.columns)

@@ -318,6 +318,11 @@ def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: keep the documents that score at least the threshold."""
+    """Pipeline stage: keep the documents that score at least the threshold.
+
+    Null and empty texts have the score of no evidence, the same for both;
+    each row is scored on its own, repeated ones alike; null ids and other
+    columns pass through; an empty table stays empty.
+    """
     model = train(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
     return score_documents(docs, model).filter(F.col("quality_score") >= THRESHOLD).select(*docs.columns)

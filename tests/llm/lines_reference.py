@@ -6,8 +6,15 @@ from collections import defaultdict
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def recurring(rows, min_docs=10, short_words=42, long_words=50, long_docs=2, similar=0.8, copies=0.7):
-    """(n_lines, n_dropped, text) by id; rows are (id, text)."""
+def pairs_of_copies(rows, similar):
+    """Pairs of ids whose five-word shingles are that similar."""
+    words = [(doc, WORD.findall((text or "").lower())) for doc, text in rows]
+    sets = [(doc, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) for doc, w in words if w]
+    return [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if len(x & y) >= similar * len(x | y)]
+
+
+def recurring(rows, min_docs=10, short_words=42, long_words=50, long_docs=2, similar=0.8, copies=0.7, told=None):
+    """(n_lines, n_dropped, text) by id; rows are (id, text). ``told``: the groups of copies, (id: first); else they are made from all pairs."""
     lines = {}
     for doc, text in rows:
         for pos, line in enumerate((text or "").split("\n")):
@@ -25,13 +32,12 @@ def recurring(rows, min_docs=10, short_words=42, long_words=50, long_docs=2, sim
         leaf[best] = [a if a == b else "<*>" for a, b in zip(leaf[best], tokens, strict=True)]
         place[tokens] = (len(tokens), tokens[:3], best)
     group = {doc: doc for doc, _ in rows}
-    words = [(doc, WORD.findall((text or "").lower())) for doc, text in rows]
-    sets = [(doc, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) for doc, w in words if w]
-    for i, (a, x) in enumerate(sets):
-        for b, y in sets[:i]:
-            if group[a] != group[b] and len(x & y) >= copies * len(x | y):
-                low, high = sorted((group[a], group[b]))
-                group = {d: low if g == high else g for d, g in group.items()}
+    if told is not None:
+        group |= told
+    for i, j in [] if told is not None else pairs_of_copies(rows, copies):
+        if group[i] != group[j]:
+            low, high = sorted((group[i], group[j]))
+            group = {d: low if g == high else g for d, g in group.items()}
     groups = defaultdict(set)
     for (doc, _, _), tokens in lines.items():
         groups[place[tokens]].add(group[doc])

@@ -1,6 +1,7 @@
 """The pipeline against a plain reading of its five stages, and its stages on odd rows."""
 
 import hashlib
+import itertools
 import re
 from collections import Counter
 
@@ -9,10 +10,10 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lexigrove.llm import quality_crf
+from lexigrove.llm import line_templates, quality_crf
 from lexigrove.llm.bpe import tokenizer_path
 from lexigrove.llm.common import Text, materialize
-from tests.llm.lines_reference import recurring
+from tests.llm.lines_reference import pairs_of_copies, recurring
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -72,17 +73,10 @@ def mixed(rows):
     return [r for r in rows for _ in range(int(rate[r[2]]) + again(r[0], r[2]))]
 
 
-def near_the_mark(rows):
-    """Ids with a partner whose similarity is within 0.1 of 0.7, where an estimate of copies may go either way."""
-    words = [(i, WORD.findall((t or "").lower())) for i, t, _ in rows]
-    sets = [(i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) for i, w in words if w]
-    return {i for a, x in sets for b, y in sets if a != b and 0.6 <= len(x & y) / len(x | y) <= 0.8 for i in (a, b)}
-
-
 def test_against_a_plain_reading(spark):
     """Every stage once more, row by row, on the stage's own input.
 
-    Line dedup estimates which documents are copies, so those near its mark of 0.7 may differ there; all others are equal.
+    Which documents are copies is an estimate of line dedup's, held against all pairs here; its lines are read by the groups that it made.
     """
     docs, labels = (spark.read.parquet(f"{DATA}/{x}.parquet") for x in ("documents", "labels"))
     model = quality_crf.train(docs.select("doc_id", "text"), labels)
@@ -93,9 +87,17 @@ def test_against_a_plain_reading(spark):
         made.append(listed(out))
     raw, good, lines, firsts, mix = made
     assert good == [r for r in raw if quality(model, r[1]) >= 0.3] and len(good) < len(raw)
-    kept, unsure = recurring([r[:2] for r in good]), near_the_mark(good)
-    assert [r for r in lines if r[0] not in unsure] == sorted(((i, kept[i][2], s) for i, _, s in good if i not in unsure), key=str)
-    assert len(lines) == len(good) and len(unsure) < 0.2 * len(good) and sum(kept[r[0]][1] for r in good if r[0] not in unsure) > 0
+    known = spark.createDataFrame([r[:2] for r in good], "doc_id long, text string")
+    found = line_templates.recurring_lines(known).select("doc_id").distinct()
+    groups = {r["id"]: r["root"] for r in line_templates.copies_of(known, found).collect()}
+    asked = {r["doc_id"] for r in found.collect()}
+    same = lambda pairs: [groups.get(a, a) == groups.get(b, b) for a, b in pairs if a in asked and b in asked]
+    sure, likely = (same(pairs_of_copies([r[:2] for r in good], s)) for s in (0.8, 0.7))
+    assert all(sure) and sum(likely) >= 0.9 * len(likely) and len(sure) > 5
+    unlike = same(set(itertools.combinations(sorted(asked), 2)) - {tuple(sorted(p)) for p in pairs_of_copies([r[:2] for r in good], 0.5)})
+    assert sum(unlike) <= 0.01 * len(unlike)
+    kept = recurring([r[:2] for r in good], told=groups)
+    assert lines == sorted(((i, kept[i][2], s) for i, _, s in good), key=str) and sum(k[1] for k in kept.values()) > 0
     assert firsts == first_of_each_group(lines) and len(firsts) < len(lines)
     assert mix == sorted(mixed(firsts), key=str)
     library, want = Tokenizer.from_file(tokenizer_path()), Counter()
