@@ -31,13 +31,14 @@ def suppliers(t: Tables) -> DataFrame:
 
 @query("a01_load_store", "SELECT 's' || s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 2 = 1 THEN s_name ELSE 'draft' END AS title, (SELECT count(*) FROM supplier WHERE s_suppkey % 6 = 0) AS n_rejected FROM supplier")
 def a01(t: Tables) -> DataFrame:
-    """One JSON document, with later nodes of the same id and with invalid ones."""
+    """JSON documents of some hundred nodes each, with later nodes of the same id and with invalid ones."""
     node = lambda pos, title, definition: F.struct(pos.alias("pos"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), title.alias("title"), definition.alias("definition"))
     first = t.supplier.select(node(F.col("s_suppkey"), F.lit("draft"), F.lit("x")).alias("n"))
     later = t.supplier.filter("s_suppkey % 3 = 0").select(node(F.col("s_suppkey") + 1_000_000_000, F.col("s_name"), F.when(F.col("s_suppkey") % 2 == 0, " ").otherwise("x")).alias("n"))
     path = scratch_path(t.spark, "store")
-    listed = first.unionByName(later).agg(F.array_sort(F.collect_list("n")).alias("nodes"))
-    listed.select(F.to_json(F.struct(F.lit("1").alias("version"), F.col("nodes"))).alias("value")).write.text(path)
+    listed = first.unionByName(later).groupBy(F.floor(F.col("n.pos") / 500).alias("part")).agg(F.array_sort(F.collect_list("n")).alias("nodes"))
+    documents = listed.repartitionByRange("part").sortWithinPartitions("part").select(F.to_json(F.struct(F.lit("1").alias("version"), F.col("nodes"))).alias("value"))
+    documents.write.option("maxRecordsPerFile", 1).text(path)
     valid, rejected = store.load_nodes(t.spark, path)
     return valid.select("id", "title").crossJoin(F.broadcast(rejected.agg(F.count("*").alias("n_rejected"))))
 

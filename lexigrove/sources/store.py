@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.operators.nodes import NODE_SCHEMA, assert_new, delete, invalid_reason, upsert
@@ -16,19 +16,21 @@ VERSION = "0.1.0"
 def load_nodes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(valid nodes, rejected nodes with a reason) of ``{"version": ..., "nodes": [...]}``.
 
-    A later node of the same id wins; absent optional fields get their
-    defaults. A document without nodes, or one that is no JSON, is an error.
+    ``path`` is one such document or a folder of them, read side by side. A
+    later node of the same id wins, documents by the order of their names;
+    absent optional fields get their defaults. A document without nodes, or one
+    that is no JSON, is an error.
     """
     raw = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(f"version string, nodes array<struct<{_struct(NODE_SCHEMA)}>>").json(path)
-    if raw.filter("nodes is not null").isEmpty():
+    if not raw.filter("nodes is null").isEmpty() or raw.isEmpty():
         raise ValueError(f"{path} has no nodes")
-    rows = raw.select(F.posexplode("nodes").alias("pos", "node")).select("pos", "node.*")
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.posexplode("nodes").alias("pos", "node")).select(F.struct("file", "pos").alias("pos"), "node.*")
     rows = rows.withColumn("confidence", F.coalesce("confidence", F.lit(1.0))).withColumn("source", F.coalesce("source", F.lit("manual")))
     for c in ("key_facts", "common_pitfalls", "children_ids", "related_concepts"):
         rows = rows.withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
     told = rows.withColumn("reason", invalid_reason())
-    last = F.row_number().over(Window.partitionBy("id").orderBy(F.col("pos").desc()))
-    valid = told.filter("reason is null").withColumn("n", last).filter("n = 1").drop("n", "reason", "pos")
+    fields = [c for c in told.columns if c not in ("reason", "pos")]
+    valid = told.filter("reason is null").groupBy("id").agg(F.max_by(F.struct(*fields), "pos").alias("node")).select("node.*")
     return valid, told.filter("reason is not null")
 
 
