@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrove.operators import frames, temporal
+from lexigrove.operators.scans import Parts
 from lexigrove.plans.registry import Tables, query
 from lexigrove.sources import database
 from lexigrove.sources.scratch import cut, scratch_path
@@ -197,8 +198,9 @@ def b19(t: Tables) -> DataFrame:
 
 @query("b20_cum_sum", f"SELECT o_orderkey, {MONEY.format('o_totalprice')[:-11]} OVER w AS DOUBLE) AS total, max(o_totalprice) OVER w AS most, count(*) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)")
 def b20(t: Tables) -> DataFrame:
-    run = lambda a: frames.running(a, ["o_custkey"], ["o_orderdate", "o_orderkey"])
-    return t.orders.select("o_orderkey", run(F.sum(F.col("o_totalprice").cast("decimal(18,2)"))).cast("double").alias("total"), run(F.max("o_totalprice")).alias("most"), run(F.count("*")).alias("n"))
+    parts = Parts(t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"), ["o_custkey"], ["o_orderdate", "o_orderkey"])
+    run = parts.running(total=("sum", F.col("o_totalprice").cast("decimal(18,2)")), most=("max", F.col("o_totalprice")), n=("sum", F.lit(1).cast("long")))
+    return run.select("o_orderkey", F.col("total").cast("double").alias("total"), "most", "n")
 
 
 @query("b21_conditional_agg", f"SELECT l_linestatus, coalesce(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) FILTER (WHERE l_quantity > 40) AS DOUBLE), 0) AS total FROM lineitem GROUP BY l_linestatus")
