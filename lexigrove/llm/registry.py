@@ -16,6 +16,7 @@ from lexigrove.llm.line_templates import op4_line_templates
 from lexigrove.llm.mixing import OP8_SQL, op8_mixing
 from lexigrove.llm.ngram_join import op9_ngram_join
 from lexigrove.llm.periodic_runs import op13_periodic_runs
+from lexigrove.llm.plain_sql import OP1_SQL, OP2_SQL, OP6_SQL, OP9_SQL, OP13_SQL
 from lexigrove.llm.prefix_free import op6_prefix_free_dedup
 from lexigrove.llm.quality_crf import op3_quality_crf
 from lexigrove.llm.rules import OP10_SQL, op10_rules
@@ -40,4 +41,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": OP8_SQL, "op10_rules": OP10_SQL, "op11_centroids": OP11_SQL, "op12_decontamination": OP12_SQL}
+    return {
+        "op1_chat_format": OP1_SQL,
+        "op2_fingerprint": OP2_SQL,
+        "op6_prefix_free_dedup": OP6_SQL,
+        "op8_mixing": OP8_SQL,
+        "op9_ngram_join": OP9_SQL,
+        "op10_rules": OP10_SQL,
+        "op11_centroids": OP11_SQL,
+        "op12_decontamination": OP12_SQL,
+        "op13_periodic_runs": OP13_SQL,
+    }
