@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrove.operators.frames import over
+from lexigrove.operators.scans import Parts, numbered
+
 
 def last_records(records: DataFrame, order: str) -> DataFrame:
     """One record a (sample_id, condition): the last by ``order``."""
@@ -94,21 +97,18 @@ def truncation_rates(records: DataFrame, limit: int = 16_384) -> DataFrame:
     return records.groupBy("condition").agg(F.sum(cut).alias("n_truncated"), F.count("*").alias("n"), F.avg(cut).alias("rate"))
 
 
-def upper_median(x: str) -> Column:
-    """Aggregate: element n//2 (from 0) of the sorted values."""
-    values = F.array_sort(F.collect_list(x))
-    return F.element_at(values, F.floor(F.size(values) / 2).cast("int") + 1)
-
-
 def token_stats(records: DataFrame) -> DataFrame:
     """(condition, is_correct, n, avg_tokens, median_tokens), the upper median.
 
-    The median comes from a rank within the group, so no group is collected.
+    Records are counted by value, and the counts summed in the order of the
+    values; no group, however large, is put in order or collected.
     """
-    w = Window.partitionBy("condition", "is_correct")
-    ranked = records.withColumn("r", F.row_number().over(w.orderBy("token_count"))).withColumn("n", F.count("*").over(w))
-    middle = F.max(F.when(F.col("r") == F.floor(F.col("n") / 2) + 1, F.col("token_count")))
-    return ranked.groupBy("condition", "is_correct").agg(F.count("*").alias("n"), F.avg("token_count").alias("avg_tokens"), middle.alias("median_tokens"))
+    by, value = ["condition", "is_correct"], "token_count"
+    counts = records.groupBy(*by, value).agg(F.count("*").alias("c"))
+    sums = Parts(counts, by, [value]).running(upto=("sum", F.col("c")))
+    whole = over(sums, by, n=F.sum("c"))
+    middle = F.max(F.when((F.col("upto") > F.floor(F.col("n") / 2)) & (F.col("upto") - F.col("c") <= F.floor(F.col("n") / 2)), F.col(value)))
+    return whole.groupBy(*by).agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col(value)) / F.sum(F.when(F.col(value).isNotNull(), F.col("c")))).alias("avg_tokens"), middle.alias("median_tokens"))
 
 
 def triage(records: DataFrame, baseline: str) -> DataFrame:
@@ -154,12 +154,13 @@ def shuffle_key(key: Column, factor: int = 2_654_435_761) -> Column:
 
 def balanced_sample(rows: DataFrame, group: str, level: str, key: str, total: int, levels: tuple[str, ...]) -> DataFrame:
     """A quota a group (the first groups by name get one more), dealt level by level in turn: rows with ``pick``."""
-    groups = rows.select(group).distinct().withColumn("g", F.row_number().over(Window.orderBy(group)) - 1)
+    groups = numbered(rows.select(group).distinct(), [group], "g")
     n = groups.agg(F.count("*").alias("n_groups"))
     quota = groups.crossJoin(F.broadcast(n)).select(group, (F.floor(F.lit(total) / F.col("n_groups")) + (F.col("g") < F.lit(total) % F.col("n_groups")).cast("int")).alias("quota"))
     place = F.array_position(F.array(*map(F.lit, levels)), F.col(level))
     turn = F.row_number().over(Window.partitionBy(group, level).orderBy(shuffle_key(F.col(key)), F.col(key)))
-    ranked = rows.filter(F.col(level).isin(*levels)).withColumn("turn", turn)
+    # A pick is no sooner than its turn, so later turns than the total are cut where the rows are.
+    ranked = rows.filter(F.col(level).isin(*levels)).withColumn("turn", turn).filter(F.col("turn") <= total)
     pick = F.row_number().over(Window.partitionBy(group).orderBy("turn", place))
     return ranked.withColumn("pick", pick).join(quota, group).filter(F.col("pick") <= F.col("quota")).drop("turn", "quota")
 

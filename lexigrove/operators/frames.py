@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexigrove.operators.scans import numbered
+from lexigrove.operators.joins import skew_join
+from lexigrove.operators.scans import Parts, numbered
 
 
 class NotUnique(ValueError):
@@ -89,29 +90,39 @@ def pivot(df: DataFrame, index: str, on: str, values: str, columns: list[str]) -
     return df.groupBy(index).pivot(on, columns).agg(F.first(values))
 
 
-def average_rank(x: Column, by: list[str]) -> Column:
-    """Rank from 1 within groups, ties get the mean of their places."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2.0
+def over(df: DataFrame, by: list[str], **aggs: Column) -> DataFrame:
+    """The rows with aggregates of their group, which are made first and joined back; a null key is a group.
+
+    A group may hold any part of the rows.
+    """
+    groups = df.groupBy(*by).agg(*(a.alias(n) for n, a in aggs.items())).select(F.struct(*by).alias("__by"), *aggs)
+    return skew_join(df.withColumn("__by", F.struct(*by)), groups, ["__by"]).drop("__by")
 
 
-def running(agg: Column, by: list[str], order: list[str]) -> Column:
-    """A cumulative aggregate in a stated order."""
-    return agg.over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+def average_rank(df: DataFrame, x: str, by: list[str], name: str) -> DataFrame:
+    """Rank from 1 within groups (null first), ties get the mean of their places.
+
+    Only the distinct values of a group are put in order.
+    """
+    values = df.groupBy(*by, x).agg(F.count("*").alias("__n"))
+    ranks = Parts(values, by, [x]).running(__to=("sum", F.col("__n")))
+    ranks = ranks.select(F.struct(*by, x).alias("__by"), (F.col("__to") - (F.col("__n") - 1) / 2.0).alias(name))
+    return skew_join(df.withColumn("__by", F.struct(*by, x)), ranks, ["__by"]).drop("__by")
 
 
-def cum_prod(x: str, by: list[str], order: list[str]) -> Column:
-    """Cumulative product; nulls count as 1."""
-    seen = running(F.collect_list(F.coalesce(F.col(x).cast("double"), F.lit(1.0))), by, order)
-    return F.aggregate(seen, F.lit(1.0), lambda acc, v: acc * v)
+def cum_prod(df: DataFrame, x: str, by: list[str], order: list[str], name: str) -> DataFrame:
+    """Cumulative product in a stated unique order; nulls count as 1."""
+    return Parts(df, by, order).running(**{name: ("prod", F.coalesce(F.col(x).cast("double"), F.lit(1.0)))})
 
 
-def diff(x: str, by: list[str], order: list[str], n: int = 1) -> Column:
-    return F.col(x) - F.lag(x, n).over(Window.partitionBy(*by).orderBy(*order))
+def shift(df: DataFrame, n: int, by: list[str], order: list[str], **columns: str) -> DataFrame:
+    """Columns of the row ``n`` places before, in a stated unique order, under new names; after, if ``n`` is negative."""
+    return Parts(df, by, order).shifted(n, **{name: F.col(c) for name, c in columns.items()})
 
 
-def shift(x: str, n: int, by: list[str], order: list[str]) -> Column:
-    return F.lag(x, n).over(Window.partitionBy(*by).orderBy(*order))
+def diff(df: DataFrame, x: str, by: list[str], order: list[str], name: str, n: int = 1) -> DataFrame:
+    """The difference to the row ``n`` places before."""
+    return shift(df, n, by, order, **{name: x}).withColumn(name, F.col(x) - F.col(name))
 
 
 def replace_first(text: Column, old: str, new: str) -> Column:

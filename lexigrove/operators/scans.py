@@ -31,10 +31,13 @@ class Parts:
     def running(self, **aggs: tuple[str, Column] | tuple[str, Column, Column]) -> DataFrame:
         """The rows with aggregates from the first row of their group to themselves.
 
-        Each is (kind, column) or (kind, column, tie): sum, min, max, last (the
-        last value that is not null) or next (the first such from the row to
-        the group's end). Rows of equal order follow ``tie``.
+        Each is (kind, column) or (kind, column, tie): sum, prod, min, max, last
+        (the last value that is not null) or next (the first such from the row
+        to the group's end). Rows of equal order follow ``tie``.
         """
+        return self._running(aggs).drop(_PART)
+
+    def _running(self, aggs: dict[str, tuple]) -> DataFrame:
         rows, carries, names = self.rows, [], {}
         for name, (kind, column, *tie) in aggs.items():
             rows = rows.withColumn(f"__v_{name}", column)
@@ -44,7 +47,7 @@ class Parts:
         for name, (kind, tie) in names.items():
             v, order = F.col(f"__v_{name}"), [*map(F.col, self.order), *([F.col(f"__t_{name}")] if tie is not None else [])]
             at = F.when(v.isNotNull(), F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order))))
-            carries.append({"sum": F.sum(v), "min": F.min(v), "max": F.max(v), "last": F.max_by(v, at), "next": F.min_by(v, at)}[kind].alias(name))
+            carries.append({"sum": F.sum(v), "prod": F.product(v), "min": F.min(v), "max": F.max(v), "last": F.max_by(v, at), "next": F.min_by(v, at)}[kind].alias(name))
         pieces = self._crossing(rows.groupBy(*self.by, _PART).agg(*carries))
         ahead = Window.partitionBy(*self.by).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
         behind = Window.partitionBy(*self.by).orderBy(_PART).rowsBetween(1, Window.unboundedFollowing)
@@ -55,13 +58,13 @@ class Parts:
             w = Window.partitionBy(_PART, *self.by).orderBy(*order)
             w = w.rowsBetween(Window.currentRow, Window.unboundedFollowing) if kind == "next" else w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
             own, c = self._over(kind, F.col(f"__v_{name}"), w), F.col(f"__c_{name}")
-            both = {"sum": F.when(own.isNull(), c).when(c.isNull(), own).otherwise(own + c), "min": F.least(own, c), "max": F.greatest(own, c), "last": F.coalesce(own, c), "next": F.coalesce(own, c)}[kind]
+            both = {"sum": F.when(own.isNull(), c).when(c.isNull(), own).otherwise(own + c), "prod": F.when(own.isNull(), c).when(c.isNull(), own).otherwise(c * own), "min": F.least(own, c), "max": F.greatest(own, c), "last": F.coalesce(own, c), "next": F.coalesce(own, c)}[kind]
             out = out.withColumn(name, both)
-        return out.drop(_PART, *(f"__{x}_{n}" for n in names for x in "vct"))
+        return out.drop(*(f"__{x}_{n}" for n in names for x in "vct"))
 
     @staticmethod
     def _over(kind: str, v: Column, w: Window) -> Column:
-        return {"sum": F.sum(v), "min": F.min(v), "max": F.max(v), "last": F.last(v, ignorenulls=True), "next": F.first(v, ignorenulls=True)}[kind].over(w)
+        return {"sum": F.sum(v), "prod": F.product(v), "min": F.min(v), "max": F.max(v), "last": F.last(v, ignorenulls=True), "next": F.first(v, ignorenulls=True)}[kind].over(w)
 
     def _crossing(self, pieces: DataFrame) -> DataFrame:
         """Those of the pieces (by, part, ...) whose group has another one."""
@@ -96,6 +99,25 @@ class Parts:
             out = out.withColumn(name, agg.over(w))
         return out.filter(~F.col(_GHOST)).drop(_PART, _GHOST)
 
+    def shifted(self, n: int, **values: Column) -> DataFrame:
+        """The rows with values of the row ``n`` places before them in their group (after them, if ``n`` is negative).
+
+        The order must be unique. A part gets copies of the ``n`` rows of its
+        group next to it; where there is no such row the value is null.
+        """
+        marked = self._running({"__at": ("sum", F.lit(1).cast("long"))})
+        rows = cut(marked.select("*", *(v.alias(name) for name, v in values.items())).withColumn(_GHOST, F.lit(False)), "numbered")
+        pieces = self._crossing(rows.groupBy(*self.by, _PART).agg(F.min("__at").alias("__lo"), F.max("__at").alias("__hi")))
+        edge = F.col("__at") > F.col("__end") - n if n > 0 else F.col("__at") < F.col("__start") - n
+        near = self._with(rows, pieces.select(*self.by, _PART, F.col("__lo").alias("__start"), F.col("__hi").alias("__end"))).filter(edge).drop("__start", "__end")
+        p = pieces.select(*(F.col(k).alias(f"__k_{k}") for k in self.by), F.col(_PART).alias("__to"), "__lo", "__hi")
+        reach = ((p["__to"] > near[_PART]) & (near["__at"] >= p["__lo"] - n)) if n > 0 else ((p["__to"] < near[_PART]) & (near["__at"] <= p["__hi"] - n))
+        same = reduce(lambda a, b: a & b, [near[k].eqNullSafe(p[f"__k_{k}"]) for k in self.by], reach)
+        ghosts = near.join(F.broadcast(p), same).withColumn(_PART, F.col("__to")).withColumn(_GHOST, F.lit(True)).select(*rows.columns)
+        w = Window.partitionBy(_PART, *self.by).orderBy("__at")
+        out = rows.unionByName(ghosts)
+        return out.withColumns({name: F.lag(name, n).over(w) for name in values}).filter(~F.col(_GHOST)).drop(_PART, _GHOST, "__at")
+
 
 def numbered(rows: DataFrame, order: list[str], name: str, by: list[str] | None = None) -> DataFrame:
     """The rows with their number from 0 in a stated unique order, within their group or over all."""

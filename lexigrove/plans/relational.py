@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.operators import frames, temporal
-from lexigrove.operators.scans import Parts
+from lexigrove.operators.scans import Parts, numbered
 from lexigrove.plans.registry import Tables, query
 from lexigrove.sources import database
 from lexigrove.sources.scratch import cut, scratch_path
@@ -182,7 +182,8 @@ def b38(t: Tables) -> DataFrame:
 
 @query("b07_mean_over", "SELECT p_partkey, round(avg(p_retailprice) OVER (PARTITION BY p_brand), 4) AS brand_mean FROM part")
 def b07(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.round(F.avg("p_retailprice").over(Window.partitionBy("p_brand")), 4).alias("brand_mean"))
+    rows = frames.over(t.part.select("p_partkey", "p_brand", "p_retailprice"), ["p_brand"], brand_mean=F.avg("p_retailprice"))
+    return rows.select("p_partkey", F.round("brand_mean", 4).alias("brand_mean"))
 
 
 @query("b08_group_sum", f"SELECT l_returnflag, {MONEY.format('l_quantity')} AS total FROM lineitem GROUP BY l_returnflag")
@@ -193,7 +194,8 @@ def b08(t: Tables) -> DataFrame:
 @query("b19_diff", "SELECT o_orderkey, round(o_totalprice - lag(o_totalprice) OVER w, 4) AS change, lead(o_orderkey) OVER w AS following FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 def b19(t: Tables) -> DataFrame:
     by, order = ["o_custkey"], ["o_orderdate", "o_orderkey"]
-    return t.orders.select("o_orderkey", F.round(frames.diff("o_totalprice", by, order), 4).alias("change"), frames.shift("o_orderkey", -1, by, order).alias("following"))
+    rows = frames.diff(t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"), "o_totalprice", by, order, "change")
+    return frames.shift(rows, -1, by, order, following="o_orderkey").select("o_orderkey", F.round("change", 4).alias("change"), "following")
 
 
 @query("b20_cum_sum", f"SELECT o_orderkey, {MONEY.format('o_totalprice')[:-11]} OVER w AS DOUBLE) AS total, max(o_totalprice) OVER w AS most, count(*) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)")
@@ -203,6 +205,17 @@ def b20(t: Tables) -> DataFrame:
     return run.select("o_orderkey", F.col("total").cast("double").alias("total"), "most", "n")
 
 
+@query(
+    "b20_cum_prod",
+    "SELECT event_id, pow(2.0, sum(CASE WHEN event_id % 5 = 0 THEN 0 ELSE event_id % 3 - 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS product FROM events",
+)
+def b20_prod(t: Tables) -> DataFrame:
+    """Factors of a half, one and two, some null: their products are exact."""
+    factor = F.when(F.col("event_id") % 5 != 0, F.pow(F.lit(2.0), F.col("event_id") % 3 - 1))
+    rows = t.events.select("event_id", "user_id", "ts", factor.alias("factor"))
+    return frames.cum_prod(rows, "factor", ["user_id"], ["ts", "event_id"], "product").select("event_id", "product")
+
+
 @query("b21_conditional_agg", f"SELECT l_linestatus, coalesce(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) FILTER (WHERE l_quantity > 40) AS DOUBLE), 0) AS total FROM lineitem GROUP BY l_linestatus")
 def b21(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_linestatus").agg(F.coalesce(money(F.when(F.col("l_quantity") > 40, F.col("l_extendedprice"))), F.lit(0.0)).alias("total"))
@@ -210,8 +223,8 @@ def b21(t: Tables) -> DataFrame:
 
 @query("b23_rank_over", "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey)::BIGINT AS place, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0 AS mean_rank FROM part")
 def b23(t: Tables) -> DataFrame:
-    place = F.rank().over(Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")).cast("long")
-    return t.part.select("p_partkey", place.alias("place"), frames.average_rank(F.col("p_size"), ["p_brand"]).alias("mean_rank"))
+    rows = numbered(t.part.select("p_partkey", "p_brand", "p_retailprice", "p_size"), ["p_retailprice", "p_partkey"], "place", ["p_brand"])
+    return frames.average_rank(rows, "p_size", ["p_brand"], "mean_rank").select("p_partkey", (F.col("place") + 1).alias("place"), "mean_rank")
 
 
 @query("b24_three_aggs", f"SELECT o_orderstatus, {MONEY.format('o_totalprice')} AS total, count(o_totalprice) AS count, round(avg(o_totalprice), 4) AS mean_val FROM orders GROUP BY o_orderstatus")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrove.operators import frames, graph, temporal
+from lexigrove.operators import evaluation, frames, graph, temporal
 from lexigrove.operators.joins import skew_join
 from lexigrove.operators.scans import Parts
 
@@ -145,3 +145,55 @@ def test_tree_order(spark):
 
     n = sum(visit(r, r, 0, 0) for r in kids[None])
     assert n == len(got) == 300
+
+
+def test_shifted_equals_loop(spark):
+    """Rows before and after, over parts, one key with most rows, null keys, pieces shorter than the step."""
+    plain, df = rows(spark, 1_200)
+    groups = {}
+    for k, x, i, v in sorted(plain, key=lambda r: (r[1], r[2])):
+        groups.setdefault(k, []).append((i, v))
+    for n in (1, 3, -1, -2, 700, -700):
+        got = {r["i"]: (r["w"], r["j"]) for r in Parts(df, ["k"], ["x", "i"]).shifted(n, w=F.col("v"), j=F.col("i")).collect()}
+        assert len(got) == len(plain)
+        for each in groups.values():
+            for at, (i, _) in enumerate(each):
+                before = each[at - n] if 0 <= at - n < len(each) else None
+                assert got[i] == ((before[1], before[0]) if before else (None, None))
+    assert Parts(df.limit(0), ["k"], ["x", "i"]).shifted(1, w=F.col("v")).count() == 0
+
+
+def test_diff_product_and_rank_of_a_hot_key(spark):
+    plain, df = rows(spark, 1_500)
+    by_diff = {r["i"]: r["d"] for r in frames.diff(df, "x", ["k"], ["x", "i"], "d").collect()}
+    by_prod = {r["i"]: r["p"] for r in frames.cum_prod(df.withColumn("v", F.when(F.col("v") == 5, 0.5).otherwise(F.col("v"))), "v", ["k"], ["x", "i"], "p").collect()}
+    ranks = {r["i"]: r["m"] for r in frames.average_rank(df, "v", ["k"], "m").collect()}
+    means = {r["i"]: (r["n"], r["s"]) for r in frames.over(df, ["k"], n=F.count("*"), s=F.sum("v")).collect()}
+    groups = {}
+    for row in sorted(plain, key=lambda r: (r[1], r[2])):
+        groups.setdefault(row[0], []).append(row)
+    for each in groups.values():
+        product, last = 1.0, None
+        low = lambda v: -1 if v is None else v
+        for _, x, i, v in each:
+            product *= {None: 1.0, 5: 0.5}.get(v, v)
+            assert by_diff[i] == (None if last is None else x - last) and by_prod[i] == product
+            less, same = sum(low(r[3]) < low(v) for r in each), sum(r[3] == v for r in each)
+            assert ranks[i] == less + (same + 1) / 2
+            assert means[i] == (len(each), sum(r[3] or 0 for r in each))
+            last = x
+
+
+def test_median_of_counts(spark):
+    rng = random.Random(9)
+    plain = [(rng.choice(["a", None]), rng.random() < 0.9, rng.choice([None, 3, 4, 7, 7, 9])) for _ in range(400)] + [("one", True, 5), ("two", True, 5), ("two", True, 6), ("none", True, None)]
+    got = {(r["condition"], r["is_correct"]): tuple(r)[2:] for r in evaluation.token_stats(spark.createDataFrame(plain, "condition string, is_correct boolean, token_count int")).collect()}
+    groups = {}
+    for condition, right, n in plain:
+        groups.setdefault((condition, right), []).append(n)
+    assert got.keys() == groups.keys()
+    for key, values in groups.items():
+        known = [v for v in values if v is not None]
+        ordered = sorted(values, key=lambda v: -1 if v is None else v)
+        n, mean, median = got[key]
+        assert n == len(values) and median == ordered[len(values) // 2] and (mean == pytest.approx(sum(known) / len(known)) if known else mean is None)
