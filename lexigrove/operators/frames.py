@@ -115,14 +115,14 @@ def cum_prod(df: DataFrame, x: str, by: list[str], order: list[str], name: str)
     return Parts(df, by, order).running(**{name: ("prod", F.coalesce(F.col(x).cast("double"), F.lit(1.0)))})
 
 
-def shift(df: DataFrame, n: int, by: list[str], order: list[str], **columns: str) -> DataFrame:
-    """Columns of the row ``n`` places before, in a stated unique order, under new names; after, if ``n`` is negative."""
-    return Parts(df, by, order).shifted(n, **{name: F.col(c) for name, c in columns.items()})
+def shift(df: DataFrame, by: list[str], order: list[str], **columns: tuple[int, str]) -> DataFrame:
+    """Columns of other rows, in a stated unique order: (n, column) by new name, ``n`` places before or, if negative, after."""
+    return Parts(df, by, order).shifted(**{name: (n, F.col(c)) for name, (n, c) in columns.items()})
 
 
 def diff(df: DataFrame, x: str, by: list[str], order: list[str], name: str, n: int = 1) -> DataFrame:
     """The difference to the row ``n`` places before."""
-    return shift(df, n, by, order, **{name: x}).withColumn(name, F.col(x) - F.col(name))
+    return shift(df, by, order, **{name: (n, x)}).withColumn(name, F.col(x) - F.col(name))
 
 
 def replace_first(text: Column, old: str, new: str) -> Column:

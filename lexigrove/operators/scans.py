@@ -99,24 +99,27 @@ class Parts:
             out = out.withColumn(name, agg.over(w))
         return out.filter(~F.col(_GHOST)).drop(_PART, _GHOST)
 
-    def shifted(self, n: int, **values: Column) -> DataFrame:
-        """The rows with values of the row ``n`` places before them in their group (after them, if ``n`` is negative).
+    def shifted(self, **values: tuple[int, Column]) -> DataFrame:
+        """The rows with values of other rows of their group: each is (n, column), of the row ``n`` places before, or after if negative.
 
-        The order must be unique. A part gets copies of the ``n`` rows of its
-        group next to it; where there is no such row the value is null.
+        The order must be unique. A part gets copies of as many rows of its
+        group next to it as are asked for; where there is no such row the
+        value is null.
         """
+        back, ahead = max(0, *(n for n, _ in values.values())), max(0, *(-n for n, _ in values.values()))
         marked = self._running({"__at": ("sum", F.lit(1).cast("long"))})
-        rows = cut(marked.select("*", *(v.alias(name) for name, v in values.items())).withColumn(_GHOST, F.lit(False)), "numbered")
+        rows = cut(marked.select("*", *(v.alias(name) for name, (_, v) in values.items())).withColumn(_GHOST, F.lit(False)), "numbered")
         pieces = self._crossing(rows.groupBy(*self.by, _PART).agg(F.min("__at").alias("__lo"), F.max("__at").alias("__hi")))
-        edge = F.col("__at") > F.col("__end") - n if n > 0 else F.col("__at") < F.col("__start") - n
-        near = self._with(rows, pieces.select(*self.by, _PART, F.col("__lo").alias("__start"), F.col("__hi").alias("__end"))).filter(edge).drop("__start", "__end")
+        edges = pieces.select(*self.by, _PART, F.col("__lo").alias("__start"), F.col("__hi").alias("__end"))
+        near = self._with(rows, edges).filter((F.col("__at") > F.col("__end") - back) | (F.col("__at") < F.col("__start") + ahead)).drop("__start", "__end")
         p = pieces.select(*(F.col(k).alias(f"__k_{k}") for k in self.by), F.col(_PART).alias("__to"), "__lo", "__hi")
-        reach = ((p["__to"] > near[_PART]) & (near["__at"] >= p["__lo"] - n)) if n > 0 else ((p["__to"] < near[_PART]) & (near["__at"] <= p["__hi"] - n))
-        same = reduce(lambda a, b: a & b, [near[k].eqNullSafe(p[f"__k_{k}"]) for k in self.by], reach)
-        ghosts = near.join(F.broadcast(p), same).withColumn(_PART, F.col("__to")).withColumn(_GHOST, F.lit(True)).select(*rows.columns)
+        later, sooner = p["__to"] > near[_PART], p["__to"] < near[_PART]
+        reach = (later & (near["__at"] >= p["__lo"] - back)) | (sooner & (near["__at"] <= p["__hi"] + ahead))
+        ghosts = near.join(F.broadcast(p), reduce(lambda a, b: a & b, [near[k].eqNullSafe(p[f"__k_{k}"]) for k in self.by], reach))
+        ghosts = ghosts.withColumn(_PART, F.col("__to")).withColumn(_GHOST, F.lit(True)).select(*rows.columns)
         w = Window.partitionBy(_PART, *self.by).orderBy("__at")
-        out = rows.unionByName(ghosts)
-        return out.withColumns({name: F.lag(name, n).over(w) for name in values}).filter(~F.col(_GHOST)).drop(_PART, _GHOST, "__at")
+        out = rows.unionByName(ghosts).withColumns({name: F.lag(name, n).over(w) for name, (n, _) in values.items()})
+        return out.filter(~F.col(_GHOST)).drop(_PART, _GHOST, "__at")
 
 
 def numbered(rows: DataFrame, order: list[str], name: str, by: list[str] | None = None) -> DataFrame:

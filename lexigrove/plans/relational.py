@@ -194,8 +194,8 @@ def b08(t: Tables) -> DataFrame:
 @query("b19_diff", "SELECT o_orderkey, round(o_totalprice - lag(o_totalprice) OVER w, 4) AS change, lead(o_orderkey) OVER w AS following FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 def b19(t: Tables) -> DataFrame:
     by, order = ["o_custkey"], ["o_orderdate", "o_orderkey"]
-    rows = frames.diff(t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"), "o_totalprice", by, order, "change")
-    return frames.shift(rows, -1, by, order, following="o_orderkey").select("o_orderkey", F.round("change", 4).alias("change"), "following")
+    rows = frames.shift(t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"), by, order, before=(1, "o_totalprice"), following=(-1, "o_orderkey"))
+    return rows.select("o_orderkey", F.round(F.col("o_totalprice") - F.col("before"), 4).alias("change"), "following")
 
 
 @query("b20_cum_sum", f"SELECT o_orderkey, {MONEY.format('o_totalprice')[:-11]} OVER w AS DOUBLE) AS total, max(o_totalprice) OVER w AS most, count(*) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)")

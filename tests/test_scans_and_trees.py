@@ -153,14 +153,14 @@ def test_shifted_equals_loop(spark):
     groups = {}
     for k, x, i, v in sorted(plain, key=lambda r: (r[1], r[2])):
         groups.setdefault(k, []).append((i, v))
-    for n in (1, 3, -1, -2, 700, -700):
-        got = {r["i"]: (r["w"], r["j"]) for r in Parts(df, ["k"], ["x", "i"]).shifted(n, w=F.col("v"), j=F.col("i")).collect()}
+    for n, m in ((1, -1), (3, 2), (-2, -5), (700, -700)):
+        got = {r["i"]: (r["w"], r["j"]) for r in Parts(df, ["k"], ["x", "i"]).shifted(w=(n, F.col("v")), j=(m, F.col("i"))).collect()}
         assert len(got) == len(plain)
         for each in groups.values():
             for at, (i, _) in enumerate(each):
-                before = each[at - n] if 0 <= at - n < len(each) else None
-                assert got[i] == ((before[1], before[0]) if before else (None, None))
-    assert Parts(df.limit(0), ["k"], ["x", "i"]).shifted(1, w=F.col("v")).count() == 0
+                w = each[at - n][1] if 0 <= at - n < len(each) else None
+                assert got[i] == (w, each[at - m][0] if 0 <= at - m < len(each) else None)
+    assert Parts(df.limit(0), ["k"], ["x", "i"]).shifted(w=(1, F.col("v"))).count() == 0
 
 
 def test_diff_product_and_rank_of_a_hot_key(spark):
