@@ -350,6 +350,17 @@ def b43(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(i, x) for i, x in enumerate(text.split("\n"))], "line int, text string")
 
 
+@query(
+    "b43_explain_scan",
+    "SELECT * FROM (VALUES ('PushedFilters', '[IsNotNull(o_totalprice), GreaterThan(o_totalprice,1000.0)]'), ('ReadSchema', 'struct<o_orderkey:bigint,o_totalprice:double>')) AS t(part, told)",
+)
+def b43_scan(t: Tables) -> DataFrame:
+    """What the plan says of its scan: the filter is pushed down and two columns are read."""
+    entry = lambda i: F.regexp_extract("text", r"^(PushedFilters|ReadSchema): (.*)$", i)
+    found = b43(t).select(entry(1).alias("part"), entry(2).alias("told"))
+    return found.filter("part <> ''")
+
+
 @query("b44_lazy", "SELECT o_orderkey * 2 AS twice FROM orders")
 def b44(t: Tables) -> DataFrame:
     return t.orders.select((F.col("o_orderkey") * 2).alias("twice"))
