@@ -13,6 +13,17 @@ from lexigrove.sources.scratch import cut
 HEAVY = 1_000
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by their keys to as many tasks as shuffles have, whatever files they lie in.
+
+    For steps whose rows are short and whose work a row is not: a file of short
+    rows is a task or two, and adaptive execution merges small partitions
+    unless their number is given.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def skew_join(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str] | None = None, heavy: int = HEAVY) -> DataFrame:
     """Inner join of ``left``, whose keys may be heavy, with ``right``; other column names must differ.
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from lexigrove.functions import text as T
 from lexigrove.operators import similarity
+from lexigrove.operators.joins import dealt
 from lexigrove.plans.registry import Tables, query
 from lexigrove.sources import source_code as S
-from lexigrove.sources.scratch import scratch_path
+from lexigrove.sources.scratch import cut, scratch_path
 
 # One file a part: a class with a method, and a function. Every fiftieth does not parse.
 _LINES = (
@@ -39,10 +40,15 @@ def _sql(line: str) -> str:
     return f"'{quoted}'"
 
 
+def _parts(t: Tables) -> DataFrame:
+    """Parts as files are made of them: a row is short, and what is read from its file is work."""
+    return dealt(t.part.select("p_partkey", "p_name", "p_size"), "p_partkey")
+
+
 def files(t: Tables) -> DataFrame:
     """(path, content) of one file a part."""
     whole = F.concat_ws("\n", *map(_filled, _LINES))
-    return t.part.select(F.concat(F.lit("src/m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.when(F.col("p_partkey") % 50 == 0, F.lit(_BROKEN)).otherwise(whole).alias("content"))
+    return _parts(t).select(F.concat(F.lit("src/m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.when(F.col("p_partkey") % 50 == 0, F.lit(_BROKEN)).otherwise(whole).alias("content"))
 
 
 _BODY = lambda a, b: " || chr(10) || ".join(map(_sql, _LINES[a:b]))
@@ -198,7 +204,7 @@ def a79(t: Tables) -> DataFrame:
     spoilt = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("Here:\n```diff\n"), _patch("index someindex..anotherindex\n"), F.lit("\n```\nDone.")))
     spoilt = spoilt.when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("I think that\n"), F.replace(_patch("index abcxyz..0123456 100644\n"), F.lit("diff --git"), F.lit("diff--git"))))
     spoilt = spoilt.when(F.col("p_partkey") % 4 == 2, F.concat(_patch(), F.lit("\nThis change helps.\nIt does."))).otherwise(F.concat(_patch(), F.lit("\n")))
-    return t.part.select("p_partkey", T.repaired_diff(spoilt).alias("diff"))
+    return _parts(t).select("p_partkey", T.repaired_diff(spoilt).alias("diff"))
 
 
 @query("a178_longest_diff", f"SELECT p_partkey, {_PATCH.replace('{index}', '')} AS diff FROM part")
@@ -222,7 +228,7 @@ def answers(t: Tables) -> DataFrame:
     old = F.concat(F.lit("value = helper_"), (F.col("p_partkey") % 7).cast("string"), F.lit("(a)\nreturn self.store(value, b)"))
     new = F.concat(F.lit("value = other_"), k, F.lit("(a)\nreturn value"))
     whole = F.concat(F.lit("def helper_"), k, F.lit("(x):\n    return x + "), k, F.lit("  # changed"))
-    return t.part.select(
+    return _parts(t).select(
         F.col("p_partkey").alias("query_id"),
         F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("BEFORE:\n```python\n"), old, F.lit("\n```\nAFTER:\n```python\n"), new, F.lit("\n```")))
         .when(F.col("p_partkey") % 5 == 1, F.concat(F.lit("```python\n# BEFORE\n"), old, F.lit("\n# AFTER\n"), new, F.lit("\n```")))
@@ -262,8 +268,10 @@ _FOUND = "part WHERE p_partkey % 5 <> 4"
 CASE WHEN p_partkey % 50 = 0 THEN 'not_found' WHEN p_partkey % 5 = 3 THEN 'exact' ELSE 'indent_corrected' END AS status FROM {_FOUND}""",
 )
 def a128(t: Tables) -> DataFrame:
-    edits = S.completed_edits(S.parsed_edits(answers(t)), _ranked(t))
-    found = S.locate(edits, _ranked(t), files(t).withColumnRenamed("path", "file"))
+    # Both are read several times; files are parsed once.
+    ranked = cut(_ranked(t), "ranked")
+    edits = cut(S.completed_edits(S.parsed_edits(answers(t)), ranked), "edits")
+    found = S.locate(edits, ranked, files(t).withColumnRenamed("path", "file"))
     return found.join(edits.select("query_id", "edit_id"), "edit_id").select("query_id", "file", "line", "status")
 
 

@@ -275,12 +275,14 @@ def unified_diff(path: str, source: str, pairs: list[tuple[str, str]]) -> tuple[
 def diffs(answers: DataFrame, files: DataFrame) -> DataFrame:
     """(path, diff, statuses): answers (path, answer) joined to files (path, content), one diff a file."""
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        pairs = [p for a in frame["answer"] for p in edit_pairs(a)]
-        text, status = unified_diff(key[0], frame["content"].iloc[0], pairs)
-        return pd.DataFrame([(key[0], text, status)], columns=["path", "diff", "statuses"])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(path, *unified_diff(path, content, [p for a in told for p in edit_pairs(a)])) for path, content, told in frame.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["path", "diff", "statuses"])
 
-    return answers.join(files, "path").groupBy("path").applyInPandas(run, "path string, diff string, statuses array<string>")
+    # Groups are lists of a few answers; batches of them go to Python, not each by itself.
+    told = answers.join(files, "path").groupBy("path").agg(F.first("content").alias("content"), F.collect_list("answer").alias("told"))
+    return told.select("path", "content", "told").mapInPandas(run, "path string, diff string, statuses array<string>")
 
 
 def find_edits(edits: DataFrame, texts: DataFrame, key: str) -> DataFrame:
