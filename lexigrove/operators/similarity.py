@@ -5,8 +5,9 @@ from __future__ import annotations
 import difflib
 import heapq
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,6 +101,39 @@ def token_jaccard_pairs(names: DataFrame, name: str, threshold: float = 0.3) ->
 ID_BLOCK, REF_BLOCK = 20_000, 2_000
 
 
+def _of_like_letters(known: list[str], asked: list[str], cutoff: float) -> Callable[[str], list[str]]:
+    """For each of ``asked``, those of ``known`` whose letters in common allow a sequence ratio of ``cutoff``.
+
+    Strings of the same letters, in whatever order, are one class; references
+    are held against classes as vectors of counts, once for all of their own.
+    """
+    spelt = lambda x: "".join(sorted(x))
+    classes: dict[str, list[str]] = {}
+    for x in known:
+        classes.setdefault(spelt(x), []).append(x)
+    letters = {c: i for i, c in enumerate(sorted({c for x in (*classes, *asked) for c in x}))}
+
+    def counted(x: str) -> np.ndarray:
+        return np.bincount([letters[c] for c in x], minlength=len(letters)).astype(np.int32)
+
+    spellings = list(classes)
+    vectors = np.array([counted(x) for x in spellings], dtype=np.int32).reshape(len(spellings), len(letters))
+    sizes = vectors.sum(axis=1)
+    done: dict[str, list[str]] = {}
+
+    def close(ref: str) -> list[str]:
+        spelling = spelt(ref)
+        if spelling not in done:
+            own = counted(ref)
+            used = np.flatnonzero(own)
+            common = np.minimum(vectors[:, used], own[used]).sum(axis=1)
+            hits = np.flatnonzero(2 * common >= cutoff * (sizes + len(ref)))
+            done[spelling] = [x for k in hits for x in classes[spellings[k]]]
+        return done[spelling]
+
+    return close
+
+
 def fuzzy_match(refs: DataFrame, ids: DataFrame, most: int = 3, cutoff: float = 0.7, min_substring: int = 4, min_jaccard: float = 0.3) -> DataFrame:
     """(ref, id, place): the best ids of each reference, by three rules in turn.
 
@@ -107,38 +141,50 @@ def fuzzy_match(refs: DataFrame, ids: DataFrame, most: int = 3, cutoff: float =
     sequence ratio; 2. token Jaccard; 3. closest by sequence ratio of
     ``cutoff`` or more. A sequence ratio has no key to join on, so the
     references (a query set) meet the ids block by block, each task keeping a
-    few of each rule; no list of either side is sent to all workers.
+    few of each rule; no list of either side is sent to all workers. Within a
+    block, letters in a row, tokens and counts of letters tell which pairs are
+    compared at all.
     """
     words = lambda s: {x for x in s.split("_") if len(x) >= 3}
+    grams = lambda s: {s[i : i + min_substring] for i in range(len(s) - min_substring + 1)}
     keep = 3 * most
 
-    def best(ref: str, known: list[str], tokens: list[set[str]]) -> Iterator[tuple[int, float, str]]:
-        matcher = difflib.SequenceMatcher(None, "", ref)
-        letters = Counter(ref)
-        inside, close = [], []
-        for x in known:
-            holds = len(ref) >= min_substring <= len(x) and (ref in x or x in ref)
-            # Letters in common bound what a match can reach.
-            total = len(ref) + len(x)
-            if not holds and (2 * min(len(ref), len(x)) < cutoff * total or 2 * (letters & Counter(x)).total() < cutoff * total):
-                continue
-            matcher.set_seq1(x)
-            ratio = matcher.ratio()
-            if ratio >= cutoff:
-                close.append((ratio, x))
-            if holds:
-                inside.append((difflib.SequenceMatcher(None, ref, x).ratio(), x))
-        own = words(ref)
-        alike = [(len(own & w) / len(own | w), x) for x, w in zip(known, tokens, strict=True) if own and w and len(own & w) >= min_jaccard * len(own | w)]
-        for rule, found in enumerate((inside, alike)):
-            yield from ((rule, r, x) for r, x in heapq.nsmallest(keep, found, key=lambda p: (-p[0], p[1])))
-        yield from ((2, r, x) for r, x in heapq.nlargest(keep, close))
+    def listed(pairs: Iterable[tuple[str, int]]) -> dict[str, list[int]]:
+        out: dict[str, list[int]] = {}
+        for x, k in pairs:
+            out.setdefault(x, []).append(k)
+        return out
+
+    def compared(known: list[str], asked: list[str]) -> Iterator[tuple[str, int, float, str]]:
+        """Candidates of each rule are found by what they must share, and then compared."""
+        holding = listed((g, k) for k, x in enumerate(known) for g in grams(x))
+        # An id within a reference brings its rarest letters with it, one within an id likewise.
+        within = listed((min(g, key=lambda y: len(holding[y])), k) for k, x in enumerate(known) if (g := grams(x)))
+        tokens = [words(x) for x in known]
+        having = listed((w, k) for k, own in enumerate(tokens) for w in own)
+        close = _of_like_letters(known, asked, cutoff)
+        for ref in asked:
+            own, told = grams(ref), words(ref)
+            maybe = {k for g in own for k in within.get(g, ())}
+            if own:
+                maybe.update(min((holding.get(g, []) for g in own), key=len))
+            inside = [(difflib.SequenceMatcher(None, ref, known[k]).ratio(), known[k]) for k in maybe if ref in known[k] or known[k] in ref]
+            shared = Counter(k for w in told for k in having.get(w, ()))
+            alike = [(n / (len(told) + len(tokens[k]) - n), known[k]) for k, n in shared.items() if n >= min_jaccard * (len(told) + len(tokens[k]) - n)]
+            for rule, found in enumerate((inside, alike)):
+                yield from ((ref, rule, r, x) for r, x in heapq.nsmallest(keep, found, key=lambda p: (-p[0], p[1])))
+            matcher = difflib.SequenceMatcher(None, "", ref)
+            ratios = []
+            for x in close(ref):
+                matcher.set_seq1(x)
+                if (ratio := matcher.ratio()) >= cutoff:
+                    ratios.append((ratio, x))
+            yield from ((ref, 2, r, x) for r, x in heapq.nlargest(keep, ratios))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for known, asked in zip(frame["ids"], frame["refs"], strict=True):
-                tokens = [words(x) for x in known]
-                rows = [(ref, *x) for ref in asked for x in best(ref, list(known), tokens)]
+                rows = list(compared(list(known), list(asked)))
                 yield pd.DataFrame(rows, columns=["ref", "rule", "score", "id"]).astype({"rule": "int32", "score": "float64"})
 
     def blocked(df: DataFrame, name: str, size: int) -> tuple[DataFrame, int]:
