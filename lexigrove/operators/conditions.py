@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.operators import bm25, fusion
+from lexigrove.sources.scratch import cut
 
 NAMES = ("null", "hybrid", "bm25", "flat_selection", "tree_selection", "irrelevant")
 
@@ -25,7 +26,8 @@ def all_conditions(index: bm25.Index, queries: DataFrame, flat: DataFrame, by_tr
         return each.join(nodes, "id", "left_semi").select("query_id", "id", (F.col("pos") + 1).alias("rank"))
 
     text = lambda df: df.select("query_id", F.col("id").cast("string").alias("id"), "rank")
-    scored = bm25.scores(index, queries)
+    # Two conditions order the same scores: they are written once.
+    scored = cut(bm25.scores(index, queries), "scores")
     lists = text(bm25.top_k(scored, wide)).withColumn("list_no", F.lit(0)).unionByName(chosen(by_tree, narrow).withColumn("list_no", F.lit(1)))
     merged = fusion.rrf(lists, wide)
     return {
