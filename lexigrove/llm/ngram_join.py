@@ -16,13 +16,17 @@ are more groups than two linked sets can differ in
 into bands (partners lie in the same or the next one), each band has its number
 of groups, and a key is a hash of (band, group, content). Sets with so many
 empty groups that only empty ones might agree add keys of the classic prefix
-filter. So every linked pair shares a key; no partner is capped. Documents of a
-batch that share a key go on under the first of them, so a key is shuffled at
-most once a batch.
+filter. So every linked pair shares a key; no partner is capped. Documents that
+share a key are compared with the first of them.
 
 Members of what keys connect and links do not are searched in R-trees again:
-each such component is a task, and a large one is cut by set size and into
-blocks, whose pairs are tasks of their own.
+each such component is a task. Chance keys join more and more documents as a
+corpus grows, and at last most of it is one component, so a large one is not
+compared as a whole: its members meet under the keys that they share, as
+sketches (count vectors, whose summed minima bound what is in common), and the
+pairs that these leave are verified. Only where members share so many keys that
+this moves more than cutting the component by set size and into blocks, whose
+pairs are tasks of their own, is it cut like that.
 """
 
 from __future__ import annotations
@@ -48,6 +52,8 @@ BATCH_BYTES = 4_000_000
 BLOCK = 3_000
 #: Shingles that count as one more member of a block.
 HEAVY = 1_000
+#: Sketches under keys that cost as much as a text in a block, about.
+KEY_ROWS = 10
 
 
 @dataclass(frozen=True)
@@ -300,7 +306,7 @@ def tree_links(ids: list[int], roots: list[int], sets: list[np.ndarray], t: Thre
 
 _BLOB = "kind int, bucket int, blob binary"
 _BLOB_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
-_KEYS, _PAIRS, _SIZES = 0, 1, 2
+_KEYS, _PAIRS, _SIZES, _GROUPS = 0, 1, 2, 3
 #: What is known of a candidate pair.
 _OPEN, _NOT_LINKED, _LINKED = 0, 1, 2
 
@@ -374,7 +380,7 @@ def _dealt(docs: DataFrame, n: int, t: Threshold, buckets: int, batch_bytes: int
             pairs.append((np.minimum(a, b)[a != b], np.maximum(a, b)[a != b], np.full(int((a != b).sum()), _LINKED, np.int8)))
             key, owner = keys_of(different, t)
             node = ids[kept][owner] if len(owner) else np.zeros(0, np.int64)
-            head, low, high = stars(key, node)
+            _, low, high = stars(key, node)
             root = {int(ids[k]): int(part[i]) for i, k in reversed(list(enumerate(kept)))}
             open_here = np.array([root[x] != root[y] or x in twice or y in twice for x, y in zip(low.tolist(), high.tolist(), strict=True)], bool)
             low, high = low[open_here], high[open_here]
@@ -382,7 +388,6 @@ def _dealt(docs: DataFrame, n: int, t: Threshold, buckets: int, batch_bytes: int
             pairs.append((low, high, told))
             low, high, told = (np.concatenate(x) for x in zip(*pairs, strict=True))
             rows += _pair_blobs(low.astype(np.int64), high.astype(np.int64), told, buckets)
-            key, node = key[head], node[head]
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -398,9 +403,15 @@ def _dealt(docs: DataFrame, n: int, t: Threshold, buckets: int, batch_bytes: int
 
         def tied() -> Iterator[dict]:
             if held:
-                _, low, high = stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                key, node = (np.concatenate(x) for x in zip(*held, strict=True))
                 held.clear()
+                _, low, high = stars(key, node)
                 yield from _pair_blobs(low, high, np.full(len(low), _OPEN, np.int8), buckets)
+                # Two members are a pair of the star; of more, not all pairs are.
+                _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+                several = count[inverse] > 2
+                if several.any():
+                    yield _blob(_GROUPS, bucket, key[several].view(np.int64), node[several])
 
         for batch in batches:
             rows = []
@@ -584,6 +595,94 @@ def _searched(members: DataFrame, texts: DataFrame, n: int, t: Threshold, block:
     return rows.mapInArrow(lean(run), "a long, b long")
 
 
+def sketch_dimensions(size: int) -> int:
+    """Cells of a sketch: two to four shingles each, as far as it goes."""
+    return min(1 << 14, max(DIMENSIONS, 1 << int(size // 4).bit_length()))
+
+
+def close_pairs(sizes: np.ndarray, part: np.ndarray, sketches: list[np.ndarray], t: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (indices) of sets of different parts whose sketches do not rule a link out."""
+    if len(np.unique(part)) < 2:
+        return
+    dimensions = min(map(len, sketches))
+    fine = np.array([x.reshape(dimensions, -1).sum(axis=1) for x in sketches])
+    fine = fine.astype(np.uint8) if fine.max() < 256 else fine
+    if len(sizes) <= CountTree.FAN:
+        a, b = np.triu_indices(len(sizes), 1)
+        apart = part[a] != part[b]
+        found = iter([(a[apart], b[apart])])
+    else:
+        coarse = fine.reshape(len(fine), DIMENSIONS, -1).sum(axis=2, dtype=np.int32)
+        found = CountTree(coarse.astype(np.uint8) if coarse.max() < 256 else coarse, sizes).pairs(t, part)
+    step = max(1, (1 << 22) // dimensions)
+    for a, b in found:
+        for k in range(0, len(a), step):
+            x, y = a[k : k + step], b[k : k + step]
+            close = np.minimum(fine[x], fine[y]).sum(axis=1, dtype=np.int64) >= t.needed(sizes[x], sizes[y])
+            if close.any():
+                yield x[close], y[close]
+
+
+def _sketches(docs: DataFrame, n: int) -> DataFrame:
+    """(id, size, sketch) of all texts with shingles, told where they are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for part in chunks(batch):
+                sets = shingle_sets(Text(part.column(1)), n)
+                full = [i for i, s in enumerate(sets) if len(s)]
+                made = [c.compress(count_vector(sets[i], sketch_dimensions(len(sets[i]))).astype(np.uint32).tobytes()) for i in full]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(full, pa.int64())), pa.array([len(sets[i]) for i in full], pa.int64()), pa.array(made, pa.binary())], names=["id", "size", "sketch"])
+
+    return docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(lean(run), "id long, size long, sketch binary")
+
+
+def _by_keys(shared: DataFrame, docs: DataFrame, n: int, t: Threshold) -> DataFrame:
+    """(a, b) pairs of different roots that share a key and that their sketches leave open; ``shared``: (key, id, root)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if held:
+                d = zstandard.ZstdDecompressor()
+                ids = np.array([r[1] for r in held], np.int64)
+                _, part = np.unique([r[2] for r in held], return_inverse=True)
+                sketches = [np.frombuffer(d.decompress(r[4]), np.uint32) for r in held]
+                for a, b in close_pairs(np.array([r[3] for r in held], np.int64), part, sketches, t):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], names=["a", "b"])
+            held.clear()
+
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield from found()
+                held.append(row)
+        yield from found()
+
+    rows = shared.join(_sketches(docs, n).hint("merge"), "id").repartition("key").sortWithinPartitions("key").select("key", "id", "root", "size", "sketch")
+    return rows.mapInArrow(lean(run), "a long, b long").distinct()
+
+
+def _unsettled(members: DataFrame, blobs: DataFrame, block: int) -> tuple[DataFrame, DataFrame | None]:
+    """(members to be searched by components, (key, id, root) of the others): large components go by keys, unless blocks are fewer rows."""
+    rows = F.sum(F.greatest(F.lit(1.0), F.col("size") / HEAVY)).alias("weight")
+    large = materialize(members.groupBy("k").agg(F.count("*").alias("n"), rows).filter(F.col("weight") > block))
+    if not large.limit(1).count():
+        return members, None
+    of_large = members.join(large.select("k").hint("merge"), "k", "left_semi")
+    groups = _unpacked(blobs, _GROUPS, "key long, id long", (np.int64, np.int64)).distinct()
+    met = materialize(groups.join(of_large.select("id", "root", "k").hint("merge"), "id"))
+    open_keys = met.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    shared = materialize(met.join(open_keys.hint("merge"), "key", "left_semi"))
+    # A row of a block is a text, one of a key a sketch, of a tenth of its bytes or less; a member meets the blocks of three bands at most.
+    cost = large.join(shared.groupBy("k").agg(F.count("*").alias("by_key")).hint("merge"), "k", "left")
+    cut = materialize(cost.filter(F.coalesce("by_key", F.lit(0)) > KEY_ROWS * F.col("n") * F.greatest(F.lit(1.0), F.col("weight") / block)).select("k"))
+    by_keys = large.select("k").join(cut.hint("merge"), "k", "left_anti")
+    return members.join(by_keys.hint("merge"), "k", "left_anti"), shared.join(cut.hint("merge"), "k", "left_anti").select("key", "id", "root")
+
+
 def link_components(docs: DataFrame, n: int = 5, p: int = 4, q: int = 5, batch_bytes: int = BATCH_BYTES, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """((id, root) of all documents with links, (doc_id, n_shingles) of all rows).
 
@@ -616,8 +715,14 @@ def link_components(docs: DataFrame, n: int = 5, p: int = 4, q: int = 5, batch_b
         members = materialize(found.unionByName(singles).distinct().join(groups, "root").select("id", "root", "k"))
         size = sizes.groupBy(F.col("doc_id").alias("id")).agg(F.max("n_shingles").alias("size"))
         members = materialize(members.join(size.hint("merge"), "id"))
-        extra = materialize(_searched(members, texts.join(members.select("id").hint("merge"), "id", "left_semi"), n, t, block))
-        found = components(reduce(DataFrame.unionByName, [good.select("a", "b"), extra]))
+        whole, shared = _unsettled(members, blobs, block)
+        maybe = None if shared is None else materialize(_by_keys(shared, docs, n, t))
+        wanted = whole.select("id") if maybe is None else whole.select("id").unionByName(maybe.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
+        held = materialize(texts.join(wanted.hint("merge"), "id", "left_semi"))
+        extra = [materialize(_searched(whole, held, n, t, block))]
+        if maybe is not None:
+            extra.append(materialize(_verified(maybe, held, n, t)))
+        found = components(reduce(DataFrame.unionByName, [good.select("a", "b"), *extra]))
     return found, sizes
 
 
