@@ -19,14 +19,15 @@ empty groups that only empty ones might agree add keys of the classic prefix
 filter. So every linked pair shares a key; no partner is capped. Documents that
 share a key are compared with the first of them.
 
-Members of what keys connect and links do not are searched in R-trees again:
-each such component is a task. Chance keys join more and more documents as a
-corpus grows, and at last most of it is one component, so a large one is not
-compared as a whole: its members meet under the keys that they share, as
-sketches (count vectors, whose summed minima bound what is in common), and the
-pairs that these leave are verified. Only where members share so many keys that
-this moves more than cutting the component by set size and into blocks, whose
-pairs are tasks of their own, is it cut like that.
+Members of what keys connect and links do not are open. Chance keys join more
+and more documents as a corpus grows, and at last most of it is one component,
+so components are not compared as a whole: members meet under the keys that
+they share, as sketches (count vectors, whose summed minima bound what is in
+common), and the pairs that these leave are verified. Keys of the same members
+count once, and the rule is the same at any size of a component, so these rows
+grow as the corpus does. Only where members share so many keys that this moves
+more than their texts is a component searched in R-trees again: as one task,
+or, if it is large, cut by set size and into blocks, whose pairs are tasks.
 """
 
 from __future__ import annotations
@@ -190,6 +191,26 @@ def stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return order[head], pairs[:, 0], pairs[:, 1]
 
 
+def groups_of(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, node) rows of the keys of three nodes or more, each set of nodes once.
+
+    A group is named by a hash of its nodes, so keys that the same documents
+    share are one group, also where they are dealt to different buckets.
+    """
+    order = np.lexsort((node, key))
+    k, v = key[order], node[order]
+    new = np.append(True, (k[1:] != k[:-1]) | (v[1:] != v[:-1])) if len(k) else np.zeros(0, bool)
+    k, v = k[new], v[new]
+    head = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    count = np.diff(np.append(head, len(k)))
+    name = mix(np.add.reduceat(mix(v.astype(np.uint64)), head) + count.astype(np.uint64)) if len(k) else k
+    # Of keys of the same name the first one stays.
+    first = np.zeros(len(head), bool)
+    first[np.unique(name, return_index=True)[1]] = True
+    kept = np.repeat(first & (count > 2), count)
+    return np.repeat(name, count)[kept], v[kept]
+
+
 class CountTree:
     """Packed R-tree over count vectors; boxes keep their upper corner and smallest size."""
 
@@ -408,10 +429,9 @@ def _dealt(docs: DataFrame, n: int, t: Threshold, buckets: int, batch_bytes: int
                 _, low, high = stars(key, node)
                 yield from _pair_blobs(low, high, np.full(len(low), _OPEN, np.int8), buckets)
                 # Two members are a pair of the star; of more, not all pairs are.
-                _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-                several = count[inverse] > 2
-                if several.any():
-                    yield _blob(_GROUPS, bucket, key[several].view(np.int64), node[several])
+                group, node = groups_of(key, node)
+                if len(group):
+                    yield _blob(_GROUPS, bucket, group.view(np.int64), node)
 
         for batch in batches:
             rows = []
@@ -623,22 +643,23 @@ def close_pairs(sizes: np.ndarray, part: np.ndarray, sketches: list[np.ndarray],
                 yield x[close], y[close]
 
 
-def _sketches(docs: DataFrame, n: int) -> DataFrame:
-    """(id, size, sketch) of all texts with shingles, told where they are read."""
+def _sketches(texts: DataFrame, n: int) -> DataFrame:
+    """(id, size, sketch) of all packed texts with shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for part in chunks(batch):
-                sets = shingle_sets(Text(part.column(1)), n)
+            for k in range(0, batch.num_rows, 200):
+                part = batch.slice(k, 200)
+                sets = _sets(part.column(1).to_pylist(), n)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 made = [c.compress(count_vector(sets[i], sketch_dimensions(len(sets[i]))).astype(np.uint32).tobytes()) for i in full]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(full, pa.int64())), pa.array([len(sets[i]) for i in full], pa.int64()), pa.array(made, pa.binary())], names=["id", "size", "sketch"])
 
-    return docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(lean(run), "id long, size long, sketch binary")
+    return texts.select("id", "z").mapInArrow(lean(run), "id long, size long, sketch binary")
 
 
-def _by_keys(shared: DataFrame, docs: DataFrame, n: int, t: Threshold) -> DataFrame:
+def _by_keys(shared: DataFrame, texts: DataFrame, n: int, t: Threshold) -> DataFrame:
     """(a, b) pairs of different roots that share a key and that their sketches leave open; ``shared``: (key, id, root)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -661,26 +682,21 @@ def _by_keys(shared: DataFrame, docs: DataFrame, n: int, t: Threshold) -> DataFr
                 held.append(row)
         yield from found()
 
-    rows = shared.join(_sketches(docs, n).hint("merge"), "id").repartition("key").sortWithinPartitions("key").select("key", "id", "root", "size", "sketch")
+    rows = shared.join(_sketches(texts, n).hint("merge"), "id").repartition("key").sortWithinPartitions("key").select("key", "id", "root", "size", "sketch")
     return rows.mapInArrow(lean(run), "a long, b long").distinct()
 
 
-def _unsettled(members: DataFrame, blobs: DataFrame, block: int) -> tuple[DataFrame, DataFrame | None]:
-    """(members to be searched by components, (key, id, root) of the others): large components go by keys, unless blocks are fewer rows."""
-    rows = F.sum(F.greatest(F.lit(1.0), F.col("size") / HEAVY)).alias("weight")
-    large = materialize(members.groupBy("k").agg(F.count("*").alias("n"), rows).filter(F.col("weight") > block))
-    if not large.limit(1).count():
-        return members, None
-    of_large = members.join(large.select("k").hint("merge"), "k", "left_semi")
+def _unsettled(members: DataFrame, blobs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """(members to be searched by components, (key, id, root) of the others): components go by keys, unless texts are fewer rows."""
     groups = _unpacked(blobs, _GROUPS, "key long, id long", (np.int64, np.int64)).distinct()
-    met = materialize(groups.join(of_large.select("id", "root", "k").hint("merge"), "id"))
+    met = materialize(groups.join(members.select("id", "root", "k").hint("merge"), "id"))
     open_keys = met.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     shared = materialize(met.join(open_keys.hint("merge"), "key", "left_semi"))
-    # A row of a block is a text, one of a key a sketch, of a tenth of its bytes or less; a member meets the blocks of three bands at most.
-    cost = large.join(shared.groupBy("k").agg(F.count("*").alias("by_key")).hint("merge"), "k", "left")
-    cut = materialize(cost.filter(F.coalesce("by_key", F.lit(0)) > KEY_ROWS * F.col("n") * F.greatest(F.lit(1.0), F.col("weight") / block)).select("k"))
-    by_keys = large.select("k").join(cut.hint("merge"), "k", "left_anti")
-    return members.join(by_keys.hint("merge"), "k", "left_anti"), shared.join(cut.hint("merge"), "k", "left_anti").select("key", "id", "root")
+    # A row of a task or block is a text, one of a key a sketch, of a tenth of its bytes or less; a member meets the blocks of three bands at most.
+    each = members.groupBy("k").agg(F.count("*").alias("n"), F.sum(F.greatest(F.lit(1.0), F.col("size") / HEAVY)).alias("weight"))
+    cost = each.join(shared.groupBy("k").agg(F.count("*").alias("by_key")).hint("merge"), "k", "left")
+    whole = materialize(cost.filter(F.coalesce("by_key", F.lit(0)) > KEY_ROWS * F.col("n") * F.greatest(F.lit(1.0), F.col("weight") / block)).select("k"))
+    return members.join(whole.hint("merge"), "k", "left_semi"), shared.join(whole.hint("merge"), "k", "left_anti").select("key", "id", "root")
 
 
 def link_components(docs: DataFrame, n: int = 5, p: int = 4, q: int = 5, batch_bytes: int = BATCH_BYTES, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -715,13 +731,11 @@ def link_components(docs: DataFrame, n: int = 5, p: int = 4, q: int = 5, batch_b
         members = materialize(found.unionByName(singles).distinct().join(groups, "root").select("id", "root", "k"))
         size = sizes.groupBy(F.col("doc_id").alias("id")).agg(F.max("n_shingles").alias("size"))
         members = materialize(members.join(size.hint("merge"), "id"))
-        whole, shared = _unsettled(members, blobs, block)
-        maybe = None if shared is None else materialize(_by_keys(shared, docs, n, t))
-        wanted = whole.select("id") if maybe is None else whole.select("id").unionByName(maybe.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
+        whole, shared = (materialize(x) for x in _unsettled(members, blobs, block))
+        wanted = whole.select("id").unionByName(shared.select("id")).distinct()
         held = materialize(texts.join(wanted.hint("merge"), "id", "left_semi"))
-        extra = [materialize(_searched(whole, held, n, t, block))]
-        if maybe is not None:
-            extra.append(materialize(_verified(maybe, held, n, t)))
+        maybe = materialize(_by_keys(shared, held, n, t))
+        extra = [materialize(_searched(whole, held, n, t, block)), materialize(_verified(maybe, held, n, t))]
         found = components(reduce(DataFrame.unionByName, [good.select("a", "b"), *extra]))
     return found, sizes
 

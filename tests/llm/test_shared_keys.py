@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexigrove.llm import ngram_join
 from tests.llm.test_operators import brute_components
@@ -58,3 +59,34 @@ def test_sketches_rule_out_no_link():
         for a, b in ngram_join.close_pairs(np.tile(sizes, copies), np.arange(len(sets) * copies), made * copies, t):
             close |= {(min(i, j), max(i, j)) for i, j in zip((a % len(sets)).tolist(), (b % len(sets)).tolist(), strict=True)}
         assert linked and linked <= close and len({p for p in close if p[0] != p[1]}) < len(sets) * (len(sets) - 1) // 2
+
+
+def test_small_components_go_by_keys_too(spark, monkeypatch):
+    """The rule hangs on no size, so the rows under keys grow as the corpus does; keys of the same members count once."""
+    rows, seen = chained(), {}
+    by_keys, searched = ngram_join._by_keys, ngram_join._searched
+
+    def keys(shared, *a):
+        seen["keys"] = [frozenset(r["ids"]) for r in shared.groupBy("key").agg(F.collect_list("id").alias("ids")).collect()]
+        return by_keys(shared, *a)
+
+    def whole(members, *a):
+        seen["whole"] = members.count()
+        return searched(members, *a)
+
+    monkeypatch.setattr(ngram_join, "KEY_ROWS", 1_000_000)
+    monkeypatch.setattr(ngram_join, "_by_keys", keys)
+    monkeypatch.setattr(ngram_join, "_searched", whole)
+    found, _ = ngram_join.link_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 4, 5, batch_bytes=2_000)
+    root = {r["id"]: r["root"] for r in found.collect()}
+    assert {i: root.get(i, i) for i, _ in rows} == {i: r for i, (_, r) in brute_components(rows, 5, 4, 5).items()}
+    assert seen["whole"] == 0 and seen["keys"] and len(seen["keys"]) == len(set(seen["keys"]))
+
+
+def test_groups_of_the_same_nodes_are_one():
+    key = np.array([9, 9, 9, 4, 4, 4, 4, 7, 7, 5, 5, 5, 5], np.uint64)
+    node = np.array([1, 2, -3, 2, -3, 1, 1, 1, 2, 1, 2, 3, 4], np.int64)
+    group, ids = ngram_join.groups_of(key, node)
+    sets = {frozenset(ids[group == g].tolist()) for g in np.unique(group)}
+    assert sets == {frozenset({1, 2, -3}), frozenset({1, 2, 3, 4})} and len(ids) == 7
+    assert not len(ngram_join.groups_of(key[:0], node[:0])[0])
