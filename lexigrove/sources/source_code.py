@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrove.sources.scratch import cut
+
 DEFINITIONS = (
     "path string, pos int, kind string, name string, qualified_name string, parent_class string, parent_function string, start_line int, end_line int, "
     "signature string, params array<string>, docstring string, source string, calls array<string>, error string"
@@ -312,9 +314,11 @@ def locate(edits: DataFrame, ranked: DataFrame, files: DataFrame) -> DataFrame:
     """
     best = lambda df: df.groupBy("edit_id").agg(F.min_by(F.struct("file", "line", "matched", "status"), "rank").alias("m")).select("edit_id", "m.*")
     texts = ranked.filter("file is not null and coalesce(source, '') <> ''")
-    near = best(find_edits(edits, texts.select("query_id", F.col("rank").cast("long").alias("rank"), "file", F.coalesce(F.col("start_line"), F.lit(1)).cast("long").alias("start_line"), F.col("source").alias("content")), "query_id"))
+    # Read twice: nodes are searched once.
+    near = cut(best(find_edits(edits, texts.select("query_id", F.col("rank").cast("long").alias("rank"), "file", F.coalesce(F.col("start_line"), F.lit(1)).cast("long").alias("start_line"), F.col("source").alias("content")), "query_id")), "near")
     left = edits.join(near, "edit_id", "left_anti")
-    once = ranked.filter("file is not null").groupBy("query_id", "file").agg(F.min("rank").cast("long").alias("rank")).join(files, "file")
+    # Only files of queries with an edit left are fetched.
+    once = ranked.filter("file is not null").join(left.select("query_id"), "query_id", "left_semi").groupBy("query_id", "file").agg(F.min("rank").cast("long").alias("rank")).join(files, "file")
     far = best(find_edits(left, once.select("query_id", "rank", "file", F.lit(1).cast("long").alias("start_line"), "content"), "query_id"))
     return edits.select("edit_id").join(near.unionByName(far), "edit_id", "left").na.fill({"status": "not_found"})
 
