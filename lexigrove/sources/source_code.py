@@ -282,8 +282,9 @@ def diffs(answers: DataFrame, files: DataFrame) -> DataFrame:
             rows = [(path, *unified_diff(path, content, [p for a in told for p in edit_pairs(a)])) for path, content, told in frame.itertuples(index=False)]
             yield pd.DataFrame(rows, columns=["path", "diff", "statuses"])
 
+    # Texts are made of short rows, so sizes told from those are far too small: neither side is broadcast, whose table the driver would hold.
     # Groups are lists of a few answers; batches of them go to Python, not each by itself.
-    told = answers.join(files, "path").groupBy("path").agg(F.first("content").alias("content"), F.collect_list("answer").alias("told"))
+    told = answers.join(files.hint("merge"), "path").groupBy("path").agg(F.first("content").alias("content"), F.collect_list("answer").alias("told"))
     return told.select("path", "content", "told").mapInPandas(run, "path string, diff string, statuses array<string>")
 
 
@@ -344,7 +345,8 @@ def completed_edits(edits: DataFrame, ranked: DataFrame) -> DataFrame:
             made = [completed(a, b, body if isinstance(body, str) else None) for a, b, body in zip(frame["before"], frame["after"], frame["body"], strict=True)]
             yield frame.assign(before=[x[0] for x in made], after=[x[1] for x in made])[["query_id", "edit_id", "before", "after", "function"]]
 
-    joined = edits.join(bodies, ["query_id", "function"], "left").select("query_id", "edit_id", "before", "after", "function", "body")
+    # As in ``diffs``, a body is longer than the row it is made of: it is not broadcast.
+    joined = edits.join(bodies.hint("merge"), ["query_id", "function"], "left").select("query_id", "edit_id", "before", "after", "function", "body")
     return joined.mapInPandas(run, "query_id long, edit_id long, before string, after string, function string")
 
 
